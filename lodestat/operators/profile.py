@@ -152,10 +152,19 @@ def column_quantiles(df: DataFrame, probs: dict[str, float], columns: Sequence[s
 
 def numeric_moments(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
     """n, min, max, mean, std (0 for one value), bias-corrected skew and kurtosis."""
-    columns = columns if columns is not None else columns_of_kind(df, NUMERIC)
-    return _rows_from_wide(
-        df, {c: {"n": F.count(present_number(df, c)), **_moment_stats(present_number(df, c))} for c in columns}
+    v = F.col("v")
+    present = (
+        numeric_long(df, columns)
+        .groupBy("column_name")
+        .agg(F.count(v).alias("n"), *[e.alias(name) for name, e in _moment_stats(v).items()])
     )
+    columns = list(columns if columns is not None else columns_of_kind(df, NUMERIC))
+    return _per_column(_column_names(df, columns), present).fillna(0, ["n"])
+
+
+def _column_names(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    names = F.explode(F.array(*[F.lit(c) for c in columns])).alias("column_name")
+    return df.sparkSession.range(1).select(names)
 
 
 def _moment_stats(v: Column) -> dict[str, Column]:
@@ -350,8 +359,7 @@ def date_frequency(df: DataFrame, columns: Sequence[str] | None = None) -> DataF
         .when(d.between(360, 370), "yearly")
         .otherwise(F.concat(F.lit("custom_"), d.cast("string"), F.lit("_days")))
     )
-    names = df.sparkSession.createDataFrame([(c,) for c in columns], "column_name string")
-    return _per_column(names, modal.select("column_name", label.alias("date_frequency"))).fillna(
+    return _per_column(_column_names(df, columns), modal.select("column_name", label.alias("date_frequency"))).fillna(
         "unknown", ["date_frequency"]
     )
 
@@ -391,7 +399,6 @@ def profile_table(df: DataFrame, as_of: str | None = None) -> DataFrame:
         if kind == NUMERIC:
             v = present_number(df, c)
             fields[c].update(
-                _moment_stats(v),
                 zero_count=F.when(F.count(v) > 0, F.count_if(v == 0)),
                 negative_count=F.when(F.count(v) > 0, F.count_if(v < 0)),
                 all_integral=F.bool_and(v == F.floor(v)),
@@ -415,7 +422,7 @@ def profile_table(df: DataFrame, as_of: str | None = None) -> DataFrame:
     )
     parts = [uniques]
     if columns_of_kind(df, NUMERIC):
-        parts += [_quartiles_and_outliers(df).drop("n"), unique_values_head(df)]
+        parts += [numeric_moments(df).drop("n"), _quartiles_and_outliers(df).drop("n"), unique_values_head(df)]
     if columns_of_kind(df, TEXT):
         top = top_values(df).groupBy("column_name").agg(
             F.map_from_entries(
@@ -430,7 +437,7 @@ def profile_table(df: DataFrame, as_of: str | None = None) -> DataFrame:
         parts.append(date_frequency(df))
     out = _per_column(base, *parts)
     for name, dtype in (
-        ("median", "double"), ("q1", "double"), ("q3", "double"), ("lower_bound", "double"),
+        *[(name, "double") for name in ("min", "max", "mean", "std", "skew", "kurtosis")], ("median", "double"), ("q1", "double"), ("q3", "double"), ("lower_bound", "double"),
         ("upper_bound", "double"), ("outlier_count", "long"), ("outlier_fraction", "double"),
         ("unique_values", "array<double>"), ("top_values", "map<string,bigint>"), ("date_frequency", "string"),
     ):
@@ -469,7 +476,6 @@ def profile_table(df: DataFrame, as_of: str | None = None) -> DataFrame:
 
 # Profile fields that exist for one kind only, with their types.
 _KIND_FIELDS = {
-    "min": "double", "max": "double", "mean": "double", "std": "double", "skew": "double", "kurtosis": "double",
     "zero_count": "long", "negative_count": "long", "all_integral": "boolean", "avg_string_length": "double",
     "max_string_length": "long", "min_string_length": "long", "__lower": "boolean", "__upper": "boolean",
     "has_numbers": "boolean", "has_special_chars": "boolean", "min_date": "timestamp", "max_date": "timestamp",

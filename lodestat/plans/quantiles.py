@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from lodestat.plans.skew import salted_join
 
-ACCURACY = 200_000
+ACCURACY = 50_000
 SLACK = 5.0 / ACCURACY
 
 

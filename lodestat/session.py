@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -24,10 +25,28 @@ def build_session(app: str = "lodestat", master: str | None = None, **conf: str)
     return builder.getOrCreate()
 
 
-def checkpoint(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint in the folder the cluster names; a temporary one only if unset."""
-    sc = df.sparkSession.sparkContext
+def shared_folder(spark: SparkSession) -> str:
+    """The shared folder the cluster names for checkpoints; a temporary one only if unset."""
+    sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        configured = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        configured = spark.conf.get("spark.checkpoint.dir", None)
         sc.setCheckpointDir(configured or tempfile.mkdtemp(prefix="lodestat-ckpt-"))
+    return sc.getCheckpointDir()
+
+
+def scratch_path(spark: SparkSession, label: str) -> str:
+    """A new path in the shared folder for an intermediate table."""
+    return f"{shared_folder(spark)}/{label}-{uuid.uuid4().hex}"
+
+
+def checkpoint(df: DataFrame) -> DataFrame:
+    """Cut lineage with a reliable checkpoint, which survives the loss of executors."""
+    shared_folder(df.sparkSession)
     return df.checkpoint()
+
+
+def materialize(df: DataFrame, label: str) -> DataFrame:
+    """Write an intermediate table to the shared folder and read it back."""
+    path = scratch_path(df.sparkSession, label)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
