@@ -15,6 +15,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from lodestat.functions.columns import micros
 
@@ -53,8 +54,8 @@ def _chunk(ts: str) -> Column:
     return F.floor(micros(F.col(ts)) / F.lit(CHUNK_MICROS))
 
 
-def with_position(df: DataFrame, keys: Sequence[str], ts: str, name: str = "pos") -> DataFrame:
-    """0-based rank of each row in its series by ``ts`` (distinct per key).
+def with_position(df: DataFrame, keys: Sequence[str], ts: str, name: str = "pos", size: str = "n") -> DataFrame:
+    """0-based rank of each row in its series by ``ts`` (distinct per key), and the series length.
 
     Row numbers are taken inside (key, chunk) and shifted by the running total of earlier chunks.
     """
@@ -62,7 +63,12 @@ def with_position(df: DataFrame, keys: Sequence[str], ts: str, name: str = "pos"
     rows = df.withColumn("__chunk", _chunk(ts))
     totals = rows.groupBy(*keys, "__chunk").agg(F.count(F.lit(1)).alias("__n"))
     before = Window.partitionBy(*keys).orderBy("__chunk").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = totals.withColumn("__off", F.coalesce(F.sum("__n").over(before), F.lit(0))).drop("__n")
+    offsets = totals.select(
+        *keys,
+        "__chunk",
+        F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__off"),
+        F.sum("__n").over(Window.partitionBy(*keys)).alias(size),
+    )
     inside = Window.partitionBy(*keys, "__chunk").orderBy(ts)
     return (
         join_on(rows, offsets, [*keys, "__chunk"])
@@ -157,3 +163,45 @@ def with_carried(df: DataFrame, keys: Sequence[str], value: str, pos: str = "pos
         .withColumn("after", F.coalesce(F.first("__pt", ignorenulls=True).over(onward), F.col("__ca")))
         .drop("__block", "__pt", "__cb", "__ca")
     )
+
+
+def block_sums(
+    df: DataFrame,
+    keys: Sequence[str],
+    partial: "callable",
+    before: int = 0,
+    pos: str = "pos",
+) -> DataFrame:
+    """Sum fixed-layout number arrays over the blocks of each series.
+
+    ``partial(frame, owned)`` gets one block with its halo (pandas, ordered by position) and a mask of
+    the rows the block owns, and returns a 1-d array. Arrays are added per key natively, so the result
+    is one array per key however long the series is. Series of one key must agree on the layout.
+    """
+    import numpy as np
+    import pandas as pd
+
+    keys = list(keys)
+    rows_per_block = max(BLOCK_ROWS, 4 * (before + 1))
+    own = F.floor(F.col(pos) / rows_per_block)
+    homes = [own] + ([F.floor((F.col(pos) + before) / rows_per_block)] if before else [])
+    spread = df.withColumn("__own", own).withColumn("__block", F.explode(F.array_distinct(F.array(*homes))))
+    fields = {f.name: f for f in spread.schema.fields}
+    schema = T.StructType([fields[k] for k in keys] + [T.StructField("__a", T.ArrayType(T.DoubleType()))])
+
+    def run(frame: pd.DataFrame) -> pd.DataFrame:
+        frame = frame.sort_values(pos)
+        owned = (frame["__own"] == frame["__block"]).to_numpy()
+        if not owned.any():
+            return pd.DataFrame({c: [] for c in [*keys, "__a"]})
+        out = frame[keys].head(1).reset_index(drop=True)
+        out["__a"] = [np.asarray(partial(frame, owned), dtype=float)]
+        return out
+
+    parts = spread.groupBy(*keys, "__block").applyInPandas(run, schema)
+    summed = parts.select(*keys, F.posexplode("__a").alias("__i", "__s")).groupBy(*keys, "__i").agg(
+        F.sum("__s").alias("__s")
+    )
+    return summed.groupBy(*keys).agg(
+        F.transform(F.array_sort(F.collect_list(F.struct("__i", "__s"))), lambda e: e["__s"]).alias("sums")
+    )
