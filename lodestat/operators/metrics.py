@@ -203,11 +203,18 @@ def davies_bouldin(df: DataFrame, features: str = "features", label: str = "labe
     return per.agg(F.count(F.lit(1)).alias("k"), F.avg(F.coalesce("r", F.lit(0.0))).alias("davies_bouldin"))
 
 
-def silhouette(df: DataFrame, features: str = "features", label: str = "label") -> DataFrame:
+CLUSTERS_AT_ONCE = 2048
+
+
+def silhouette(
+    df: DataFrame, features: str = "features", label: str = "label", id_col: str | None = None
+) -> DataFrame:
     """Mean silhouette with squared Euclidean distance, linear in rows.
 
     The mean squared distance of a point to a cluster follows from the cluster's size, sum vector and
-    sum of squared norms, so no pair of points is formed.
+    sum of squared norms, so no pair of points is formed. The cluster table is broadcast while it has at
+    most ``CLUSTERS_AT_ONCE`` rows; beyond that it is matched in packs of that size, which needs
+    ``id_col`` to put a row's packs together again.
     """
     m = cluster_moments(df, features, label)
     ordered = F.array_sort(F.collect_list(F.struct("i", "s")))
@@ -216,33 +223,47 @@ def silhouette(df: DataFrame, features: str = "features", label: str = "label")
         F.transform(ordered, lambda e: e["s"]).alias("s"),
         F.sum("ss").alias("ss"),
     )
-    packed = stats.agg(F.collect_list(F.struct("label", "n", "s", "ss")).alias("clusters"))
+    packs = -(-stats.count() // CLUSTERS_AT_ONCE) or 1
+    packed = (
+        stats.withColumn("pack", F.pmod(F.xxhash64("label"), F.lit(packs)).cast("int"))
+        .groupBy("pack")
+        .agg(F.collect_list(F.struct("label", "n", "s", "ss")).alias("clusters"))
+    )
+    ids = [F.col(id_col).alias("id")] if id_col else []
+    rows = df.select(*ids, F.col(label).alias("label"), F.transform(features, lambda v: v.cast("double")).alias("__x"))
+    if packs == 1:
+        rows = rows.crossJoin(F.broadcast(packed.drop("pack")))
+    elif id_col is None:
+        raise ValueError(f"more than {CLUSTERS_AT_ONCE} clusters: give id_col")
+    else:
+        rows = rows.withColumn("pack", F.explode(F.sequence(F.lit(0), F.lit(packs - 1))))
+        rows = salted_join(rows, packed, ["pack"], "inner")
     x = F.col("__x")
-    dot = lambda s: F.aggregate(F.zip_with(x, s, lambda a, b: a * b), F.lit(0.0), lambda acc, v: acc + v)
-    rows = (
-        df.select(F.col(label).alias("label"), F.transform(features, lambda v: v.cast("double")).alias("__x"))
-        .crossJoin(F.broadcast(packed))  # one row: clusters x dimensions
-        .withColumn("__xx", F.aggregate("__x", F.lit(0.0), lambda acc, v: acc + v * v))
-        .withColumn(
-            "__d",
-            F.transform(
-                "clusters",
-                lambda c: F.struct(
-                    c["label"].alias("label"),
-                    c["n"].alias("n"),
-                    (F.col("__xx") + c["ss"] / c["n"] - 2 * dot(c["s"]) / c["n"]).alias("d"),
-                ),
+
+    def dot(s: Column) -> Column:
+        return F.aggregate(F.zip_with(x, s, lambda a, b: a * b), F.lit(0.0), lambda acc, v: acc + v)
+
+    rows = rows.withColumn("__xx", F.aggregate("__x", F.lit(0.0), lambda acc, v: acc + v * v)).withColumn(
+        "__d",
+        F.transform(
+            "clusters",
+            lambda c: F.struct(
+                c["label"].alias("label"),
+                c["n"].alias("n"),
+                (F.col("__xx") + c["ss"] / c["n"] - 2 * dot(c["s"]) / c["n"]).alias("d"),
             ),
-        )
+        ),
     )
-    own = F.filter("__d", lambda e: e["label"] == F.col("label"))[0]
-    return _silhouette_mean(
-        rows.select(
-            own["n"].alias("n"),
-            own["d"].alias("own"),
-            F.array_min(F.transform(F.filter("__d", lambda e: e["label"] != F.col("label")), lambda e: e["d"])).alias("b"),
-        )
+    own = F.element_at(F.filter("__d", lambda e: e["label"] == F.col("label")), 1)
+    others = F.transform(F.filter("__d", lambda e: e["label"] != F.col("label")), lambda e: e["d"])
+    if packs > 1:
+        own = F.try_element_at(F.filter("__d", lambda e: e["label"] == F.col("label")), F.lit(1))
+    out = rows.select(
+        *(["id"] if id_col else []), own["n"].alias("n"), own["d"].alias("own"), F.array_min(others).alias("b")
     )
+    if packs > 1:
+        out = out.groupBy("id").agg(F.max("n").alias("n"), F.max("own").alias("own"), F.min("b").alias("b"))
+    return _silhouette_mean(out)
 
 
 def _silhouette_mean(rows: DataFrame) -> DataFrame:
