@@ -381,8 +381,12 @@ def boolean_summary(df: DataFrame) -> DataFrame:
     )
 
 
-def profile_table(df: DataFrame, as_of: str | None = None) -> DataFrame:
-    """The whole profile, one row per column; fields of other kinds are NULL."""
+# The costlier parts of a profile, which a caller may leave out.
+PROFILE_PARTS = ("moments", "quartiles", "unique_values", "top_values", "date_frequency")
+
+
+def profile_table(df: DataFrame, as_of: str | None = None, parts: Sequence[str] = PROFILE_PARTS) -> DataFrame:
+    """The whole profile, one row per column; fields of other kinds, or of parts left out, are NULL."""
     moment = F.lit(as_of).cast("timestamp") if as_of else F.current_timestamp()
     none = F.lit(None)
     fields = {}
@@ -402,6 +406,7 @@ def profile_table(df: DataFrame, as_of: str | None = None) -> DataFrame:
                 zero_count=F.when(F.count(v) > 0, F.count_if(v == 0)),
                 negative_count=F.when(F.count(v) > 0, F.count_if(v < 0)),
                 all_integral=F.bool_and(v == F.floor(v)),
+                __code_range=F.bool_and((v >= 0) & (v < 100)),
             )
         elif kind == TEXT:
             fields[c].update(_length_stats(c), **_shape_stats(c))
@@ -420,10 +425,15 @@ def profile_table(df: DataFrame, as_of: str | None = None) -> DataFrame:
     uniques = counts.groupBy("column_name").agg(
         F.count("value").alias("n_unique"), F.count(F.lit(1)).alias("n_unique_including_null")
     )
-    parts = [uniques]
+    extra = [uniques]
     if columns_of_kind(df, NUMERIC):
-        parts += [numeric_moments(df).drop("n"), _quartiles_and_outliers(df).drop("n"), unique_values_head(df)]
-    if columns_of_kind(df, TEXT):
+        if "moments" in parts:
+            extra.append(numeric_moments(df).drop("n"))
+        if "quartiles" in parts:
+            extra.append(_quartiles_and_outliers(df).drop("n"))
+        if "unique_values" in parts:
+            extra.append(unique_values_head(df))
+    if columns_of_kind(df, TEXT) and "top_values" in parts:
         top = top_values(df).groupBy("column_name").agg(
             F.map_from_entries(
                 F.transform(
@@ -432,10 +442,10 @@ def profile_table(df: DataFrame, as_of: str | None = None) -> DataFrame:
                 )
             ).alias("top_values")
         )
-        parts.append(top)
-    if columns_of_kind(df, DATETIME):
-        parts.append(date_frequency(df))
-    out = _per_column(base, *parts)
+        extra.append(top)
+    if columns_of_kind(df, DATETIME) and "date_frequency" in parts:
+        extra.append(date_frequency(df))
+    out = _per_column(base, *extra)
     for name, dtype in (
         *[(name, "double") for name in ("min", "max", "mean", "std", "skew", "kurtosis")], ("median", "double"), ("q1", "double"), ("q3", "double"), ("lower_bound", "double"),
         ("upper_bound", "double"), ("outlier_count", "long"), ("outlier_fraction", "double"),
@@ -446,7 +456,7 @@ def profile_table(df: DataFrame, as_of: str | None = None) -> DataFrame:
     fraction = F.when(F.col("n_rows") > 0, F.col("n_null") / F.col("n_rows")).otherwise(F.lit(0.0))
     n_unique, n_rows = F.coalesce("n_unique", F.lit(0)), F.col("n_rows")
     numeric, text = F.col("kind") == NUMERIC, F.col("kind") == TEXT
-    codes = (n_unique <= 20) & F.col("all_integral") & (F.col("min") >= 0) & (F.col("max") < 100)
+    codes = (n_unique <= 20) & F.col("all_integral") & F.col("__code_range")
     out = out.withColumns(
         {
             "n_unique": n_unique,
@@ -476,7 +486,7 @@ def profile_table(df: DataFrame, as_of: str | None = None) -> DataFrame:
 
 # Profile fields that exist for one kind only, with their types.
 _KIND_FIELDS = {
-    "zero_count": "long", "negative_count": "long", "all_integral": "boolean", "avg_string_length": "double",
+    "zero_count": "long", "negative_count": "long", "all_integral": "boolean", "__code_range": "boolean", "avg_string_length": "double",
     "max_string_length": "long", "min_string_length": "long", "__lower": "boolean", "__upper": "boolean",
     "has_numbers": "boolean", "has_special_chars": "boolean", "min_date": "timestamp", "max_date": "timestamp",
     "date_range_days": "long", "has_future_dates": "boolean", "true_count": "long", "false_count": "long",

@@ -50,7 +50,8 @@ def fill_gaps(df: DataFrame, keys: Sequence[str], freq: str, ts: str = "ts") ->
     keys = list(keys)
     dtype = df.schema[ts].dataType
     span = df.groupBy(*keys).agg(F.min(ts).alias("__lo"), F.max(ts).alias("__hi"))
-    calendar = span.select(*keys, F.explode(F.expr(f"sequence(__lo, __hi, {STEPS[freq]})")).cast(dtype).alias(ts))
+    calendar = span.select(*keys, F.explode(F.expr(f"sequence(__lo, __hi, {STEPS[freq]})")).alias(ts))
+    calendar = calendar.withColumn(ts, F.col(ts).cast(dtype))
     marked = df.withColumn("__here", F.lit(True))
     out = join_on(calendar, marked, [*keys, ts], "left")
     return out.withColumn("is_gap", F.col("__here").isNull()).drop("__here")

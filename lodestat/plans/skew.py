@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lodestat.functions.columns import micros
+from lodestat.session import materialize
 
 CHUNK_MICROS = 60_000_000
 BLOCK_ROWS = 1 << 16
@@ -28,6 +29,7 @@ def join_on(left: DataFrame, right: DataFrame, cols: Sequence[str], how: str = "
     """Equi-join that also matches NULL keys, keeping one copy of the key columns."""
     cols = list(cols)
     renamed = right.select(*[F.col(c).alias(f"__r_{c}") if c in cols else F.col(c) for c in right.columns])
+    left = left.select("*")
     cond = None
     for c in cols:
         term = left[c].eqNullSafe(renamed[f"__r_{c}"])
@@ -50,8 +52,25 @@ def salted_join(rows: DataFrame, stats: DataFrame, keys: Sequence[str], how: str
     return join_on(salted, copies, [*keys, "__salt"], how).drop("__salt")
 
 
-def _chunk(ts: str) -> Column:
-    return F.floor(micros(F.col(ts)) / F.lit(CHUNK_MICROS))
+BROADCAST_ROWS = 200_000
+
+
+def fitted_join(rows: DataFrame, stats: DataFrame, keys: Sequence[str], label: str = "fit") -> DataFrame:
+    """Left-join a fitted per-key table: written once, broadcast while its measured size is small, salted beyond."""
+    fitted = materialize(stats, label)
+    if fitted.count() <= BROADCAST_ROWS:
+        return join_on(rows, F.broadcast(fitted), keys, "left")
+    return salted_join(rows, fitted, keys, "left")
+
+
+def _chunk(df: DataFrame, order: str) -> Column:
+    """Chunk number of a row: the minute of a time, or an equal slice of the range of a number."""
+    if isinstance(df.schema[order].dataType, T.NumericType):
+        lo, hi, n = df.agg(F.min(order).cast("double"), F.max(order).cast("double"), F.count(order)).first()
+        if not n or hi == lo:
+            return F.lit(0).cast("long")
+        return F.floor((F.col(order).cast("double") - lo) / ((hi - lo) / -(-n // BLOCK_ROWS)))
+    return F.floor(micros(F.col(order)) / F.lit(CHUNK_MICROS))
 
 
 def with_position(df: DataFrame, keys: Sequence[str], ts: str, name: str = "pos", size: str = "n") -> DataFrame:
@@ -60,7 +79,7 @@ def with_position(df: DataFrame, keys: Sequence[str], ts: str, name: str = "pos"
     Row numbers are taken inside (key, chunk) and shifted by the running total of earlier chunks.
     """
     keys = list(keys)
-    rows = df.withColumn("__chunk", _chunk(ts))
+    rows = df.withColumn("__chunk", _chunk(df, ts))
     totals = rows.groupBy(*keys, "__chunk").agg(F.count(F.lit(1)).alias("__n"))
     before = Window.partitionBy(*keys).orderBy("__chunk").rowsBetween(Window.unboundedPreceding, -1)
     offsets = totals.select(
@@ -80,7 +99,7 @@ def with_position(df: DataFrame, keys: Sequence[str], ts: str, name: str = "pos"
 def with_previous(df: DataFrame, keys: Sequence[str], ts: str, name: str = "prev_ts") -> DataFrame:
     """Previous ``ts`` of the series, looked up inside the chunk or from the chunk before it."""
     keys = list(keys)
-    rows = df.withColumn("__chunk", _chunk(ts))
+    rows = df.withColumn("__chunk", _chunk(df, ts))
     last = rows.groupBy(*keys, "__chunk").agg(F.max(ts).alias("__last"))
     order = Window.partitionBy(*keys).orderBy("__chunk")
     carried = last.withColumn("__carry", F.lag("__last").over(order)).drop("__last")
@@ -92,6 +111,21 @@ def with_previous(df: DataFrame, keys: Sequence[str], ts: str, name: str = "prev
     )
 
 
+def with_cumulative(df: DataFrame, keys: Sequence[str], ts: str, weight: str, name: str) -> DataFrame:
+    """Exclusive running sum of ``weight`` along the series (``ts`` distinct per key)."""
+    keys = list(keys)
+    rows = df.withColumn("__chunk", _chunk(df, ts))
+    totals = rows.groupBy(*keys, "__chunk").agg(F.sum(weight).alias("__w"))
+    before = Window.partitionBy(*keys).orderBy("__chunk").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = totals.select(*keys, "__chunk", F.coalesce(F.sum("__w").over(before), F.lit(0)).alias("__off"))
+    inside = Window.partitionBy(*keys, "__chunk").orderBy(ts).rowsBetween(Window.unboundedPreceding, -1)
+    return (
+        join_on(rows, offsets, [*keys, "__chunk"])
+        .withColumn(name, F.col("__off") + F.coalesce(F.sum(weight).over(inside), F.lit(0)))
+        .drop("__chunk", "__off")
+    )
+
+
 def with_frames(
     df: DataFrame,
     keys: Sequence[str],
