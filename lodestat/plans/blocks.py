@@ -52,4 +52,7 @@ def paired(
             return pd.DataFrame({name: [] for name in names})
         return work(a, b)
 
+    # Fresh column identities: both sides often come from the same table.
+    left = left.select(*[F.col(c).alias(c) for c in left.columns])
+    right = right.select(*[F.col(c).alias(c) for c in right.columns])
     return left.groupBy(*on).cogroup(right.groupBy(*on)).applyInPandas(run, schema)
