@@ -114,6 +114,7 @@ def assign_nearest(rows: DataFrame, centres: dict[int, Sequence[float]]) -> Data
 
 GRID_DIMS = 3
 CHUNK_POINTS = 2048
+TILE_POINTS = 1024
 
 
 def _within(a: pd.DataFrame, b: pd.DataFrame, eps: float) -> np.ndarray:
@@ -149,9 +150,9 @@ def dbscan(rows: DataFrame, id_col: str, eps: float, min_samples: int) -> DataFr
 
     Equal points are merged first. Points sit in a grid over up to three dimensions; with all dimensions
     in the grid a cell is so small that its points are mutual neighbours, so a crowded cell is core and
-    linked without comparing its points. Other work runs on chunk pairs of neighbouring cells and returns
-    counts, spanning-forest edges or one label per point, never pairs. Crowded cells are first linked
-    through a few extreme points; pairs of cells that ended up connected need no further comparison.
+    linked without comparing its points. Other work runs on chunk pairs of tiles (groups of cells) and
+    returns counts, spanning-forest edges or one label per point, never pairs. Crowded cells are first
+    linked through a few extreme points; only pairs of cells still apart after that are compared in full.
     """
     pts = rows.groupBy(F.transform("features", lambda v: v.cast("double")).alias("x")).agg(
         F.min(id_col).cast("long").alias("pid"), F.count(F.lit(1)).alias("w")
@@ -194,7 +195,30 @@ def dbscan(rows: DataFrame, id_col: str, eps: float, min_samples: int) -> DataFr
     pts = salted_join(pts, cells.select("cell", "dense", "unit", "chunks"), ["cell"], "inner")
     pts = materialize(pts.withColumn("chunk", F.pmod(F.xxhash64("pid"), F.col("chunks")).cast("int")), "dbscan-placed")
 
-    def on_pairs(left: DataFrame, base: DataFrame, pairs: DataFrame, work, schema: str) -> DataFrame:
+    n_points, n_cells = pts.count(), cells.count()
+    across = max(1, min(4096, int((TILE_POINTS * n_cells / n_points) ** (1 / len(used)))))
+
+    def in_tiles(left: DataFrame, base: DataFrame, work, schema: str) -> DataFrame:
+        """Run ``work`` on chunk pairs of tiles: left points at home, base points in every tile they can reach."""
+        home = F.transform("cell", lambda c: F.floor(c / across))
+        ls = left.withColumn("tile", home)
+        rs = base
+        for i in range(len(used)):
+            c = F.element_at("cell", i + 1)
+            span = F.sequence(F.floor((c - reach) / across), F.floor((c + reach) / across))
+            rs = rs.withColumn(f"__t{i}", F.explode(span))
+        parts = [f"__t{i}" for i in range(len(used))]
+        rs = rs.withColumn("tile", F.array(*parts)).drop(*parts)
+        sizes = (
+            ls.groupBy("tile").agg(F.ceil(F.count(F.lit(1)) / CHUNK_POINTS).cast("int").alias("lc"))
+            .join(rs.groupBy("tile").agg(F.ceil(F.count(F.lit(1)) / CHUNK_POINTS).cast("int").alias("rc")), "tile")
+        )
+        every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+        ls = salted_join(ls, sizes, ["tile"], "inner").withColumn("a", F.pmod(F.xxhash64("pid"), F.col("lc")).cast("int")).withColumn("b", every("rc"))
+        rs = salted_join(rs, sizes, ["tile"], "inner").withColumn("b", F.pmod(F.xxhash64("pid"), F.col("rc")).cast("int")).withColumn("a", every("lc"))
+        return paired(ls.drop("lc", "rc", "cell"), rs.drop("lc", "rc", "cell"), ["tile", "a", "b"], work, schema)
+
+    def on_cells(left: DataFrame, base: DataFrame, pairs: DataFrame, work, schema: str) -> DataFrame:
         """Run ``work`` on chunk pairs of the given cell pairs."""
         links = (
             pairs.select("cell", "chunks", "r_cell", "r_chunks")
@@ -202,42 +226,42 @@ def dbscan(rows: DataFrame, id_col: str, eps: float, min_samples: int) -> DataFr
             .withColumn("r_chunk", F.explode(F.sequence(F.lit(0), F.col("r_chunks") - 1)))
             .drop("chunks", "r_chunks")
         )
-        on = ["cell", "chunk", "r_cell", "r_chunk"]
-        ls = left.join(links, ["cell", "chunk"])
-        rs = base.withColumnRenamed("cell", "r_cell").withColumnRenamed("chunk", "r_chunk").join(links, ["r_cell", "r_chunk"])
-        return paired(ls, rs, on, work, schema)
+        ls = salted_join(left, links.groupBy("cell", "chunk").agg(F.collect_list(F.struct("r_cell", "r_chunk")).alias("to")), ["cell", "chunk"], "inner")
+        rs = base.withColumnRenamed("cell", "r_cell").withColumnRenamed("chunk", "r_chunk")
+        rs = salted_join(rs, links.groupBy("r_cell", "r_chunk").agg(F.collect_list(F.struct("cell", "chunk")).alias("to")), ["r_cell", "r_chunk"], "inner")
+        return paired(ls.select("*", F.inline("to")).drop("to"), rs.select("*", F.inline("to")).drop("to"), ["cell", "chunk", "r_cell", "r_chunk"], work, schema)
 
     def count_near(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
         return pd.DataFrame({"pid": a["pid"].to_numpy(), "n": _within(a, b, eps) @ b["w"].to_numpy()})
 
     slim = pts.select("cell", "chunk", "pid", "w", "x", "unit", "dense")
     sparse = slim.filter(~F.col("dense"))
-    counts = on_pairs(sparse, slim.select("cell", "chunk", "x", "w"), near.filter(~F.col("dense")), count_near, "pid long, n long")
+    counts = in_tiles(sparse.select("cell", "pid", "x"), slim.select("cell", "pid", "x", "w"), count_near, "pid long, n long")
     enough = counts.groupBy("pid").agg(F.sum("n").alias("n")).filter(F.col("n") >= min_samples).select("pid").withColumn("__core", F.lit(True))
     core_flag = F.col("dense") | F.coalesce("__core", F.lit(False))
     state = materialize(slim.join(enough, "pid", "left").withColumn("core", core_flag).drop("__core"), "dbscan-core")
     core = state.filter("core").withColumn("unit", F.when(F.col("dense"), F.col("unit")).otherwise(F.col("pid")))
     units = core.select(F.col("unit").alias("node")).distinct()
 
-    half = near.filter((F.col("unit") < F.col("r_unit")) | (F.col("cell") == F.col("r_cell")))
-    crowded = half.filter(F.col("dense") & F.col("r_dense"))
+    crowded = near.filter(F.col("dense") & F.col("r_dense") & (F.col("unit") < F.col("r_unit")))
     touching = F.exists("reps", lambda p: F.exists("r_reps", lambda r: M.squared_distance(p, r) <= eps * eps))
-    quick = materialize(crowded.filter(touching).select(F.col("unit").alias("a"), F.col("r_unit").alias("b")).filter("a <> b"), "dbscan-quick-links")
-    first = materialize(connected_components(units, quick), "dbscan-first")
-    named = first.withColumnRenamed("node", "unit").withColumnRenamed("component", "c1")
-    other = first.withColumnRenamed("node", "r_unit").withColumnRenamed("component", "c2")
-    open_pairs = crowded.join(named, "unit").join(other, "r_unit").filter("c1 <> c2").select(*half.columns)
-    todo = half.filter(~(F.col("dense") & F.col("r_dense"))).unionByName(open_pairs)
+    quick = materialize(crowded.filter(touching).select(F.col("unit").alias("a"), F.col("r_unit").alias("b")), "dbscan-quick-links")
+    first = connected_components(units, quick)
+    named = first.select(F.col("node").alias("unit"), F.col("component").alias("c1"))
+    other = first.select(F.col("node").alias("r_unit"), F.col("component").alias("c2"))
+    still_apart = crowded.join(named, "unit").join(other, "r_unit").filter("c1 <> c2").select(*crowded.columns)
 
     def link(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
         i, j = np.nonzero(_within(a, b, eps))
         edges = _forest_edges(a["unit"].to_numpy()[i], b["unit"].to_numpy()[j])
         return pd.DataFrame(edges, columns=["a", "b"]).astype("int64")
 
-    body = core.select("cell", "chunk", "unit", "x")
-    exact = on_pairs(body, body, todo, link, "a long, b long")
-    edges = quick.unionByName(exact.filter("a <> b"))
-    found = materialize(connected_components(units, edges), "dbscan-components")
+    body = core.select("cell", "chunk", "pid", "unit", "x")
+    loose = core.filter(~F.col("dense")).select("cell", "pid", "unit", "x")
+    edges = quick.unionByName(in_tiles(loose, body.drop("chunk"), link, "a long, b long").filter("a <> b"))
+    if not still_apart.isEmpty():
+        edges = edges.unionByName(on_cells(body.drop("pid"), body.drop("pid"), still_apart, link, "a long, b long"))
+    found = connected_components(units, edges)
     core_labels = core.join(found.withColumnRenamed("node", "unit"), "unit").select("pid", "cell", "chunk", "x", "component")
 
     def border(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
@@ -246,8 +270,8 @@ def dbscan(rows: DataFrame, id_col: str, eps: float, min_samples: int) -> DataFr
         keep = hit.any(axis=1)
         return pd.DataFrame({"pid": a["pid"].to_numpy()[keep], "component": value[keep]})
 
-    edge_points = state.filter(~F.col("core")).select("cell", "chunk", "pid", "x")
-    reached = on_pairs(edge_points, core_labels.select("cell", "chunk", "x", "component"), near.filter(~F.col("dense")), border, "pid long, component long")
+    edge_points = state.filter(~F.col("core")).select("cell", "pid", "x")
+    reached = in_tiles(edge_points, core_labels.select("cell", "pid", "x", "component"), border, "pid long, component long")
     reached = reached.groupBy("pid").agg(F.min("component").alias("component"))
     clusters = materialize(core_labels.select("pid", "component").unionByName(reached), "dbscan-labels")
     numbers = with_position(clusters.select("component").distinct(), [], "component", name="label").drop("n")
