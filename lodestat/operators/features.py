@@ -205,7 +205,7 @@ def f_scores(df: DataFrame, target: str, task: str, columns: Sequence[str] | Non
         between = per.join(F.broadcast(tot.select("column_name", "grand")), "column_name").groupBy("column_name").agg(
             F.sum(F.col("n") * (F.col("m") - F.col("grand")) * (F.col("m") - F.col("grand"))).alias("ssb")
         )
-        score = F.try_divide(F.col("ssb") / (F.col("k") - 1), F.col("ssw") / (F.col("total") - F.col("k")))
+        score = F.try_divide(F.try_divide(F.col("ssb"), F.col("k") - 1), F.try_divide(F.col("ssw"), F.col("total") - F.col("k")))
         return tot.join(F.broadcast(between), "column_name").select("column_name", score.alias("f_score"))
     if task != "regression":
         raise ValueError(f"unknown task {task!r}")

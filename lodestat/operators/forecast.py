@@ -19,7 +19,7 @@ from pyspark.sql import types as T
 from lodestat.functions.columns import micros
 from lodestat.operators.features import split_temporal
 from lodestat.operators.metrics import evaluate_forecast
-from lodestat.operators.series import points
+from lodestat.operators.series import frame_of, points
 from lodestat.operators.series_features import future_dates
 from lodestat.plans.skew import BLOCK_ROWS, block_sums, join_on, salted_join, with_position
 from lodestat.session import materialize
@@ -37,12 +37,10 @@ def _solve_rows(df: DataFrame, keys: Sequence[str], fields: list[tuple[str, str]
     kinds = {f.name: f for f in df.schema.fields}
     extra = T.StructType.fromDDL(", ".join(f"`{n}` {t}" for n, t in fields))
     schema = T.StructType([kinds[k] for k in keys] + extra.fields)
-    names = [f.name for f in schema.fields]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            rows = [{**{k: r[k] for k in keys}, **solve(r)} for _, r in batch.iterrows()]
-            yield pd.DataFrame(rows, columns=names)
+            yield frame_of([{**{k: r[k] for k in keys}, **solve(r)} for _, r in batch.iterrows()], schema)
 
     return df.mapInPandas(run, schema)
 

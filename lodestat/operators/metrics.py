@@ -149,7 +149,7 @@ def calinski_harabasz(df: DataFrame, features: str = "features", label: str = "l
     between = F.sum(F.col("C") - F.col("S") * F.col("S") / F.col("N"))
     within = F.sum(F.col("SS") - F.col("C"))
     out = total.agg(between.alias("b"), within.alias("w"), F.max("k").alias("k"), F.max("N").alias("n"))
-    ratio = (F.col("b") / (F.col("k") - 1)) / (F.col("w") / (F.col("n") - F.col("k")))
+    ratio = F.try_divide(F.try_divide(F.col("b"), F.col("k") - 1), F.try_divide(F.col("w"), F.col("n") - F.col("k")))
     return out.select("k", "n", F.when(F.col("w") == 0, F.lit(1.0)).otherwise(ratio).alias("calinski_harabasz"))
 
 

@@ -129,7 +129,7 @@ def scale_suggestions(df: DataFrame, target: str | None = None) -> DataFrame:
 def outlier_and_zero_flags(df: DataFrame, target: str | None = None) -> DataFrame:
     """More than 20% outliers, high null rate, more than half zeros."""
     p = _kept(df, target, ("quartiles",))
-    zero = F.col("zero_count") / F.col("n_rows")
+    zero = F.try_divide("zero_count", "n_rows")
     return _hits(
         p,
         [
@@ -217,7 +217,7 @@ def problem_features(df: DataFrame, target: str | None = None) -> DataFrame:
     p = profile_table(df, parts=COUNTS_ONLY)
     if target:
         p = p.filter(F.col("column_name") != target)
-    missing = F.col("n_raw_null") / F.col("n_rows")
+    missing = F.try_divide("n_raw_null", "n_rows")
     problem = F.when(missing == 1, "all missing").when(F.col("n_unique") <= 1, "constant").when(missing > 0.9, "mostly missing")
     return p.select("column_name", problem.alias("problem")).filter(F.col("problem").isNotNull())
 

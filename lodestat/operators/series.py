@@ -18,6 +18,7 @@ from pyspark.sql import types as T
 from lodestat.functions.columns import micros
 from lodestat.operators.profile import iqr_bounds
 from lodestat.plans.quantiles import exact_quantiles
+from lodestat.session import materialize
 from lodestat.plans.skew import (
     block_sums,
     join_on,
@@ -202,50 +203,50 @@ def spectral_seasonality(df: DataFrame, keys: Sequence[str], ts: str = "ts", y:
     centre = F.coalesce(*[F.when(width == w, F.col(f"__m{w}")) for w in range(5, 13)])
     # n >= 20 and a full window of width w leave the points w//2 .. n - 1 - (w-1)//2.
     d = (
-        framed.withColumn("d", F.col(y) - centre)
-        .filter(F.col("d").isNotNull())
-        .select(*keys, (F.col("pos") - F.floor(width / 2)).alias("t"), "d", (F.col("n") - width + 1).alias("m"))
-        .filter(F.col("m") >= 10)
+        framed.withColumn("__d", F.col(y) - centre)
+        .filter(F.col("__d").isNotNull())
+        .select(*keys, (F.col("pos") - F.floor(width / 2)).alias("__t"), F.col("__d"), (F.col("n") - width + 1).alias("__m"))
+        .filter(F.col("__m") >= 10)
     )
     fields = {f.name: f for f in d.schema.fields}
     schema = T.StructType(
         [fields[k] for k in keys]
-        + [T.StructField("m", T.LongType()), T.StructField("k", T.LongType()), T.StructField("mag", T.DoubleType())]
+        + [T.StructField("__m", T.LongType()), T.StructField("__k", T.LongType()), T.StructField("__mag", T.DoubleType())]
     )
 
     def transform(frame: pd.DataFrame) -> pd.DataFrame:
-        x = frame.sort_values("t")["d"].to_numpy()
+        x = frame.sort_values("__t")["__d"].to_numpy()
         mags = np.abs(np.fft.rfft(x))
         k = np.arange(1, len(x) // 2)
-        out = pd.DataFrame({"m": len(x), "k": k, "mag": mags[k]})
+        out = pd.DataFrame({"__m": len(x), "__k": k, "__mag": mags[k]})
         for key in keys:
             out[key] = frame[key].iloc[0]
         return out[[f.name for f in schema.fields]]
 
-    short = d.filter(F.col("m") <= FFT_POINTS).groupBy(*keys).applyInPandas(transform, schema)
-    angle = 2 * math.pi * F.pmod(F.col("t") * F.col("k"), F.col("m")) / F.col("m")
-    half = F.floor(F.col("m") / 2).cast("long")
+    short = d.filter(F.col("__m") <= FFT_POINTS).groupBy(*keys).applyInPandas(transform, schema)
+    angle = 2 * math.pi * F.pmod(F.col("__t") * F.col("__k"), F.col("__m")) / F.col("__m")
+    half = F.floor(F.col("__m") / 2).cast("long")
     long = (
-        d.filter(F.col("m") > FFT_POINTS)
-        .withColumn("k", F.explode(F.sequence(F.lit(1).cast("long"), half - 1)))
-        .groupBy(*keys, "m", "k")
-        .agg(F.hypot(F.sum(F.col("d") * F.cos(angle)), F.sum(F.col("d") * F.sin(angle))).alias("mag"))
+        d.filter(F.col("__m") > FFT_POINTS)
+        .withColumn("__k", F.explode(F.sequence(F.lit(1).cast("long"), half - 1)))
+        .groupBy(*keys, "__m", "__k")
+        .agg(F.hypot(F.sum(F.col("__d") * F.cos(angle)), F.sum(F.col("__d") * F.sin(angle))).alias("__mag"))
     )
     bins = short.unionByName(long)
     # A peak is compared with its neighbours through their shifted bins: one shuffle, no ordered window.
     near = bins.select(
-        *keys, "m", F.inline(F.array(*[F.struct((F.col("k") + o).alias("k"), F.lit(-o).alias("o"), F.col("mag").alias("mag")) for o in (-1, 0, 1)]))
+        *keys, "__m", F.inline(F.array(*[F.struct((F.col("__k") + o).alias("__k"), F.lit(-o).alias("__o"), F.col("__mag").alias("__mag")) for o in (-1, 0, 1)]))
     )
-    pick = lambda o: F.max(F.when(F.col("o") == o, F.col("mag")))
-    peaks = near.groupBy(*keys, "m", "k").agg(pick(0).alias("mag"), pick(-1).alias("left"), pick(1).alias("right"))
-    peaks = peaks.filter((F.col("mag") > F.col("left")) & (F.col("mag") > F.col("right")))
-    order = Window.partitionBy(*keys).orderBy(F.desc("mag"), "k")
+    pick = lambda o: F.max(F.when(F.col("__o") == o, F.col("__mag")))
+    peaks = near.groupBy(*keys, "__m", "__k").agg(pick(0).alias("__mag"), pick(-1).alias("__left"), pick(1).alias("__right"))
+    peaks = peaks.filter((F.col("__mag") > F.col("__left")) & (F.col("__mag") > F.col("__right")))
+    order = Window.partitionBy(*keys).orderBy(F.desc("__mag"), "__k")
     best = peaks.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= top)
-    period = F.col("m") / F.col("k")
-    kept = best.withColumn("period", period).filter((F.col("period") >= 2) & (F.col("period") <= F.col("m") / 3))
+    period = F.col("__m") / F.col("__k")
+    kept = best.withColumn("period", period).filter((F.col("period") >= 2) & (F.col("period") <= F.col("__m") / 3))
     again = Window.partitionBy(*keys).orderBy("rank")
     return kept.withColumn("rank", F.row_number().over(again)).select(
-        *keys, "rank", "period", F.col("mag").alias("strength"), (F.col("k") / F.col("m")).alias("frequency")
+        *keys, "rank", "period", F.col("__mag").alias("strength"), (F.col("__k") / F.col("__m")).alias("frequency")
     )
 
 
@@ -345,6 +346,11 @@ ADF_SURFACE = {
 }
 
 
+def frame_of(rows: list[dict], schema: T.StructType) -> pd.DataFrame:
+    """Result frame of plain records, absent fields NULL."""
+    return pd.DataFrame({f.name: pd.Series([r.get(f.name) for r in rows], dtype=object) for f in schema.fields})
+
+
 def adf_critical(level: str, nobs: float) -> float:
     return sum(c / nobs**i for i, c in enumerate(ADF_SURFACE[level]))
 
@@ -447,7 +453,7 @@ def adf_test(df: DataFrame, keys: Sequence[str], ts: str = "ts", y: str = "y") -
                         "adf_stationary": None if stat is None else bool(stat < crit["5%"]),
                     }
                 )
-            yield pd.DataFrame(out, columns=[f.name for f in schema.fields])
+            yield frame_of(out, schema)
 
     return sums.mapInPandas(solve, schema)
 
@@ -462,7 +468,7 @@ def dickey_fuller(df: DataFrame, keys: Sequence[str], ts: str = "ts", y: str = "
         F.regr_syy("__d", "__p").alias("syy"), F.regr_sxy("__d", "__p").alias("sxy"),
     )
     rss = F.col("syy") - F.col("b") * F.col("sxy")
-    return fit.select(*keys, "n", (F.col("b") / F.sqrt(rss / (F.col("n") - 2) / F.col("sxx"))).alias("df_statistic"))
+    return fit.select(*keys, "n", F.try_divide(F.col("b"), F.sqrt(F.try_divide(F.try_divide(rss, F.col("n") - 2), F.col("sxx")))).alias("df_statistic"))
 
 
 def _hobijn_lags(n: int, autocov: np.ndarray) -> int:
@@ -525,7 +531,7 @@ def kpss_test(df: DataFrame, keys: Sequence[str], ts: str = "ts", y: str = "y",
                 stat = float(r["eta"]) / n**2 / variance if variance > 0 else None
                 rec = {k: r[k] for k in keys}
                 out.append({**rec, "kpss_statistic": stat, "kpss_lags": used, "kpss_stationary": None if stat is None else stat < KPSS_CRITICAL["5%"]})
-            yield pd.DataFrame(out, columns=[f.name for f in schema.fields])
+            yield frame_of(out, schema)
 
     return both.mapInPandas(finish, schema)
 
@@ -571,6 +577,8 @@ def outlier_counts(df: DataFrame, keys: Sequence[str], ts: str = "ts", y: str =
 def profile_series(df: DataFrame, keys: Sequence[str], ts: str = "ts", y: str = "y") -> DataFrame:
     """Everything above, one row per series with a struct per topic."""
     keys = list(keys)
+    # Every topic reads the series again: keep its three columns, not the source's lineage.
+    df = materialize(df.select(*keys, ts, y), "series")
 
     def packed(part: DataFrame, name: str) -> DataFrame:
         return part.select(*keys, F.struct(*[c for c in part.columns if c not in keys]).alias(name))
@@ -629,15 +637,15 @@ def decompose(df: DataFrame, keys: Sequence[str], ts: str = "ts", y: str = "y",
 
     rows = with_frames(points(df, keys, ts, y), keys, {"trend": centred}, before=half, after=half)
     rows = rows.withColumn("__ph", F.pmod(F.col("pos"), F.lit(period)))
-    detrended = F.col(y) - F.col("trend") if additive else F.col(y) / F.col("trend")
+    detrended = F.col(y) - F.col("trend") if additive else F.try_divide(y, "trend")
     phases = rows.groupBy(*keys, "__ph").agg(F.avg(detrended).alias("__s"))
     level = phases.groupBy(*keys).agg(F.avg("__s").alias("__l"))
     phases = join_on(phases, level, keys).select(
-        *keys, "__ph", (F.col("__s") - F.col("__l") if additive else F.col("__s") / F.col("__l")).alias("seasonal")
+        *keys, "__ph", (F.col("__s") - F.col("__l") if additive else F.try_divide("__s", "__l")).alias("seasonal")
     )
     out = salted_join(rows, phases, [*keys, "__ph"], "left").drop("__ph")
     resid = (
-        F.col(y) - F.col("trend") - F.col("seasonal") if additive else F.col(y) / F.col("trend") / F.col("seasonal")
+        F.col(y) - F.col("trend") - F.col("seasonal") if additive else F.try_divide(F.try_divide(y, "trend"), F.col("seasonal"))
     )
     return out.withColumn("resid", resid)
 
@@ -646,8 +654,8 @@ def decomposition_strength(df: DataFrame, keys: Sequence[str], ts: str = "ts", y
     """Standard deviation of trend and seasonal part over that of the series; only above two periods."""
     parts = decompose(df, keys, ts, y, period, model).filter(F.col("n") > 2 * period)
     return parts.groupBy(*keys).agg(
-        (F.stddev_samp("trend") / F.stddev_samp(y)).alias("trend_strength"),
-        (F.stddev_samp("seasonal") / F.stddev_samp(y)).alias("seasonal_strength"),
+        F.try_divide(F.stddev_samp("trend"), F.stddev_samp(y)).alias("trend_strength"),
+        F.try_divide(F.stddev_samp("seasonal"), F.stddev_samp(y)).alias("seasonal_strength"),
     )
 
 

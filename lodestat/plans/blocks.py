@@ -49,7 +49,7 @@ def paired(
 
     def run(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
         if a.empty or b.empty:
-            return pd.DataFrame({name: [] for name in names})
+            return pd.DataFrame({name: pd.Series([], dtype=object) for name in names})
         return work(a, b)
 
     # Fresh column identities: both sides often come from the same table.

@@ -227,7 +227,7 @@ def block_sums(
         frame = frame.sort_values(pos)
         owned = (frame["__own"] == frame["__block"]).to_numpy()
         if not owned.any():
-            return pd.DataFrame({c: [] for c in [*keys, "__a"]})
+            return pd.DataFrame({c: pd.Series([], dtype=object) for c in [*keys, "__a"]})
         out = frame[keys].head(1).reset_index(drop=True)
         out["__a"] = [np.asarray(partial(frame, owned), dtype=float)]
         return out
