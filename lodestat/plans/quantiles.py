@@ -2,7 +2,8 @@
 
 Pass one takes mergeable quantile sketches, which bracket each wanted rank. Pass two keeps single
 values only inside the bracket and collapses everything outside to two rows (count below with its
-maximum, count above with its minimum), so the ranked part shrinks to a sliver of the group.
+maximum, count above with its minimum). The bracket is cut into equal slices; slice totals tell which
+one or two slices hold the wanted rank, and only the values of those are put in order.
 """
 
 from __future__ import annotations
@@ -12,10 +13,12 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lodestat.plans.skew import salted_join
+from lodestat.plans.skew import join_on, salted_join
+from lodestat.session import materialize
 
 ACCURACY = 50_000
 SLACK = 5.0 / ACCURACY
+SLICES = 4096
 
 
 def exact_quantiles(
@@ -59,18 +62,33 @@ def exact_quantiles(
     else:
         joined = salted_join(rows, targets, keys, "inner")
     hits = joined.select(*keys, value, "n", F.inline("__t"))
+    part = F.try_divide(v - F.col("lo"), F.col("hi") - F.col("lo"))
+    slice_of = F.when(F.col("__side") == 0, F.coalesce(F.floor(part * SLICES).cast("int"), F.lit(0))).otherwise(0)
     side = F.when(v < F.col("lo"), -1).when(v > F.col("hi"), 1).otherwise(0)
     ranked = (
         hits.withColumn("__side", side)
-        .groupBy(*keys, "name", "p", "n", "__side", F.when(F.col("__side") == 0, v).alias("__v"))
+        .withColumn("__slice", slice_of)
+        .groupBy(*keys, "name", "p", "n", "__side", "__slice", F.when(F.col("__side") == 0, v).alias("__v"))
         .agg(F.count(F.lit(1)).alias("__c"), F.min(v).alias("__min"), F.max(v).alias("__max"))
         .withColumn("__v", F.coalesce("__v", F.when(F.col("__side") < 0, F.col("__max")).otherwise(F.col("__min"))))
     )
-    order = Window.partitionBy(*keys, "name").orderBy("__side", "__v").rowsBetween(Window.unboundedPreceding, 0)
-    ranked = ranked.withColumn("__cum", F.sum("__c").over(order))
     h = F.col("p") * (F.col("n") - 1)
+    # Written once: it is used twice and holds only the brackets, while its input is the whole table.
+    ranked = materialize(ranked, "quantile-brackets")
+    slices = ranked.groupBy(*keys, "name", "__side", "__slice").agg(F.sum("__c").alias("__s"), F.max(h).alias("__h"))
+    by_slice = Window.partitionBy(*keys, "name").orderBy("__side", "__slice").rowsBetween(Window.unboundedPreceding, 0)
+    wanted = (
+        slices.withColumn("__end", F.sum("__s").over(by_slice))
+        .withColumn("__before", F.col("__end") - F.col("__s"))
+        .filter((F.col("__end") > F.floor("__h")) & (F.col("__before") <= F.ceil("__h")))
+        .select(*keys, "name", "__side", "__slice", "__before")
+    )
+    on = [*keys, "name", "__side", "__slice"]
+    few = join_on(ranked, F.broadcast(wanted) if bounded_keys else wanted, on)
+    inside = Window.partitionBy(*on).orderBy("__v").rowsBetween(Window.unboundedPreceding, 0)
+    few = few.withColumn("__cum", F.col("__before") + F.sum("__c").over(inside))
     picked = (
-        ranked.withColumn("__h", h)
+        few.withColumn("__h", h)
         .groupBy(*keys, "name", "n")
         .agg(
             F.min(F.when(F.col("__cum") > F.floor("__h"), F.col("__v"))).alias("__a"),

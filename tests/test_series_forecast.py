@@ -79,7 +79,7 @@ def test_additive_finds_weekly_shape(spark, small_blocks):
 
 
 def test_adf_and_kpss_decisions(spark, small_blocks):
-    still = series(spark, ar1(600), "still")
+    still = series(spark, ar1(600, 0.2), "still")
     walk = series(spark, np.cumsum(np.random.default_rng(5).normal(size=600)), "walk")
     got = {r["k"]: r for r in S.stationarity(still.unionByName(walk), ["k"]).collect()}
     assert got["still"]["conclusion"] == "stationary"
