@@ -18,9 +18,9 @@ from lodestat.session import materialize
 from lodestat.sources.tables import metric_sign
 
 
-def explain_sample(df: DataFrame, key: Sequence[str], n: int = 1000, seed: int = 42) -> DataFrame:
-    """``n`` rows in seeded hash order."""
-    return df.orderBy(F.xxhash64(*key, F.lit(seed)), *key).limit(n)
+def explain_sample(df: DataFrame, key: Sequence[str], n: int = 1000, seed: int = 42, order: Column | None = None) -> DataFrame:
+    """``n`` rows in seeded hash order (``order`` replaces the hash)."""
+    return df.orderBy(order if order is not None else F.xxhash64(*key, F.lit(seed)), *key).limit(n)
 
 
 def _long(df: DataFrame, id_col: str, columns: Sequence[str]) -> DataFrame:

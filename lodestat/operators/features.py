@@ -261,18 +261,20 @@ HASH_BUCKETS = 1_000_003
 
 
 def split_random(
-    df: DataFrame, key: Sequence[str], test_size: float | None = None, seed: int = 42, stratify: str | None = None
+    df: DataFrame, key: Sequence[str], test_size: float | None = None, seed: int = 42, stratify: str | None = None,
+    order: Column | None = None,
 ) -> DataFrame:
-    """Adds ``is_test`` from a seeded hash of the key.
+    """Adds ``is_test`` from a seeded hash of the key (``order`` replaces the hash).
 
     Stratified: per class, the rows whose hash lies below the class's own quantile of hashes, which
     needs no ordering of a class.
     """
     size = test_size if test_size is not None else default_test_size(df.count())
-    h = F.pmod(F.xxhash64(*key, F.lit(seed)), F.lit(HASH_BUCKETS))
+    mixed = order if order is not None else F.xxhash64(*key, F.lit(seed))
+    h = F.pmod(mixed, F.lit(HASH_BUCKETS))
     if stratify is None:
         return df.withColumn("is_test", h < int(size * HASH_BUCKETS))
-    rows = df.withColumn("__h", F.xxhash64(*key, F.lit(seed)).cast("double"))
+    rows = df.withColumn("__h", mixed.cast("double"))
     cuts = exact_quantiles(rows, [stratify], "__h", {"cut": size}).select(stratify, "cut")
     return salted_join(rows, cuts, [stratify], "left").withColumn("is_test", F.coalesce(F.col("__h") < F.col("cut"), F.lit(False))).drop("__h", "cut")
 

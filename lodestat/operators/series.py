@@ -375,7 +375,7 @@ def _adf_solve(gram: np.ndarray, used: int, rows: float) -> tuple[float, float]
     return t, -2 * llf + 2 * len(idx)
 
 
-def adf_test(df: DataFrame, keys: Sequence[str], ts: str = "ts", y: str = "y") -> DataFrame:
+def adf_test(df: DataFrame, keys: Sequence[str], ts: str = "ts", y: str = "y", max_lag: int | None = None) -> DataFrame:
     """Augmented Dickey-Fuller test with a constant and AIC-chosen lag; stationary below the 5% value.
 
     The regressions only need cross products, which are summed over position blocks, so a series of any
@@ -383,7 +383,11 @@ def adf_test(df: DataFrame, keys: Sequence[str], ts: str = "ts", y: str = "y") -
     """
     keys = list(keys)
     rows = _standardized(df, keys, ts, y).filter(F.col("n") >= 10)
-    cap = _adf_max_lag(_longest(rows))
+
+    def most_lags(n: int) -> int:
+        return _adf_max_lag(n) if max_lag is None else min(max_lag, _adf_max_lag(n))
+
+    cap = most_lags(_longest(rows))
     width = cap + 3
 
     def design(z: np.ndarray, p: int) -> tuple[np.ndarray, np.ndarray]:
@@ -395,7 +399,7 @@ def adf_test(df: DataFrame, keys: Sequence[str], ts: str = "ts", y: str = "y") -
 
     def partial(frame: pd.DataFrame, owned: np.ndarray) -> np.ndarray:
         n = int(frame["n"].iloc[0])
-        p = _adf_max_lag(n)
+        p = most_lags(n)
         z = frame["z"].to_numpy()
         gram = np.zeros((width, width))
         t, x = design(z, p)
@@ -426,7 +430,7 @@ def adf_test(df: DataFrame, keys: Sequence[str], ts: str = "ts", y: str = "y") -
                 gram = s[: width * width].reshape(width, width)
                 count, n = s[width * width], int(s[width * width + 1])
                 head = s[width * width + 2 :]
-                p = _adf_max_lag(n)
+                p = most_lags(n)
                 fits = [(f[1], k) for k in range(p + 1) if (f := _adf_solve(gram, k, count))]
                 rec = {k: r[k] for k in keys}
                 if not fits:
@@ -536,12 +540,14 @@ def kpss_test(df: DataFrame, keys: Sequence[str], ts: str = "ts", y: str = "y",
     return both.mapInPandas(finish, schema)
 
 
-def stationarity(df: DataFrame, keys: Sequence[str], ts: str = "ts", y: str = "y") -> DataFrame:
+def stationarity(
+    df: DataFrame, keys: Sequence[str], ts: str = "ts", y: str = "y", max_lag: int | None = None, lags: int | None = None
+) -> DataFrame:
     """Both tests with the joint reading: stationary, non_stationary or inconclusive."""
     keys = list(keys)
     a = F.coalesce("adf_stationary", F.lit(False))
     k = F.coalesce("kpss_stationary", F.lit(False))
-    both = join_on(adf_test(df, keys, ts, y), kpss_test(df, keys, ts, y), keys)
+    both = join_on(adf_test(df, keys, ts, y, max_lag), kpss_test(df, keys, ts, y, lags), keys)
     verdict = F.when(a & k, "stationary").when(~a & ~k, "non_stationary").otherwise("inconclusive")
     return both.withColumn("conclusion", verdict)
 

@@ -74,6 +74,16 @@ def a6(spark, sf):
     return S.dataset_fingerprint(S.load(spark, sf, "lineitem"))
 
 
+@query(
+    "a6_dataset_fingerprint_portable",
+    """WITH h AS (SELECT CAST('0x' || substr(md5(o_orderkey || '|' || o_custkey || '|' || o_orderstatus || '|' || o_orderpriority), 1, 15) AS BIGINT) AS h FROM orders)
+    SELECT COUNT(*) AS n_rows, CAST(sum(CAST(h AS HUGEINT)) AS VARCHAR) AS hash_sum, bit_xor(h) AS hash_xor, 4 AS n_cols FROM h""",
+)
+def a6_portable(spark, sf):
+    cols = ["o_orderkey", "o_custkey", "o_orderstatus", "o_orderpriority"]
+    return S.dataset_fingerprint(S.load(spark, sf, "orders").select(*cols), portable=True)
+
+
 @query(
     "a7_write_table",
     "SELECT p_brand, COUNT(*) AS n, MIN(p_retailprice) AS lo, MAX(p_retailprice) AS hi FROM part GROUP BY 1",

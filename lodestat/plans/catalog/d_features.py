@@ -162,6 +162,27 @@ def d15(spark, sf):
     return rounded(X.log_transform_target(load(spark, sf, "events").select("event_id", "value"), "value").drop("value"), 8)
 
 
+@query(
+    "d16_split_random_keyed",
+    "SELECT o_orderkey, o_orderkey * 7919 % 1000003 < 200000 AS is_test FROM orders",
+)
+def d16_keyed(spark, sf):
+    out = X.split_random(load(spark, sf, "orders"), ["o_orderkey"], 0.2, order=F.col("o_orderkey") * 7919)
+    return out.select("o_orderkey", "is_test")
+
+
+@query(
+    "d16_split_stratified_keyed",
+    """WITH h AS (SELECT o_orderkey, o_orderstatus, CAST(o_orderkey * 7919 % 10007 AS DOUBLE) AS h FROM orders), c AS (SELECT o_orderstatus, quantile_cont(h, 0.2) AS cut FROM h GROUP BY 1)
+    SELECT o_orderkey, h < cut AS is_test FROM h JOIN c USING (o_orderstatus)""",
+)
+def d16_stratified_keyed(spark, sf):
+    out = X.split_random(
+        load(spark, sf, "orders"), ["o_orderkey"], 0.2, stratify="o_orderstatus", order=F.col("o_orderkey") * 7919 % 10007
+    )
+    return out.select("o_orderkey", "is_test")
+
+
 @query("d16_split_random")
 def d16(spark, sf):
     out = X.split_random(load(spark, sf, "orders"), ["o_orderkey"], seed=7)

@@ -204,21 +204,46 @@ def e11_zero(spark, sf):
     return rounded(S.dickey_fuller(orders_daily(spark, sf), KEYS), 6)
 
 
+DF = f"""q AS (SELECT series, y, lag(y) OVER (PARTITION BY series ORDER BY ts) AS q FROM ({ORDERS_DAILY})),
+    f AS (SELECT series, COUNT(*) AS n, regr_slope(y - q, q) AS b, regr_sxx(y - q, q) AS sxx, regr_syy(y - q, q) AS syy, regr_sxy(y - q, q) AS sxy FROM q WHERE q IS NOT NULL GROUP BY 1),
+    adf AS (SELECT series, b / sqrt((syy - b * sxy) / (n - 2) / sxx) AS t, -2.86154 - 2.8903 / n - 4.234 / n ** 2 - 40.040 / n ** 3 AS c5 FROM f)"""
+
+
 @query(
-    "e12_kpss_test",
-    f"""WITH p AS (SELECT series, {POS}, y - avg(y) OVER (PARTITION BY series) AS e FROM ({ORDERS_DAILY})),
+    "e11_adf_test_zero_lag",
+    f"""WITH {DF} SELECT series, round(t, 5) AS adf_statistic, round(c5, 6) AS adf_critical_5, CAST(0 AS BIGINT) AS adf_lags, t < c5 AS adf_stationary FROM adf""",
+)
+def e11_adf_zero(spark, sf):
+    out = S.adf_test(orders_daily(spark, sf), KEYS, max_lag=0).drop("adf_critical_1", "adf_critical_10")
+    return rounded(out, 5, adf_critical_5=6)
+
+
+KPSS = f"""p AS (SELECT series, {POS}, y - avg(y) OVER (PARTITION BY series) AS e FROM ({ORDERS_DAILY})),
     s AS (SELECT series, n, sum(e) OVER (PARTITION BY series ORDER BY pos) AS s FROM p),
     eta AS (SELECT series, n, sum(s * s) / (n * n) AS eta FROM s GROUP BY 1, 2),
     c AS (SELECT a.series, lag, sum(a.e * b.e) AS g FROM p a JOIN (SELECT unnest(range(0, 13)) AS lag) ON true
       JOIN p b ON b.series = a.series AND b.pos = a.pos - lag GROUP BY 1, 2),
-    v AS (SELECT series, sum(CASE WHEN lag = 0 THEN g ELSE 2 * (1 - lag / 13.0) * g END) AS v FROM c GROUP BY 1)
-    SELECT series, round(eta / (v / n), 6) AS kpss_statistic, CAST(12 AS BIGINT) AS kpss_lags, eta / (v / n) < 0.463 AS kpss_stationary
+    v AS (SELECT series, sum(CASE WHEN lag = 0 THEN g ELSE 2 * (1 - lag / 13.0) * g END) AS v FROM c GROUP BY 1)"""
+
+
+@query(
+    "e12_kpss_test",
+    f"""WITH {KPSS} SELECT series, round(eta / (v / n), 6) AS kpss_statistic, CAST(12 AS BIGINT) AS kpss_lags, eta / (v / n) < 0.463 AS kpss_stationary
     FROM eta JOIN v USING (series)""",
 )
 def e12(spark, sf):
     return rounded(S.kpss_test(orders_daily(spark, sf), KEYS, lags=12), 6)
 
 
+@query(
+    "e13_stationarity_fixed_lags",
+    f"""WITH {DF}, {KPSS}, k AS (SELECT series, eta / (v / n) < 0.463 AS ks FROM eta JOIN v USING (series))
+    SELECT series, CASE WHEN t < c5 AND ks THEN 'stationary' WHEN NOT t < c5 AND NOT ks THEN 'non_stationary' ELSE 'inconclusive' END AS conclusion FROM adf JOIN k USING (series)""",
+)
+def e13_fixed(spark, sf):
+    return S.stationarity(orders_daily(spark, sf), KEYS, max_lag=0, lags=12).select("series", "conclusion")
+
+
 @query("e13_stationarity")
 def e13(spark, sf):
     return S.stationarity(orders_daily(spark, sf), KEYS)
@@ -236,6 +261,25 @@ def e14(spark, sf):
     return rounded(out.withColumn("ts", F.col("ts").cast("string")), 6)
 
 
+BASIC_RULES = ("irregular", "low_confidence", "gaps", "outliers", "short", "moderate", "long")
+
+
+@query(
+    "e15_ts_recommendations_basic",
+    f"""WITH p AS (SELECT series, ts, y, {POS} FROM ({EVENTS_HOURLY})),
+    g AS (SELECT series, (epoch_us(ts) - epoch_us(lag(ts) OVER (PARTITION BY series ORDER BY ts))) / 3600000000 AS h FROM p),
+    s AS (SELECT series, COUNT(*) FILTER (WHERE h = 1) / COUNT(h) AS conf, COUNT(*) FILTER (WHERE h > 1.5) / COUNT(h) * 100 AS gaps, COUNT(*) AS n FROM g GROUP BY 1),
+    q AS (SELECT series, quantile_cont(y, 0.25) AS q1, quantile_cont(y, 0.75) AS q3 FROM p GROUP BY 1),
+    o AS (SELECT p.series, avg(CAST(y < q1 - 1.5 * (q3 - q1) OR y > q3 + 1.5 * (q3 - q1) AS INT)) AS share FROM p JOIN q USING (series) GROUP BY 1)
+    SELECT series, 'irregular' AS rule FROM s WHERE conf < 0.8 UNION ALL SELECT series, 'low_confidence' FROM s WHERE conf < 0.7 UNION ALL SELECT series, 'gaps' FROM s WHERE gaps > 10
+    UNION ALL SELECT series, 'outliers' FROM o WHERE share > 0.05 UNION ALL SELECT series, 'short' FROM s WHERE n < 100 UNION ALL SELECT series, 'moderate' FROM s WHERE n BETWEEN 100 AND 499
+    UNION ALL SELECT series, 'long' FROM s WHERE n >= 500""",
+)
+def e15_basic(spark, sf):
+    out = S.ts_recommendations(S.profile_series(events_hourly(spark, sf), KEYS), KEYS)
+    return out.filter(F.col("rule").isin(*BASIC_RULES)).select("series", "rule")
+
+
 @query("e15_ts_recommendations")
 def e15(spark, sf):
     return S.ts_recommendations(S.profile_series(events_hourly(spark, sf), KEYS), KEYS)

@@ -43,6 +43,23 @@ def scored(prepared, model, key):
     return out.select(key, "label", "prediction", probability.alias("probability"))
 
 
+BRANDS = "(SELECT v, row_number() OVER (ORDER BY v) - 1 AS i, COUNT(*) OVER () AS k FROM (SELECT DISTINCT p_brand AS v FROM part))"
+TYPES = "(SELECT v, row_number() OVER (ORDER BY v) - 1 AS i FROM (SELECT DISTINCT p_type AS v FROM part))"
+
+
+@query(
+    "i1_build_features_flat",
+    f"""WITH b AS {BRANDS}, t AS {TYPES}
+    SELECT p_partkey, CAST(0 AS BIGINT) AS i, round((p_size - m) / s, 5) AS x FROM part, (SELECT avg(p_size) AS m, stddev_samp(p_size) AS s FROM part)
+    UNION ALL SELECT p_partkey, 1 + b.i, 1.0 FROM part JOIN b ON v = p_brand UNION ALL SELECT p_partkey, 1 + k + t.i, 1.0 FROM part JOIN t ON v = p_type, (SELECT DISTINCT k FROM b)""",
+)
+def i1_flat(spark, sf):
+    df = load(spark, sf, "part").select("p_partkey", "p_size", "p_brand", "p_type")
+    fitted = I.build_features(df, None, ["p_partkey"]).fit(df)
+    cells = fitted.transform(df).select("p_partkey", F.posexplode(vector_to_array("features")).alias("i", "x"))
+    return rounded(cells.filter((F.col("i") == 0) | (F.col("x") != 0)).withColumn("i", F.col("i").cast("long")), 5)
+
+
 @query("i1_build_features")
 def i1(spark, sf):
     df = segment_rows(spark, sf)

@@ -21,6 +21,35 @@ def vectors(spark, sf):
     return load(spark, sf, "embeddings").select(F.col("vec_id").alias("id"), F.transform("embedding", lambda v: v.cast("double")).alias("features"))
 
 
+BLOB_CLUSTERS = "SELECT c_custkey AS id, c_custkey % 3 AS cluster FROM customer"
+
+
+def by_first_member(assigned):
+    """Clusters named by their smallest id, which does not depend on label numbers."""
+    first = assigned.groupBy("label").agg(F.min("id").alias("cluster"))
+    return assigned.join(F.broadcast(first), "label").select("id", "cluster")
+
+
+@query("k2_kmeans_clusters", BLOB_CLUSTERS)
+def k2_clusters(spark, sf):
+    return by_first_member(K.kmeans_sweep(blobs(spark, sf), "id", [2, 3, 4])[0])
+
+
+@query("k3_gmm_clusters", BLOB_CLUSTERS)
+def k3_clusters(spark, sf):
+    return by_first_member(K.gmm_sweep(blobs(spark, sf), "id", [2, 3])[0])
+
+
+@query("k4_dbscan_clusters", BLOB_CLUSTERS)
+def k4_clusters(spark, sf):
+    return by_first_member(K.dbscan(blobs(spark, sf), "id", 1.5, 5))
+
+
+@query("k6_hierarchical_clusters", BLOB_CLUSTERS)
+def k6_clusters(spark, sf):
+    return by_first_member(K.hierarchical(blobs(spark, sf), "id", [2, 3, 4], micro=60)[0])
+
+
 @query("k1_cluster_features")
 def k1(spark, sf):
     return K.cluster_features(load(spark, sf, "customer").drop("c_name"), "c_custkey")

@@ -6,7 +6,7 @@ from lodestat.functions.columns import rounded
 from lodestat.operators import explain as L
 from lodestat.operators import models as I
 from lodestat.plans.catalog.g_forecast import EVALUATED
-from lodestat.plans.catalog.i_j_models import price, quality
+from lodestat.plans.catalog.i_j_models import quality
 from lodestat.plans.fixtures import orders_daily, orders_monthly
 from lodestat.plans.registry import query
 from lodestat.session import scratch_path
@@ -21,6 +21,14 @@ def weights(spark):
     return spark.createDataFrame(list(WEIGHTS.items()), "feature string, weight double")
 
 
+@query(
+    "l1_explain_sample_keyed",
+    "SELECT o_orderkey FROM (SELECT o_orderkey FROM orders ORDER BY o_orderkey * 7919 % 10007, o_orderkey LIMIT 1000)",
+)
+def l1_keyed(spark, sf):
+    return L.explain_sample(load(spark, sf, "orders"), ["o_orderkey"], order=F.col("o_orderkey") * 7919 % 10007).select("o_orderkey")
+
+
 @query("l1_explain_sample")
 def l1(spark, sf):
     return L.explain_sample(load(spark, sf, "orders"), ["o_orderkey"])
@@ -102,22 +110,32 @@ def l11(spark, sf):
     return L.explain_series(orders_monthly(spark, sf), KEYS)
 
 
-@query("m1_score_batch")
+def exact_line(spark, sf):
+    """A target that is an exact linear form of two columns."""
+    o = load(spark, sf, "orders").select("o_orderkey", "o_custkey", "o_totalprice", "o_orderpriority")
+    y = F.col("o_totalprice") / F.pi() + F.col("o_custkey") * 3.0
+    return I.prepare(o.withColumn("y", y), "y", "regression", ["o_orderkey"], ["o_orderpriority"], test_size=0.2)
+
+
+LINE = "SELECT o_orderkey, round(o_totalprice / pi() + o_custkey * 3.0, 2) AS prediction FROM orders"
+
+
+@query("m1_score_batch", LINE)
 def m1(spark, sf):
-    p = price(spark, sf)
+    p = exact_line(spark, sf)
     path = scratch_path(spark, "model")
     scoring.save_model(I.pipeline_of(p, I.fit(p, "linear")), path)
     rows = load(spark, sf, "orders").select("o_orderkey", "o_custkey", "o_totalprice", "o_orderpriority")
-    return scoring.score_batch(path, rows).select("o_orderkey", "prediction")
+    return rounded(scoring.score_batch(path, rows).select("o_orderkey", "prediction"), 2)
 
 
-@query("m2_score_stream")
+@query("m2_score_stream", LINE)
 def m2(spark, sf):
-    p = price(spark, sf)
+    p = exact_line(spark, sf)
     model = I.pipeline_of(p, I.fit(p, "linear"))
     source = load(spark, sf, "orders").select("o_orderkey", "o_custkey", "o_totalprice", "o_orderpriority")
     inbox, out, marks = (scratch_path(spark, name) for name in ("stream-in", "stream-out", "stream-checkpoint"))
     source.write.parquet(inbox)
     stream = spark.readStream.schema(source.schema).parquet(inbox)
     scoring.score_stream(model, stream, out, marks, ["o_orderkey"], available_now=True).awaitTermination()
-    return spark.read.parquet(out)
+    return rounded(spark.read.parquet(out), 2)

@@ -91,9 +91,15 @@ def sample_rows(
     return first.withColumn("part", F.lit("first")).unionByName(rest.withColumn("part", F.lit("other")))
 
 
-def dataset_fingerprint(df: DataFrame) -> DataFrame:
-    """Order-free content fingerprint: row count, sum and xor of row hashes."""
+def dataset_fingerprint(df: DataFrame, portable: bool = False) -> DataFrame:
+    """Order-free content fingerprint: row count, sum and xor of row hashes.
+
+    ``portable`` hashes the text form with MD5 (60 bits), which other engines can reproduce.
+    """
     h = F.xxhash64(*[q(c) for c in df.columns])
+    if portable:
+        text = F.concat_ws("|", *[F.coalesce(q(c).cast("string"), F.lit("")) for c in df.columns])
+        h = F.conv(F.substring(F.md5(text), 1, 15), 16, 10).cast("long")
     return df.agg(
         F.count(F.lit(1)).alias("n_rows"),
         F.sum(h.cast("decimal(38,0)")).cast("string").alias("hash_sum"),
