@@ -328,9 +328,11 @@ def dbscan_search(rows: DataFrame, id_col: str, trials: int = 20, seed: int = 42
     """
     n = rows.count()
     space = {"eps": ("float", 0.1, 2.0), "min_samples": ("int", 2, max(2, min(20, n // 10)))}
-    spark = rows.sparkSession
-    candidates = spark.createDataFrame(
-        [(i, float(d["eps"]), int(d["min_samples"])) for i, d in enumerate(draws(space, trials, seed))], "trial int, eps double, min_samples int"
+    candidates = F.array(
+        *[
+            F.struct(F.lit(i).alias("trial"), F.lit(float(d["eps"])).alias("eps"), F.lit(int(d["min_samples"])).alias("min_samples"))
+            for i, d in enumerate(draws(space, trials, seed))
+        ]
     )
     drawn = rows.orderBy(F.xxhash64(id_col, F.lit(seed)), id_col).limit(sample).select("features")
     share = max(1.0, n / sample)
@@ -344,7 +346,7 @@ def dbscan_search(rows: DataFrame, id_col: str, trials: int = 20, seed: int = 42
             {"trial": [head["trial"]], "eps": [head["eps"]], "min_samples": [head["min_samples"]], "n_clusters": [int(label.max()) + 1], "silhouette": [value]}
         )
 
-    work = drawn.crossJoin(F.broadcast(candidates))  # a fixed number of trials
+    work = drawn.select("features", F.inline(candidates))
     table = materialize(
         work.groupBy("trial").applyInPandas(attempt, "trial int, eps double, min_samples int, n_clusters int, silhouette double"), "dbscan-trials"
     )

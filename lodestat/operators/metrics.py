@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lodestat.plans.blocks import block_pairs
-from lodestat.plans.skew import salted_join, with_frames, with_position
+from lodestat.plans.skew import join_on, salted_join, with_frames, with_position
 
 
 def confusion(df: DataFrame, y: str = "y", p: str = "p", keys: Sequence[str] = ()) -> DataFrame:
@@ -107,7 +107,7 @@ def evaluate_forecast(
             with_position(train, keys, ts), keys, {"__as": lambda w: F.lag(a, period).over(w)}, before=period
         )
         scale = base.groupBy(*keys).agg(F.avg(F.abs(F.col(a) - F.col("__as"))).alias("__scale"))
-        out = out.drop("__scale").join(scale, keys, "left")
+        out = join_on(out.drop("__scale"), scale, keys, "left")
     safe = F.when(F.col("__scale") == 0, F.lit(1.0)).otherwise(F.col("__scale"))
     return out.withColumn("mase", F.when(F.col("__scale").isNull(), F.col("mae")).otherwise(F.col("mae") / safe)).drop(
         "__scale"
@@ -126,7 +126,7 @@ def overfit_gap(train_scores: DataFrame, val_scores: DataFrame, keys: Sequence[s
     """Train and validation score of each model side by side."""
     return (
         train_scores.select(*keys, F.col(metric).alias("train_score"))
-        .join(val_scores.select(*keys, F.col(metric).alias("val_score")), list(keys))
+        .transform(lambda left: join_on(left, val_scores.select(*keys, F.col(metric).alias("val_score")), keys))
         .withColumn("gap", F.col("train_score") - F.col("val_score"))
     )
 

@@ -385,8 +385,13 @@ def boolean_summary(df: DataFrame) -> DataFrame:
 PROFILE_PARTS = ("moments", "quartiles", "unique_values", "top_values", "date_frequency")
 
 
-def profile_table(df: DataFrame, as_of: str | None = None, parts: Sequence[str] = PROFILE_PARTS) -> DataFrame:
-    """The whole profile, one row per column; fields of other kinds, or of parts left out, are NULL."""
+def profile_table(
+    df: DataFrame, as_of: str | None = None, parts: Sequence[str] = PROFILE_PARTS, approx: bool = False
+) -> DataFrame:
+    """The whole profile, one row per column; fields of other kinds, or of parts left out, are NULL.
+
+    ``approx`` takes distinct counts from sketches: exact ones shuffle every distinct value of every column.
+    """
     moment = F.lit(as_of).cast("timestamp") if as_of else F.current_timestamp()
     none = F.lit(None)
     fields = {}
@@ -421,10 +426,15 @@ def profile_table(df: DataFrame, as_of: str | None = None, parts: Sequence[str]
             )
     base = _rows_from_wide(df, fields)
     scalar = [f.name for f in df.schema.fields if kind_of(f.dataType) != "other"]
-    counts = value_counts_long(df, scalar)
-    uniques = counts.groupBy("column_name").agg(
-        F.count("value").alias("n_unique"), F.count(F.lit(1)).alias("n_unique_including_null")
-    )
+    if approx:
+        sketches = {c: {"n_unique": F.approx_count_distinct(q(c)), "__gap": F.max(q(c).isNull().cast("int"))} for c in scalar}
+        uniques = _rows_from_wide(df, sketches).select(
+            "column_name", "n_unique", (F.col("n_unique") + F.coalesce("__gap", F.lit(0))).alias("n_unique_including_null")
+        )
+    else:
+        uniques = value_counts_long(df, scalar).groupBy("column_name").agg(
+            F.count("value").alias("n_unique"), F.count(F.lit(1)).alias("n_unique_including_null")
+        )
     extra = [uniques]
     if columns_of_kind(df, NUMERIC):
         if "moments" in parts:

@@ -47,10 +47,10 @@ def column_issues(df: DataFrame) -> DataFrame:
     return _hits(
         p,
         [
-            ("drop", null > 0.8, null, F.lit("more than 80% null values: consider dropping")),
-            ("impute", (null > 0.4) & (null <= 0.8), null, F.lit("more than 40% null values: consider imputation")),
-            ("exclude", F.col("is_unique_id"), unique, F.lit("unique identifier: consider excluding from training")),
-            ("high_cardinality", (F.col("kind") == TEXT) & (unique > 1000), unique, F.lit("very high cardinality: consider feature engineering or dropping")),
+            ("drop", null > 0.8, null, F.lit("over 80% missing; drop it")),
+            ("impute", (null > 0.4) & (null <= 0.8), null, F.lit("over 40% missing; impute it")),
+            ("exclude", F.col("is_unique_id"), unique, F.lit("every value differs; keep it out of training")),
+            ("high_cardinality", (F.col("kind") == TEXT) & (unique > 1000), unique, F.lit("over 1000 distinct texts; derive features or drop it")),
         ],
         "column_name",
     )
@@ -62,8 +62,8 @@ def table_issues(df: DataFrame) -> DataFrame:
     return _hits(
         size,
         [
-            ("small", F.col("n_rows") < 500, F.col("n_rows"), F.lit("fewer than 500 rows: use cross-validation and a smaller search space")),
-            ("wide", F.col("n_cols") > F.col("n_rows"), F.col("n_cols"), F.lit("more features than samples: consider feature selection")),
+            ("small", F.col("n_rows") < 500, F.col("n_rows"), F.lit("under 500 rows; cross-validate and search less")),
+            ("wide", F.col("n_cols") > F.col("n_rows"), F.col("n_cols"), F.lit("more columns than rows; select features")),
         ],
     )
 
@@ -135,7 +135,7 @@ def outlier_and_zero_flags(df: DataFrame, target: str | None = None) -> DataFram
         [
             ("outliers", F.col("outlier_fraction") > 0.2, F.col("outlier_fraction"), F.lit("many outliers")),
             ("high_null", F.col("high_null_rate"), F.col("fraction_null"), F.lit("high missing value rate")),
-            ("zeros", zero > 0.5, zero, F.lit("many zero values: verify that they are meaningful")),
+            ("zeros", zero > 0.5, zero, F.lit("over half are zero; check that zero is a value")),
         ],
         "column_name",
     )
@@ -156,11 +156,11 @@ def feature_selection_advice(df: DataFrame, target: str | None = None) -> DataFr
     return _hits(
         summary,
         [
-            ("many_columns", wide, F.col("n_cols"), F.lit("many columns: consider univariate or recursive feature selection")),
-            ("wide", ~wide & (F.col("n_cols") > F.col("n_rows")), F.col("n_cols"), F.lit("more features than samples: select features or regularize")),
-            ("many_dropped", F.col("dropped") > F.col("n_cols") * 0.5, F.col("dropped"), F.lit("many columns flagged for dropping: have an expert review them")),
-            ("many_imputed", F.col("imputed") > 5, F.col("imputed"), F.lit("several columns need imputation: consider advanced methods")),
-            ("outliers", F.col("outliers") > 0, F.col("outliers"), F.lit("outliers present: consider robust preprocessing")),
+            ("many_columns", wide, F.col("n_cols"), F.lit("over 50 columns; select features first")),
+            ("wide", ~wide & (F.col("n_cols") > F.col("n_rows")), F.col("n_cols"), F.lit("more columns than rows; select or regularize")),
+            ("many_dropped", F.col("dropped") > F.col("n_cols") * 0.5, F.col("dropped"), F.lit("over half of the columns would be dropped; review them")),
+            ("many_imputed", F.col("imputed") > 5, F.col("imputed"), F.lit("more than five columns need imputation; model it")),
+            ("outliers", F.col("outliers") > 0, F.col("outliers"), F.lit("outliers present; scale robustly")),
         ],
     )
 
@@ -205,9 +205,9 @@ def target_checks(df: DataFrame, target: str) -> DataFrame:
         one,
         [
             ("missing_target", F.col("n_missing") > 0, F.col("n_missing"), F.lit("error: target has missing values")),
-            ("imbalance", classes & (ratio > 10), ratio, F.lit("warning: severe class imbalance; consider class weights or resampling")),
+            ("imbalance", classes & (ratio > 10), ratio, F.lit("warning: largest class over ten times the smallest; weight or resample")),
             ("rare_class", classes & (F.col("smallest") < 5), F.col("smallest"), F.lit("warning: classes with very few samples")),
-            ("skewed_target", ~classes & (F.abs("skew") > 2), F.col("skew"), F.lit("warning: highly skewed target; consider a log transform")),
+            ("skewed_target", ~classes & (F.abs("skew") > 2), F.col("skew"), F.lit("warning: long-tailed target; take logs")),
         ],
     )
 

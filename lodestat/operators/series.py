@@ -610,17 +610,17 @@ def ts_recommendations(profile: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Advice rows (keys, rule, message) from :func:`profile_series`."""
     p = F.col
     rules = [
-        ("irregular", p("frequency.irregular_periods"), F.lit("Irregular time intervals: consider resampling or interpolation")),
-        ("low_confidence", p("frequency.frequency_confidence") < 0.7, F.lit("Frequency detection has low confidence: verify data quality")),
-        ("gaps", p("gaps.gap_percentage") > 10, F.lit("Significant temporal gaps: consider gap filling")),
-        ("trend", p("trend.detected"), F.concat(F.lit("Strong "), p("trend.direction"), F.lit(" trend: consider trend-aware models"))),
-        ("seasonality", p("seasonality.detected"), F.concat(F.lit("Seasonality detected ("), p("seasonality.season"), F.lit("): use seasonal models"))),
-        ("non_stationary", p("stationarity.conclusion") == "non_stationary", F.lit("Series is non-stationary: consider differencing or detrending")),
-        ("inconclusive", p("stationarity.conclusion") == "inconclusive", F.lit("Stationarity tests are inconclusive: inspect the series")),
-        ("outliers", p("outliers.outlier_share") > 0.05, F.lit("Many outliers: consider robust forecasting methods")),
-        ("short", p("date_range.total_periods") < 100, F.lit("Limited data points: prefer simple models")),
-        ("moderate", p("date_range.total_periods").between(100, 499), F.lit("Moderate data size: suitable for ARIMA, additive and smoothing models")),
-        ("long", p("date_range.total_periods") >= 500, F.lit("Large data set: complex models and ensembles are possible")),
+        ("irregular", p("frequency.irregular_periods"), F.lit("steps between points vary; resample to a grain or interpolate")),
+        ("low_confidence", p("frequency.frequency_confidence") < 0.7, F.lit("no step dominates; check how the times were recorded")),
+        ("gaps", p("gaps.gap_percentage") > 10, F.lit("more than a tenth of the steps are gaps; fill them first")),
+        ("trend", p("trend.detected"), F.concat(p("trend.direction"), F.lit(" trend explains the series; pick a model with a trend"))),
+        ("seasonality", p("seasonality.detected"), F.concat(p("seasonality.season"), F.lit(" season found; pick a model with a season"))),
+        ("non_stationary", p("stationarity.conclusion") == "non_stationary", F.lit("level is not stable; difference or detrend")),
+        ("inconclusive", p("stationarity.conclusion") == "inconclusive", F.lit("the two stability tests disagree; look at the series")),
+        ("outliers", p("outliers.outlier_share") > 0.05, F.lit("over 5% outliers; prefer robust methods")),
+        ("short", p("date_range.total_periods") < 100, F.lit("under 100 points; keep the model simple")),
+        ("moderate", p("date_range.total_periods").between(100, 499), F.lit("100 to 499 points; ARIMA, additive and smoothing models fit")),
+        ("long", p("date_range.total_periods") >= 500, F.lit("500 points or more; richer models and ensembles are possible")),
     ]
     structs = F.array(*[F.struct(F.lit(n).alias("rule"), m.alias("message"), F.coalesce(h, F.lit(False)).alias("hit")) for n, h, m in rules])
     return profile.select(*keys, F.inline(F.filter(structs, lambda r: r["hit"]))).drop("hit")

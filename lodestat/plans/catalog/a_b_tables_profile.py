@@ -417,6 +417,11 @@ def b15(spark, sf):
     return rounded(out, 3, skew=4, avg_string_length=4)
 
 
+@query("b15_profile_table_approx")
+def b15_approx(spark, sf):
+    return P.profile_table(S.load(spark, sf, "lineitem"), "2000-01-01 00:00:00", approx=True)
+
+
 @query(
     "b15_profile_table_orders",
     profile_sql("orders", NUMERIC_COLUMNS["orders"], TEXT_COLUMNS["orders"], ["o_orderdate"]),
