@@ -6,32 +6,39 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodestat.plans.skew import salted_join
-from lodestat.session import checkpoint
+from lodestat.session import materialize
 
 
 def connected_components(nodes: DataFrame, edges: DataFrame, max_rounds: int = 100) -> DataFrame:
     """(node, component) with the smallest node of each component as its name.
 
-    ``nodes`` has a column ``node``, ``edges`` columns ``a`` and ``b``. Each round takes the least label
-    among neighbours and then follows labels one jump further, so long chains halve; rounds are
-    checkpointed and stop when nothing changes. Joins are salted, so a hub does not fill one task.
+    ``nodes`` has a column ``node``, ``edges`` columns ``a`` and ``b``. In each round a node takes the least
+    label among its neighbours, passes it on to the node its old label names, and follows its label one
+    jump further, so long chains shrink by halves. Rounds are written tables, which keeps plans short, and
+    stop when nothing changes. Joins are salted, so a hub does not fill one task.
     """
-    both = checkpoint(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
-    labels = nodes.select("node", F.col("node").alias("component"))
-    labels = checkpoint(labels)
+    both = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
+    both = materialize(both, "edges")
+    labels = materialize(nodes.select("node", F.col("node").alias("component")), "components")
     if both.isEmpty():
         return labels
     for _ in range(max_rounds):
         seen = salted_join(both.withColumnRenamed("b", "node"), labels, ["node"], "inner")
-        least = seen.groupBy("a").agg(F.min("component").alias("__l")).withColumnRenamed("a", "node")
-        lower = labels.join(least, "node", "left").select("node", F.least("component", F.coalesce("__l", "component")).alias("component"), F.col("component").alias("__old"))
-        jump = lower.select(F.col("node").alias("component"), F.col("component").alias("__j"))
-        moved = salted_join(lower, jump, ["component"], "left").select(
+        least = seen.groupBy(F.col("a").alias("node")).agg(F.min("component").alias("__l"))
+        lower = labels.join(least, "node", "left").select(
+            "node", F.col("component").alias("__old"), F.least("component", F.coalesce("__l", "component")).alias("__new")
+        )
+        lower = materialize(lower, "components-lower")
+        hooks = lower.filter("__new < __old").groupBy(F.col("__old").alias("node")).agg(F.min("__new").alias("__h"))
+        hooked = lower.join(hooks, "node", "left").select(
+            "node", "__old", F.least("__new", F.coalesce("__h", "__new")).alias("component")
+        )
+        jump = lower.select(F.col("node").alias("component"), F.col("__new").alias("__j"))
+        moved = salted_join(hooked, jump, ["component"], "left").select(
             "node", F.least("component", F.coalesce("__j", "component")).alias("component"), "__old"
         )
-        moved = checkpoint(moved)
-        changed = not moved.filter(F.col("component") != F.col("__old")).isEmpty()
+        moved = materialize(moved, "components")
+        if moved.filter(F.col("component") != F.col("__old")).isEmpty():
+            return moved.drop("__old")
         labels = moved.drop("__old")
-        if not changed:
-            return labels
     raise RuntimeError("components did not settle; raise max_rounds")

@@ -39,14 +39,8 @@ def scratch_path(spark: SparkSession, label: str) -> str:
     return f"{shared_folder(spark)}/{label}-{uuid.uuid4().hex}"
 
 
-def checkpoint(df: DataFrame) -> DataFrame:
-    """Cut lineage with a reliable checkpoint, which survives the loss of executors."""
-    shared_folder(df.sparkSession)
-    return df.checkpoint()
-
-
 def materialize(df: DataFrame, label: str) -> DataFrame:
-    """Write an intermediate table to the shared folder and read it back."""
+    """Cut lineage: write an intermediate table to the shared folder, which survives lost executors, and read it back."""
     path = scratch_path(df.sparkSession, label)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
