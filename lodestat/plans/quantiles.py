@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from lodestat.plans.skew import join_on, salted_join
 from lodestat.session import materialize
 
-ACCURACY = 50_000
+ACCURACY = 10_000
 SLACK = 5.0 / ACCURACY
 SLICES = 4096
 
