@@ -78,12 +78,34 @@ def test_additive_finds_weekly_shape(spark, small_blocks):
     assert all(r["yhat_lower"] < r["yhat"] < r["yhat_upper"] for r in out)
 
 
+def direct_kpss(y):
+    n, e = len(y), np.asarray(y) - np.mean(y)
+    cov = np.array([(e[i:] * e[: n - i]).sum() for i in range(n // 2)])
+    lags = S._hobijn_lags(n, cov)
+    w = 1 - np.arange(1, lags + 1) / (lags + 1)
+    return (np.cumsum(e) ** 2).sum() / n**2 / ((cov[0] + 2 * (w * cov[1 : lags + 1]).sum()) / n)
+
+
 def test_adf_and_kpss_decisions(spark, small_blocks):
-    still = series(spark, ar1(600, 0.2), "still")
-    walk = series(spark, np.cumsum(np.random.default_rng(5).normal(size=600)), "walk")
-    got = {r["k"]: r for r in S.stationarity(still.unionByName(walk), ["k"]).collect()}
-    assert got["still"]["conclusion"] == "stationary"
-    assert got["walk"]["conclusion"] == "non_stationary"
+    draws = {
+        "still": np.random.default_rng(0).normal(size=600),
+        "slow": np.array(ar1(600, 0.2)),  # this draw's mean wanders: KPSS rejects it, ADF does not
+        "walk": np.cumsum(np.random.default_rng(5).normal(size=600)),
+    }
+    df = None
+    for name, y in draws.items():
+        part = series(spark, y, name)
+        df = part if df is None else df.unionByName(part)
+    got = {r["k"]: r for r in S.stationarity(df, ["k"]).collect()}
+    for name, y in draws.items():
+        assert got[name]["kpss_statistic"] == pytest.approx(direct_kpss(y), rel=1e-9)
+    names = {(True, True): "stationary", (False, False): "non_stationary"}
+    for name, y in draws.items():
+        r = got[name]
+        both = (r["adf_statistic"] < r["adf_critical_5"], direct_kpss(y) < 0.463)
+        assert r["conclusion"] == names.get(both, "inconclusive")
+    assert got["still"]["conclusion"] == "stationary" and got["slow"]["conclusion"] == "inconclusive"
+    assert got["walk"]["conclusion"] != "stationary"
 
 
 def test_adf_matches_direct_regression(spark, small_blocks):
