@@ -26,11 +26,18 @@ def build_session(app: str = "lodestat", master: str | None = None, **conf: str)
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The shared folder the cluster names for checkpoints; a temporary one only if unset."""
+    """The shared folder the cluster names in ``spark.checkpoint.dir``.
+
+    Unset, a temporary folder serves a local master, where driver and tasks share the machine; a cluster must name one.
+    """
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
         configured = spark.conf.get("spark.checkpoint.dir", None)
-        sc.setCheckpointDir(configured or tempfile.mkdtemp(prefix="lodestat-ckpt-"))
+        if configured is None:
+            if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+                raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+            configured = tempfile.mkdtemp(prefix="lodestat-ckpt-")
+        sc.setCheckpointDir(configured)
     return sc.getCheckpointDir()
 
 
