@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lodestat.llm import decontaminate
+from lodestat.llm import decontaminate, pii
 from lodestat.llm.common import table
 
 QUERIES = {}
@@ -19,6 +19,12 @@ def query(name: str, sql: str | None = None):
     return register
 
 
+@query("op2_pii")
+def op2(spark, sf_dir):
+    """Base entities and contextually discovered identifiers of every document."""
+    return pii.digest(pii.extract(table(spark, sf_dir, "documents").select("doc_id", "text")))
+
+
 @query("op7_benchmark_decontamination")
 def op7(spark, sf_dir):
     """Windows of 10 words of every benchmark item against every document."""
