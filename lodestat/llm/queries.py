@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lodestat.llm import decontaminate, pii
+from lodestat.llm import decontaminate, packing, pii, simhash
 from lodestat.llm.common import table
 
 QUERIES = {}
@@ -25,6 +25,18 @@ def op2(spark, sf_dir):
     return pii.digest(pii.extract(table(spark, sf_dir, "documents").select("doc_id", "text")))
 
 
+@query("op3_best_fit_packing")
+def op3(spark, sf_dir):
+    """All documents in sequences of 2048 tokens."""
+    return packing.digest(packing.pack_documents(table(spark, sf_dir, "documents").select("doc_id", "text")))
+
+
+@query("op5_simhash")
+def op5(spark, sf_dir):
+    """Fingerprints of 3-word shingles, linked at two differing bits or fewer."""
+    return simhash.digest(simhash.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text")))
+
+
 @query("op7_benchmark_decontamination")
 def op7(spark, sf_dir):
     """Windows of 10 words of every benchmark item against every document."""
