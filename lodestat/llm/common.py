@@ -100,7 +100,7 @@ class RollingHash:
     BASE = 0x9E3779B97F4A7C15
 
     def __init__(self) -> None:
-        self.size = 0
+        self.size = -1
 
     def _grow(self, n: int) -> None:
         if n > self.size:

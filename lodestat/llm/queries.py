@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lodestat.llm import decontaminate, packing, pii, simhash
+from lodestat.llm import decontaminate, packing, pii, quality, simhash
 from lodestat.llm.common import table
 
 QUERIES = {}
@@ -42,3 +42,10 @@ def op7(spark, sf_dir):
     """Windows of 10 words of every benchmark item against every document."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return decontaminate.digest(decontaminate.contamination(docs, table(spark, sf_dir, "benchmark")))
+
+
+@query("op10_quality_classifier")
+def op10(spark, sf_dir):
+    """Expected grade and probability of the top grade for every document."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return quality.digest(quality.graded(docs, table(spark, sf_dir, "labels")))
