@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
-from lodestat.llm import decontaminate, packing, pii, quality, simhash
-from lodestat.llm.common import table
+import uuid
+
+from pyspark.sql import functions as F
+
+from lodestat.llm import decontaminate, linededup, packing, pii, quality, rollup, simhash
+from lodestat.llm.common import stored, table
+from lodestat.session import shared_folder
 
 QUERIES = {}
 ORACLES: dict[str, str] = {}
@@ -19,6 +24,12 @@ def query(name: str, sql: str | None = None):
     return register
 
 
+@query("op1_line_dedup", linededup.SQL)
+def op1(spark, sf_dir):
+    """Runs of two lines or more, and lines of 250 characters or more, that came before."""
+    return linededup.report(table(spark, sf_dir, "documents"))
+
+
 @query("op2_pii")
 def op2(spark, sf_dir):
     """Base entities and contextually discovered identifiers of every document."""
@@ -37,6 +48,34 @@ def op5(spark, sf_dir):
     return simhash.digest(simhash.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text")))
 
 
+@query("op6_token_counts", rollup.SQL)
+def op6(spark, sf_dir):
+    """Estimates are loaded, revised to real counts, a tokenizer is added, toxic documents go, and batches are sent again."""
+    docs, text = table(spark, sf_dir, "documents"), F.col("text")
+    counts = stored(
+        docs.select(
+            "doc_id", "source", "lang",
+            F.floor(F.length(text) / 5).alias("estimate"),
+            *[rollup.token_count(text, v).alias(v) for v in rollup.VERSIONS],
+        ),
+        "token-counts",
+    )
+    under = lambda df, v: df.withColumn("version", F.lit(v))
+    toxic = table(spark, sf_dir, "labels").filter("toxic = 1").select("doc_id")
+    gone = counts.join(toxic, "doc_id", "left_semi")
+    first, second = rollup.VERSIONS
+    batches = {
+        "load": rollup.inserted(under(counts, first), "estimate"),
+        "count": rollup.revised(under(counts, first), "estimate", first),
+        "second": rollup.inserted(under(counts, second), second),
+        "toxic": rollup.deleted(under(gone, first), first).unionByName(rollup.deleted(under(gone, second), second)),
+    }
+    totals = rollup.Rollup(spark, f"{shared_folder(spark)}/rollup-{uuid.uuid4().hex}")
+    for name in [*batches, "count", "toxic"]:
+        totals.commit(name, batches[name])
+    return totals.totals()
+
+
 @query("op7_benchmark_decontamination")
 def op7(spark, sf_dir):
     """Windows of 10 words of every benchmark item against every document."""
