@@ -6,7 +6,7 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from lodestat.llm import decontaminate, linededup, packing, pii, quality, rollup, simhash
+from lodestat.llm import decontaminate, linededup, packing, pii, quality, rollup, simhash, suffixdedup
 from lodestat.llm.common import stored, table
 from lodestat.session import shared_folder
 
@@ -83,6 +83,13 @@ def op7(spark, sf_dir):
     return decontaminate.digest(decontaminate.contamination(docs, table(spark, sf_dir, "benchmark")))
 
 
+@query("op8_suffix_dedup")
+def op8(spark, sf_dir):
+    """Bytes covered by 200-byte strings that start more than once in the corpus."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return suffixdedup.digest(suffixdedup.deduplicate(docs, scan=True))
+
+
 @query("op10_quality_classifier")
 def op10(spark, sf_dir):
     """Expected grade and probability of the top grade for every document."""
