@@ -6,7 +6,7 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from lodestat.llm import decontaminate, linededup, packing, pii, quality, rollup, simhash, suffixdedup
+from lodestat.llm import decontaminate, html, linededup, packing, pii, quality, rollup, simhash, suffixdedup
 from lodestat.llm.common import stored, table
 from lodestat.session import shared_folder
 
@@ -90,6 +90,12 @@ def op8(spark, sf_dir):
     return suffixdedup.digest(suffixdedup.deduplicate(docs, scan=True))
 
 
+@query("op9_html_extraction")
+def op9(spark, sf_dir):
+    """Main text of every page."""
+    return html.extract(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+
+
 @query("op10_quality_classifier")
 def op10(spark, sf_dir):
     """Expected grade and probability of the top grade for every document."""
