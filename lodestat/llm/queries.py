@@ -6,7 +6,7 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from lodestat.llm import decontaminate, html, linededup, packing, pii, quality, rollup, simhash, suffixdedup
+from lodestat.llm import decontaminate, html, linededup, packing, pii, quality, rollup, simhash, suffixdedup, topk
 from lodestat.llm.common import stored, table
 from lodestat.session import shared_folder
 
@@ -42,6 +42,23 @@ def op3(spark, sf_dir):
     return packing.digest(packing.pack_documents(table(spark, sf_dir, "documents").select("doc_id", "text")))
 
 
+TOP_K = """
+WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS v FROM embeddings
+           WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT a.vec_id AS query_id, b.vec_id, CAST(list_dot_product(a.v, b.v) AS BIGINT) AS score
+      FROM v a JOIN v b ON a.vec_id <> b.vec_id WHERE a.vec_id % 50 = 0),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s)
+SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM r WHERE rank <= 5
+"""
+
+
+@query("op4_cover_tree_top_k", TOP_K)
+def op4(spark, sf_dir):
+    """The 5 largest inner products of every 50th vector with all others."""
+    found = topk.top_k(table(spark, sf_dir, "embeddings"), F.col("id") % 50 == 0)
+    return found.withColumnRenamed("id", "vec_id")
+
+
 @query("op5_simhash")
 def op5(spark, sf_dir):
     """Fingerprints of 3-word shingles, linked at two differing bits or fewer."""
