@@ -8,12 +8,15 @@ each byte would move each byte ``length`` times, so the suffix array is sparse:
    Anchors are counted (pre-aggregated per task), and runs whose anchor occurs once are done: nothing in them repeats.
 2. Runs of repeated anchors are counted by content. All windows of a run that occurs twice or more repeat. What is
    left open are runs that occur once and share their anchor with other runs; of each run one copy goes on.
-3. The suffixes at the anchors of these runs are range-partitioned by their leading bytes; Spark samples the
-   splitters, and ties are split by row and place, so a frequent anchor fills no bucket. Each bucket is sorted locally
-   by a multikey quicksort: windows are split by eight-byte tokens, equal ones go on to the next token, single ones
-   drop out, and what is equal after the last token repeats.
-4. A bucket's first and last anchor may go on in its neighbours. Their windows, one of each kind in a bucket, are
-   compared across boundaries by 128-bit fingerprints.
+3. An open run is halved by the windows' distance from the anchor, so that all windows of a half hold one longer
+   string, its core. Again a half whose core occurs once is done; with that, a frequent line costs nothing where
+   the words around it differ.
+4. The suffixes at the cores are range-partitioned by their leading bytes; Spark samples the splitters. Each bucket is
+   sorted locally by a multikey quicksort: windows are split by eight-byte tokens, equal ones go on to the next token,
+   single ones drop out, and what is equal after the last token repeats.
+5. The halves of a core with more than ``BUCKET_RUNS`` halves are range-partitioned by the whole suffix, row and place,
+   so they fill many buckets. Windows at a bucket's first and last core, one of each kind in a bucket, are compared
+   across the boundaries by 128-bit fingerprints.
 
 Defined cases: a null text is an empty one; texts shorter than ``length`` bytes keep everything; overlapping windows
 count, also within a text (a long run of one byte goes whole); repeated rows are texts of their own, so both go where
@@ -30,6 +33,7 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -38,7 +42,7 @@ from lodestat.llm.common import RollingHash, identified, mixed, q, stored, text_
 LENGTH = 200
 K = 48
 PLACE = (1 << 28) - 1
-BUCKET_RUNS = 4000
+BUCKET_RUNS = 2000
 
 
 def runs(data: np.ndarray, offsets: np.ndarray, rolling: RollingHash, length: int, k: int):
@@ -145,24 +149,24 @@ def equal_windows(data: np.ndarray, starts: np.ndarray, group: np.ndarray, lengt
     return found
 
 
-def bucket_rows(table: pa.Table, length: int, k: int):
-    """One bucket: spans of repeated windows, and the windows of its first and last anchor for the comparison across."""
+def bucket_rows(table: pa.Table, length: int, across: bool):
+    """One bucket: spans of repeated windows and, if asked, windows of its first and last core for the comparison across."""
     rolling, other = RollingHash(), RollingHash()
     other.BASE = 0xD1342543DE82EF95
     size = table.column("bytes").combine_chunks()
     raw = size.to_pylist()
-    n, anchor, row, a = (table.column(c).to_numpy() for c in ("n", "anchor", "__row", "a"))
+    n, core, row, a = (table.column(c).to_numpy() for c in ("n", "core", "__row", "a"))
     settled, shift = table.column("settled").to_numpy(zero_copy_only=False), table.column("shift").to_numpy()
     data = np.frombuffer(b"".join(raw), np.uint8)
     at = np.cumsum([0, *map(len, raw)])[:-1]
     owner = np.repeat(np.arange(len(n)), n)
     step = np.arange(len(owner)) - np.repeat(np.cumsum(n) - n, n)
     starts = at[owner] + step
-    # Equal windows have their anchor at the same place, so they share anchor and distance to it.
-    names = np.unique(anchor, return_inverse=True)[1]
+    # Equal windows have their anchor at the same place, so they share the core and the distance to it.
+    names = np.unique(core, return_inverse=True)[1]
     group = names[owner] * (1 << 20) + (shift[owner] - step + (1 << 19))
     cls = equal_windows(data, starts, group, length)
-    edge = (names == names[0]) | (names == names[-1])
+    edge = ((names == names[0]) | (names == names[-1])) & across
     repeats = cls >= 0
     hit = repeats & ~settled[owner]
     # Consecutive repeated windows of a run are one span.
@@ -185,14 +189,17 @@ def bucket_rows(table: pa.Table, length: int, k: int):
     return spans, (row[owner[out]], a[owner[out]] + step[out], known, *prints)
 
 
-def open_spans(bucketed: DataFrame, length: int, k: int) -> DataFrame:
-    """(__row, start, end) of repeated windows in runs that occur once."""
+SORTED = "__row long, start long, end long, known boolean, f long, g long"
+
+
+def sort_buckets(bucketed: DataFrame, length: int, across: bool) -> DataFrame:
+    """Spans of repeated windows (``known`` is null) and the windows to compare across, from each bucket."""
 
     def rows(batches):
         parts = list(batches)
         if not sum(b.num_rows for b in parts):
             return
-        spans, edges = bucket_rows(pa.Table.from_batches(parts), length, k)
+        spans, edges = bucket_rows(pa.Table.from_batches(parts), length, across)
         m, e = len(spans[0]), len(edges[0])
         nulls = lambda kind, size: pa.nulls(size, kind)
         yield pa.RecordBatch.from_arrays(
@@ -207,7 +214,19 @@ def open_spans(bucketed: DataFrame, length: int, k: int) -> DataFrame:
             ["__row", "start", "end", "known", "f", "g"],
         )
 
-    made = stored(bucketed.mapInArrow(rows, "__row long, start long, end long, known boolean, f long, g long"), "suffix-buckets")
+    return bucketed.mapInArrow(rows, SORTED)
+
+
+def open_spans(strings: DataFrame, length: int) -> DataFrame:
+    """(__row, start, end) of repeated windows in runs that occur once."""
+    counts = stored(strings.groupBy("core").agg(F.count("*").alias("m")).filter("m > 1"), "suffix-cores")
+    m, crowded = counts.agg(F.sum("m"), F.sum(F.when(F.col("m") > BUCKET_RUNS, F.col("m")))).first()
+    lead = F.expr("substring(bytes, shift + 1)")
+    live = strings.join(counts, "core").withColumn("suffix", lead)
+    order = ["suffix", "__row", "a"]
+    small = live.filter(F.col("m") <= BUCKET_RUNS).repartitionByRange(max(1, -(-(m or 0) // BUCKET_RUNS)), F.expr("substring(suffix, 1, size)"))
+    large = live.filter(F.col("m") > BUCKET_RUNS).repartitionByRange(max(1, -(-(crowded or 0) // BUCKET_RUNS)), *order).sortWithinPartitions(*order)
+    made = stored(sort_buckets(small.drop("suffix"), length, False).unionByName(sort_buckets(large.drop("suffix"), length, True)), "suffix-buckets")
     edges = made.filter("known IS NOT NULL")
     twice = edges.groupBy("f", "g").agg(F.count("*").alias("n"), F.max("known").alias("some")).filter("n > 1 OR some")
     across = edges.filter("NOT known").join(stored(twice.select("f", "g"), "suffix-across"), ["f", "g"])
@@ -224,38 +243,39 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, k: int = K) -> tuple[D
     settled = table.join(twice, ["anchor", "content"]).select("__row", F.col("a").alias("start"), (F.col("a") + F.col("n") + (length - 1)).alias("end"))
     shared = kinds.groupBy("anchor").agg(F.count("*").alias("m"), F.count_if(F.col("copies") == 1).alias("single"))
     shared = stored(shared.filter("m > 1 AND single > 0").select("anchor"), "suffix-open")
-    opened = stored(kinds.join(shared, "anchor").select("anchor", F.col("one.__row").alias("__row"), F.col("one.a").alias("a"), F.col("one.n").alias("n"), (F.col("copies") > 1).alias("settled")), "suffix-compared")
+    opened = stored(kinds.join(shared, "anchor").select(F.col("one.__row").alias("__row"), F.col("one.a").alias("a"), F.col("one.n").alias("n"), (F.col("copies") > 1).alias("settled")), "suffix-compared")
     rows = opened.select("__row").unionByName(table.join(twice, ["anchor", "content"]).select("__row")).distinct()
     texts = stored(docs.select("__row", "text").join(rows, "__row"), "suffix-texts")
 
+    half = (length - k + 1) // 2
+
     def cut(batches):
         rolling = RollingHash()
         for part, data, offsets in text_blocks(batches):
-            columns, raw, shifts = ([], [], [], [], []), [], []
+            columns, raw = ([], [], [], [], [], [], []), []
             for i, own in enumerate(part.column(part.schema.get_field_index("own")).to_pylist()):
                 text = data[offsets[i] : offsets[i + 1]]
                 _, starts, _, places, _, _ = runs(text, np.array([0, len(text)]), rolling, length, k)
                 place = dict(zip(starts.tolist(), places.tolist()))
                 row = part.column(0)[i].as_py()
                 for x in own:
-                    for out, v in zip(columns, (x["anchor"], row, x["a"], x["n"], x["settled"])):
-                        out.append(v)
-                    raw.append(text[x["a"] : x["a"] + x["n"] + length - 1].tobytes())
-                    shifts.append(place[x["a"]] - x["a"])
-            kinds_of = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.bool_())
-            arrays = [pa.array(c, t) for c, t in zip(columns, kinds_of)]
-            arrays += [pa.array(shifts, pa.int64()), pa.array(raw, pa.binary()), pa.array([r[s:] for r, s in zip(raw, shifts)], pa.binary())]
-            yield pa.RecordBatch.from_arrays(arrays, ["anchor", "__row", "a", "n", "settled", "shift", "bytes", "suffix"])
-
-    own = opened.groupBy("__row").agg(F.collect_list(F.struct("anchor", "a", "n", "settled")).alias("own"))
+                    p, last = place[x["a"]], x["a"] + x["n"] - 1
+                    near, far = (max(x["a"], p - half), last), (x["a"], min(last, p - half - 1))
+                    for (first, final), start, size in ((near, p, length - half), (far, p - half - 1, half + 1 + k)):
+                        if first <= final:
+                            core = xxhash.xxh64_intdigest(text[start : start + size].tobytes(), size) - (1 << 63)
+                            for out, v in zip(columns, (core, row, first, final - first + 1, x["settled"], start - first, size)):
+                                out.append(v)
+                            raw.append(text[first : final + length].tobytes())
+            kinds_of = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.bool_(), pa.int32(), pa.int32())
+            arrays = [*(pa.array(c, t) for c, t in zip(columns, kinds_of)), pa.array(raw, pa.binary())]
+            yield pa.RecordBatch.from_arrays(arrays, ["core", "__row", "a", "n", "settled", "shift", "size", "bytes"])
+
+    own = opened.groupBy("__row").agg(F.collect_list(F.struct("a", "n", "settled")).alias("own"))
     strings = texts.join(own, "__row").select("__row", "text", "own").mapInArrow(
-        cut, "anchor long, __row long, a long, n int, settled boolean, shift long, bytes binary, suffix binary"
+        cut, "core long, __row long, a long, n int, settled boolean, shift int, size int, bytes binary"
     )
-    strings = stored(strings, "suffix-strings")
-    buckets = max(1, -(-strings.count() // BUCKET_RUNS))
-    order = ["suffix", "__row", "a"]
-    bucketed = strings.repartitionByRange(buckets, *order).sortWithinPartitions(*order).drop("suffix")
-    return texts, settled.unionByName(open_spans(bucketed, length, k))
+    return texts, settled.unionByName(open_spans(stored(strings, "suffix-strings"), length))
 
 
 def deduplicate(docs: DataFrame, length: int = LENGTH, k: int = K, text_col: str = "text", scan: bool = False) -> DataFrame:
