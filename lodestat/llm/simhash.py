@@ -31,7 +31,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestat.llm.common import LOWER, q, stored, text_blocks
+from lodestat.llm.common import LOWER, RollingHash, fresh, identified, mixed, q, stored, text_blocks, word_bounds
+from lodestat.llm.decontaminate import window_hashes
 from lodestat.llm.graph import components
 
 SEED = 42
@@ -172,3 +173,151 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", size: int = 3, text
 
 def digest(found: DataFrame) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("__fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+# Near-duplicates by similarity: the same keys over several wide fingerprints.
+
+VIEWS = 10
+EXACT = 20
+SKETCH = 256
+GROUP = 8
+NOT_SPACE = np.ones(256, bool)
+NOT_SPACE[9:14] = NOT_SPACE[32] = False
+WIDE = "__row long, id long, c1 long, c2 long, fps array<long>, sketch binary"
+
+
+def wide_fingerprints(docs: DataFrame, size: int) -> DataFrame:
+    """For (__row, id, text): a digest of the words, ``VIEWS`` fingerprints over the distinct words, and the least
+    ``SKETCH`` hashes of the distinct shingles of ``size`` words."""
+    lowered = np.frombuffer(LOWER, np.uint8)
+
+    def runs_of(owner, values, n):
+        keys = np.unique(np.stack([owner.astype(np.uint64), values]), axis=1)
+        return keys[1], np.searchsorted(keys[0].astype(np.int64), np.arange(n + 1))
+
+    def rows(batches):
+        rolling = RollingHash()
+        seeds = [np.uint64(0x9E3779B97F4A7C15 * (v + 1) & 0xFFFFFFFFFFFFFFFF) for v in range(VIEWS)]
+        for part, data, offsets in text_blocks(batches):
+            n, low = len(offsets) - 1, lowered[data]
+            starts, ends, owner = word_bounds(NOT_SPACE[low], offsets)
+            words = rolling.ranges(rolling.prefix(low), starts, ends) if len(starts) else np.zeros(0, np.uint64)
+            values, cuts = runs_of(owner, words, n)
+            fps = np.zeros((n, VIEWS), np.int64)
+            full = np.flatnonzero(cuts[1:] > cuts[:-1])
+            for v, seed in enumerate(seeds if len(full) else ()):
+                bits = np.unpackbits(mixed(values ^ seed).astype("<u8").view(np.uint8), bitorder="little").reshape(-1, 64)
+                ones = np.add.reduceat(bits, cuts[full], axis=0, dtype=np.int32)
+                over = 2 * ones > (cuts[full + 1] - cuts[full])[:, None]
+                fps[full, v] = np.packbits(over, axis=1, bitorder="little").view("<i8")[:, 0]
+            count = np.bincount(owner, minlength=n)
+            wide = window_hashes(words, size)
+            at = np.arange(len(wide))
+            inside = owner[at] == owner[at + size - 1] if len(wide) else np.zeros(0, bool)
+            short = np.flatnonzero((count > 0) & (count < size))
+            first = np.searchsorted(owner, short)
+            single = np.array([int(window_hashes(words[a : a + c], c)[0]) for a, c in zip(first.tolist(), count[short].tolist())], np.uint64)
+            shingles, marks = runs_of(
+                np.concatenate([owner[at[inside]], short]), np.concatenate([wide[inside], single]) >> np.uint64(32), n
+            )
+            plain = low.tobytes()
+            out = [[], [], []]
+            for k in range(n):
+                digest = xxhash.xxh3_128_intdigest(b" ".join(plain[offsets[k] : offsets[k + 1]].split()))
+                out[0].append((digest >> 64) - (1 << 63))
+                out[1].append((digest & 0xFFFFFFFFFFFFFFFF) - (1 << 63))
+                out[2].append(shingles[marks[k] : min(marks[k + 1], marks[k] + SKETCH)].astype("<u4").tobytes())
+            arrays = [pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(list(fps), pa.list_(pa.int64())), pa.array(out[2], pa.binary())]
+            get = lambda c: part.column(part.schema.get_field_index(c))
+            yield pa.RecordBatch.from_arrays([get("__row"), get("id"), *arrays], ["__row", "id", "c1", "c2", "fps", "sketch"])
+
+    return docs.select("__row", "id", "text").mapInArrow(rows, WIDE)
+
+
+def _wide_keys(batches):
+    code = Golay()
+    for batch in batches:
+        row = batch.column(0).to_numpy()
+        fps = batch.column(1).flatten().to_numpy().view(np.uint64).reshape(-1, VIEWS)
+        rows, keys = [], []
+        for v in range(VIEWS):
+            found = code.indices((fps[:, v] & np.uint64((1 << 23) - 1)).astype(np.int64))
+            owner, column = np.nonzero(found >= 0)
+            for e in range(2):
+                part = ((fps[:, v] >> np.uint64(23 + EXACT * e)) & np.uint64((1 << EXACT) - 1)).astype(np.int64)
+                rows.append(row[owner])
+                keys.append(((2 * v + e) << 34) | (part[owner] << 12) | found[owner, column])
+        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(rows)), pa.array(np.concatenate(keys))], ["r", "key"])
+
+
+def jaccard(a: np.ndarray, b: np.ndarray) -> float:
+    """Similarity of two shingle sets from their least hashes; exact while the sets have at most ``SKETCH``."""
+    both, union = np.intersect1d(a, b, assume_unique=True), np.union1d(a, b)
+    if len(a) == SKETCH or len(b) == SKETCH:
+        union = union[:SKETCH]
+        both = both[: np.searchsorted(both, union[-1], side="right")]
+    return len(both) / max(len(union), 1)
+
+
+def candidates(wide: DataFrame) -> DataFrame:
+    """Pairs (a, b) of ``wide`` (r, fps) with a common key.
+
+    Buckets of up to ``GROUP`` rows are paired whole. The rows of a larger one are paired with its most central row
+    (the one whose buckets are largest) and in small groups that are dealt anew for each of a row's keys, so a large
+    family is tied together by very many short links instead of all its pairs.
+    """
+    keys = stored(wide.select("r", "fps").mapInArrow(_wide_keys, "r long, key long"), "wide-keys")
+    counts = stored(keys.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1"), "wide-counts")
+    shared = stored(keys.join(counts, "key"), "wide-shared")
+    score = stored(shared.filter(F.col("n") > GROUP).groupBy("r").agg(F.sum("n").alias("score")), "wide-scores")
+    hubs = shared.filter(F.col("n") > GROUP).join(score, "r").groupBy("key").agg(F.max(F.struct("score", "r"))["r"].alias("hub"))
+    starred = shared.filter(F.col("n") > GROUP).join(stored(hubs, "wide-hubs"), "key").select(F.col("r").alias("a"), F.col("hub").alias("b"))
+    part = F.pmod(F.xxhash64("r", "key"), F.ceil(F.col("n") / GROUP))
+    grouped = shared.groupBy("key", part.alias("part")).agg(F.array_sort(F.collect_list("r")).alias("rs"))
+    pair = F.transform("rs", lambda a: F.transform(F.filter("rs", lambda b: b > a), lambda b: F.struct(a.alias("a"), b.alias("b"))))
+    paired = grouped.filter(F.size("rs") > 1).select(F.inline(F.flatten(pair)))
+    both = paired.unionByName(starred).filter("a <> b")
+    return stored(both.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "wide-pairs")
+
+
+def verified(pairs: DataFrame, wide: DataFrame, similarity: float) -> DataFrame:
+    """The pairs whose shingle sets are at least that similar."""
+
+    def rows(batches):
+        for batch in batches:
+            a, b = (batch.column(k).to_pylist() for k in (2, 3))
+            keep = [jaccard(np.frombuffer(x, "<u4"), np.frombuffer(y, "<u4")) >= similarity for x, y in zip(a, b)]
+            yield pa.RecordBatch.from_arrays([batch.column(0).filter(pa.array(keep, pa.bool_())), batch.column(1).filter(pa.array(keep, pa.bool_()))], ["a", "b"])
+
+    far = lambda x, y: F.aggregate(F.zip_with(x, y, lambda i, j: F.bit_count(i.bitwiseXOR(j))), F.lit(0), lambda s, v: s + v)
+    left = wide.select(F.col("r").alias("a"), F.col("fps").alias("fa"), F.col("sketch").alias("sa"))
+    right = wide.select(F.col("r").alias("b"), F.col("fps").alias("fb"), F.col("sketch").alias("sb"))
+    near = stored(pairs.join(left, "a"), "wide-left").join(right, "b").filter(far("fa", "fb") <= 0.2 * 64 * VIEWS)
+    return near.select("a", "b", "sa", "sb").mapInArrow(rows, "a long, b long")
+
+
+def similar_groups(docs: DataFrame, size: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``docs`` with ``__first``: whether the row is the first of its group of near-duplicates, by id and row number.
+
+    Texts with the same words (capitals folded) are one class. Classes link when the Jaccard similarity of their
+    shingle sets is at least ``similarity``. Candidates share a key in one of ``VIEWS`` wide fingerprints over the
+    distinct words: ``EXACT`` untouched bits with a Golay index of 23 further bits. Unlike the links of ``links``, this
+    is a probable search: a pair at the threshold is found with about 0.9, a closer one with nearly 1; similarity is
+    exact up to ``SKETCH`` shingles and an estimate from the least ``SKETCH`` hashes beyond.
+    """
+    row = fresh(docs, "__row")
+    own = stored(identified(docs, row), "similar-documents")
+    made = stored(wide_fingerprints(own.select(q(row).alias("__row"), q(id_col).cast("long").alias("id"), q(text_col).alias("text")), size), "similar-wide")
+    order = [F.col("id").isNull().alias("last"), F.col("id"), F.col("__row")]
+    least = made.groupBy("c1", "c2").agg(F.min(F.struct(*order, "fps", "sketch")).alias("x"))
+    wide = stored(least.select("x.last", "x.id", F.col("x.__row").alias("r"), "x.fps", "x.sketch"), "similar-classes")
+    groups = components(verified(candidates(wide), wide, similarity))
+    named = wide.select("r", "last", "id").join(groups.withColumnRenamed("node", "r"), "r", "left")
+    first = named.groupBy(F.coalesce("root", "r").alias("root")).agg(F.min(F.struct("last", "id", "r"))["r"].alias(row)).select(row)
+    first = first.withColumn(fresh(docs, "__first"), F.lit(True))
+    return own.join(first, row, "left").withColumn("__first", F.coalesce(q(fresh(docs, "__first")), F.lit(False)))
+
+
+def keep_first(docs: DataFrame, **options) -> DataFrame:
+    """``docs`` with one document of each group of near-duplicates."""
+    return similar_groups(docs, **options).filter("__first").select(*[q(c) for c in docs.columns])
