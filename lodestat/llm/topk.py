@@ -31,9 +31,10 @@ from pyspark.sql import functions as F
 from lodestat.llm.common import identified, q, stored
 
 SHARD = 4096
-LEAF = 32
-QUERY_LEAF = 8
-FANOUT = 48
+LEAF = 256
+QUERY_LEAF = 64
+FANOUT = 8
+PAIRS = 10_000
 SAMPLE = 2048
 PIVOTS = 64
 BLOCK = 2048
@@ -114,16 +115,20 @@ class Best:
 
     def add(self, queries: np.ndarray, score: np.ndarray, ids: np.ndarray, rows: np.ndarray) -> None:
         score = np.where(rows[None, :] == self.rows[queries][:, None], -np.inf, score)
-        better = (score >= self.kth[queries][:, None]).any(axis=1) & (score > -np.inf).any(axis=1)
-        if not better.any():
+        at, column = np.nonzero((score >= self.kth[queries][:, None]) & (score > -np.inf))
+        if not len(at):
             return
-        queries, score = queries[better], score[better]
-        all_score = np.concatenate([self.score[queries], score], axis=1)
-        all_id = np.concatenate([self.id[queries], np.broadcast_to(ids, score.shape)], axis=1)
-        top = np.lexsort((all_id, -all_score), axis=1)[:, : self.k]
-        self.score[queries] = np.take_along_axis(all_score, top, axis=1)
-        self.id[queries] = np.take_along_axis(all_id, top, axis=1)
-        self.kth[queries] = np.maximum(self.floor[queries], self.score[queries, -1])
+        # The rows that gain something, with what they hold and what is new, ordered by row, score and id.
+        hit = np.unique(at)
+        row = np.concatenate([np.repeat(hit, self.k), at])
+        all_score = np.concatenate([self.score[queries[hit]].ravel(), score[at, column]])
+        all_id = np.concatenate([self.id[queries[hit]].ravel(), ids[column]])
+        order = np.lexsort((all_id, -all_score, row))
+        first = np.searchsorted(row[order], hit)
+        top = order[first[:, None] + np.arange(self.k)]
+        own = queries[hit]
+        self.score[own], self.id[own] = all_score[top], all_id[top]
+        self.kth[own] = np.maximum(self.floor[own], self.score[own, -1])
 
 
 def search(queries: CoverTree, data: CoverTree, ids: np.ndarray, rows: np.ndarray, best: Best) -> None:
@@ -139,9 +144,13 @@ def search(queries: CoverTree, data: CoverTree, ids: np.ndarray, rows: np.ndarra
         bound = dot + queries.norm[a] * rd + data.norm[b] * rq + rq * rd
         return bound + 1e-9 * np.abs(bound) + 1e-6
 
-    a, b, leaves = np.zeros(1, np.int64), np.zeros(1, np.int64), []
+    todo, leaves = [(np.zeros(1, np.int64), np.zeros(1, np.int64))], []
     floor = least()
-    while len(a):
+    while todo:
+        a, b = todo.pop()
+        if len(a) > PAIRS:
+            todo.append((a[PAIRS:], b[PAIRS:]))
+            a, b = a[:PAIRS], b[:PAIRS]
         bound = bounds(a, b)
         alive = bound >= floor[a]
         a, b, bound = a[alive], b[alive], bound[alive]
@@ -154,7 +163,8 @@ def search(queries: CoverTree, data: CoverTree, ids: np.ndarray, rows: np.ndarra
             below = queries.children[x] if s else data.children[y]
             next_a += below if s else [x] * len(below)
             next_b += [y] * len(below) if s else below
-        a, b = np.array(next_a, np.int64), np.array(next_b, np.int64)
+        if next_a:
+            todo.append((np.array(next_a, np.int64), np.array(next_b, np.int64)))
     a, b, bound = (np.concatenate(x) for x in zip(*leaves))
     for i in np.argsort(-bound, kind="stable").tolist():
         own = queries.order[queries.first[a[i]] : queries.last[a[i]]]

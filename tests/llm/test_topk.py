@@ -42,7 +42,7 @@ def test_empty(spark):
 def test_pruning_skips_far_pairs():
     rng = np.random.default_rng(0)
     points = np.floor(256 * (np.repeat(rng.normal(size=(20, 16)) * 3, 50, axis=0) + rng.normal(size=(1000, 16)) * 0.05))
-    data, queries = T.CoverTree(points), T.CoverTree(points[::50], 2)
+    data, queries = T.CoverTree(points, 32), T.CoverTree(points[::50], 2)
     scores = points[::50] @ points.T
     scores[np.arange(20), np.arange(0, 1000, 50)] = -np.inf
     best = T.Best(np.arange(0, 1000, 50), np.full(20, -np.inf), 5)
