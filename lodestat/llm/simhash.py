@@ -152,7 +152,8 @@ def links(prints: DataFrame, bucket: int = BUCKET) -> DataFrame:
     pair = F.transform("fps", lambda a: F.transform(F.filter("fps", lambda b: (b > a) & (F.bit_count(a.bitwiseXOR(b)) <= 2)), lambda b: F.struct(a.alias("a"), b.alias("b"))))
     paired = small.select(F.inline(F.flatten(pair)))
     crowded = shared.filter(F.col("n") > bucket).select("fp").distinct()
-    near = F.array(F.col("fp"), *[F.col("fp").bitwiseXOR(F.shiftleft(F.lit(1).cast("long"), k)) for k in range(64)])
+    flips = F.expr("transform(sequence(0, 63), k -> fp ^ shiftleft(1L, k))")
+    near = F.concat(F.array("fp"), flips)
     middles = crowded.select("fp", F.explode(near).alias("m")).groupBy("m").agg(F.collect_list("fp").alias("fps")).filter(F.size("fps") > 1)
     starred = middles.select(F.array_min("fps").alias("a"), F.explode("fps").alias("b")).filter("a <> b")
     return paired.unionByName(starred)
