@@ -93,3 +93,15 @@ def rounded(df: DataFrame, digits: int = 4, **per_column: int) -> DataFrame:
             c = F.when(~F.isnan(c), F.round(c.cast("double"), per_column.get(f.name, digits)) + F.lit(0.0))
         out.append(c.alias(f.name))
     return df.select(*out)
+
+
+# Text date formats beyond ISO, in order of trial (month first before day first).
+DATE_FORMATS = (
+    "M/d/yyyy[ H:mm[:ss]]", "d/M/yyyy[ H:mm[:ss]]", "yyyy/M/d[ H:mm[:ss]]", "d.M.yyyy[ H:mm[:ss]]", "M-d-yyyy", "d-M-yyyy",
+    "MMM d, yyyy", "MMMM d, yyyy", "d MMM yyyy", "d MMMM yyyy", "d-MMM-yyyy",
+)
+
+
+def parsed_time(c: Column) -> Column:
+    """Timestamp of a text in ISO form or one of ``DATE_FORMATS``; NULL where none fits."""
+    return F.coalesce(F.try_to_timestamp(c), *[F.try_to_timestamp(F.trim(c), F.lit(f)) for f in DATE_FORMATS])

@@ -398,15 +398,25 @@ def hierarchical(
 ) -> tuple[DataFrame, DataFrame]:
     """Agglomerative clustering for k = 2 .. 10, best silhouette.
 
-    All rows are reduced to at most ``micro`` weighted k-means centres; merging those is a fixed-size step.
+    Merging is a step over at most ``micro`` weighted centres: the distinct points themselves where there are no more
+    of them, which gives the exact tree, else k-means centres of all rows.
     """
-    data = _vectors(rows)
     n = rows.count()
-    model = MC.KMeans(k=min(micro, max(2, n // 2)), seed=seed, featuresCol="__v", predictionCol="__m").fit(data)
-    placed = materialize(model.transform(data).select(id_col, "features", "__m"), "micro-clusters")
+    distinct = rows.select("features").distinct().limit(micro + 1).collect()  # at most micro + 1 points
+    if len(distinct) <= micro:
+        points = sorted([float(v) for v in r["features"]] for r in distinct)
+        named = rows.sparkSession.createDataFrame([(p, i) for i, p in enumerate(points)], "x array<double>, `__m` int")
+        keyed = rows.withColumn("x", F.transform("features", lambda v: v.cast("double")))
+        placed = materialize(keyed.join(F.broadcast(named), "x").select(id_col, "features", "__m"), "micro-clusters")
+        at = points
+    else:
+        data = _vectors(rows)
+        model = MC.KMeans(k=micro, seed=seed, featuresCol="__v", predictionCol="__m").fit(data)
+        placed = materialize(model.transform(data).select(id_col, "features", "__m"), "micro-clusters")
+        at = model.clusterCenters()
     sizes = {r["__m"]: r["count"] for r in placed.groupBy("__m").count().collect()}
     ids = sorted(sizes)
-    centres = np.array([model.clusterCenters()[i] for i in ids])
+    centres = np.array([at[i] for i in ids])
     merges = _merge_tree(centres, np.array([sizes[i] for i in ids]), linkage)
     ks = [k for k in (ks or range(2, max_clusters(n, 10) + 1)) if k <= len(ids)]
 
@@ -445,6 +455,28 @@ def spectral(rows: DataFrame, id_col: str, ks: Sequence[int] | None = None, neig
     return _sweep(rows, id_col, list(ks), "spectral", assign)
 
 
+def cluster_all(rows: DataFrame, id_col: str, algorithms: Sequence[str] = ("kmeans", "density", "hierarchical")) -> tuple[DataFrame, DataFrame]:
+    """Run several clusterings and keep the best: its assignment, and (algorithm, silhouette, error) of each.
+
+    An algorithm that fails is skipped with its message; if all fail, so does the call.
+    """
+    runs = {"kmeans": kmeans_sweep, "density": dbscan_search, "hierarchical": hierarchical, "gmm": gmm_sweep, "spectral": spectral}
+    found, table = {}, []
+    for name in algorithms:
+        try:
+            assigned, scores = runs[name](rows, id_col)
+            value = scores.agg(F.max("silhouette")).first()[0]
+            found[name] = assigned
+            table.append((name, value, None))
+        except (ValueError, ArithmeticError) as problem:
+            table.append((name, None, str(problem)))
+    results = rows.sparkSession.createDataFrame(table, "algorithm string, silhouette double, error string")
+    if not found:
+        raise ValueError("no clustering succeeded")
+    best = max((r for r in table if r[0] in found), key=lambda r: (-math.inf if r[1] is None else r[1]))
+    return found[best[0]], results
+
+
 def best_clustering(results: DataFrame) -> DataFrame:
     """The row with the highest silhouette (ties by algorithm name)."""
     rest = [c for c in results.columns if c not in ("silhouette", "algorithm")]

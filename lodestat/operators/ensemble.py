@@ -25,7 +25,8 @@ SPACES = {
     "forest": {"trees": ("int", 50, 200), "depth": ("int", 3, 25)},
     "mlp": {"hidden": [(128,), (128, 64), (256, 128, 64)], "learning_rate": ("log", 1e-4, 1e-1)},
 }
-MAX_TRIALS, FEW_ROWS, FEW_TRIALS = 20, 100, 5
+# Fixed values.
+DEFAULT_TRIALS, FEW_ROWS, FEW_TRIALS = 20, 100, 5
 
 
 def draws(space: dict, trials: int, seed: int = 42) -> list[dict]:
@@ -45,37 +46,43 @@ def draws(space: dict, trials: int, seed: int = 42) -> list[dict]:
     return [{name: one(spec) for name, spec in space.items()} for _ in range(trials)]
 
 
-def around(preset: dict) -> dict:
-    """Search space close to a preset's values."""
-    space = {}
-    for name, value in preset.items():
-        if name == "rate":
-            space[name] = ("float", value * 0.5, value * 2)
-        elif name == "rounds":
-            space[name] = ("int", max(50, value - 100), value + 200)
-        elif name == "trees":
-            space[name] = ("int", max(10, value - 50), value + 100)
-        elif name == "depth":
-            space[name] = ("int", max(3, value - 5), value + 10)
-        elif name == "learning_rate":
-            space[name] = ("log", value * 0.1, value * 10)
-        else:
-            space[name] = [value]
-    return space
+# How far a preset's value may move, as (kind, (factor, shift) down, (factor, shift) up, least).
+MOVES = {
+    "rate": ("float", (0.5, 0), (2, 0), 0),
+    "rounds": ("int", (1, -100), (1, 200), 50),
+    "trees": ("int", (1, -50), (1, 100), 10),
+    "depth": ("int", (1, -5), (1, 10), 3),
+    "learning_rate": ("log", (0.1, 0), (10, 0), 0),
+}
+
+
+def near(preset: dict) -> dict:
+    """Search space close to a preset's values; what has no rule keeps its value."""
+
+    def space(name: str, value: object) -> object:
+        if name not in MOVES:
+            return [value]
+        kind, down, up, least = MOVES[name]
+        low, high = (factor * value + shift for factor, shift in (down, up))
+        return kind, max(least, low), high
+
+    return {name: space(name, value) for name, value in preset.items()}
 
 
 TRIAL_SCHEMA = "trial int, family string, params string, score double"
 
 
 def tune(
-    prepared: Prepared, family: str, space: dict | None = None, trials: int = MAX_TRIALS, metric: str = "f1", seed: int = 42, parallelism: int = 2
+    prepared: Prepared, family: str, space: dict | None = None, trials: int | None = None, metric: str = "f1", seed: int = 42, parallelism: int = 2
 ) -> tuple[DataFrame, Model, dict]:
     """Random search on one holdout: trial table, best model and its parameters.
 
-    At most 20 trials, 5 below 100 training rows; each fit is a distributed job, a few run side by side.
+    ``trials`` are made as asked; by default 20, or 5 below 100 training rows. Each fit is a distributed job, a few
+    run side by side.
     """
     sign = metric_sign(metric)
-    trials = min(trials, MAX_TRIALS, FEW_TRIALS if prepared.n_rows < FEW_ROWS else MAX_TRIALS)
+    if trials is None:
+        trials = FEW_TRIALS if prepared.n_rows < FEW_ROWS else DEFAULT_TRIALS
     candidates = draws(space if space is not None else SPACES[family], trials, seed)
     spark = prepared.train.sparkSession
 

@@ -68,7 +68,7 @@ def shapley_sampling(
     width = len(held.first()["z"])
     work = x.withColumn("perm", F.explode(F.sequence(F.lit(0), F.lit(permutations - 1))))
     work = work.withColumn("slot", F.pmod(F.xxhash64("id", "perm", F.lit(seed)), F.lit(size)))
-    work = work.join(F.broadcast(numbered), "slot") if size <= 10_000 else work.join(numbered, "slot")
+    work = work.join(numbered, "slot")
     hashes = F.transform(F.sequence(F.lit(0), F.lit(width - 1)), lambda j: F.struct(F.xxhash64("id", "perm", j, F.lit(seed + 1)).alias("h"), j.alias("j")))
     order = F.transform(F.array_sort(hashes), lambda e: e["j"])
     work = work.withColumn("order", order).withColumn("step", F.explode(F.sequence(F.lit(0), F.lit(width))))
@@ -127,28 +127,28 @@ def top_features(importance: DataFrame, k: int = 10) -> DataFrame:
 
 
 def explain(model: Model, rows: DataFrame, id_col: str, task: str, metric: str = "f1", n: int = 1000, method: str | None = None) -> DataFrame:
-    """(feature index, importance, method) on a seeded sample.
+    """(feature index, importance, method); ``n`` is the number of sampled rows that Shapley values are made for.
 
-    Models with coefficients get the exact additive attribution; others sampled Shapley values, or
-    permutation importance on request.
+    Models with coefficients get the exact additive attribution over all rows; others sampled Shapley values, or
+    permutation importance over all rows on request.
     """
-    sample = materialize(explain_sample(rows, [id_col], n), "explain-sample")
     coefficients = getattr(model, "coefficients", None)
     if method is None:
         method = "additive" if coefficients is not None and getattr(model, "numClasses", 2) <= 2 else "shapley"
     if method == "additive":
         weights = [(i, float(w)) for i, w in enumerate(coefficients.toArray())]
-        w = sample.sparkSession.createDataFrame(weights, "feature int, weight double")
-        cells = sample.select(F.posexplode(vector_to_array("features")).alias("feature", "x"))
+        w = rows.sparkSession.createDataFrame(weights, "feature int, weight double")
+        cells = rows.select(F.posexplode(vector_to_array("features")).alias("feature", "x"))
         means = cells.groupBy("feature").agg(F.avg("x").alias("mean"))
         fitted = w.join(means, "feature")
         out = cells.join(F.broadcast(fitted), "feature").groupBy("feature").agg(
             F.avg(F.abs(F.col("weight") * (F.col("x") - F.col("mean")))).alias("importance")
         )
     elif method == "shapley":
+        sample = materialize(explain_sample(rows, [id_col], n), "explain-sample")
         out = mean_abs(shapley_sampling(model, sample, explain_sample(sample, [id_col], 100, 7), id_col, permutations=4))
     elif method == "permutation":
-        out = permutation_importance(model, sample, id_col, task, metric).select("feature", "importance")
+        out = permutation_importance(model, rows, id_col, task, metric).select("feature", "importance")
     else:
         raise ValueError(f"unknown method {method!r}")
     return out.select("feature", "importance", F.lit(method).alias("method"))

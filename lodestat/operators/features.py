@@ -10,13 +10,14 @@ from __future__ import annotations
 import re
 from collections.abc import Sequence
 
+from pyspark.ml.feature import OneHotEncoder
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestat.functions.columns import NUMERIC, TEXT, columns_of_kind, present_number, q
 from lodestat.operators.profile import column_quantiles, iqr_bounds, numeric_long, top_values
 from lodestat.plans.quantiles import exact_quantiles
-from lodestat.plans.skew import fitted_join, join_on, salted_join, with_position
+from lodestat.plans.skew import fitted_join, salted_join, with_position
 from lodestat.session import materialize
 
 MAX_CATEGORIES = 1000
@@ -135,13 +136,32 @@ def categories(df: DataFrame, column: str) -> list[str]:
 
 
 def one_hot(df: DataFrame, columns: Sequence[str], fit_on: DataFrame | None = None) -> DataFrame:
-    """One 0/1 column per fitted category; unknown values are all zeros."""
-    out = df
+    """One 0/1 column per fitted category; unknown values are all zeros.
+
+    Column names are the cleaned values; where two columns would share a name, the category's number is appended.
+    For columns of very many categories see ``one_hot_vector``.
+    """
+    kept = [c for c in df.columns if c not in set(columns)]
+    taken, flags = {c.lower() for c in kept}, []
     for c in columns:
-        for value in categories(fit_on or df, c):
-            flag = F.coalesce((q(c).cast("string") == value).cast("int"), F.lit(0))
-            out = out.withColumn(f"{c}_{re.sub('[^0-9A-Za-z]+', '_', value)}", flag)
-    return out.drop(*columns)
+        for code, value in enumerate(categories(fit_on or df, c)):
+            name = f"{c}_{re.sub('[^0-9A-Za-z]+', '_', value)}"
+            while name.lower() in taken:
+                name = f"{name}_{code}"
+            taken.add(name.lower())
+            flags.append(F.coalesce((q(c).cast("string") == value).cast("int"), F.lit(0)).alias(name))
+    return df.select(*[q(c) for c in kept], *flags)
+
+
+def one_hot_vector(df: DataFrame, column: str, fit_on: DataFrame | None = None) -> DataFrame:
+    """A sparse 0/1 vector per row as ``<column>_vector``, for any number of categories; unknown values are all zeros."""
+    coded = label_encode(df, column, fit_on)
+    size = (fit_on or df).select(q(column)).filter(q(column).isNotNull()).distinct().count()
+    code = F.coalesce(q(f"{column}_code"), F.lit(size)).cast("double")
+    coded = coded.withColumn("__code", code)
+    spark = df.sparkSession
+    encoder = OneHotEncoder(inputCols=["__code"], outputCols=[f"{column}_vector"], dropLast=True)
+    return encoder.fit(spark.createDataFrame([(float(size),)], "__code double")).transform(coded).drop("__code", f"{column}_code")
 
 
 def target_encode(df: DataFrame, column: str, target: str, fit_on: DataFrame | None = None) -> DataFrame:
@@ -168,11 +188,6 @@ def label_encode(df: DataFrame, column: str, fit_on: DataFrame | None = None) ->
     running total of earlier partitions.
     """
     values = (fit_on or df).select(column).filter(q(column).isNotNull()).distinct()
-    n = values.count()
-    if n <= MAX_CATEGORIES:
-        ordered = F.array_sort(F.collect_list(column))
-        codes = values.agg(ordered.alias("v")).select(F.posexplode("v").alias(f"{column}_code", column))
-        return join_on(df, F.broadcast(codes.select(column, F.col(f"{column}_code").cast("long"))), [column], "left")
     # The written table fixes which values share a range, so counts and row numbers agree.
     ranges = materialize(values.repartitionByRange(column).withColumn("__p", F.spark_partition_id()), "label-ranges")
     before = Window.partitionBy("__all").orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)

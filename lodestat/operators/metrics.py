@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from lodestat.plans.blocks import block_pairs
 from lodestat.plans.skew import join_on, salted_join, with_frames, with_position
+from lodestat.session import materialize
 
 
 def confusion(df: DataFrame, y: str = "y", p: str = "p", keys: Sequence[str] = ()) -> DataFrame:
@@ -213,8 +214,8 @@ def silhouette(
 
     The mean squared distance of a point to a cluster follows from the cluster's size, sum vector and
     sum of squared norms, so no pair of points is formed. The cluster table is broadcast while it has at
-    most ``CLUSTERS_AT_ONCE`` rows; beyond that it is matched in packs of that size, which needs
-    ``id_col`` to put a row's packs together again.
+    most ``CLUSTERS_AT_ONCE`` rows; beyond that it is matched in packs of that size, and a row's packs are put
+    together again by ``id_col`` (numbered and written first if not given).
     """
     m = cluster_moments(df, features, label)
     ordered = F.array_sort(F.collect_list(F.struct("i", "s")))
@@ -229,12 +230,12 @@ def silhouette(
         .groupBy("pack")
         .agg(F.collect_list(F.struct("label", "n", "s", "ss")).alias("clusters"))
     )
+    if packs > 1 and id_col is None:
+        id_col, df = "__own", materialize(df.withColumn("__own", F.monotonically_increasing_id()), "silhouette-rows")
     ids = [F.col(id_col).alias("id")] if id_col else []
     rows = df.select(*ids, F.col(label).alias("label"), F.transform(features, lambda v: v.cast("double")).alias("__x"))
     if packs == 1:
         rows = rows.crossJoin(F.broadcast(packed.drop("pack")))
-    elif id_col is None:
-        raise ValueError(f"more than {CLUSTERS_AT_ONCE} clusters: give id_col")
     else:
         rows = rows.withColumn("pack", F.explode(F.sequence(F.lit(0), F.lit(packs - 1))))
         rows = salted_join(rows, packed, ["pack"], "inner")

@@ -38,18 +38,24 @@ BOOSTING_PRESETS = {
 LOGISTIC_PRESETS = {"l2": {"C": 1.0, "penalty": "l2"}, "l1": {"C": 1.0, "penalty": "l1"}}
 
 
+# Per size, the first layer as (multiple of the features, least, most) and the least width of each
+# further layer, which halves the one before it.
+LAYER_RULES = {
+    "simple": ((2, 32, 128), ()),
+    "balanced": ((3, 64, 256), (32,)),
+    "complex": ((4, 128, 512), (64, 32)),
+}
+
+
 def mlp_layers(n_features: int, size: str = "simple") -> list[int]:
     """Hidden layer widths derived from the feature count."""
-    if size == "simple":
-        return [min(128, max(32, n_features * 2))]
-    if size == "balanced":
-        first = min(256, max(64, n_features * 3))
-        return [first, max(32, first // 2)]
-    if size == "complex":
-        first = min(512, max(128, n_features * 4))
-        second = max(64, first // 2)
-        return [first, second, max(32, second // 2)]
-    raise ValueError(f"unknown layer preset {size!r}")
+    if size not in LAYER_RULES:
+        raise ValueError(f"unknown layer preset {size!r}")
+    (multiple, least, most), narrower = LAYER_RULES[size]
+    widths = [sorted((least, multiple * n_features, most))[1]]
+    for floor in narrower:
+        widths.append(max(floor, widths[-1] // 2))
+    return widths
 
 
 def _literal(value: object) -> str:
@@ -115,8 +121,13 @@ def label_stage(target: str, task: str, label: str = "label") -> object:
 
 
 def logistic(c: float = 1.0, penalty: str = "l2", n: int = 1000, max_iter: int = 2000, tol: float = 1e-4, **_: object) -> C.LogisticRegression:
-    """Logistic regression; C is the inverse penalty on the summed loss, as for n training rows."""
-    return C.LogisticRegression(maxIter=max_iter, tol=tol, regParam=1.0 / (c * n), elasticNetParam=1.0 if penalty == "l1" else 0.0)
+    """Logistic regression; C is the inverse penalty on the summed loss, as for n training rows.
+
+    Features come scaled where they should be, so the penalty is on their coefficients as they are.
+    """
+    return C.LogisticRegression(
+        maxIter=max_iter, tol=tol, regParam=1.0 / (c * n), elasticNetParam=1.0 if penalty == "l1" else 0.0, standardization=False
+    )
 
 
 def make_model(family: str, task: str, n_classes: int = 2, n_features: int = 0, n_rows: int = 1000, seed: int = 42, **p: object) -> Estimator:
@@ -127,9 +138,9 @@ def make_model(family: str, task: str, n_classes: int = 2, n_features: int = 0,
     if family in ("linear", "baseline") and not classify:
         return R.LinearRegression(regParam=0.0)
     if family in ("ridge", "l2") and not classify:
-        return R.LinearRegression(regParam=float(p.get("alpha", 1.0)) / n_rows, elasticNetParam=0.0)
+        return R.LinearRegression(regParam=float(p.get("alpha", 1.0)) / n_rows, elasticNetParam=0.0, standardization=False)
     if family in ("lasso", "l1") and not classify:
-        return R.LinearRegression(regParam=float(p.get("alpha", 1.0)), elasticNetParam=1.0)
+        return R.LinearRegression(regParam=float(p.get("alpha", 1.0)), elasticNetParam=1.0, standardization=False)
     if family == "forest":
         forest = C.RandomForestClassifier if classify else R.RandomForestRegressor
         per_leaf = max(1, int(p.get("min_split", 2)) // 2)
@@ -141,10 +152,12 @@ def make_model(family: str, task: str, n_classes: int = 2, n_features: int = 0,
     if family == "mlp" and classify:
         hidden = [int(v) for v in p.get("hidden", mlp_layers(n_features))]
         return C.MultilayerPerceptronClassifier(
-            layers=[n_features, *hidden, n_classes], maxIter=int(p.get("max_iter", 100)), stepSize=float(p.get("learning_rate", 0.03)), seed=seed
+            layers=[n_features, *hidden, n_classes], maxIter=int(p.get("max_iter", 100)), seed=seed,
+            # Steps of a given size are plain gradient descent; without one the solver finds its own.
+            **({"solver": "gd", "stepSize": float(p["learning_rate"])} if "learning_rate" in p else {}),
         )
     if family == "linear_svm" and classify:
-        model = C.LinearSVC(regParam=1.0 / (float(p.get("C", 1.0)) * n_rows), maxIter=int(p.get("max_iter", 100)))
+        model = C.LinearSVC(regParam=1.0 / (float(p.get("C", 1.0)) * n_rows), maxIter=int(p.get("max_iter", 100)), standardization=False)
         return C.OneVsRest(classifier=model) if n_classes > 2 else model
     if family == "gaussian_nb" and classify:
         return C.NaiveBayes(modelType="gaussian")
@@ -335,10 +348,13 @@ def isolation_forest(
     """Anomaly score per row and a flag for the highest ``contamination`` share (Liu, Ting and Zhou 2008).
 
     Every tree grows from about 256 rows drawn by hash, so building is one small group per tree; the
-    forest itself has a fixed size bound and travels with the scoring code.
+    forest itself has a fixed size bound and travels with the scoring code. Missing values count as the
+    column's median (0 if it has no value).
     """
     columns = list(columns)
-    rows = df.select(F.col(id_col).alias("id"), F.array(*[q(c).cast("double") for c in columns]).alias("x"))
+    medians = {r["column_name"]: r["median"] for r in column_quantiles(df, {"median": 0.5}, columns).collect()}
+    filled = [F.coalesce(F.nanvl(q(c).cast("double"), F.lit(None)), F.lit(float(medians.get(c) or 0.0))) for c in columns]
+    rows = df.select(F.col(id_col).alias("id"), F.array(*filled).alias("x"))
     n = rows.count()
     rate = trees * ISOLATION_SAMPLE / max(1, n)
     whole, rest = int(rate), rate - int(rate)
@@ -378,7 +394,7 @@ def isolation_forest(
             yield pd.DataFrame({"id": batch["id"], "score": score})
 
     id_type = rows.schema["id"].dataType.simpleString()
-    scored = rows.mapInPandas(rate_rows, f"id {id_type}, score double")
+    scored = materialize(rows.mapInPandas(rate_rows, f"id {id_type}, score double"), "isolation-scores")
     cut = exact_quantiles(scored, [], "score", {"cut": 1 - contamination}).select("cut")
     return scored.crossJoin(F.broadcast(cut)).select(  # one-row side
         F.col("id").alias(id_col), "score", (F.col("score") > F.col("cut")).alias("is_anomaly")

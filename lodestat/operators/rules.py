@@ -19,6 +19,7 @@ from lodestat.functions.columns import (
     present_number,
     q,
     sample_skewness,
+    parsed_time,
 )
 from lodestat.operators.profile import null_profile, profile_table
 from lodestat.plans.skew import join_on, with_cumulative, with_position
@@ -320,7 +321,10 @@ def _contains_any(c: Column, words: Sequence[str]) -> Column:
 
 
 def rank_targets(df: DataFrame) -> DataFrame:
-    """Candidate targets by score, best first; distinct counts come from the whole table."""
+    """Candidate targets by score, best first; distinct counts come from the whole table.
+
+    If no column scores, the last column is the one candidate, with score 0.
+    """
     p = profile_table(df, parts=COUNTS_ONLY).filter(~_contains_any(F.col("column_name"), NON_TARGET_HINTS))
     n = F.col("n_unique")
     present = F.col("n_rows") - F.col("n_raw_null")
@@ -330,12 +334,11 @@ def rank_targets(df: DataFrame) -> DataFrame:
         + F.when((n >= 2) & (n <= F.least(F.lit(20.0), present * 0.8)), 3).otherwise(0)
         + F.when(n == 2, 2).otherwise(0)
     )
-    return (
-        p.withColumn("score", score)
-        .filter(F.col("score") > 0)
-        .select("column_name", "score", "position")
-        .orderBy(F.desc("score"), "position")
-    )
+    ranked = p.withColumn("score", score).filter(F.col("score") > 0).select("column_name", "score", "position")
+    last = [(df.columns[-1], 0, len(df.columns) - 1)]
+    fallback = df.sparkSession.createDataFrame(last, ranked.schema)
+    none = ranked.agg(F.count(F.lit(1)).alias("__n")).filter(F.col("__n") == 0)
+    return ranked.unionByName(fallback.crossJoin(F.broadcast(none)).drop("__n")).orderBy(F.desc("score"), "position")  # one-row sides
 
 
 def detect_date_columns(df: DataFrame) -> DataFrame:
@@ -343,8 +346,8 @@ def detect_date_columns(df: DataFrame) -> DataFrame:
     text = columns_of_kind(df, TEXT)
     parsed = {}
     for c in text:
-        shaped = (F.length(q(c)) >= 8) & q(c).rlike("[-/ ]")
-        parsed[c] = F.avg(F.when(q(c).isNotNull(), (shaped & F.try_to_timestamp(q(c)).isNotNull()).cast("double")))
+        shaped = (F.length(q(c)) >= 8) & q(c).rlike("[-/. ]")
+        parsed[c] = F.avg(F.when(q(c).isNotNull(), (shaped & parsed_time(q(c)).isNotNull()).cast("double")))
     wide = df.agg(F.count(F.lit(1)).alias("n_rows"), *[e.alias(f"__{i}") for i, e in enumerate(parsed.values())])
     index = {c: i for i, c in enumerate(parsed)}
     cells = []
@@ -394,7 +397,7 @@ def suggest_tasks(df: DataFrame, limit: int = 5) -> DataFrame:
     p = profile_table(df, parts=COUNTS_ONLY)
     dated = any(
         kind_of(f.dataType) == "datetime" or any(h in f.name.lower() for h in DATE_HINTS) for f in df.schema.fields
-    )
+    ) or bool(columns_of_kind(df, TEXT) and not detect_date_columns(df).isEmpty())
     number, n = F.col("kind") == NUMERIC, F.col("n_unique")
     key_like = F.col("is_unique_id") | _contains_any(F.col("column_name"), ("id", "key"))
     order = Window.partitionBy("type").orderBy("position")

@@ -8,6 +8,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lodestat.functions.columns import parsed_time
 from lodestat.operators.series import acf_seasonality, detect_frequency_days
 from lodestat.plans.skew import join_on, with_carried, with_frames, with_position
 
@@ -29,7 +30,7 @@ def prepare_series(df: DataFrame, keys: Sequence[str], ts: str, y: str, tiebreak
     """Parsed times without repeats: one row per (keys, ts), the first by ``tiebreak`` (else the least value)."""
     stamp = F.col(ts)
     if df.schema[ts].dataType.typeName() == "string":
-        stamp = F.try_to_timestamp(stamp).cast("timestamp_ntz")
+        stamp = parsed_time(stamp).cast("timestamp_ntz")
     rows = df.withColumn("__ts", stamp).filter(F.col("__ts").isNotNull())
     value = F.min(y) if tiebreak is None else F.min_by(y, tiebreak)
     return rows.groupBy(*keys, F.col("__ts").alias(ts)).agg(value.alias(y))

@@ -120,13 +120,13 @@ def i5_multi(spark, sf):
 @query("i6_fit_mlp")
 def i6(spark, sf):
     p = quality(spark, sf)
-    return scored(p, I.fit(p, "mlp", hidden=(32,), max_iter=50), "doc_id")
+    return scored(p, I.fit(p, "mlp"), "doc_id")
 
 
 @query("i7_fit_linear_svm")
 def i7(spark, sf):
     p = quality(spark, sf)
-    return scored(p, I.fit(p, "linear_svm", max_iter=30), "doc_id")
+    return scored(p, I.fit(p, "linear_svm"), "doc_id")
 
 
 DIST = "sqrt(list_sum(list_transform(list_zip(t.embedding, b.embedding), lambda z: (z[1]::DOUBLE - z[2]::DOUBLE) ** 2)))"

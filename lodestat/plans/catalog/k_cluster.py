@@ -47,7 +47,7 @@ def k4_clusters(spark, sf):
 
 @query("k6_hierarchical_clusters", BLOB_CLUSTERS)
 def k6_clusters(spark, sf):
-    return by_first_member(K.hierarchical(blobs(spark, sf), "id", [2, 3, 4], micro=60)[0])
+    return by_first_member(K.hierarchical(blobs(spark, sf), "id")[0])
 
 
 @query("k1_cluster_features")
@@ -57,7 +57,7 @@ def k1(spark, sf):
 
 @query("k2_kmeans_sweep")
 def k2(spark, sf):
-    return K.kmeans_sweep(blobs(spark, sf), "id", [2, 3, 4])[1]
+    return K.kmeans_sweep(blobs(spark, sf), "id")[1]
 
 
 CENTRES = {0: (0.0, 0.0), 1: (12.0, 9.0), 2: (25.0, 15.0)}
@@ -74,7 +74,7 @@ def k2_assign(spark, sf):
 
 @query("k3_gmm_sweep")
 def k3(spark, sf):
-    return K.gmm_sweep(blobs(spark, sf), "id", [2, 3])[1]
+    return K.gmm_sweep(blobs(spark, sf), "id")[1]
 
 
 DENSITY = """RECURSIVE p AS (SELECT s_suppkey AS id, s_acctbal / 1000 AS x, s_nationkey / 4.0 AS y FROM supplier),
@@ -110,7 +110,7 @@ def k5(spark, sf):
 
 @query("k6_hierarchical")
 def k6(spark, sf):
-    return K.hierarchical(blobs(spark, sf), "id", [2, 3, 4], micro=60)[0].select("id", "label")
+    return K.hierarchical(blobs(spark, sf), "id")[0].select("id", "label")
 
 
 @query("k7_spectral")

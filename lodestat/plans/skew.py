@@ -52,25 +52,20 @@ def salted_join(rows: DataFrame, stats: DataFrame, keys: Sequence[str], how: str
     return join_on(salted, copies, [*keys, "__salt"], how).drop("__salt")
 
 
-BROADCAST_ROWS = 200_000
-
-
 def fitted_join(rows: DataFrame, stats: DataFrame, keys: Sequence[str], label: str = "fit") -> DataFrame:
-    """Left-join a fitted per-key table: written once, broadcast while its measured size is small, salted beyond."""
-    fitted = materialize(stats, label)
-    if fitted.count() <= BROADCAST_ROWS:
-        return join_on(rows, F.broadcast(fitted), keys, "left")
-    return salted_join(rows, fitted, keys, "left")
+    """Left-join a fitted per-key table, written once; the session's byte threshold decides whether it is broadcast."""
+    return salted_join(rows, materialize(stats, label), keys, "left")
 
 
-def _chunk(df: DataFrame, order: str) -> Column:
-    """Chunk number of a row: the minute of a time, or an equal slice of the range of a number."""
-    if isinstance(df.schema[order].dataType, T.NumericType):
-        lo, hi, n = df.agg(F.min(order).cast("double"), F.max(order).cast("double"), F.count(order)).first()
-        if not n or hi == lo:
-            return F.lit(0).cast("long")
-        return F.floor((F.col(order).cast("double") - lo) / ((hi - lo) / -(-n // BLOCK_ROWS)))
-    return F.floor(micros(F.col(order)) / F.lit(CHUNK_MICROS))
+def _chunked(df: DataFrame, order: str) -> DataFrame:
+    """``df`` with ``__chunk``, an order-preserving chunk number: the minute of a time, else a range of values.
+
+    Ranges are cut at sampled splitters, so outliers and long common prefixes do not crowd a chunk; the written
+    table fixes which rows share one.
+    """
+    if isinstance(df.schema[order].dataType, (T.TimestampType, T.TimestampNTZType, T.DateType)):
+        return df.withColumn("__chunk", F.floor(micros(F.col(order)) / F.lit(CHUNK_MICROS)))
+    return materialize(df.repartitionByRange(order).withColumn("__chunk", F.spark_partition_id().cast("long")), "ranges")
 
 
 def with_position(df: DataFrame, keys: Sequence[str], ts: str, name: str = "pos", size: str = "n") -> DataFrame:
@@ -79,7 +74,7 @@ def with_position(df: DataFrame, keys: Sequence[str], ts: str, name: str = "pos"
     Row numbers are taken inside (key, chunk) and shifted by the running total of earlier chunks.
     """
     keys = list(keys)
-    rows = df.withColumn("__chunk", _chunk(df, ts))
+    rows = _chunked(df, ts)
     totals = rows.groupBy(*keys, "__chunk").agg(F.count(F.lit(1)).alias("__n"))
     before = Window.partitionBy(*keys).orderBy("__chunk").rowsBetween(Window.unboundedPreceding, -1)
     offsets = totals.select(
@@ -99,7 +94,7 @@ def with_position(df: DataFrame, keys: Sequence[str], ts: str, name: str = "pos"
 def with_previous(df: DataFrame, keys: Sequence[str], ts: str, name: str = "prev_ts") -> DataFrame:
     """Previous ``ts`` of the series, looked up inside the chunk or from the chunk before it."""
     keys = list(keys)
-    rows = df.withColumn("__chunk", _chunk(df, ts))
+    rows = _chunked(df, ts)
     last = rows.groupBy(*keys, "__chunk").agg(F.max(ts).alias("__last"))
     order = Window.partitionBy(*keys).orderBy("__chunk")
     carried = last.withColumn("__carry", F.lag("__last").over(order)).drop("__last")
@@ -114,7 +109,7 @@ def with_previous(df: DataFrame, keys: Sequence[str], ts: str, name: str = "prev
 def with_cumulative(df: DataFrame, keys: Sequence[str], ts: str, weight: str, name: str) -> DataFrame:
     """Exclusive running sum of ``weight`` along the series (``ts`` distinct per key)."""
     keys = list(keys)
-    rows = df.withColumn("__chunk", _chunk(df, ts))
+    rows = _chunked(df, ts)
     totals = rows.groupBy(*keys, "__chunk").agg(F.sum(weight).alias("__w"))
     before = Window.partitionBy(*keys).orderBy("__chunk").rowsBetween(Window.unboundedPreceding, -1)
     offsets = totals.select(*keys, "__chunk", F.coalesce(F.sum("__w").over(before), F.lit(0)).alias("__off"))
