@@ -148,9 +148,10 @@ def links(prints: DataFrame, bucket: int = BUCKET) -> DataFrame:
     keys = stored(prints.mapInArrow(_keys, "fp long, key long"), "golay-keys")
     counts = stored(keys.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1"), "golay-counts")
     shared = keys.join(counts, "key")
-    small = shared.filter(F.col("n") <= bucket).groupBy("key").agg(F.array_sort(F.collect_list("fp")).alias("fps"))
-    pair = F.transform("fps", lambda a: F.transform(F.filter("fps", lambda b: (b > a) & (F.bit_count(a.bitwiseXOR(b)) <= 2)), lambda b: F.struct(a.alias("a"), b.alias("b"))))
-    paired = small.select(F.inline(F.flatten(pair)))
+    small = stored(shared.filter(F.col("n") <= bucket).select("key", "fp"), "golay-buckets")
+    other = small.select("key", F.col("fp").alias("b"))
+    near = F.bit_count(F.col("fp").bitwiseXOR(F.col("b"))) <= 2
+    paired = small.join(other, (small["key"] == other["key"]) & (F.col("fp") < F.col("b")) & near).select(F.col("fp").alias("a"), "b")
     crowded = shared.filter(F.col("n") > bucket).select("fp").distinct()
     flips = F.expr("transform(sequence(0, 63), k -> fp ^ shiftleft(1L, k))")
     near = F.concat(F.array("fp"), flips)
@@ -274,9 +275,10 @@ def candidates(wide: DataFrame) -> DataFrame:
     hubs = shared.filter(F.col("n") > GROUP).join(score, "r").groupBy("key").agg(F.max(F.struct("score", "r"))["r"].alias("hub"))
     starred = shared.filter(F.col("n") > GROUP).join(stored(hubs, "wide-hubs"), "key").select(F.col("r").alias("a"), F.col("hub").alias("b"))
     part = F.pmod(F.xxhash64("r", "key"), F.ceil(F.col("n") / GROUP))
-    grouped = shared.groupBy("key", part.alias("part")).agg(F.array_sort(F.collect_list("r")).alias("rs"))
-    pair = F.transform("rs", lambda a: F.transform(F.filter("rs", lambda b: b > a), lambda b: F.struct(a.alias("a"), b.alias("b"))))
-    paired = grouped.filter(F.size("rs") > 1).select(F.inline(F.flatten(pair)))
+    grouped = stored(shared.select("key", part.alias("part"), "r"), "wide-groups")
+    other = grouped.select("key", "part", F.col("r").alias("b"))
+    same = (grouped["key"] == other["key"]) & (grouped["part"] == other["part"]) & (grouped["r"] < F.col("b"))
+    paired = grouped.join(other, same).select(F.col("r").alias("a"), "b")
     both = paired.unionByName(starred).filter("a <> b")
     return stored(both.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "wide-pairs")
 
@@ -290,7 +292,7 @@ def verified(pairs: DataFrame, wide: DataFrame, similarity: float) -> DataFrame:
             keep = [jaccard(np.frombuffer(x, "<u4"), np.frombuffer(y, "<u4")) >= similarity for x, y in zip(a, b)]
             yield pa.RecordBatch.from_arrays([batch.column(0).filter(pa.array(keep, pa.bool_())), batch.column(1).filter(pa.array(keep, pa.bool_()))], ["a", "b"])
 
-    far = lambda x, y: F.aggregate(F.zip_with(x, y, lambda i, j: F.bit_count(i.bitwiseXOR(j))), F.lit(0), lambda s, v: s + v)
+    far = lambda x, y: sum(F.bit_count(F.col(x)[v].bitwiseXOR(F.col(y)[v])) for v in range(VIEWS))
     left = wide.select(F.col("r").alias("a"), F.col("fps").alias("fa"), F.col("sketch").alias("sa"))
     right = wide.select(F.col("r").alias("b"), F.col("fps").alias("fb"), F.col("sketch").alias("sb"))
     near = stored(pairs.join(left, "a"), "wide-left").join(right, "b").filter(far("fa", "fb") <= 0.2 * 64 * VIEWS)
