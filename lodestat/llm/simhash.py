@@ -268,7 +268,8 @@ def candidates(wide: DataFrame) -> DataFrame:
     (the one whose buckets are largest) and in small groups that are dealt anew for each of a row's keys, so a large
     family is tied together by very many short links instead of all its pairs.
     """
-    keys = stored(wide.select("r", "fps").mapInArrow(_wide_keys, "r long, key long"), "wide-keys")
+    # Made twice from the small table of classes rather than written: there are about a hundred keys a class.
+    keys = wide.select("r", "fps").mapInArrow(_wide_keys, "r long, key long")
     counts = stored(keys.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1"), "wide-counts")
     shared = stored(keys.join(counts, "key"), "wide-shared")
     score = stored(shared.filter(F.col("n") > GROUP).groupBy("r").agg(F.sum("n").alias("score")), "wide-scores")
@@ -295,11 +296,13 @@ def verified(pairs: DataFrame, wide: DataFrame, similarity: float) -> DataFrame:
     far = lambda x, y: sum(F.bit_count(F.col(x)[v].bitwiseXOR(F.col(y)[v])) for v in range(VIEWS))
     left = wide.select(F.col("r").alias("a"), F.col("fps").alias("fa"), F.col("sketch").alias("sa"))
     right = wide.select(F.col("r").alias("b"), F.col("fps").alias("fb"), F.col("sketch").alias("sb"))
-    near = stored(pairs.join(left, "a"), "wide-left").join(right, "b").filter(far("fa", "fb") <= 0.2 * 64 * VIEWS)
+    near = pairs.join(left, "a").join(right, "b").filter(far("fa", "fb") <= 0.2 * 64 * VIEWS)
     return near.select("a", "b", "sa", "sb").mapInArrow(rows, "a long, b long")
 
 
-def similar_groups(docs: DataFrame, size: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def similar_groups(
+    docs: DataFrame, size: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text", scan: bool = False
+) -> DataFrame:
     """``docs`` with ``__first``: whether the row is the first of its group of near-duplicates, by id and row number.
 
     Texts with the same words (capitals folded) are one class. Classes link when the Jaccard similarity of their
@@ -307,9 +310,13 @@ def similar_groups(docs: DataFrame, size: int = 5, similarity: float = 0.8, id_c
     distinct words: ``EXACT`` untouched bits with a Golay index of 23 further bits. Unlike the links of ``links``, this
     is a probable search: a pair at the threshold is found with about 0.9, a closer one with nearly 1; similarity is
     exact up to ``SKETCH`` shingles and an estimate from the least ``SKETCH`` hashes beyond.
+
+    Row numbers must not change between passes. They follow from the file splits where ``docs`` is a plain scan
+    (``scan=True``); otherwise the table is written first.
     """
     row = fresh(docs, "__row")
-    own = stored(identified(docs, row), "similar-documents")
+    own = identified(docs, row)
+    own = own if scan else stored(own, "similar-documents")
     made = stored(wide_fingerprints(own.select(q(row).alias("__row"), q(id_col).cast("long").alias("id"), q(text_col).alias("text")), size), "similar-wide")
     order = [F.col("id").isNull().alias("last"), F.col("id"), F.col("__row")]
     least = made.groupBy("c1", "c2").agg(F.min(F.struct(*order, "fps", "sketch")).alias("x"))
