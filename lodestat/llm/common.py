@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -35,10 +36,33 @@ def fresh(df: DataFrame, name: str) -> str:
     return name
 
 
+_collecting: list[list[str]] = []
+
+
+@contextmanager
+def collected() -> Iterator[list[str]]:
+    """The paths of the intermediate tables written inside, for ``discard`` once what was made of them is written."""
+    paths: list[str] = []
+    _collecting.append(paths)
+    try:
+        yield paths
+    finally:
+        _collecting.remove(paths)
+
+
+def discard(spark: SparkSession, paths: list[str]) -> None:
+    """Delete intermediate tables that are no longer read."""
+    for path in paths:
+        target = spark._jvm.org.apache.hadoop.fs.Path(path)
+        target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+
+
 def stored(df: DataFrame, label: str) -> DataFrame:
     """Write an intermediate table to the shared folder and read it back: short lineage that survives lost executors."""
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{label}-{uuid.uuid4().hex}"
+    for paths in _collecting:
+        paths.append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

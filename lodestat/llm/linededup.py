@@ -92,10 +92,17 @@ def report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_
     )
 
 
-def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_lines: int = MIN_LINES, long_line: int = LONG_LINE) -> DataFrame:
-    """``docs`` without the later copies of repeated runs of lines; documents of which nothing is left have an empty text."""
+def deduplicate(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_lines: int = MIN_LINES, long_line: int = LONG_LINE, scan: bool = False
+) -> DataFrame:
+    """``docs`` without the later copies of repeated runs of lines; documents of which nothing is left have an empty text.
+
+    Row numbers must not change between passes. They follow from the file splits where ``docs`` is a plain scan
+    (``scan=True``); otherwise the table is written first.
+    """
     row = fresh(docs, "__row")
-    own = stored(identified(docs, row), "line-documents")
+    own = identified(docs, row)
+    own = own if scan else stored(own, "line-documents")
     lines = stored(sequences(own.select(q(row).alias("__row"), q(id_col), q(text_col)), id_col, text_col), "line-sequences")
     gone = removals(lines, min_lines, long_line).select(F.col("row").alias(row), F.col("gone").alias(fresh(docs, "__gone")))
     cut = q(fresh(docs, "__gone"))
