@@ -1,0 +1,51 @@
+"""Near-dedup against the exact Jaccard similarity of all pairs."""
+
+import random
+
+import numpy as np
+
+from lodestat.llm import simhash as S
+from lodestat.llm.common import LOWER
+
+
+def words_of(r, n):
+    return ["".join(r.choice("abcdefghij") for _ in range(6)) for _ in range(n)]
+
+
+def brute(texts, similarity=0.8):
+    """Positions of the first text of each group."""
+    names, rows = {}, []
+    for t in texts:
+        own = set(S.shingle_hashes(t.encode().translate(LOWER), 5).tolist())
+        rows.append([names.setdefault(h, len(names)) for h in own])
+    held = np.zeros((len(texts), len(names)), np.float32)
+    for k, own in enumerate(rows):
+        held[k, own] = 1
+    n, both = held.sum(axis=1), held @ held.T
+    near = both / (n[:, None] + n[None, :] - both) >= similarity
+    root = np.arange(len(texts))
+    while True:
+        least = np.array([root[x].min() for x in near])
+        if (least == root).all():
+            return set(np.flatnonzero(root == np.arange(len(texts))).tolist())
+        root = least
+
+
+def wrong(spark, texts):
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    return len({x.doc_id for x in S.keep_first(docs).collect()} ^ brute(texts))
+
+
+def test_large_family_of_distant_variants(spark):
+    """Variants under 0.8 to nearly all others, but for close pairs among them."""
+    r = random.Random(1)
+    base, texts = words_of(r, 200), []
+    for k in range(1200):
+        t = list(base)
+        for j in r.sample(range(0, 200, 5), 4):
+            t[j] = words_of(r, 1)[0]
+        texts.append(" ".join(t))
+        if k < 200:
+            t[r.randrange(200)] = words_of(r, 1)[0]
+            texts.append(" ".join(t))
+    assert wrong(spark, texts) == 0
