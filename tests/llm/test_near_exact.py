@@ -49,3 +49,12 @@ def test_large_family_of_distant_variants(spark):
             t[r.randrange(200)] = words_of(r, 1)[0]
             texts.append(" ".join(t))
     assert wrong(spark, texts) == 0
+
+
+def test_cut_extended_and_replaced_copies(spark):
+    r, texts = random.Random(2), []
+    for k in range(300):
+        t, n = words_of(r, 204), 18 + k % 25
+        texts.append(" ".join(t))
+        texts.append(" ".join((t[:-n], t + words_of(r, n), t[:60] + words_of(r, n // 2) + t[60 + n // 2 :])[k % 3]))
+    assert wrong(spark, texts) == 0
