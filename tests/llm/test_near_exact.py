@@ -58,3 +58,12 @@ def test_cut_extended_and_replaced_copies(spark):
         texts.append(" ".join(t))
         texts.append(" ".join((t[:-n], t + words_of(r, n), t[:60] + words_of(r, n // 2) + t[60 + n // 2 :])[k % 3]))
     assert wrong(spark, texts) == 0
+
+
+def test_long_texts_near_the_threshold(spark):
+    r, texts = random.Random(3), []
+    for k in range(150):
+        t = words_of(r, 804)
+        n = 200 + k % 21 - 10
+        texts += [" ".join(t), " ".join(t + words_of(r, n))]
+    assert wrong(spark, texts) == 0
