@@ -72,6 +72,21 @@ def identified(df: DataFrame, name: str) -> DataFrame:
     return df.withColumn(name, F.monotonically_increasing_id())
 
 
+def scanned(df: DataFrame, name: str) -> DataFrame:
+    """Rows of a plain scan of Parquet files with a number of their own: place of the file by path, and row in the file.
+
+    However the files are split, and whatever executors there are, the number is the same in every pass.
+    """
+    file = fresh(df, "__file")
+    path, row = F.col("_metadata.file_path").alias(file), F.col("_metadata.row_index").alias(name)
+    # One row a file: the driver lists them for each scan anyway.
+    paths = sorted(r[0] for r in df.select(path).distinct().collect())
+    number = fresh(df, "__number")
+    files = df.sparkSession.createDataFrame(list(zip(paths, range(len(paths)))), f"`{file}` string, `{number}` long")
+    found = df.select("*", path, row).join(F.broadcast(files), file, "left")
+    return found.select(*[q(c) for c in df.columns], (F.shiftleft(q(number), 40) + q(name)).alias(name))
+
+
 def text_blocks(
     batches: Iterator[pa.RecordBatch], column: str = "text", limit: int = BLOCK_BYTES
 ) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:

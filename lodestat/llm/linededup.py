@@ -21,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lodestat.llm.common import fresh, identified, q, stored
+from lodestat.llm.common import fresh, identified, q, scanned, stored
 
 MIN_LINES = 2
 LONG_LINE = 250
@@ -97,12 +97,11 @@ def deduplicate(
 ) -> DataFrame:
     """``docs`` without the later copies of repeated runs of lines; documents of which nothing is left have an empty text.
 
-    Row numbers must not change between passes. They follow from the file splits where ``docs`` is a plain scan
-    (``scan=True``); otherwise the table is written first.
+    Row numbers must not change between passes. They are the file and the row in it where ``docs`` is a plain scan of
+    Parquet (``scan=True``); otherwise the table is written first.
     """
     row = fresh(docs, "__row")
-    own = identified(docs, row)
-    own = own if scan else stored(own, "line-documents")
+    own = scanned(docs, row) if scan else stored(identified(docs, row), "line-documents")
     lines = stored(sequences(own.select(q(row).alias("__row"), q(id_col), q(text_col)), id_col, text_col), "line-sequences")
     gone = removals(lines, min_lines, long_line).select(F.col("row").alias(row), F.col("gone").alias(fresh(docs, "__gone")))
     cut = q(fresh(docs, "__gone"))

@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestat.llm.common import LOWER, RollingHash, fresh, identified, mixed, q, stored, text_blocks, word_bounds
+from lodestat.llm.common import LOWER, RollingHash, fresh, identified, mixed, q, scanned, stored, text_blocks, word_bounds
 from lodestat.llm.decontaminate import window_hashes
 from lodestat.llm.graph import components
 
@@ -392,12 +392,11 @@ def similar_groups(
     sets share one of their first ``prefix_length`` shingles, and candidates are decided on their whole sets. Of
     candidates that are connected already, no more are compared.
 
-    Row numbers must not change between passes. They follow from the file splits where ``docs`` is a plain scan
-    (``scan=True``); otherwise the table is written first.
+    Row numbers must not change between passes. They are the file and the row in it where ``docs`` is a plain scan of
+    Parquet (``scan=True``); otherwise the table is written first.
     """
     row = fresh(docs, "__row")
-    own = identified(docs, row)
-    own = own if scan else stored(own, "similar-documents")
+    own = scanned(docs, row) if scan else stored(identified(docs, row), "similar-documents")
     texts = own.select(q(row).alias("__row"), q(id_col).cast("long").alias("id"), q(text_col).alias("text"))
     made = stored(prefixes(texts, size, similarity), "similar-prefixes")
     order = [F.col("id").isNull().alias("last"), F.col("id"), F.col("__row")]

@@ -23,8 +23,8 @@ count, also within a text (a long run of one byte goes whole); repeated rows are
 they are long enough; a cut through a character leaves its other bytes; empty tables give empty results; other
 columns are kept. Texts up to 256 MB.
 
-Row numbers must not change between passes. They follow from the file splits where ``docs`` is a plain scan
-(``scan=True``); otherwise the table is written first.
+Row numbers must not change between passes. They are the file and the row in it where ``docs`` is a plain scan of
+Parquet (``scan=True``); otherwise the table is written first.
 """
 
 from __future__ import annotations
@@ -37,7 +37,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestat.llm.common import RollingHash, identified, mixed, q, stored, text_blocks
+from lodestat.llm.common import RollingHash, identified, mixed, q, scanned, stored, text_blocks
 
 LENGTH = 200
 K = 48
@@ -284,8 +284,8 @@ def deduplicate(docs: DataFrame, length: int = LENGTH, k: int = K, text_col: str
     ``__kept`` is null where nothing was removed (the text stays as it is).
     """
     keep = [c for c in docs.columns if c != text_col]
-    rows = identified(docs.withColumn("__text", F.coalesce(q(text_col), F.lit(""))), "__row")
-    rows = rows if scan else stored(rows, "suffix-documents")
+    rows = docs.withColumn("__text", F.coalesce(q(text_col), F.lit("")))
+    rows = scanned(rows, "__row") if scan else stored(identified(rows, "__row"), "suffix-documents")
     texts, spans = repeated_spans(rows.select("__row", F.col("__text").alias("text")), length, k)
 
     def rest(batches):
