@@ -180,6 +180,7 @@ def digest(found: DataFrame) -> DataFrame:
 # Near-duplicates by similarity: an exact search by shingle prefixes.
 
 GROUP = 8
+TIES = 2
 BLOCK = 256
 SAMPLE = 8000
 COMMON = 50_000
@@ -258,9 +259,9 @@ def prefixes(docs: DataFrame, size: int, similarity: float) -> DataFrame:
 
 
 def shared_keys(classes: DataFrame) -> DataFrame:
-    """(key, r, n, m) of the prefix shingles that ``m`` > 1 classes have."""
+    """(key, r, i, n, m) of the prefix shingles, ``i`` their place in the prefix, that ``m`` > 1 classes have."""
     # Made twice from the table of classes rather than written.
-    keys = classes.select(F.explode("head").alias("key"), "r", "n")
+    keys = classes.select(F.posexplode("head").alias("i", "key"), "r", "n")
     counts = stored(keys.groupBy("key").agg(F.count("*").alias("m")).filter("m > 1"), "prefix-counts")
     return stored(keys.join(counts, "key"), "prefix-shared")
 
@@ -270,6 +271,14 @@ def _alike(x: str, y: str, similarity: float):
     return F.least(x, y) >= F.lit(similarity - 1e-9) * F.greatest(x, y)
 
 
+def _reachable(x: str, i: str, y: str, j: str, similarity: float):
+    """Whether two sets of sizes ``x`` and ``y`` can be similar if places ``i`` and ``j`` hold their first common shingle.
+
+    A similar pair passes this at its first common shingle, so a pair that fails it at another one is not lost.
+    """
+    return F.least(F.col(x) - F.col(i), F.col(y) - F.col(j)) >= F.lit(similarity / (1 + similarity)) * (F.col(x) + F.col(y)) - 1e-9
+
+
 def first_pairs(shared: DataFrame, similarity: float) -> DataFrame:
     """Pairs (a, b) with a common key: all of a bucket of up to ``GROUP`` classes; of a larger one, each class with the
     most central one (whose buckets are largest) and small groups that are dealt anew for each key.
@@ -281,10 +290,10 @@ def first_pairs(shared: DataFrame, similarity: float) -> DataFrame:
     hubs = crowded.join(score, "r").groupBy("key").agg(F.max(F.struct("score", "r", "n")).alias("hub"))
     hubs = stored(hubs.select("key", F.col("hub.r").alias("b"), F.col("hub.n").alias("nb")), "prefix-hubs")
     starred = crowded.join(hubs, "key").select(F.col("r").alias("a"), F.col("n").alias("na"), "b", "nb")
-    part = F.pmod(F.xxhash64("r", "key"), F.ceil(F.col("m") / GROUP))
-    grouped = stored(shared.select("key", part.alias("part"), "r", "n"), "prefix-groups")
-    other = grouped.select("key", "part", F.col("r").alias("b"), F.col("n").alias("nb"))
-    paired = grouped.withColumnsRenamed({"r": "a", "n": "na"}).join(other, ["key", "part"]).filter("a < b").select("a", "na", "b", "nb")
+    part = F.when(F.col("m") > GROUP, F.pmod(F.xxhash64("r", "key"), F.ceil(F.col("m") / TIES))).otherwise(0)
+    grouped = stored(shared.select("key", part.alias("part"), "r", "i", "n"), "prefix-groups")
+    other = grouped.select("key", "part", F.col("r").alias("b"), F.col("i").alias("j"), F.col("n").alias("nb"))
+    paired = grouped.withColumnsRenamed({"r": "a", "n": "na"}).join(other, ["key", "part"]).filter(F.expr("a < b") & _reachable("na", "i", "nb", "j", similarity)).select("a", "na", "b", "nb")
     both = paired.unionByName(starred).filter("a <> b").filter(_alike("na", "nb", similarity))
     return stored(both.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "prefix-pairs")
 
@@ -296,15 +305,15 @@ def other_pairs(shared: DataFrame, roots: DataFrame, similarity: float) -> DataF
     ``BLOCK`` classes, whose pairs are spread over tasks.
     """
     crowded = shared.filter(F.col("m") > GROUP).join(roots.withColumnRenamed("node", "r"), "r", "left")
-    crowded = stored(crowded.select("key", "r", "n", F.coalesce("root", "r").alias("root")), "prefix-crowded")
+    crowded = stored(crowded.select("key", "r", "i", "n", F.coalesce("root", "r").alias("root")), "prefix-crowded")
     sizes = crowded.groupBy("key", "root").agg(F.count("*").alias("m"))
     tops = sizes.groupBy("key").agg(F.max(F.struct("m", "root")).alias("x"), F.sum("m").alias("m"))
     tops = stored(tops.filter("x.m < m").select("key", F.col("x.root").alias("top"), F.ceil(F.col("m") / BLOCK).cast("int").alias("parts")), "prefix-tops")
     open_ = crowded.join(tops, "key").withColumn("part", F.pmod(F.xxhash64("r"), F.col("parts")).cast("int"))
     every = F.explode(F.sequence(F.lit(0), F.col("parts") - 1))
-    left = open_.filter("root <> top").select("key", F.col("part").alias("p"), every.alias("s"), F.col("r").alias("a"), F.col("n").alias("na"), F.col("root").alias("x"))
-    right = open_.withColumn("p", every).select("key", "p", F.col("part").alias("s"), F.col("r").alias("b"), F.col("n").alias("nb"), F.col("root").alias("y"), (F.col("root") == F.col("top")).alias("in_top"))
-    wanted = (F.col("x") != F.col("y")) & (F.col("in_top") | (F.col("a") < F.col("b"))) & _alike("na", "nb", similarity)
+    left = open_.filter("root <> top").select("key", F.col("part").alias("p"), every.alias("s"), F.col("r").alias("a"), "i", F.col("n").alias("na"), F.col("root").alias("x"))
+    right = open_.withColumn("p", every).select("key", "p", F.col("part").alias("s"), F.col("r").alias("b"), F.col("i").alias("j"), F.col("n").alias("nb"), F.col("root").alias("y"), (F.col("root") == F.col("top")).alias("in_top"))
+    wanted = (F.col("x") != F.col("y")) & (F.col("in_top") | (F.col("a") < F.col("b"))) & _reachable("na", "i", "nb", "j", similarity)
     met = left.join(right, ["key", "p", "s"]).filter(wanted)
     return stored(met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "prefix-others")
 
