@@ -168,3 +168,24 @@ def mixed(h: np.ndarray) -> np.ndarray:
     h = h ^ (h >> np.uint64(33))
     h = h * np.uint64(0xC4CEB9FE1A85EC53)
     return h ^ (h >> np.uint64(33))
+
+
+FILTER_BITS = 1 << 26
+
+
+def bit_filter(df: DataFrame, position: str, bits: int = FILTER_BITS) -> np.ndarray:
+    """A filter of ``bits`` bits with those at the ``position`` column set.
+
+    It has the same size whatever ``df`` holds. A key whose bit is unset is surely absent; one whose bit is set may be absent
+    too, so callers decide on the keys themselves afterwards. Full filters only let more through.
+    """
+    spot = q(position)
+    built = df.groupBy(F.shiftright(spot, 15).alias("k")).agg(F.bitmap_construct_agg(spot.bitwiseAND(32767)).alias("m"))
+    out = np.zeros(bits // 8, np.uint8)
+    for r in built.collect():
+        out[4096 * r["k"] : 4096 * (r["k"] + 1)] = np.frombuffer(r["m"], np.uint8)
+    return out
+
+
+def in_filter(bits: np.ndarray, positions: np.ndarray) -> np.ndarray:
+    return (bits[positions >> 3] >> (positions & 7).astype(np.uint8)) & 1 == 1

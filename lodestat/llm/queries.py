@@ -6,7 +6,7 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from lodestat.llm import decontaminate, html, linededup, packing, pii, quality, rollup, simhash, suffixdedup, topk
+from lodestat.llm import bpe, collocations, decontaminate, divergence, html, linededup, packing, pii, quality, rollup, simhash, suffixdedup, topk
 from lodestat.llm.common import stored, table
 from lodestat.session import shared_folder
 
@@ -118,3 +118,22 @@ def op10(spark, sf_dir):
     """Expected grade and probability of the top grade for every document."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return quality.digest(quality.graded(docs, table(spark, sf_dir, "labels")))
+
+
+@query("op11_phrase_collocations", collocations.SQL)
+def op11(spark, sf_dir):
+    """The first 2000 phrases of two and three words of every language."""
+    return collocations.mine(table(spark, sf_dir, "documents"))
+
+
+@query("op12_source_divergence", divergence.SQL)
+def op12(spark, sf_dir):
+    """All pairs of sources of a language, and the terms each source is heavy in."""
+    return divergence.audit(table(spark, sf_dir, "documents"))
+
+
+@query("op13_bpe_chunk_reuse")
+def op13(spark, sf_dir):
+    """Ids of every document and the text they decode to, as digests."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return bpe.digest(bpe.decode(bpe.encode(docs, scan=True)))
