@@ -43,22 +43,18 @@ FOLD = bytes(_BREAK if b in b".,;:!?\n\x0b\x0c\r" else 32 if b == 9 else b + 32
 
 def slices(raw: bytes, size: int, n: int):
     """Folded text in slices of about ``size`` bytes; a slice begins with the last ``n - 1`` words of the one before."""
-    start = 0
-    while len(raw) - start > size:
-        cut = max(raw.rfind(b" ", start, start + size), raw.rfind(b"\xff", start, start + size))
-        if cut <= start:
-            spaces = [p for p in (raw.find(b" ", start + size), raw.find(b"\xff", start + size)) if p >= 0]
-            if not spaces:
-                break
-            cut = min(spaces)
-        yield raw[start:cut]
-        back = cut
+    begin = done = 0
+    while len(raw) - done > size:
+        cut = max(raw.rfind(c, done + 1, done + size) for c in (b" ", b"\xff"))
+        if cut < 0:
+            cut = min((p for p in (raw.find(c, done + size) for c in (b" ", b"\xff")) if p >= 0), default=len(raw))
+        yield raw[begin:cut]
+        begin = done = cut
         for _ in range(n - 1):
-            while back > start and raw[back - 1] in (32, _BREAK):
-                back -= 1
-            back = max(raw.rfind(b" ", start, back), raw.rfind(b"\xff", start, back), start - 1) + 1
-        start = back if n > 1 and back > start else cut
-    yield raw[start:]
+            while begin > 0 and raw[begin - 1] in (32, _BREAK):
+                begin -= 1
+            begin = max(raw.rfind(c, 0, begin) for c in (b" ", b"\xff")) + 1
+    yield raw[begin:]
 
 
 def word_hashes(lang: str, words: list[bytes]) -> np.ndarray:

@@ -245,9 +245,13 @@ def audit(docs: DataFrame, least: int = LEAST, term_ranks: int = TERM_RANKS, til
     arrays = counts.groupBy("lang", "source", F.shiftright("id", BLOCK_IDS).alias("block")).agg(
         F.sort_array(F.collect_list(F.struct("id", "n"))).alias("e")
     )
-    arrays = arrays.join(groups, ["lang", "source"]).select(
-        "lang", "source", "block", "total", "tile", "tiles", F.col("e.id").alias("ids"), F.col("e.n").alias("counts")
-    )
+    # A group without terms in a block still meets those that have some there.
+    spread = kept.select("lang", F.shiftright("id", BLOCK_IDS).alias("block")).distinct().join(groups, "lang")
+    none = F.array().cast("array<bigint>")
+    arrays = spread.join(arrays, ["lang", "source", "block"], "left").select(
+        "lang", "source", "block", "total", "tile", "tiles",
+        F.coalesce("e.id", none).alias("ids"), F.coalesce("e.n", none).alias("counts"),
+    )
     arrays = stored(arrays, "divergence-arrays")
     left = arrays.select("lang", "source", "block", "total", "ids", "counts", F.col("tile").alias("a"), F.explode(F.expr("sequence(tile, tiles - 1)")).alias("b"))
     right = arrays.select("lang", "source", "block", "total", "ids", "counts", F.col("tile").alias("b"), F.explode(F.expr("sequence(0L, tile)")).alias("a"))

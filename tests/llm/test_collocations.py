@@ -65,7 +65,7 @@ def test_empty_table(spark):
     assert C.mine(spark.createDataFrame([], "lang string, text string")).count() == 0
 
 
-def test_slices_keep_every_phrase(spark, monkeypatch):
+def test_slices_keep_every_phrase():
     r = random.Random(2)
     text = "".join(r.choice(["ab", "c", "d" * 30, "e"]) + r.choice([" ", "\xff", "  ", " \xff"]) for _ in range(300)).encode("latin-1")
     for n in (1, 2, 3):
