@@ -2,7 +2,7 @@
 
 1. Counting goes by length. Words are counted first, then pairs of two frequent words, then triples whose two pairs are
    frequent; a phrase can't be more frequent than its parts, so no candidate is lost. Blocks of text are combined in the
-   map tasks by sorting, and Spark adds up the blocks. What was frequent reaches the next pass as a filter of fixed size;
+   map tasks by sorting and merging codes, and Spark adds up what the tasks give. What was frequent reaches the next pass as a filter of fixed size;
    counts below ``least`` go in any case, so what the filter lets through wrongly does not matter.
 2. The frequent phrases are kept in two streams, range-partitioned and sorted: in prefix order (first word, second, third)
    and in suffix order (last word, the one before, and so on). In prefix order a phrase follows its first word and its
@@ -21,6 +21,7 @@ counted in slices that overlap by the length of a phrase; an empty table gives n
 from __future__ import annotations
 
 from collections import defaultdict
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -33,7 +34,11 @@ from lodestat.llm.common import FILTER_BITS, bit_filter, in_filter, mixed, q, st
 LEAST = 10
 TOP = 2000
 SHARE = 50
-BLOCK = 16 << 20
+BLOCK = 2 << 20  # bytes of text taken at once
+ID_BITS = 21
+HELD = 1_000_000  # phrases held in a task before they go to the shuffle
+WORDS = 1_000_000  # words held; a block adds fewer than 2^20 to them
+LANGS = 1000
 RANGE_ROWS = 500_000
 
 # Fixed values of the contract: capital letters are folded, these characters end a piece, a tab is a space.
@@ -68,35 +73,77 @@ def pair_hashes(first: np.ndarray, second: np.ndarray) -> np.ndarray:
     return mixed(first * np.uint64(0x9E3779B97F4A7C15) + second)
 
 
-def grams(raw: bytes, lang: str, n: int, known: np.ndarray | None, bits: int):
-    """Distinct phrases of ``n`` words (the ids of their words, by column) whose parts are in the filter, and their counts."""
-    ids_of: defaultdict[bytes, int] = defaultdict()
-    ids_of.default_factory = ids_of.__len__
-    ids_of[b"\xff"]
-    tokens = raw.replace(b"\xff", b" \xff ").split(b" ")
-    ids = np.fromiter((ids_of[t] for t in tokens if t), np.int64)
-    words = list(ids_of)
-    mask = np.uint64(bits - 1)
-    if n == 1:
-        counts = np.bincount(ids, minlength=len(words))
-        counts[0] = 0
-        found = np.flatnonzero(counts)
-        return words, [found], counts[found]
-    hashes = word_hashes(lang, words)
-    if n == 2:
-        good = in_filter(known, (hashes & mask).astype(np.int64))
+class Counts:
+    """Counts of the phrases of ``n`` words of one language, held as sorted codes of word ids and combined as they come."""
+
+    def __init__(self, lang: str, n: int, known: np.ndarray | None, bits: int) -> None:
+        self.lang, self.n, self.known, self.mask = lang, n, known, np.uint64(bits - 1)
+        self.clear()
+
+    def clear(self) -> None:
+        self.ids: defaultdict[bytes, int] = defaultdict()
+        self.ids.default_factory = self.ids.__len__
+        self.ids[b"\xff"]
+        self.hashes = np.zeros(0, np.uint64)
+        self.parts: list[tuple[np.ndarray, np.ndarray]] = []
+        self.size = self.total = 0
+
+    def add(self, raw: bytes) -> None:
+        tokens = raw.replace(b"\xff", b" \xff ").split(b" ")
+        ids = np.fromiter((self.ids[t] for t in tokens if t), np.int64)
+        del tokens
+        codes = getattr(self, f"_codes_{self.n}")(ids)
+        self.parts.append(np.unique(codes, return_counts=True))
+        self.size += len(self.parts[-1][0])
+        self.total += len(codes)
+
+    def _hash(self) -> np.ndarray:
+        """Hashes of all words so far."""
+        new = list(islice(self.ids, len(self.hashes), None))
+        self.hashes = np.concatenate([self.hashes, word_hashes(self.lang, new)])
+        return self.hashes
+
+    def _codes_1(self, ids: np.ndarray) -> np.ndarray:
+        return ids[ids > 0]
+
+    def _codes_2(self, ids: np.ndarray) -> np.ndarray:
+        good = in_filter(self.known, (self._hash() & self.mask).astype(np.int64))
         good[0] = False
         at = np.flatnonzero(good[ids[:-1]] & good[ids[1:]])
-        codes, counts = np.unique(ids[at] * len(words) + ids[at + 1], return_counts=True)
-        return words, list(np.divmod(codes, len(words))), counts
-    h = hashes[ids]
-    good = in_filter(known, (pair_hashes(h[:-1], h[1:]) & mask).astype(np.int64))
-    good &= (ids[:-1] > 0) & (ids[1:] > 0)
-    at = np.flatnonzero(good[:-1] & good[1:])
-    pairs, pair_of = np.unique(ids[at] * len(words) + ids[at + 1], return_inverse=True)
-    codes, counts = np.unique(pair_of * len(words) + ids[at + 2], return_counts=True)
-    pair, third = np.divmod(codes, len(words))
-    return words, [*np.divmod(pairs[pair], len(words)), third], counts
+        return ids[at] << ID_BITS | ids[at + 1]
+
+    def _codes_3(self, ids: np.ndarray) -> np.ndarray:
+        h = self._hash()[ids]
+        good = in_filter(self.known, (pair_hashes(h[:-1], h[1:]) & self.mask).astype(np.int64))
+        good &= (ids[:-1] > 0) & (ids[1:] > 0)
+        at = np.flatnonzero(good[:-1] & good[1:])
+        return ids[at] << 2 * ID_BITS | ids[at + 1] << ID_BITS | ids[at + 2]
+
+    def combine(self) -> None:
+        if len(self.parts) > 1:
+            codes, counts = (np.concatenate(x) for x in zip(*self.parts))
+            order = np.argsort(codes, kind="stable")  # merges sorted runs
+            codes, counts = codes[order], counts[order]
+            first = np.flatnonzero(np.concatenate([[True], codes[1:] != codes[:-1]]))
+            self.parts = [(codes[first], np.add.reduceat(counts, first))]
+            self.size = len(first)
+
+    def batches(self):
+        """What is held, as rows; then nothing is."""
+        self.combine()
+        names = pa.array([w.decode("utf-8", "replace") for w in self.ids], pa.string())
+        for codes, counts in self.parts:
+            for k in range(0, len(codes), 50_000):
+                part = codes[k : k + 50_000]
+                words = [part >> (self.n - 1 - j) * ID_BITS & (1 << ID_BITS) - 1 for j in range(self.n)]
+                yield self._rows([names.take(pa.array(w)) for w in words], counts[k : k + 50_000])
+        if self.n == 1 and self.total:
+            yield self._rows([pa.nulls(1, pa.string())], [self.total])
+        self.clear()
+
+    def _rows(self, words, counts) -> pa.RecordBatch:
+        words += [pa.nulls(len(counts), pa.string())] * (3 - len(words))
+        return pa.RecordBatch.from_arrays([pa.array([self.lang] * len(counts), pa.string()), *words, pa.array(counts, pa.int64())], ["lang", "w1", "w2", "w3", "f"])
 
 
 def counted(docs: DataFrame, n: int, known: np.ndarray | None, bits: int) -> DataFrame:
@@ -104,31 +151,37 @@ def counted(docs: DataFrame, n: int, known: np.ndarray | None, bits: int) -> Dat
     filter_ = None if known is None else docs.sparkSession.sparkContext.broadcast(known)
 
     def rows(batches):
-        def flush(held):
-            for lang, texts in held.items():
-                for raw in slices(b"\xff".join(texts), BLOCK, n):
-                    words, columns, counts = grams(raw, lang, n, filter_ and filter_.value, bits)
-                    names = pa.array([w.decode("utf-8", "replace") for w in words], pa.string())
-                    total = [int(counts.sum())] if n == 1 else []
-                    made = [names.take(pa.array(c)) for c in columns]
-                    made = [pa.concat_arrays([m, pa.nulls(len(total), pa.string())]) for m in made]
-                    size = len(counts) + len(total)
-                    made += [pa.nulls(size, pa.string())] * (3 - n)
-                    f = pa.concat_arrays([pa.array(counts, pa.int64()), pa.array(total, pa.int64())])
-                    batch = pa.RecordBatch.from_arrays([pa.array([lang] * size, pa.string()), *made, f], ["lang", "w1", "w2", "w3", "f"])
-                    for k in range(0, size, 100_000):
-                        yield batch.slice(k, 100_000)
-
-        held, size = defaultdict(list), 0
+        held: dict[str, Counts] = {}
+        texts, size = defaultdict(list), 0
+
+        def take():
+            for lang, parts in texts.items():
+                counts = held.setdefault(lang, Counts(lang, n, filter_ and filter_.value, bits))
+                for raw in slices(b"\xff".join(parts), BLOCK, n):
+                    counts.add(raw)
+                    if counts.size > 2 * HELD:
+                        counts.combine()
+                    if counts.size > HELD or len(counts.ids) > WORDS:
+                        yield from counts.batches()
+            if sum(c.size for c in held.values()) > 2 * HELD:
+                for counts in held.values():
+                    yield from counts.batches()
+            if len(held) > LANGS:
+                for counts in held.values():
+                    yield from counts.batches()
+                held.clear()
+
         for part, data, offsets in text_blocks(batches):
             raw = data.tobytes().translate(FOLD)
             for k, lang in enumerate(part.column(0).to_pylist()):
-                held[lang].append(raw[offsets[k] : offsets[k + 1]])
+                texts[lang].append(raw[offsets[k] : offsets[k + 1]])
             size += len(raw)
             if size >= BLOCK:
-                yield from flush(held)
-                held, size = defaultdict(list), 0
-        yield from flush(held)
+                yield from take()
+                texts, size = defaultdict(list), 0
+        yield from take()
+        for counts in held.values():
+            yield from counts.batches()
 
     return docs.mapInArrow(rows, "lang string, w1 string, w2 string, w3 string, f long")
 
