@@ -2,6 +2,11 @@
 
 A stage's intermediate tables are needed until its result is written. The next stage starts from what was written, so it
 first deletes the tables of the one before.
+
+Defined cases: empty texts (null ones too, which stay null) are graded like any others, have no lines, share one
+fingerprint, so that one of those that pass the classifier stays, hold no benchmark window and pack as one end token. Repeated rows are near-duplicates, so one stays. An
+empty table passes every stage as one. Extra columns, whatever their names, are kept up to the packing stage, which gives
+the digest columns only.
 """
 
 from __future__ import annotations
@@ -50,7 +55,7 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 @stage
 def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates (five-word shingles, similarity 0.8) stays, the first by id."""
+    """One document of each component of SimHash links (three-word shingles, two bits) stays, the first by id."""
     return simhash.keep_first(docs, scan=True)
 
 
