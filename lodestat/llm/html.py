@@ -1,8 +1,9 @@
 """HTML extraction: the article of a page, without the site's template.
 
 1. Each page is read into a tree of its block elements; a subtree's hash covers its tag, text and subtrees.
-2. Spark counts, per host, on how many pages each subtree occurs. Subtrees on more than ``share`` of a host's pages,
-   and on at least ``min_pages``, are the site's template. A page has few elements, so a host has few templates.
+2. Spark counts, per host, on how many distinct pages each subtree occurs; pages with the same articles count once. Subtrees
+   on more than ``share`` of a host's distinct pages, and on at least ``min_pages``, are the site's template. A page has few
+   elements, so a host has few templates.
 3. Template subtrees are deleted from each page, with elements that are no content by their tag, role, class or id
    (menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles, comments) or are hidden. The rest of
    the article elements (of the body, if there are none) is the text: inline markup vanishes, references are decoded,
@@ -56,8 +57,16 @@ NAMES = frozenset(
     "widget pagination pager".split()
 )
 PROTECTED = frozenset("html body article main".split())
-TAG = re.compile(r"<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>")
-ATTRIBUTE = re.compile(r"([^\s=\"'/>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
+#: Words that may stand beside one of ``NAMES`` in a compound class name.
+PLAIN = frozenset(
+    "box bar block list wrap wrapper container area section panel link links item items slot unit inner outer content main site page "
+    "global top bottom left right header footer nav menu button buttons form text title overlay message".split()
+)
+#: Inside an article these name its own parts.
+OWN_PARTS = frozenset("header masthead footer aside".split())
+# A quote opens a value only after an equals sign.
+TAG = re.compile(r"<(/?)([A-Za-z][^\s/>]*)((?:=\s*\"[^\"]*\"|=\s*'[^']*'|[^>])*+)>")
+ATTRIBUTE = re.compile(r"([^\s=\"'/>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>][^\s>]*)))?")
 
 
 class Node:
@@ -74,6 +83,16 @@ class Node:
         self.hash = h.intdigest()
 
 
+def telling(names: str, in_article: bool) -> bool:
+    """Whether a class or id is one of ``NAMES``, or a compound of them and plain words only."""
+    for name in names.split():
+        parts = [p for p in re.split(r"[_-]+", name) if p]
+        known = NAMES - OWN_PARTS if in_article else NAMES
+        if any(p in known for p in parts) and all(p in known or p in PLAIN for p in parts):
+            return True
+    return False
+
+
 def no_content(tag: str, attributes: str, in_article: bool) -> bool:
     if tag in NO_CONTENT or tag == "header" and not in_article:
         return True
@@ -83,7 +102,7 @@ def no_content(tag: str, attributes: str, in_article: bool) -> bool:
         name, value = name.lower(), next((v for v in values if v), "").lower()
         if name == "hidden" or name == "aria-hidden" and value == "true" or name == "role" and value in ROLES:
             return True
-        if name in ("class", "id") and not NAMES.isdisjoint(re.split(r"[\s_-]+", value)):
+        if name in ("class", "id") and telling(value, in_article):
             return True
         if name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value):
             return True
@@ -205,23 +224,44 @@ def host_of(url):
     return F.coalesce(F.regexp_extract(F.lower(url), r"^[a-z][a-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)", 1), F.lit(""))
 
 
+def content_of(root: Node) -> int:
+    """Hash of a page's articles, or of all of it."""
+    found, todo = [], [root]
+    while todo:
+        node = todo.pop()
+        if node.tag in ("article", "main"):
+            found.append(node)
+        else:
+            todo += [c for c in reversed(node.children) if isinstance(c, Node)]
+    if not found:
+        root.close()
+        found = [root]
+    return xxhash.xxh64("".join(f"\x01{n.hash:x}" for n in found)).intdigest()
+
+
 def templates(pages: DataFrame, share: float = 0.5, min_pages: int = 5) -> DataFrame:
-    """(host, hashes) of the subtrees that recur across a host's pages; ``pages`` has host and html."""
+    """(host, hashes) of the subtrees that recur across a host's pages; ``pages`` has host and html.
+
+    Pages of a host with the same articles (or, without articles, the same tree) are one page here, however many copies there are.
+    """
 
     def rows(batches):
         for batch in batches:
-            owner, hashes = [], []
-            for i, page in enumerate(batch.column(1).to_pylist()):
-                own = {n.hash for n in parse(page or "")[1] if n.tag not in PROTECTED and n.tag != "head"}
-                owner += [i] * len(own)
+            contents, hashes, sizes = [], [], [0]
+            for page in batch.column(1).to_pylist():
+                root, nodes = parse(page or "")
+                own = {n.hash for n in nodes if n.tag not in PROTECTED and n.tag != "head"}
+                contents.append(content_of(root))
                 hashes += own
-            taken = batch.column(0).take(pa.array(owner, pa.int64()))
-            yield pa.RecordBatch.from_arrays([taken, pa.array(hashes, pa.uint64()).view(pa.int64())], ["host", "hash"])
-
-    known = pages.filter("host <> ''")
-    counts = known.select("host", "html").mapInArrow(rows, "host string, hash long").groupBy("host", "hash").agg(F.count("*").alias("n"))
-    totals = known.groupBy("host").agg(F.count("*").alias("pages"))
-    found = stored(counts.filter(F.col("n") >= min_pages), "html-subtrees").join(stored(totals, "html-hosts"), "host")
+                sizes.append(len(hashes))
+            held = pa.ListArray.from_arrays(pa.array(sizes, pa.int32()), pa.array(hashes, pa.uint64()).view(pa.int64()))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(contents, pa.uint64()).view(pa.int64()), held], ["host", "content", "hashes"])
+
+    known = pages.filter("host <> ''").select("host", "html").mapInArrow(rows, "host string, content long, hashes array<long>")
+    distinct = stored(known.groupBy("host", "content").agg(F.min("hashes").alias("hashes")), "html-contents")
+    counts = distinct.select("host", F.explode("hashes").alias("hash")).groupBy("host", "hash").agg(F.count("*").alias("n"))
+    totals = distinct.groupBy("host").agg(F.count("*").alias("pages"))
+    found = counts.filter(F.col("n") >= min_pages).join(totals, "host")
     return found.filter(F.col("n") > share * F.col("pages")).groupBy("host").agg(F.collect_list("hash").alias("hashes"))
 
 

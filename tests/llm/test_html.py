@@ -32,6 +32,9 @@ CASES = [
     ("<div hidden>x</div><p style='display: none'>x</p><div id=cookie_bar>x</div>1 < 2 & 3<", "1 < 2 & 3<"), ("a<!-- b -->c<p", "ac"),
     ("<table><tr><td>1<td>2<tr><td>3</table>", "1\n2\n3"), ("<div>" * 5000 + "deep", "deep"), ("</p></div>x</b>", "x"), ("<form>f</form><section class=comments>c</section>&nbsp;t&nbsp; ", "t"),
     ("<article>a</article><main>b</main>", "a\nb"), ("w " * 100000, " ".join(["w"] * 100000)), ("&lt;p&gt; not a tag", "<p> not a tag"),
+    ("<p>Fish</p><p><a title=it's>x</a></p><p>rest of it</p>", "Fish\nx\nrest of it"), ("<p title='it's'>a</p><p>b'</p>", "a\nb'"), ("<p title=\"a>b\">c</p>", "c"),
+    ("<article><div class='article-header'><h1>T</h1></div><p class=social-policy>p</p><div class='cookie-banner'>c</div></article>", "T\np"),
+    ("<div class='header'>h</div><article><div class='header'><h1>T</h1></div>t</article>", "T\nt"), ("<div class='site-header'>h</div><p id=page-footer>f</p>t", "t"),
 ]
 
 
@@ -52,3 +55,17 @@ def test_templates_per_host(spark, monkeypatch):
         assert got[20] == "Join us" and got[25] == "5" and got[40] == "Site line" and got[41] == ""
     assert H.extract(pages.limit(0)).count() == 0
     assert H.extract(pages.unionByName(pages)).count() == 2 * len(rows)
+
+
+def test_copies_of_a_page_are_no_template(spark):
+    """Six of ten pages of a host hold one article; what all distinct pages share goes, though no tag or class tells."""
+    shell = lambda body: f"<div><p>Join us today</p></div><article>{body}<p>All rights</p></article><div>Site {7}</div>"
+    rows = [(i, "http://a.b/x", shell("<p>One</p><p>Two</p>")) for i in range(6)]
+    rows += [(6 + i, f"http://a.b/{i}", shell(f"<p>Other {i}</p>")) for i in range(4)]
+    rows += [(20 + i, f"http://q.r/{i}", f"<p>Only</p><p>Text</p>") for i in range(9)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = {r.page_id: r.text for r in H.extract(pages).collect()}
+    assert all(got[i] == "One\nTwo" for i in range(6)) and got[6] == "Other 0"
+    assert all(got[20 + i] == "Only\nText" for i in range(9))
+    off = {r.page_id: r.text for r in H.extract(pages, min_pages=99).collect()}
+    assert off[0] == "One\nTwo\nAll rights"
