@@ -5,7 +5,7 @@ count away and adds the new one. ``commit`` sums a batch per key (combined befor
 rows is no burden) and writes it as one folder of the rollup; Spark's writer makes the folder's success mark the
 commit. A batch whose mark exists is not applied again, and a batch that failed half-way leaves no mark and is
 overwritten when retried, so totals are exact however often a batch is sent. ``totals`` adds up the committed
-batches; ``compact`` folds them into one.
+batches; ``compact`` folds them into one, with the list of what it holds.
 
 Defined cases: null keys are keys of their own; null counts are zero; a null text has no tokens; repeated rows are
 documents of their own; keys whose documents and tokens are both zero are left out of the totals; empty batches are
@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 from lodestat.llm.common import q
 
 KEYS = ("source", "lang", "version")
+SCHEMA = "source string, lang string, version string, tokens long, documents long"
 # Tokenizer versions that are expressions: pattern of a token.
 VERSIONS = {"space-1": r"[^ \t\n\r\f\x0B]+", "alnum-1": r"[0-9A-Za-z\x{80}-\x{10FFFF}]+"}
 
@@ -47,14 +48,27 @@ class Rollup:
 
     def __init__(self, spark: SparkSession, path: str) -> None:
         self.spark, self.path = spark, path.rstrip("/")
+        self.folded: list[str] | None = None
 
     def _exists(self, path: str) -> bool:
         target = self.spark._jvm.org.apache.hadoop.fs.Path(path)
         return target.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(target)
 
-    def committed(self, batch: str) -> bool:
+    def _marked(self, batch: str) -> bool:
         return self._exists(f"{self.path}/batch={batch}/_SUCCESS")
 
+    def _folded(self) -> list[str]:
+        """The batches that ``compact`` put into the totals of this rollup, written with them in one commit."""
+        if self.folded is None:
+            self.folded = []
+            if self._marked("totals"):
+                totals = self.spark.read.schema(f"{SCHEMA}, folded array<string>").parquet(f"{self.path}/batch=totals")
+                self.folded = [b for r in totals.filter("folded IS NOT NULL").collect() for b in r["folded"]]
+        return self.folded
+
+    def committed(self, batch: str) -> bool:
+        return self._marked(batch) or batch in self._folded()
+
     def commit(self, batch: str, events: DataFrame) -> bool:
         """Apply a batch once; False if it had been applied before."""
         if self.committed(batch):
@@ -67,23 +81,28 @@ class Rollup:
         folder = self.spark._jvm.org.apache.hadoop.fs.Path(self.path)
         system = folder.getFileSystem(self.spark._jsc.hadoopConfiguration())
         names = [s.getPath().getName() for s in system.listStatus(folder)] if system.exists(folder) else []
-        return sorted(n.removeprefix("batch=") for n in names if n.startswith("batch=") and self.committed(n.removeprefix("batch=")))
+        return sorted(n.removeprefix("batch=") for n in names if n.startswith("batch=") and self._marked(n.removeprefix("batch=")))
 
-    def totals(self) -> DataFrame:
-        batches = self._batches()
-        schema = "source string, lang string, version string, tokens long, documents long"
-        paths = [f"{self.path}/batch={b}" for b in batches]
-        found = self.spark.read.schema(schema).parquet(*paths) if paths else self.spark.createDataFrame([], schema)
+    def totals(self, batches: list[str] | None = None) -> DataFrame:
+        """Totals of the given batches, or of all that are committed now."""
+        paths = [f"{self.path}/batch={b}" for b in (self._batches() if batches is None else batches)]
+        found = self.spark.read.schema(SCHEMA).parquet(*paths) if paths else self.spark.createDataFrame([], SCHEMA)
         sums = found.groupBy(*KEYS).agg(F.sum("tokens").alias("tokens"), F.sum("documents").alias("documents"))
         return sums.filter("tokens <> 0 OR documents <> 0")
 
     def compact(self, into: str) -> Rollup:
-        """A rollup in another folder whose first batch holds all totals so far, and which knows the batches folded in."""
+        """A rollup in another folder whose first batch holds all totals so far, and which knows the batches folded in.
+
+        The list of batches is fixed before they are summed and is written in the same commit, as a row without counts. So
+        a retry, or a batch that arrives meanwhile, neither loses nor doubles anything: what is not in the list can
+        be committed to the new folder.
+        """
         other = Rollup(self.spark, into)
-        batches = self._batches()
-        other.commit("totals", self.totals())
-        for b in batches:
-            other.commit(b, self.totals().limit(0))
+        if not other._marked("totals"):
+            batches = sorted({*self._batches(), *self._folded()})
+            note = self.spark.createDataFrame([(None, None, None, 0, 0, batches)], f"{SCHEMA}, folded array<string>")
+            sums = self.totals([b for b in batches if self._marked(b)]).withColumn("folded", F.lit(None).cast("array<string>"))
+            sums.unionByName(note).write.mode("overwrite").parquet(f"{other.path}/batch=totals")
         return other
 
 

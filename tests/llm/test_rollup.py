@@ -36,3 +36,21 @@ def test_token_counts(spark):
     df = spark.createDataFrame([(t,) for t in texts], "text string")
     got = df.select(*[R.token_count(df.text, v) for v in R.VERSIONS]).collect()
     assert [tuple(r) for r in got] == [(0, 0), (0, 0), (2, 3), (2, 2), (10000, 10000)]
+
+
+def test_compact_is_safe_on_retry_and_beside_new_batches(spark, tmp_path):
+    r = R.Rollup(spark, str(tmp_path / "r"))
+    a = spark.createDataFrame([("s", "en", "v1", 5, 3)], SCHEMA)
+    r.commit("1", R.inserted(a))
+    c = r.compact(str(tmp_path / "c"))
+    r.commit("2", R.inserted(a))
+    again = r.compact(str(tmp_path / "c"))
+    for x in (c, again, R.Rollup(spark, str(tmp_path / "c"))):
+        assert totals(x) == [("s", "en", "v1", 5, 1)]
+        assert not x.commit("1", R.inserted(a))
+    assert again.commit("2", R.inserted(a)) and not again.commit("2", R.inserted(a))
+    assert totals(again) == [("s", "en", "v1", 10, 2)]
+    twice = again.compact(str(tmp_path / "d"))
+    assert totals(twice) == [("s", "en", "v1", 10, 2)] and not twice.commit("1", R.inserted(a)) and not twice.commit("2", R.inserted(a))
+    empty = R.Rollup(spark, str(tmp_path / "e")).compact(str(tmp_path / "f"))
+    assert totals(empty) == []
