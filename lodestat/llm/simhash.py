@@ -31,8 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestat.llm.common import LOWER, RollingHash, fresh, identified, mixed, q, scanned, stored, text_blocks, word_bounds
-from lodestat.llm.decontaminate import window_hashes
+from lodestat.llm.common import LOWER, fresh, identified, q, scanned, stored, text_blocks
 from lodestat.llm.graph import components
 
 SEED = 42
@@ -160,8 +159,8 @@ def links(prints: DataFrame, bucket: int = BUCKET) -> DataFrame:
     return paired.unionByName(starred)
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", size: int = 3, text_col: str = "text", bucket: int = BUCKET) -> DataFrame:
-    """The other columns of ``docs``, ``__fp`` and ``component_id`` (smallest id of the component)."""
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", size: int = 3, text_col: str = "text", bucket: int = BUCKET, with_root: bool = False) -> DataFrame:
+    """The other columns of ``docs``, ``__fp`` and ``component_id`` (smallest id of the component), and its fingerprint ``root`` if asked."""
     kept = docs.select(*[q(c) for c in docs.columns if c.lower() not in ("component_id", "fingerprint") or c in (id_col, text_col)])
     made = stored(fingerprints(kept, size, text_col), "fingerprints")
     prints = made.groupBy(F.col("__fp").alias("fp")).agg(F.min(q(id_col)).alias("first"))
@@ -169,7 +168,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", size: int = 3, text
     labelled = prints.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
     labelled = stored(labelled, "fingerprint-roots")
     first = stored(labelled.groupBy("root").agg(F.min("first").alias("component_id")), "fingerprint-components")
-    ids = stored(labelled.join(first, "root").select(F.col("fp").alias("__fp"), "component_id"), "fingerprint-ids")
+    ids = stored(labelled.join(first, "root").select(F.col("fp").alias("__fp"), "component_id", *["root"] * with_root), "fingerprint-ids")
     return made.join(ids, "__fp")
 
 
@@ -177,247 +176,16 @@ def digest(found: DataFrame) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("__fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-# Near-duplicates by similarity: an exact search by shingle prefixes.
-
-GROUP = 8
-TIES = 2
-BLOCK = 256
-SAMPLE = 8000
-COMMON = 50_000
-# Only for the test that holds ``jaccard`` against the least hashes of two sets.
-SKETCH = 256
-NOT_SPACE = np.ones(256, bool)
-NOT_SPACE[9:14] = NOT_SPACE[32] = False
-
-
-def shingle_sets(data: np.ndarray, offsets: np.ndarray, size: int, rolling: RollingHash) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of the distinct shingles of ``size`` words of each text, sorted, and where those of a text begin."""
-    low, n = np.frombuffer(LOWER, np.uint8)[data], len(offsets) - 1
-    starts, ends, owner = word_bounds(NOT_SPACE[low], offsets)
-    words = rolling.ranges(rolling.prefix(low), starts, ends) if len(starts) else np.zeros(0, np.uint64)
-    count = np.bincount(owner, minlength=n)
-    wide = window_hashes(words, size)
-    at = np.arange(len(wide))
-    inside = owner[at] == owner[at + size - 1] if len(wide) else np.zeros(0, bool)
-    short = np.flatnonzero((count > 0) & (count < size))
-    first = np.searchsorted(owner, short)
-    single = np.array([int(window_hashes(words[a : a + c], c)[0]) for a, c in zip(first.tolist(), count[short].tolist())], np.uint64)
-    owner, values = np.concatenate([owner[at[inside]], short]), np.concatenate([wide[inside], single])
-    order = np.lexsort((values, owner))
-    owner, values = owner[order], values[order]
-    new = np.ones(len(values), bool)
-    new[1:] = (values[1:] != values[:-1]) | (owner[1:] != owner[:-1])
-    return values[new], np.searchsorted(owner[new], np.arange(n + 1))
-
-
-def common_shingles(docs: DataFrame, size: int) -> tuple[np.ndarray, np.ndarray]:
-    """The most frequent shingles of a sample of ``docs``, sorted by hash, and their counts."""
-
-    def rows(batches):
-        rolling = RollingHash()
-        for _, data, offsets in text_blocks(batches):
-            yield pa.RecordBatch.from_arrays([pa.array(shingle_sets(data, offsets, size, rolling)[0].view(np.int64))], ["h"])
-
-    step = max(1, docs.select("__row").count() // SAMPLE)
-    counts = docs.filter(F.pmod(F.xxhash64("text"), F.lit(step)) == 0).select("text").mapInArrow(rows, "h long").groupBy("h").agg(F.count("*").alias("n"))
-    found = counts.filter("n > 3").orderBy(F.desc("n"), "h").limit(COMMON).collect()
-    h, n = np.array([r.h for r in found], np.int64).view(np.uint64), np.array([r.n for r in found], np.int64)
-    order = np.argsort(h)
-    return h[order], n[order]
-
-
-def prefix_length(n, similarity: float):
-    """So many shingles hold one of every set that is similar enough: such a set shares all but the rest of them."""
-    return n - np.ceil(similarity * n - 1e-9).astype(np.int64) + 1
-
-
-def prefixes(docs: DataFrame, size: int, similarity: float) -> DataFrame:
-    """For (__row, id, text): a digest of the words, the number of distinct shingles and the first of them by rarity."""
-    common, frequency = common_shingles(docs, size)
-
-    def rows(batches):
-        rolling, lowered = RollingHash(), np.frombuffer(LOWER, np.uint8)
-        for part, data, offsets in text_blocks(batches):
-            values, cuts = shingle_sets(data, offsets, size, rolling)
-            n = cuts[1:] - cuts[:-1]
-            rank = np.zeros(len(values), np.int64)
-            if len(common):
-                place = np.minimum(np.searchsorted(common, values), len(common) - 1)
-                rank = np.where(common[place] == values, frequency[place], 0)
-            owner = np.repeat(np.arange(len(n)), n)
-            values = values[np.lexsort((values, rank, owner))]
-            length = np.where(n > 0, prefix_length(n, similarity), 0)
-            head = values[np.arange(len(values)) - cuts[owner] < length[owner]]
-            heads = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(length)]).astype(np.int32)), pa.array(head.view(np.int64)))
-            plain = lowered[data].tobytes()
-            digests = [xxhash.xxh3_128_intdigest(b" ".join(plain[a:b].split())) for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist())]
-            halves = [pa.array([(d >> 64) - (1 << 63) for d in digests], pa.int64()), pa.array([(d & 0xFFFFFFFFFFFFFFFF) - (1 << 63) for d in digests], pa.int64())]
-            get = lambda c: part.column(part.schema.get_field_index(c))
-            yield pa.RecordBatch.from_arrays([get("__row"), get("id"), *halves, pa.array(n.astype(np.int32)), heads], ["__row", "id", "c1", "c2", "n", "head"])
-
-    return docs.select("__row", "id", "text").mapInArrow(rows, "__row long, id long, c1 long, c2 long, n int, head array<long>")
-
-
-def shared_keys(classes: DataFrame) -> DataFrame:
-    """(key, r, i, n, m) of the prefix shingles, ``i`` their place in the prefix, that ``m`` > 1 classes have."""
-    # Made twice from the table of classes rather than written.
-    keys = classes.select(F.posexplode("head").alias("i", "key"), "r", "n")
-    counts = stored(keys.groupBy("key").agg(F.count("*").alias("m")).filter("m > 1"), "prefix-counts")
-    return stored(keys.join(counts, "key"), "prefix-shared")
-
-
-def _alike(x: str, y: str, similarity: float):
-    """Whether the sizes of two sets allow the similarity."""
-    return F.least(x, y) >= F.lit(similarity - 1e-9) * F.greatest(x, y)
-
-
-def _reachable(x: str, i: str, y: str, j: str, similarity: float):
-    """Whether two sets of sizes ``x`` and ``y`` can be similar if places ``i`` and ``j`` hold their first common shingle.
-
-    A similar pair passes this at its first common shingle, so a pair that fails it at another one is not lost.
-    """
-    return F.least(F.col(x) - F.col(i), F.col(y) - F.col(j)) >= F.lit(similarity / (1 + similarity)) * (F.col(x) + F.col(y)) - 1e-9
-
-
-def first_pairs(shared: DataFrame, similarity: float) -> DataFrame:
-    """Pairs (a, b) with a common key: all of a bucket of up to ``GROUP`` classes; of a larger one, each class with the
-    most central one (whose buckets are largest) and small groups that are dealt anew for each key.
-
-    That ties most of a large family together by few pairs; ``other_pairs`` gives what is left.
-    """
-    crowded = shared.filter(F.col("m") > GROUP)
-    score = stored(crowded.groupBy("r").agg(F.sum("m").alias("score")), "prefix-scores")
-    hubs = crowded.join(score, "r").groupBy("key").agg(F.max(F.struct("score", "r", "n")).alias("hub"))
-    hubs = stored(hubs.select("key", F.col("hub.r").alias("b"), F.col("hub.n").alias("nb")), "prefix-hubs")
-    starred = crowded.join(hubs, "key").select(F.col("r").alias("a"), F.col("n").alias("na"), "b", "nb")
-    part = F.when(F.col("m") > GROUP, F.pmod(F.xxhash64("r", "key"), F.ceil(F.col("m") / TIES))).otherwise(0)
-    grouped = stored(shared.select("key", part.alias("part"), "r", "i", "n"), "prefix-groups")
-    other = grouped.select("key", "part", F.col("r").alias("b"), F.col("i").alias("j"), F.col("n").alias("nb"))
-    paired = grouped.withColumnsRenamed({"r": "a", "n": "na"}).join(other, ["key", "part"]).filter(F.expr("a < b") & _reachable("na", "i", "nb", "j", similarity)).select("a", "na", "b", "nb")
-    both = paired.unionByName(starred).filter("a <> b").filter(_alike("na", "nb", similarity))
-    return stored(both.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "prefix-pairs")
-
-
-def other_pairs(shared: DataFrame, roots: DataFrame, similarity: float) -> DataFrame:
-    """All pairs (a, b) in buckets of more than ``GROUP`` classes that ``roots`` (node, root) does not connect yet.
-
-    In each bucket the classes outside its largest component meet all others. Buckets are cut into parts of up to
-    ``BLOCK`` classes, whose pairs are spread over tasks.
-    """
-    crowded = shared.filter(F.col("m") > GROUP).join(roots.withColumnRenamed("node", "r"), "r", "left")
-    crowded = stored(crowded.select("key", "r", "i", "n", F.coalesce("root", "r").alias("root")), "prefix-crowded")
-    sizes = crowded.groupBy("key", "root").agg(F.count("*").alias("m"))
-    tops = sizes.groupBy("key").agg(F.max(F.struct("m", "root")).alias("x"), F.sum("m").alias("m"))
-    tops = stored(tops.filter("x.m < m").select("key", F.col("x.root").alias("top"), F.ceil(F.col("m") / BLOCK).cast("int").alias("parts")), "prefix-tops")
-    open_ = crowded.join(tops, "key").withColumn("part", F.pmod(F.xxhash64("r"), F.col("parts")).cast("int"))
-    every = F.explode(F.sequence(F.lit(0), F.col("parts") - 1))
-    left = open_.filter("root <> top").select("key", F.col("part").alias("p"), every.alias("s"), F.col("r").alias("a"), "i", F.col("n").alias("na"), F.col("root").alias("x"))
-    right = open_.withColumn("p", every).select("key", "p", F.col("part").alias("s"), F.col("r").alias("b"), F.col("i").alias("j"), F.col("n").alias("nb"), F.col("root").alias("y"), (F.col("root") == F.col("top")).alias("in_top"))
-    wanted = (F.col("x") != F.col("y")) & (F.col("in_top") | (F.col("a") < F.col("b"))) & _reachable("na", "i", "nb", "j", similarity)
-    met = left.join(right, ["key", "p", "s"]).filter(wanted)
-    return stored(met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "prefix-others")
-
-
-def verified(pairs: DataFrame, sets: DataFrame, blocks: DataFrame, similarity: float) -> DataFrame:
-    """Links (a, b) that connect what the pairs of sufficient Jaccard similarity connect.
-
-    ``sets`` has r and the sorted hashes of all distinct shingles; ``blocks`` has r and block, equal for classes that
-    are often paired. A set is sent once to each group of pairs between two blocks.
-    """
-
-    def rows(key, own, members):
-        r = members.column("r").to_pylist()
-        held = dict(zip(r, (np.frombuffer(x, "<u8") for x in members.column("shingles").to_pylist())))
-        parent = {x: x for x in r}
-
-        def find(x):
-            while parent[x] != x:
-                parent[x] = parent[parent[x]]
-                x = parent[x]
-            return x
-
-        out = [], []
-        for a, b in zip(own.column("a").to_pylist(), own.column("b").to_pylist()):
-            x, y = find(a), find(b)
-            if x != y and jaccard(held[a], held[b]) >= similarity:
-                parent[x] = y
-                out[0].append(a)
-                out[1].append(b)
-        return pa.table([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64())], names=["a", "b"])
-
-    of = lambda r, block: blocks.select(F.col("r").alias(r), F.col("block").alias(block))
-    placed = pairs.join(of("a", "x"), "a").join(of("b", "y"), "b").select("a", "b", F.xxhash64(F.least("x", "y"), F.greatest("x", "y")).alias("g"))
-    placed = stored(placed, "similar-placed")
-    ends = lambda df: df.select("g", F.explode(F.array("a", "b")).alias("r")).distinct()
-    groups = max(1, -(-ends(placed).count() // (2 * BLOCK)))
-    placed = placed.withColumn("g", F.pmod("g", F.lit(groups)))
-    sent = ends(placed).join(sets, "r").select(F.col("g").alias("to"), "r", "shingles")
-    return stored(placed.groupBy("g").cogroup(sent.groupBy("to")).applyInArrow(rows, "a long, b long"), "similar-links")
-
-
-def jaccard(a: np.ndarray, b: np.ndarray) -> float:
-    """Similarity of two sorted sets."""
-    both = np.concatenate([a, b])
-    both.sort(kind="stable")
-    common = int(np.count_nonzero(both[1:] == both[:-1]))
-    return common / max(len(both) - common, 1)
-
-
-def full_sets(docs: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
-    """(r, shingles): the sorted hashes of all distinct shingles of the rows in ``wanted`` (r)."""
-
-    def rows(batches):
-        rolling = RollingHash()
-        for part, data, offsets in text_blocks(batches):
-            values, cuts = shingle_sets(data, offsets, size, rolling)
-            made = [values[a:b].astype("<u8").tobytes() for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist())]
-            yield pa.RecordBatch.from_arrays([part.column(part.schema.get_field_index("r")), pa.array(made, pa.binary())], ["r", "shingles"])
-
-    found = docs.select(F.col("__row").alias("r"), "text").join(wanted, "r")
-    return stored(found.select("r", "text").mapInArrow(rows, "r long, shingles binary"), "similar-sets")
-
-
-def similar_links(docs: DataFrame, classes: DataFrame, size: int, similarity: float) -> DataFrame:
-    """Links (a, b) that connect all ``classes`` (r, n, head) of that similarity; ``docs`` has their texts by __row."""
-    shared = shared_keys(classes)
-    widest = F.max(F.struct("m", "key"))
-    block = F.xxhash64("x.key", F.pmod(F.xxhash64("r"), F.ceil(F.col("x.m") / BLOCK)))
-    blocks = stored(shared.groupBy("r").agg(widest.alias("x")).select("r", block.alias("block")), "similar-blocks")
-    pairs = first_pairs(shared, similarity)
-    ends = pairs.select(F.explode(F.array("a", "b")).alias("r"))
-    sets = full_sets(docs, ends.unionByName(shared.filter(F.col("m") > GROUP).select("r")).distinct(), size)
-    near = verified(pairs, sets, blocks, similarity)
-    others = other_pairs(shared, components(near), similarity)
-    return near.unionByName(verified(others, sets, blocks, similarity))
-
-
-def similar_groups(
-    docs: DataFrame, size: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text", scan: bool = False
-) -> DataFrame:
-    """``docs`` with ``__first``: whether the row is the first of its group of near-duplicates, by id and row number.
-
-    Texts with the same words (capitals folded) are one class. Classes link when the Jaccard similarity of their sets
-    of shingles is at least ``similarity``. The search is exact: in an order of all shingles, rare ones first, two such
-    sets share one of their first ``prefix_length`` shingles, and candidates are decided on their whole sets. Of
-    candidates that are connected already, no more are compared.
+def keep_first(docs: DataFrame, id_col: str = "doc_id", size: int = 3, text_col: str = "text", bucket: int = BUCKET, scan: bool = False) -> DataFrame:
+    """``docs`` with one row of each component: the first by id (null ids last), then by row number.
 
     Row numbers must not change between passes. They are the file and the row in it where ``docs`` is a plain scan of
     Parquet (``scan=True``); otherwise the table is written first.
     """
     row = fresh(docs, "__row")
-    own = scanned(docs, row) if scan else stored(identified(docs, row), "similar-documents")
-    texts = own.select(q(row).alias("__row"), q(id_col).cast("long").alias("id"), q(text_col).alias("text"))
-    made = stored(prefixes(texts, size, similarity), "similar-prefixes")
-    order = [F.col("id").isNull().alias("last"), F.col("id"), F.col("__row")]
-    least = made.groupBy("c1", "c2").agg(F.min(F.struct(*order, "n", "head")).alias("x"))
-    classes = stored(least.select("x.last", "x.id", F.col("x.__row").alias("r"), "x.n", "x.head"), "similar-classes")
-    groups = components(similar_links(texts, classes, size, similarity))
-    named = classes.select("r", "last", "id").join(groups.withColumnRenamed("node", "r"), "r", "left")
-    first = named.groupBy(F.coalesce("root", "r").alias("root")).agg(F.min(F.struct("last", "id", "r"))["r"].alias(row)).select(row)
-    first = first.withColumn(fresh(docs, "__first"), F.lit(True))
-    return own.join(first, row, "left").withColumn("__first", F.coalesce(q(fresh(docs, "__first")), F.lit(False)))
-
-
-def keep_first(docs: DataFrame, **options) -> DataFrame:
-    """``docs`` with one document of each group of near-duplicates."""
-    return similar_groups(docs, **options).filter("__first").select(*[q(c) for c in docs.columns])
+    own = scanned(docs, row) if scan else stored(identified(docs, row), "near-documents")
+    texts = own.select(q(row).alias("row"), q(id_col).alias("id"), q(text_col).alias("text"))
+    found = near_duplicates(texts, "id", size, bucket=bucket, with_root=True)
+    least = F.min(F.struct(F.col("id").isNull().alias("last"), "id", "row"))["row"]
+    first = stored(found.groupBy("root").agg(least.alias(row)).select(row), "near-first")
+    return own.join(first, row, "left_semi").select(*[q(c) for c in docs.columns])
