@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-import itertools
-import math
 from collections.abc import Sequence
+from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -20,8 +20,8 @@ from lodestat.operators.ensemble import draws
 from lodestat.operators.features import pca_reduce
 from lodestat.operators.models import build_features, nearest
 from lodestat.operators.profile import numeric_moments
-from lodestat.plans.blocks import paired
 from lodestat.plans.components import connected_components
+from lodestat.plans.pivots import CELL_POINTS, Cells, cells_of, choose_pivots, met, placed
 from lodestat.plans.skew import salted_join, with_position
 from lodestat.session import materialize
 
@@ -50,22 +50,28 @@ def evaluate_clusters(assigned: DataFrame, algorithm: str, parameters: dict, noi
     )
 
 
-def _sweep(rows: DataFrame, id_col: str, ks: Sequence[int], algorithm: str, assign) -> tuple[DataFrame, DataFrame]:
-    """Try each k and keep the best silhouette: (assignment, one metrics row per k with ``is_best``)."""
-    best, scores = None, []
-    for k in ks:
-        labelled = materialize(assign(k).select(id_col, "features", F.col("label").cast("int").alias("label")), f"{algorithm}-{k}")
-        if labelled.select("label").distinct().count() < 2:
-            continue
-        value = float(M.silhouette(labelled).first()["silhouette"])
-        scores.append((k, value))
-        if best is None or value > best[1]:
-            best = (k, value, labelled)
-    if best is None:
+SCORES = ("silhouette", "calinski_harabasz", "davies_bouldin")
+
+
+def _sweep(labelled: DataFrame, id_col: str, algorithm: str) -> tuple[DataFrame, DataFrame]:
+    """Score the clusterings of ``labelled`` (id, features, k, label) in one pass and keep the best silhouette.
+
+    Gives its assignment, and a row per k that found two clusters, with all three scores and ``is_best``.
+    """
+    found = M.sweep_scores(labelled.withColumnRenamed("k", "asked"), "asked", id_col).filter("k >= 2").collect()  # one row a k
+    if not found:
         raise ValueError(f"{algorithm} found no clustering with two clusters")
-    spark = rows.sparkSession
-    table = spark.createDataFrame([(algorithm, k, v, k == best[0]) for k, v in scores], "algorithm string, k int, silhouette double, is_best boolean")
-    return best[2], table
+    best = min(found, key=lambda r: (-r["silhouette"], r["asked"]))["asked"]
+    rows = [(algorithm, int(r["asked"]), *(r[c] for c in SCORES), r["asked"] == best) for r in sorted(found, key=lambda r: r["asked"])]
+    schema = "algorithm string, k int, " + ", ".join(f"{c} double" for c in SCORES) + ", is_best boolean"
+    kept = labelled.filter(F.col("k") == best).select(id_col, "features", F.col("label").cast("int").alias("label"))
+    return materialize(kept, f"{algorithm}-best"), labelled.sparkSession.createDataFrame(rows, schema)
+
+
+def _by_k(rows: DataFrame, id_col: str, labels: dict[int, str]) -> DataFrame:
+    """(id, features, k, label) from one label column per k."""
+    each = F.explode(F.array(*[F.struct(F.lit(k).alias("k"), F.col(c).cast("int").alias("label")) for k, c in labels.items()]))
+    return rows.select(id_col, "features", each.alias("e")).select(id_col, "features", "e.k", "e.label")
 
 
 def max_clusters(n: int, limit: int) -> int:
@@ -77,26 +83,29 @@ def _vectors(rows: DataFrame) -> DataFrame:
     return rows.withColumn("__v", array_to_vector(F.transform("features", lambda x: x.cast("double"))))
 
 
-def kmeans_sweep(rows: DataFrame, id_col: str, ks: Sequence[int] | None = None, seed: int = 42) -> tuple[DataFrame, DataFrame]:
-    """k-means for k = 2 .. 10, best silhouette."""
-    data = _vectors(rows)
-    ks = ks or range(2, max_clusters(rows.count(), 10) + 1)
+def _model_sweep(rows: DataFrame, id_col: str, ks: Sequence[int] | None, algorithm: str, make) -> tuple[DataFrame, DataFrame]:
+    """Fit ``make(k, label column)`` for each k; the fitted models are small and label all rows in one pass."""
+    data, labels = _vectors(rows), {}
+    out = data
+    for k in ks or range(2, max_clusters(rows.count(), 10) + 1):
+        labels[k] = f"__label_{k}"
+        out = make(k, labels[k]).fit(data).transform(out)
+    return _sweep(_by_k(out, id_col, labels), id_col, algorithm)
 
-    def assign(k: int) -> DataFrame:
-        return MC.KMeans(k=k, seed=seed, featuresCol="__v", predictionCol="label").fit(data).transform(data)
 
-    return _sweep(rows, id_col, list(ks), "kmeans", assign)
+def kmeans_sweep(rows: DataFrame, id_col: str, ks: Sequence[int] | None = None, seed: int = 42) -> tuple[DataFrame, DataFrame]:
+    """k-means for k = 2 .. 10, best silhouette."""
+    make = lambda k, label: MC.KMeans(k=k, seed=seed, featuresCol="__v", predictionCol=label)
+    return _model_sweep(rows, id_col, ks, "kmeans", make)
 
 
 def gmm_sweep(rows: DataFrame, id_col: str, ks: Sequence[int] | None = None, seed: int = 42) -> tuple[DataFrame, DataFrame]:
     """Full-covariance Gaussian mixtures for k = 2 .. 10, best silhouette."""
-    data = _vectors(rows)
-    ks = ks or range(2, max_clusters(rows.count(), 10) + 1)
 
-    def assign(k: int) -> DataFrame:
-        return MC.GaussianMixture(k=k, seed=seed, featuresCol="__v", predictionCol="label").fit(data).transform(data)
+    def make(k: int, label: str) -> MC.GaussianMixture:
+        return MC.GaussianMixture(k=k, seed=seed, featuresCol="__v", predictionCol=label, probabilityCol=f"{label}_p")
 
-    return _sweep(rows, id_col, list(ks), "gaussian_mixture", assign)
+    return _model_sweep(rows, id_col, ks, "gaussian_mixture", make)
 
 
 def assign_nearest(rows: DataFrame, centres: dict[int, Sequence[float]]) -> DataFrame:
@@ -112,248 +121,224 @@ def assign_nearest(rows: DataFrame, centres: dict[int, Sequence[float]]) -> Data
 
 # --- Density clustering ----------------------------------------------------------------------------
 
-GRID_DIMS = 3
-CHUNK_POINTS = 2048
-TILE_POINTS = 1024
+CHUNK_POINTS = 1024
 
 
-def _within(a: pd.DataFrame, b: pd.DataFrame, eps: float) -> np.ndarray:
+def _squares(a: pd.DataFrame, b: pd.DataFrame) -> np.ndarray:
+    """Squared distances, without the rounding of the product form."""
     x, y = np.stack(a["x"].to_numpy()).astype(float), np.stack(b["x"].to_numpy()).astype(float)
-    near = np.zeros((len(x), len(y)), dtype=bool)
-    for i in range(0, len(x), 256):
-        d = ((x[i : i + 256, None, :] - y[None, :, :]) ** 2).sum(axis=2)
-        near[i : i + 256] = d <= eps * eps
-    return near
+    out = np.empty((len(x), len(y)))
+    step = max(1, (1 << 22) // max(y.size, 1))
+    for i in range(0, len(x), step):
+        out[i : i + step] = ((x[i : i + step, None, :] - y[None, :, :]) ** 2).sum(axis=2)
+    return out
+
+
+def _forest(weights: np.ndarray) -> list[tuple[int, int, float]]:
+    """Least spanning forest of a dense symmetric graph; infinite weights are no edges."""
+    n = len(weights)
+    best, origin, done, kept = np.full(n, np.inf), np.zeros(n, np.int64), np.zeros(n, bool), []
+    for start in np.flatnonzero(np.isfinite(weights).any(axis=1)):
+        if done[start]:
+            continue
+        at = start
+        while True:
+            done[at] = True
+            better = (weights[at] < best) & ~done
+            best[better], origin[better] = weights[at][better], at
+            open_ = np.where(done, np.inf, best)
+            at = int(open_.argmin())
+            if not np.isfinite(open_[at]):
+                break
+            kept.append((int(origin[at]), at, float(best[at])))
+    return kept
+
 
+@dataclass
+class Density:
+    """Distinct points with their core distances, and the graph of mutual reachability up to ``reach``.
 
-def _forest_edges(left: np.ndarray, right: np.ndarray) -> list[tuple[int, int]]:
-    """Edges reduced to a spanning forest."""
-    parent: dict[int, int] = {}
+    ``points``: pid, x, w (rows at that point), cell, chunk, core (squared core distance for each of ``samples``, null beyond ``reach``).
+    ``edges``: s (index in ``samples``), a, b, w (squared mutual reachability). Each pair of chunks adds the least spanning
+    forest of its part of the graph; together they connect, at every distance up to ``reach``, what the whole graph connects.
+    """
 
-    def root(v: int) -> int:
-        while parent.setdefault(v, v) != v:
-            parent[v] = parent[parent[v]]
-            v = parent[v]
-        return v
+    points: DataFrame
+    edges: DataFrame
+    cells: Cells
+    chunks: np.ndarray
+    samples: list[int]
+    reach: float
 
-    kept = []
-    for u, v in zip(left.tolist(), right.tolist()):
-        a, b = root(u), root(v)
-        if a != b:
-            parent[max(a, b)] = min(a, b)
-            kept.append((u, v))
-    return kept
+    def pairs(self) -> np.ndarray:
+        return self.cells.near(self.reach)
 
 
-def dbscan(rows: DataFrame, id_col: str, eps: float, min_samples: int) -> DataFrame:
-    """Exact density clustering: (id, label) with -1 for noise; a point counts as its own neighbour.
+def density_graph(rows: DataFrame, id_col: str, reach: float, samples: Sequence[int], cell_points: int = CELL_POINTS) -> Density:
+    """Core distances for every neighbour count in ``samples`` and the reachability graph, for all distances up to ``reach``.
 
-    Equal points are merged first. Points sit in a grid over up to three dimensions; with all dimensions
-    in the grid a cell is so small that its points are mutual neighbours, so a crowded cell is core and
-    linked without comparing its points. Other work runs on chunk pairs of tiles (groups of cells) and
-    returns counts, spanning-forest edges or one label per point, never pairs. Crowded cells are first
-    linked through a few extreme points; only pairs of cells still apart after that are compared in full.
+    Equal points are merged. Points are dealt to cells around pivots and cells are cut into chunks; only cells that can hold
+    points within ``reach`` of each other meet, in any number of dimensions. A task holds one pair of chunks.
     """
+    samples = sorted(set(samples))
     pts = rows.groupBy(F.transform("features", lambda v: v.cast("double")).alias("x")).agg(
         F.min(id_col).cast("long").alias("pid"), F.count(F.lit(1)).alias("w")
     )
-    pts = materialize(pts, "dbscan-points")
-    dims = len(pts.first()["x"])
-    spread = pts.select(F.posexplode("x").alias("i", "v")).groupBy("i").agg(F.var_pop("v").alias("s"))
-    used = [r["i"] for r in spread.orderBy(F.desc("s"), "i").limit(GRID_DIMS).collect()]
-    whole = dims <= GRID_DIMS
-    width = eps / math.sqrt(dims) * (1 - 1e-9) if whole else eps
-    reach = math.ceil(eps / width - 1e-6) if whole else 1
-    cell = F.array(*[F.floor(F.element_at("x", i + 1) / width).cast("long") for i in used])
-    pts = pts.withColumn("cell", cell)
-
-    def extreme(i: int, fn):
-        return fn("x", F.element_at("x", i + 1))
-
-    cells = pts.groupBy("cell").agg(
-        F.sum("w").alias("weight"),
-        F.count(F.lit(1)).alias("size"),
-        F.min("pid").alias("unit"),
-        F.array(*[F.min(F.element_at("x", i + 1)) for i in used]).alias("lo"),
-        F.array(*[F.max(F.element_at("x", i + 1)) for i in used]).alias("hi"),
-        F.array(*[extreme(i, f) for i in used for f in (F.min_by, F.max_by)]).alias("reps"),
-    )
-    dense = (F.col("weight") >= min_samples) if whole else F.lit(False)
-    cells = materialize(cells.withColumn("dense", dense).withColumn("chunks", F.ceil(F.col("size") / CHUNK_POINTS).cast("int")), "dbscan-cells")
-    offsets = F.array(*[F.array(*[F.lit(o).cast("long") for o in step]) for step in itertools.product(range(-reach, reach + 1), repeat=len(used))])
-    right = cells.select(*[F.col(c).alias(f"r_{c}") for c in cells.columns])
-    near = cells.withColumn("__o", F.explode(offsets)).withColumn("r_cell", F.zip_with("cell", "__o", lambda a, b: a + b)).join(right, "r_cell")
-    apart = F.aggregate(
-        F.zip_with(
-            F.zip_with("r_lo", "hi", lambda a, b: a - b), F.zip_with("lo", "r_hi", lambda a, b: a - b),
-            lambda a, b: F.greatest(a, b, F.lit(0.0)),
-        ),
-        F.lit(0.0),
-        lambda acc, v: acc + v * v,
+    pts = materialize(pts, "density-points")
+    pivots = choose_pivots(pts, pts.count(), cell_points)
+    pts = materialize(placed(pts, pivots), "density-placed")
+    cells = cells_of(pts, pivots)
+    chunks = np.maximum(1, -(-cells.sizes // CHUNK_POINTS))
+    spread = F.element_at(F.lit(chunks.tolist()), F.col("cell") + 1)
+    pts = pts.select("pid", "x", "w", "cell", F.pmod(F.xxhash64("pid"), spread).cast("int").alias("chunk"))
+    near, most, limit = cells.near(reach), samples[-1], reach * reach
+
+    def neighbours(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+        d, weight = _squares(a, b), b["w"].to_numpy()
+        take = min(most, d.shape[1])
+        cols = np.argpartition(d, take - 1, axis=1)[:, :take]
+        d = np.take_along_axis(d, cols, axis=1)
+        row, col = np.nonzero(d <= limit)
+        return pd.DataFrame({"pid": a["pid"].to_numpy()[row], "d": d[row, col], "w": weight[cols[row, col]]})
+
+    found = met(pts.drop("w"), pts, near, chunks, [], neighbours, "pid long, d double, w long")
+    around = found.groupBy("pid").agg(F.array_sort(F.collect_list(F.struct("d", "w"))).alias("n"))
+    start = F.struct(F.lit(0).cast("long").alias("held"), F.lit(None).cast("double").alias("d"))
+
+    def core(s: int):
+        def step(acc, e):
+            more = F.struct((acc["held"] + e["w"]).alias("held"), e["d"].alias("d"))
+            return F.when(acc["held"] >= s, acc).otherwise(more)
+
+        last = F.aggregate("n", start, step)
+        return F.when(last["held"] >= s, last["d"])
+
+    cored = around.select("pid", F.array(*[core(s) for s in samples]).alias("core"))
+    points = materialize(pts.join(cored, "pid"), "density-cores")
+
+    def reachable(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+        d = _squares(a, b)
+        left, right = (np.stack(f["core"].to_numpy()).astype(float) for f in (a, b))
+        ids = a["pid"].to_numpy(), b["pid"].to_numpy()
+        same, out = ids[0][0] == ids[1][0] and len(ids[0]) == len(ids[1]) and (ids[0] == ids[1]).all(), []
+        for s in range(len(samples)):
+            weights = np.maximum(np.maximum(d, left[:, s][:, None]), right[:, s][None, :])
+            weights = np.where(weights <= limit, weights, np.inf)
+            if not same:
+                whole = np.full((sum(weights.shape),) * 2, np.inf)
+                whole[: len(weights), len(weights) :], whole[len(weights) :, : len(weights)] = weights, weights.T
+                weights = whole
+            else:
+                np.fill_diagonal(weights, np.inf)
+            names = ids[0] if same else np.concatenate(ids)
+            out += [(s, int(names[i]), int(names[j]), w) for i, j, w in _forest(weights)]
+        return pd.DataFrame(out, columns=["s", "a", "b", "w"]).astype({"s": "int32", "a": "int64", "b": "int64", "w": "float64"})
+
+    body = points.filter(F.exists("core", lambda c: c.isNotNull())).select("pid", "x", "core", "cell", "chunk")
+    edges = met(body, body, near, chunks, [], reachable, "s int, a long, b long, w double", half=True)
+    return Density(points, materialize(edges, "density-edges"), cells, chunks, samples, reach)
+
+
+def spanning_forest(edges: DataFrame) -> DataFrame:
+    """Least spanning forest (a, b, w) of a weighted graph in Boruvka rounds.
+
+    Each round every component takes its least edge out (ties by the nodes, so no cycle can close), the edges taken are
+    kept, and components merge along them. Rounds at least halve the components and are written tables.
+    """
+    e = edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "w").filter("a <> b")
+    e = materialize(e.groupBy("a", "b").agg(F.min("w").alias("w")).withColumns({"ca": F.col("a"), "cb": F.col("b")}), "forest-edges")
+    kept = []
+    while not e.isEmpty():
+        cheap = F.min(F.struct("w", "a", "b", "ca", "cb")).alias("e")
+        ends = e.select("*", F.explode(F.array("ca", "cb")).alias("c"))
+        taken = materialize(ends.groupBy("c").agg(cheap).select("e.*").distinct(), "forest-taken")
+        kept.append(taken.select("a", "b", "w"))
+        nodes = taken.select(F.explode(F.array("ca", "cb")).alias("node")).distinct()
+        merged = connected_components(nodes, taken.select(F.col("ca").alias("a"), F.col("cb").alias("b")))
+        for c in ("ca", "cb"):
+            named = merged.select(F.col("node").alias(c), F.col("component").alias("__to"))
+            e = salted_join(e, named, [c]).withColumn(c, F.coalesce("__to", c)).drop("__to")
+        e = materialize(e.filter("ca <> cb"), "forest-edges")
+    out = edges.select("a", "b", "w").limit(0)
+    for part in kept:
+        out = out.unionByName(part)
+    return out
+
+
+def density_tree(graph: Density, s: int = 0) -> DataFrame:
+    """Spanning forest (a, b, w) over mutual reachability for the neighbour count at index ``s``: any distance can be cut from it."""
+    return spanning_forest(graph.edges.filter(F.col("s") == s))
+
+
+def cut(graph: Density, trials: Sequence[tuple[int, float, int]], edges: DataFrame | None = None) -> DataFrame:
+    """Labels of the distinct points for each (trial, eps, min_samples): (trial, x, label), -1 for noise.
+
+    Clusters of a trial are the components of the edges up to its eps, numbered by their smallest point; a point that is not core
+    goes to the first of the clusters it touches. All trials run together.
+    """
+    spark = graph.points.sparkSession
+    table = spark.createDataFrame(
+        [(t, float(eps), float(eps) * float(eps), graph.samples.index(m)) for t, eps, m in trials], "trial int, eps double, square double, s int"
     )
-    near = materialize(near.filter(apart <= eps * eps * (1 + 1e-9)).drop("__o"), "dbscan-cell-pairs")
-    pts = salted_join(pts, cells.select("cell", "dense", "unit", "chunks"), ["cell"], "inner")
-    pts = materialize(pts.withColumn("chunk", F.pmod(F.xxhash64("pid"), F.col("chunks")).cast("int")), "dbscan-placed")
-
-    n_points, n_cells = pts.count(), cells.count()
-    across = max(1, min(4096, int((TILE_POINTS * n_cells / n_points) ** (1 / len(used)))))
-
-    def in_tiles(left: DataFrame, base: DataFrame, work, schema: str) -> DataFrame:
-        """Run ``work`` on chunk pairs of tiles: left points at home, base points in every tile they can reach."""
-        home = F.transform("cell", lambda c: F.floor(c / across))
-        ls = left.withColumn("tile", home)
-        rs = base
-        for i in range(len(used)):
-            c = F.element_at("cell", i + 1)
-            span = F.sequence(F.floor((c - reach) / across), F.floor((c + reach) / across))
-            rs = rs.withColumn(f"__t{i}", F.explode(span))
-        parts = [f"__t{i}" for i in range(len(used))]
-        rs = rs.withColumn("tile", F.array(*parts)).drop(*parts)
-        sizes = (
-            ls.groupBy("tile").agg(F.ceil(F.count(F.lit(1)) / CHUNK_POINTS).cast("int").alias("lc"))
-            .join(rs.groupBy("tile").agg(F.ceil(F.count(F.lit(1)) / CHUNK_POINTS).cast("int").alias("rc")), "tile")
-        )
-        every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-        ls = salted_join(ls, sizes, ["tile"], "inner").withColumn("a", F.pmod(F.xxhash64("pid"), F.col("lc")).cast("int")).withColumn("b", every("rc"))
-        rs = salted_join(rs, sizes, ["tile"], "inner").withColumn("b", F.pmod(F.xxhash64("pid"), F.col("rc")).cast("int")).withColumn("a", every("lc"))
-        return paired(ls.drop("lc", "rc", "cell"), rs.drop("lc", "rc", "cell"), ["tile", "a", "b"], work, schema)
-
-    def on_cells(left: DataFrame, base: DataFrame, pairs: DataFrame, work, schema: str) -> DataFrame:
-        """Run ``work`` on chunk pairs of the given cell pairs."""
-        links = (
-            pairs.select("cell", "chunks", "r_cell", "r_chunks")
-            .withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
-            .withColumn("r_chunk", F.explode(F.sequence(F.lit(0), F.col("r_chunks") - 1)))
-            .drop("chunks", "r_chunks")
-        )
-        ls = salted_join(left, links.groupBy("cell", "chunk").agg(F.collect_list(F.struct("r_cell", "r_chunk")).alias("to")), ["cell", "chunk"], "inner")
-        rs = base.withColumnRenamed("cell", "r_cell").withColumnRenamed("chunk", "r_chunk")
-        rs = salted_join(rs, links.groupBy("r_cell", "r_chunk").agg(F.collect_list(F.struct("cell", "chunk")).alias("to")), ["r_cell", "r_chunk"], "inner")
-        return paired(ls.select("*", F.inline("to")).drop("to"), rs.select("*", F.inline("to")).drop("to"), ["cell", "chunk", "r_cell", "r_chunk"], work, schema)
-
-    def count_near(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame({"pid": a["pid"].to_numpy(), "n": _within(a, b, eps) @ b["w"].to_numpy()})
-
-    slim = pts.select("cell", "chunk", "pid", "w", "x", "unit", "dense")
-    sparse = slim.filter(~F.col("dense"))
-    counts = in_tiles(sparse.select("cell", "pid", "x"), slim.select("cell", "pid", "x", "w"), count_near, "pid long, n long")
-    enough = counts.groupBy("pid").agg(F.sum("n").alias("n")).filter(F.col("n") >= min_samples).select("pid").withColumn("__core", F.lit(True))
-    core_flag = F.col("dense") | F.coalesce("__core", F.lit(False))
-    state = materialize(slim.join(enough, "pid", "left").withColumn("core", core_flag).drop("__core"), "dbscan-core")
-    core = state.filter("core").withColumn("unit", F.when(F.col("dense"), F.col("unit")).otherwise(F.col("pid")))
-    units = core.select(F.col("unit").alias("node")).distinct()
-
-    crowded = near.filter(F.col("dense") & F.col("r_dense") & (F.col("unit") < F.col("r_unit")))
-    touching = F.exists("reps", lambda p: F.exists("r_reps", lambda r: M.squared_distance(p, r) <= eps * eps))
-    quick = materialize(crowded.filter(touching).select(F.col("unit").alias("a"), F.col("r_unit").alias("b")), "dbscan-quick-links")
-    first = connected_components(units, quick)
-    named = first.select(F.col("node").alias("unit"), F.col("component").alias("c1"))
-    other = first.select(F.col("node").alias("r_unit"), F.col("component").alias("c2"))
-    still_apart = crowded.join(named, "unit").join(other, "r_unit").filter("c1 <> c2").select(*crowded.columns)
-
-    def link(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        i, j = np.nonzero(_within(a, b, eps))
-        edges = _forest_edges(a["unit"].to_numpy()[i], b["unit"].to_numpy()[j])
-        return pd.DataFrame(edges, columns=["a", "b"]).astype("int64")
-
-    body = core.select("cell", "chunk", "pid", "unit", "x")
-    loose = core.filter(~F.col("dense")).select("cell", "pid", "unit", "x")
-    edges = quick.unionByName(in_tiles(loose, body.drop("chunk"), link, "a long, b long").filter("a <> b"))
-    if not still_apart.isEmpty():
-        edges = edges.unionByName(on_cells(body.drop("pid"), body.drop("pid"), still_apart, link, "a long, b long"))
-    found = connected_components(units, edges)
-    core_labels = core.join(found.withColumnRenamed("node", "unit"), "unit").select("pid", "cell", "chunk", "x", "component")
+    edges = graph.edges if edges is None else edges
+    tried = graph.points.join(F.broadcast(table)).withColumn("is_core", F.coalesce(F.element_at("core", F.col("s") + 1) <= F.col("square"), F.lit(False)))
+    tried = tried.select("trial", "square", "pid", "x", "cell", "chunk", "is_core")
+    core = tried.filter("is_core")
+    node = lambda pid: F.struct("trial", F.col(pid).alias("pid"))
+    links = edges.join(F.broadcast(table), "s").filter(F.col("w") <= F.col("square")).select(node("a").alias("a"), node("b").alias("b"))
+    groups = connected_components(core.select(node("pid").alias("node")), links)
+    groups = groups.select(F.col("node.trial").alias("trial"), F.col("node.pid").alias("pid"), F.col("component.pid").alias("component"))
+    core = materialize(core.join(groups, ["trial", "pid"]).select("trial", "pid", "x", "cell", "chunk", "component"), "density-clusters")
 
     def border(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        hit = _within(a, b, eps)
+        hit = _squares(a, b) <= a["square"].iloc[0]
         value = np.where(hit, b["component"].to_numpy()[None, :], np.iinfo("int64").max).min(axis=1)
         keep = hit.any(axis=1)
-        return pd.DataFrame({"pid": a["pid"].to_numpy()[keep], "component": value[keep]})
-
-    edge_points = state.filter(~F.col("core")).select("cell", "pid", "x")
-    reached = in_tiles(edge_points, core_labels.select("cell", "pid", "x", "component"), border, "pid long, component long")
-    reached = reached.groupBy("pid").agg(F.min("component").alias("component"))
-    clusters = materialize(core_labels.select("pid", "component").unionByName(reached), "dbscan-labels")
-    numbers = with_position(clusters.select("component").distinct(), [], "component", name="label").drop("n")
-    labels = salted_join(clusters, numbers, ["component"], "inner").select("pid", F.col("label").cast("int").alias("label"))
-    by_point = state.select("pid", "x").join(labels, "pid", "left")
-    keyed = rows.select(id_col, F.transform("features", lambda v: v.cast("double")).alias("x"))
-    return salted_join(keyed, by_point.select("x", "label"), ["x"], "left").select(
-        id_col, F.coalesce("label", F.lit(-1)).alias("label")
-    )
+        return pd.DataFrame({"trial": a["trial"].to_numpy()[keep], "pid": a["pid"].to_numpy()[keep], "component": value[keep]})
 
+    loose = tried.filter("NOT is_core").select("trial", "square", "pid", "x", "cell", "chunk")
+    reached = met(loose, core, graph.pairs(), graph.chunks, ["trial"], border, "trial int, pid long, component long")
+    reached = reached.groupBy("trial", "pid").agg(F.min("component").alias("component"))
+    clusters = materialize(core.select("trial", "pid", "component").unionByName(reached), "density-labels")
+    numbers = with_position(clusters.select("trial", "component").distinct(), ["trial"], "component", name="label").drop("n")
+    labels = salted_join(clusters, numbers, ["trial", "component"], "inner").select("trial", "pid", F.col("label").cast("int").alias("label"))
+    out = graph.points.select("pid", "x").join(F.broadcast(table.select("trial"))).join(labels, ["trial", "pid"], "left")
+    return out.select("trial", "x", F.coalesce("label", F.lit(-1)).alias("label"))
 
-SEARCH_SAMPLE = 2000
 
+def _label_rows(rows: DataFrame, id_col: str, labels: DataFrame) -> DataFrame:
+    """(id, features, trial, label) of all rows, through their points."""
+    keyed = rows.select(id_col, "features", F.transform("features", lambda v: v.cast("double")).alias("x"))
+    each = labels.groupBy("x").agg(F.collect_list(F.struct("trial", "label")).alias("tried"))
+    return salted_join(keyed, each, ["x"], "inner").select(id_col, "features", F.inline("tried"))
 
-def _local_density(x: np.ndarray, eps: float, min_samples: int) -> tuple[np.ndarray, float]:
-    """Density labels and noise-free silhouette of a bounded sample."""
-    d = np.sqrt(np.maximum((x**2).sum(1)[:, None] + (x**2).sum(1)[None, :] - 2 * x @ x.T, 0))
-    near = d <= eps
-    core = near.sum(1) >= min_samples
-    label = np.full(len(x), -1)
-    cluster = 0
-    for i in np.nonzero(core)[0]:
-        if label[i] >= 0:
-            continue
-        todo = [i]
-        label[i] = cluster
-        while todo:
-            j = todo.pop()
-            if not core[j]:
-                continue
-            fresh = np.nonzero(near[j] & (label < 0))[0]
-            label[fresh] = cluster
-            todo.extend(fresh.tolist())
-        cluster += 1
-    keep = label >= 0
-    if cluster < 2 or keep.sum() < 2:
-        return label, -1.0
-    d, lab = d[np.ix_(keep, keep)], label[keep]
-    sums = np.stack([d[:, lab == c].sum(1) for c in range(cluster)], axis=1)
-    sizes = np.array([(lab == c).sum() for c in range(cluster)])
-    own = sizes[lab]
-    a = sums[np.arange(len(lab)), lab] / np.maximum(own - 1, 1)
-    means = sums / sizes
-    means[np.arange(len(lab)), lab] = np.inf
-    b = means.min(1)
-    s = np.where(own > 1, (b - a) / np.maximum(np.maximum(a, b), 1e-300), 0.0)
-    return label, float(s.mean())
-
-
-def dbscan_search(rows: DataFrame, id_col: str, trials: int = 20, seed: int = 42, sample: int = SEARCH_SAMPLE) -> tuple[DataFrame, DataFrame]:
-    """Parameters by random trials on a seeded sample of bounded size, then exact clustering of all rows.
-
-    eps from 0.1 to 2, min_samples from 2 to min(20, n/10); the best noise-free silhouette must be positive.
+
+def dbscan(rows: DataFrame, id_col: str, eps: float, min_samples: int, cell_points: int = CELL_POINTS) -> DataFrame:
+    """Exact density clustering: (id, label) with -1 for noise; a point counts as its own neighbour."""
+    graph = density_graph(rows, id_col, eps, [min_samples], cell_points)
+    return _label_rows(rows, id_col, cut(graph, [(0, eps, min_samples)])).select(id_col, "label")
+
+
+def dbscan_search(rows: DataFrame, id_col: str, trials: int = 20, seed: int = 42) -> tuple[DataFrame, DataFrame]:
+    """Density parameters by random trials, each on all rows; the best noise-free silhouette must be positive.
+
+    eps from 0.1 to 2, min_samples from 2 to min(20, n/10). All trials are cut from one reachability graph and are scored in one
+    pass. Gives the assignment (id, label) of the best trial, and the trials.
     """
     n = rows.count()
-    space = {"eps": ("float", 0.1, 2.0), "min_samples": ("int", 2, max(2, min(20, n // 10)))}
-    candidates = F.array(
-        *[
-            F.struct(F.lit(i).alias("trial"), F.lit(float(d["eps"])).alias("eps"), F.lit(int(d["min_samples"])).alias("min_samples"))
-            for i, d in enumerate(draws(space, trials, seed))
-        ]
-    )
-    drawn = rows.orderBy(F.xxhash64(id_col, F.lit(seed)), id_col).limit(sample).select("features")
-    share = max(1.0, n / sample)
-
-    def attempt(frame: pd.DataFrame) -> pd.DataFrame:
-        head = frame.iloc[0]
-        x = np.stack(frame["features"].to_numpy()).astype(float)
-        # Density thins out with the sample, so the neighbour count does too.
-        label, value = _local_density(x, head["eps"], max(2, round(head["min_samples"] / share)))
-        return pd.DataFrame(
-            {"trial": [head["trial"]], "eps": [head["eps"]], "min_samples": [head["min_samples"]], "n_clusters": [int(label.max()) + 1], "silhouette": [value]}
-        )
-
-    work = drawn.select("features", F.inline(candidates))
-    table = materialize(
-        work.groupBy("trial").applyInPandas(attempt, "trial int, eps double, min_samples int, n_clusters int, silhouette double"), "dbscan-trials"
-    )
+    space = {"eps": ("float", 0.1, 2.0), "min_samples": ("int", 2, max(2, min(20, n // 10)))}  # fixed values
+    drawn = [(i, float(d["eps"]), int(d["min_samples"])) for i, d in enumerate(draws(space, trials, seed))]
+    graph = density_graph(rows, id_col, max(e for _, e, _ in drawn), [m for *_, m in drawn])
+    labelled = materialize(_label_rows(rows, id_col, cut(graph, drawn)), "density-trials")
+    found = M.sweep_scores(labelled.filter("label >= 0"), "trial", id_col).select("trial", F.col("k").cast("int").alias("n_clusters"), *SCORES)
+    table = rows.sparkSession.createDataFrame(drawn, "trial int, eps double, min_samples int").join(found, "trial", "left")
+    silhouette = F.when(F.col("n_clusters") >= 2, F.col("silhouette")).otherwise(-1.0).alias("silhouette")
+    table = table.select("trial", "eps", "min_samples", F.coalesce("n_clusters", F.lit(0)).alias("n_clusters"), silhouette, *SCORES[1:])
+    table = materialize(table, "density-scores")
     best = table.orderBy(F.desc("silhouette"), "trial").first()
     if best["silhouette"] <= 0:
         raise ValueError("no density clustering with a positive silhouette")
-    return dbscan(rows, id_col, best["eps"], best["min_samples"]), table
+    return labelled.filter(F.col("trial") == best["trial"]).select(id_col, "label"), table
 
 
 # --- Hierarchical and spectral ---------------------------------------------------------------------
@@ -420,7 +405,7 @@ def hierarchical(
     merges = _merge_tree(centres, np.array([sizes[i] for i in ids]), linkage)
     ks = [k for k in (ks or range(2, max_clusters(n, 10) + 1)) if k <= len(ids)]
 
-    def assign(k: int) -> DataFrame:
+    def names(k: int) -> list[int]:
         parent = list(range(len(ids)))
 
         def root(v: int) -> int:
@@ -430,51 +415,114 @@ def hierarchical(
 
         for i, j in merges[: len(ids) - k]:
             parent[root(j)] = root(i)
-        names = {r: c for c, r in enumerate(sorted({root(v) for v in range(len(ids))}))}
-        pairs = [(ids[v], names[root(v)]) for v in range(len(ids))]
-        lookup = rows.sparkSession.createDataFrame(pairs, "`__m` int, label int")
-        return placed.join(F.broadcast(lookup), "__m")  # at most `micro` rows
+        order = {r: c for c, r in enumerate(sorted({root(v) for v in range(len(ids))}))}
+        return [order[root(v)] for v in range(len(ids))]
 
-    return _sweep(rows, id_col, ks, "hierarchical", assign)
+    cuts = [names(k) for k in ks]
+    pairs = [(m, [(k, labels[at]) for k, labels in zip(ks, cuts)]) for at, m in enumerate(ids)]
+    lookup = rows.sparkSession.createDataFrame(pairs, "`__m` int, tried array<struct<k: int, label: int>>")
+    labelled = placed.join(F.broadcast(lookup), "__m").select(id_col, "features", F.inline("tried"))  # at most `micro` rows
+    return _sweep(labelled, id_col, "hierarchical")
 
 
-def spectral(rows: DataFrame, id_col: str, ks: Sequence[int] | None = None, neighbours: int = 10, gamma: float = 1.0) -> tuple[DataFrame, DataFrame]:
-    """Power-iteration clustering of a nearest-neighbour graph with RBF weights, k = 2 .. 8, best silhouette."""
+def _times(edges: DataFrame, vectors: DataFrame, width: int) -> DataFrame:
+    """One product of the lazy normalised graph with the vectors of its nodes: (id, v)."""
+    sent = edges.join(vectors.withColumnRenamed("id", "dst"), "dst").select(
+        F.col("src").alias("id"), *[(F.col("weight") * F.col("v")[i]).alias(f"v{i}") for i in range(width)]
+    )
+    summed = sent.groupBy("id").agg(*[F.sum(f"v{i}").alias(f"v{i}") for i in range(width)])
+    mixed = [((F.coalesce(F.col(f"v{i}"), F.lit(0.0)) + F.col("v")[i]) / 2) for i in range(width)]
+    return vectors.join(summed, "id", "left").select("id", F.array(*mixed).alias("v"))
+
+
+def _orthonormal(vectors: DataFrame, width: int) -> tuple[DataFrame, np.ndarray]:
+    """The vectors with orthonormal columns, and the lengths they had along their principal axes; only a width x width matrix is gathered."""
+    cells = [(i, j) for i in range(width) for j in range(i + 1)]
+    row = vectors.agg(*[F.sum(F.col("v")[i] * F.col("v")[j]).alias(f"g{i}_{j}") for i, j in cells]).first()
+    gram = np.zeros((width, width))
+    for i, j in cells:
+        gram[i, j] = gram[j, i] = row[f"g{i}_{j}"]
+    values, axes = np.linalg.eigh(gram)
+    values, axes = np.maximum(values[::-1], 1e-300), axes[:, ::-1]
+    turn = axes / np.sqrt(values)
+    turned = [sum((F.col("v")[i] * F.lit(float(turn[i, j])) for i in range(width)), F.lit(0.0)) for j in range(width)]
+    return vectors.select("id", F.array(*turned).alias("v")), np.sqrt(values)
+
+
+def laplacian_vectors(graph: DataFrame, nodes: DataFrame, k: int, rounds: int = 30, steps: int = 4, tol: float = 1e-4, seed: int = 42) -> DataFrame:
+    """(id, v): the ``k`` leading eigenvectors of the normalised graph, by block subspace iteration.
+
+    ``graph`` has src, dst and weight, each edge once; ``nodes`` has id. A round multiplies ``steps`` times by the lazy normalised
+    graph (I + D^-1/2 W D^-1/2) / 2 and makes the columns orthonormal again; it ends when the lengths settle. A few spare columns
+    speed this up. Products are joins and sums, so a node of many edges is combined before the shuffle.
+    """
+    both = graph.select("src", "dst", "weight").unionByName(graph.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "weight"))
+    degree = materialize(both.groupBy("src").agg(F.sum("weight").alias("d")), "graph-degrees")
+    scaled = both.join(degree, "src").join(degree.select(F.col("src").alias("dst"), F.col("d").alias("e")), "dst")
+    edges = materialize(scaled.select("src", "dst", (F.col("weight") / F.sqrt(F.col("d") * F.col("e"))).alias("weight")), "graph-scaled")
+    width = k + 3
+    start = [F.xxhash64("id", F.lit(seed + i)).cast("double") / float(1 << 63) for i in range(width)]
+    vectors = materialize(nodes.select("id", F.array(*start).alias("v")), "graph-vectors")
+    before = None
+    for _ in range(rounds):
+        for _ in range(steps):
+            vectors = _times(edges, vectors, width)
+        vectors = materialize(vectors, "graph-vectors")
+        vectors, lengths = _orthonormal(vectors, width)
+        if before is not None and np.abs(lengths[:k] - before[:k]).max() < tol:
+            break
+        before = lengths
+    return vectors.select("id", F.slice("v", 1, k).alias("v"))
+
+
+def spectral(rows: DataFrame, id_col: str, ks: Sequence[int] | None = None, neighbours: int = 10, gamma: float = 1.0, seed: int = 42) -> tuple[DataFrame, DataFrame]:
+    """Spectral clustering of a nearest-neighbour graph with RBF weights, k = 2 .. 8, best silhouette.
+
+    Rows are embedded by the leading eigenvectors of the normalised graph, at unit length, and grouped by k-means there. The
+    eigenvectors are found once, for the largest k; a smaller k uses the first of them.
+    """
     graph = nearest(rows, rows, neighbours + 1, id_col).filter(F.col("id") != F.col("neighbour"))
     graph = graph.select(
-        F.least("id", "neighbour").cast("long").alias("src"), F.greatest("id", "neighbour").cast("long").alias("dst"),
+        F.least("id", "neighbour").alias("src"), F.greatest("id", "neighbour").alias("dst"),
         F.exp(-gamma * F.col("distance") * F.col("distance")).alias("weight"),
     ).dropDuplicates(["src", "dst"])
     graph = materialize(graph, "neighbour-graph")
-    ks = ks or range(2, max_clusters(rows.count(), 8) + 1)
-
-    def assign(k: int) -> DataFrame:
-        found = MC.PowerIterationClustering(k=k, maxIter=20, weightCol="weight").assignClusters(graph)
-        return rows.join(found.select(F.col("id").alias(id_col), F.col("cluster").alias("label")), id_col)
-
-    return _sweep(rows, id_col, list(ks), "spectral", assign)
+    ks = list(ks or range(2, max_clusters(rows.count(), 8) + 1))
+    nodes = rows.select(F.col(id_col).alias("id"))
+    vectors = materialize(laplacian_vectors(graph, nodes, max(ks), seed=seed), "spectral-vectors")
+    data, labels = rows.join(vectors.withColumnRenamed("id", id_col), id_col), {}
+    length = lambda k: F.sqrt(F.aggregate(F.slice("v", 1, k), F.lit(0.0), lambda acc, v: acc + v * v))
+    for k in ks:
+        unit = F.transform(F.slice("v", 1, k), lambda v: F.coalesce(F.try_divide(v, length(k)), F.lit(0.0)))  # noqa: B023
+        data = data.withColumn(f"__v{k}", array_to_vector(unit))
+    out = data
+    for k in ks:
+        labels[k] = f"__label_{k}"
+        out = MC.KMeans(k=k, seed=seed, featuresCol=f"__v{k}", predictionCol=labels[k]).fit(data).transform(out)
+    return _sweep(_by_k(out, id_col, labels), id_col, "spectral")
 
 
 def cluster_all(rows: DataFrame, id_col: str, algorithms: Sequence[str] = ("kmeans", "density", "hierarchical")) -> tuple[DataFrame, DataFrame]:
-    """Run several clusterings and keep the best: its assignment, and (algorithm, silhouette, error) of each.
+    """Run several clusterings and keep the best: its assignment, and (algorithm, n_clusters, scores, error) of each.
 
-    An algorithm that fails is skipped with its message; if all fail, so does the call.
+    All assignments are scored together by the same functions on the rows; noise counts as a cluster of its own there, so an
+    algorithm does not gain by leaving rows out. An algorithm that fails is skipped with its message; if all fail, so does the call.
     """
     runs = {"kmeans": kmeans_sweep, "density": dbscan_search, "hierarchical": hierarchical, "gmm": gmm_sweep, "spectral": spectral}
-    found, table = {}, []
+    found, errors = {}, {}
     for name in algorithms:
         try:
-            assigned, scores = runs[name](rows, id_col)
-            value = scores.agg(F.max("silhouette")).first()[0]
-            found[name] = assigned
-            table.append((name, value, None))
+            found[name] = runs[name](rows, id_col)[0].select(id_col, "label")
         except (ValueError, ArithmeticError) as problem:
-            table.append((name, None, str(problem)))
-    results = rows.sparkSession.createDataFrame(table, "algorithm string, silhouette double, error string")
+            errors[name] = str(problem)
     if not found:
         raise ValueError("no clustering succeeded")
-    best = max((r for r in table if r[0] in found), key=lambda r: (-math.inf if r[1] is None else r[1]))
-    return found[best[0]], results
+    tagged = [df.withColumn("algorithm", F.lit(name)) for name, df in found.items()]
+    every = reduce(DataFrame.unionByName, tagged).join(rows.select(id_col, "features"), id_col)
+    scores = M.sweep_scores(every, "algorithm", id_col).select("algorithm", F.col("k").cast("int").alias("n_clusters"), *SCORES)
+    failed = rows.sparkSession.createDataFrame([(a, e) for a, e in errors.items()], "algorithm string, error string")
+    results = materialize(scores.join(failed, "algorithm", "full"), "clusterings")
+    return found[best_clustering(results).first()["algorithm"]], results
 
 
 def best_clustering(results: DataFrame) -> DataFrame:

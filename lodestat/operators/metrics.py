@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lodestat.functions.columns import q
 from lodestat.plans.blocks import block_pairs
 from lodestat.plans.skew import join_on, salted_join, with_frames, with_position
 from lodestat.session import materialize
@@ -314,3 +315,75 @@ def silhouette_euclidean(
             F.min(F.when(~same, F.col("m"))).alias("b"),
         )
     )
+
+
+def sweep_scores(labelled: DataFrame, by: str, id_col: str, features: str = "features", label: str = "label") -> DataFrame:
+    """All three scores of several clusterings of the same rows in one pass: (by, k, silhouette, calinski_harabasz, davies_bouldin).
+
+    ``labelled`` has a row for each clustering (column ``by``) and point. The silhouette is the squared-Euclidean one. Cluster tables
+    travel in packs of at most ``CLUSTERS_AT_ONCE`` clusters; a point's packs are put together again by ``id_col``.
+    """
+    rows = labelled.select(
+        q(by).alias("by"), q(id_col).alias("id"), q(label).alias("label"), F.transform(q(features), lambda v: v.cast("double")).alias("x")
+    )
+    cells = rows.select("by", "label", F.posexplode("x").alias("i", "v")).groupBy("by", "label", "i")
+    cells = materialize(cells.agg(F.count(F.lit(1)).alias("n"), F.sum("v").alias("s"), F.sum(F.col("v") * F.col("v")).alias("ss")), "sweep-moments")
+    whole = cells.groupBy("by", "i").agg(
+        F.sum("n").alias("N"), F.sum("s").alias("S"), F.sum("ss").alias("SS"), F.sum(F.col("s") * F.col("s") / F.col("n")).alias("C"),
+        F.count(F.lit(1)).alias("k"),
+    )
+    spread = whole.groupBy("by").agg(
+        F.sum(F.col("C") - F.col("S") * F.col("S") / F.col("N")).alias("b"), F.sum(F.col("SS") - F.col("C")).alias("w"),
+        F.max("k").alias("k"), F.max("N").alias("n"),
+    )
+    ratio = F.try_divide(F.try_divide(F.col("b"), F.col("k") - 1), F.try_divide(F.col("w"), F.col("n") - F.col("k")))
+    spread = spread.select("by", "k", F.when(F.col("w") == 0, F.lit(1.0)).otherwise(ratio).alias("calinski_harabasz"))
+    ordered = F.array_sort(F.collect_list(F.struct("i", "s")))
+    stats = cells.groupBy("by", "label").agg(
+        F.max("n").cast("double").alias("n"), F.transform(ordered, lambda e: e["s"]).alias("s"), F.sum("ss").alias("ss")
+    )
+    most = stats.groupBy("by").agg(F.count(F.lit(1)).alias("k")).agg(F.max("k")).first()[0] or 0
+    packs = -(-most // CLUSTERS_AT_ONCE) or 1
+    packed = stats.withColumn("pack", F.pmod(F.xxhash64("label"), F.lit(packs)).cast("int"))
+    packed = packed.groupBy("by", "pack").agg(F.collect_list(F.struct("label", "n", "s", "ss")).alias("clusters"))
+    spread_rows = rows.withColumn("pack", F.explode(F.sequence(F.lit(0), F.lit(packs - 1))))
+    joined = salted_join(spread_rows, packed, ["by", "pack"], "inner")
+    x = F.col("x")
+
+    def dot(a: Column, b: Column) -> Column:
+        return F.aggregate(F.zip_with(a, b, lambda u, v: u * v), F.lit(0.0), lambda acc, v: acc + v)
+
+    joined = joined.withColumn("xx", dot(x, x)).withColumn(
+        "d",
+        F.transform(
+            "clusters",
+            lambda c: F.struct(
+                c["label"].alias("label"), c["n"].alias("n"),
+                (F.col("xx") + c["ss"] / c["n"] - 2 * dot(x, c["s"]) / c["n"]).alias("d"),
+                F.when(c["label"] == F.col("label"), distance(x, F.transform(c["s"], lambda v: v / c["n"]))).alias("to_centre"),
+            ),
+        ),
+    )
+    own = F.try_element_at(F.filter("d", lambda e: e["label"] == F.col("label")), F.lit(1))
+    other = F.array_min(F.transform(F.filter("d", lambda e: e["label"] != F.col("label")), lambda e: e["d"]))
+    per = joined.select("by", "id", "label", own["n"].alias("n"), own["d"].alias("own"), own["to_centre"].alias("to_centre"), other.alias("b"))
+    if packs > 1:
+        per = per.groupBy("by", "id", "label").agg(*[F.max(c).alias(c) for c in ("n", "own", "to_centre")], F.min("b").alias("b"))
+    a = F.col("own") * F.col("n") / (F.col("n") - 1)
+    s = F.when(F.col("n") <= 1, F.lit(0.0)).otherwise(F.coalesce(F.try_divide(F.col("b") - a, F.greatest(a, F.col("b"))), F.lit(0.0)))
+    scored = materialize(per.groupBy("by", "label").agg(F.sum(s).alias("sil"), F.count(F.lit(1)).alias("n"), F.avg("to_centre").alias("scatter")), "sweep-scores")
+    centres = stats.join(scored.select("by", "label", "scatter"), ["by", "label"])
+    centres = centres.select("by", "label", "scatter", F.transform("s", lambda v: v / F.col("n")).alias("centre"))
+    right = centres.withColumn("pack", F.pmod(F.xxhash64("label"), F.lit(packs)).cast("int"))
+    right = right.groupBy("by", "pack").agg(F.collect_list(F.struct("label", "scatter", "centre")).alias("others"))
+    left = centres.withColumn("pack", F.explode(F.sequence(F.lit(0), F.lit(packs - 1))))
+    worst = F.array_max(
+        F.transform(
+            F.filter("others", lambda o: o["label"] != F.col("label")),
+            lambda o: F.try_divide(F.col("scatter") + o["scatter"], distance(F.col("centre"), o["centre"])),
+        )
+    )
+    pairs = left.join(right, ["by", "pack"]).groupBy("by", "label").agg(F.max(worst).alias("r"))
+    bouldin = pairs.groupBy("by").agg(F.avg(F.coalesce("r", F.lit(0.0))).alias("davies_bouldin"))
+    means = scored.groupBy("by").agg((F.sum("sil") / F.sum("n")).alias("silhouette"))
+    return means.join(spread, "by").join(bouldin, "by").select(F.col("by").alias(by), "k", "silhouette", "calinski_harabasz", "davies_bouldin")

@@ -8,6 +8,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.ml import Estimator, Model, Pipeline, PipelineModel
 from pyspark.ml import classification as C
 from pyspark.ml import feature as MF
@@ -19,7 +20,8 @@ from lodestat.functions.columns import NUMERIC, TEXT, columns_of_kind, q
 from lodestat.operators import metrics as M
 from lodestat.operators.features import split_random
 from lodestat.operators.profile import column_quantiles, top_values
-from lodestat.plans.blocks import block_pairs
+from lodestat.plans.blocks import BLOCK_POINTS, block_pairs, paired
+from lodestat.plans.pivots import CELL_POINTS, Cells, cells_of, choose_pivots, matrix, norms, placed
 from lodestat.plans.quantiles import exact_quantiles
 from lodestat.session import materialize
 from lodestat.sources.tables import metric_sign
@@ -254,13 +256,8 @@ def train_architectures(prepared: Prepared, presets: dict[str, tuple[str, dict]]
 # --- Nearest neighbours ----------------------------------------------------------------------------
 
 
-def nearest(queries: DataFrame, base: DataFrame, k: int, id_col: str = "id", features: str = "features") -> DataFrame:
-    """Exact ``k`` nearest base rows per query row: (id, neighbour, distance, rank).
-
-    Blocks of queries meet blocks of base rows and return at most ``k`` rows per query and block.
-    """
-    a = queries.select(F.col(id_col).alias("id"), F.col(features).alias("x"))
-    b = base.select(F.col(id_col).alias("id"), F.col(features).alias("x"))
+def _closest(k: int):
+    """The ``k`` nearest right rows of each left row of a block, ties by id."""
 
     def closest(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         x, y = np.stack(left["x"].to_numpy()).astype(float), np.stack(right["x"].to_numpy()).astype(float)
@@ -274,10 +271,87 @@ def nearest(queries: DataFrame, base: DataFrame, k: int, id_col: str = "id", fea
         out = pd.DataFrame({"id": left["id"].to_numpy()[rows], "neighbour": ids[cols], "distance": exact})
         return out.sort_values(["id", "distance", "neighbour"]).groupby("id").head(k)
 
-    id_type = a.schema["id"].dataType.simpleString()
-    found = block_pairs(a, b, "id", "id", closest, f"id {id_type}, neighbour {id_type}, distance double")
+    return closest
+
+
+def first_cells(queries: DataFrame, cells: Cells, k: int) -> DataFrame:
+    """(id, x, cells): for each query the nearest cells that hold ``k`` rows together."""
+
+    def rows(batches):
+        for b in batches:
+            if not b.num_rows:
+                continue
+            order = np.argsort(norms(matrix(b["x"]), cells.pivots), axis=1, kind="stable")
+            held = np.cumsum(cells.sizes[order], axis=1)
+            needed = np.minimum((held < k).sum(axis=1) + 1, order.shape[1])
+            lists = [o[:n].tolist() for o, n in zip(order, needed)]
+            yield pa.RecordBatch.from_arrays([b["id"], b["x"], pa.array(lists, pa.list_(pa.int32()))], ["id", "x", "cells"])
+
+    id_type = queries.schema["id"].dataType.simpleString()
+    return queries.select("id", "x").mapInArrow(rows, f"id {id_type}, x array<double>, cells array<int>")
+
+
+def second_cells(asked: DataFrame, cells: Cells) -> DataFrame:
+    """(id, x, cells): the other cells that may hold a row within ``bound`` of the query; a null bound excludes none."""
+
+    def rows(batches):
+        for b in batches:
+            if not b.num_rows:
+                continue
+            x = matrix(b["x"])
+            bound = b["bound"].fill_null(np.inf).to_numpy(zero_copy_only=False)
+            wanted = (cells.bounds(x) <= bound[:, None]) & (cells.sizes > 0)[None, :]
+            for row, seen in enumerate(b["cells"].to_pylist()):
+                wanted[row, seen] = False
+            lists = [np.flatnonzero(w).tolist() for w in wanted]
+            yield pa.RecordBatch.from_arrays([b["id"], b["x"], pa.array(lists, pa.list_(pa.int32()))], ["id", "x", "cells"])
+
+    id_type = asked.schema["id"].dataType.simpleString()
+    return asked.select("id", "x", "cells", "bound").mapInArrow(rows, f"id {id_type}, x array<double>, cells array<int>")
+
+
+def _visit(asked: DataFrame, base: DataFrame, cells: Cells, k: int) -> DataFrame:
+    """The ``k`` nearest rows of each cell chunk that a query visits."""
+    spark = asked.sparkSession
+    visits = materialize(asked.select("id", "x", F.explode("cells").alias("cell")), "knn-visits")
+    counts = visits.groupBy("cell").agg(F.count(F.lit(1)).alias("n")).collect()  # one row a cell
+    table = [(r["cell"], -(-r["n"] // BLOCK_POINTS), -(-int(cells.sizes[r["cell"]]) // BLOCK_POINTS)) for r in counts]
+    sizes = spark.createDataFrame(table, "cell int, na int, nb int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    part = lambda n: F.pmod(F.xxhash64("id"), F.col(n)).cast("int")
+    left = visits.join(F.broadcast(sizes), "cell").select("id", "x", "cell", part("na").alias("a"), every("nb").alias("b"))
+    right = base.join(F.broadcast(sizes), "cell").select("id", "x", "cell", part("nb").alias("b"), every("na").alias("a"))
+    id_type = asked.schema["id"].dataType.simpleString()
+    base_type = base.schema["id"].dataType.simpleString()
+    return paired(left, right, ["cell", "a", "b"], _closest(k), f"id {id_type}, neighbour {base_type}, distance double")
+
+
+def nearest(
+    queries: DataFrame, base: DataFrame, k: int, id_col: str = "id", features: str = "features", cell_points: int = CELL_POINTS
+) -> DataFrame:
+    """Exact ``k`` nearest base rows per query row: (id, neighbour, distance, rank).
+
+    Base rows are dealt to cells around pivots. A query first meets the cells next to it that hold ``k`` rows; the k-th
+    distance there bounds the second round, in which it meets only cells that can hold a row within it. Work runs on chunk
+    pairs and returns at most ``k`` rows per query and chunk.
+    """
+    double = F.transform(features, lambda v: v.cast("double")).alias("x")
+    a = queries.select(F.col(id_col).alias("id"), double)
+    b = base.select(F.col(id_col).alias("id"), double)
     order = Window.partitionBy("id").orderBy("distance", "neighbour")
-    return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
+    top = lambda df: df.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
+    n = b.count()
+    if n <= cell_points:
+        types = a.schema["id"].dataType.simpleString(), b.schema["id"].dataType.simpleString()
+        return top(block_pairs(a, b, "id", "id", _closest(k), f"id {types[0]}, neighbour {types[1]}, distance double"))
+    pivots = choose_pivots(b, n, cell_points)
+    held = materialize(placed(b, pivots), "knn-base")
+    cells = cells_of(held, pivots)
+    asked = materialize(first_cells(a, cells, k), "knn-queries")
+    found = materialize(top(_visit(asked, held, cells, k)).drop("rank"), "knn-first")
+    kth = found.groupBy("id").agg(F.when(F.count(F.lit(1)) >= k, F.max("distance")).alias("bound"))
+    more = _visit(second_cells(asked.join(kth, "id", "left"), cells), held, cells, k)
+    return top(found.unionByName(more))
 
 
 def knn_predict(train: DataFrame, test: DataFrame, k: int, label: str, task: str, id_col: str = "id", features: str = "features") -> DataFrame:

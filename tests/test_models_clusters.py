@@ -11,6 +11,7 @@ from lodestat.operators import explain as L
 from lodestat.operators import metrics as M
 from lodestat.operators import models as I
 from lodestat.plans import blocks
+from lodestat.plans import pivots as P
 from lodestat.plans.components import connected_components
 
 
@@ -19,18 +20,113 @@ def cloud(spark, x):
 
 
 def brute_density(x, eps, min_samples):
-    return K._local_density(np.asarray(x, float), eps, min_samples)[0]
+    """Core points joined in order of their rows; other points go to the first cluster they touch."""
+    near = ((x[:, None] - x[None]) ** 2).sum(2) <= eps * eps
+    core = near.sum(1) >= min_samples
+    label, cluster = np.full(len(x), -1), 0
+    for i in np.flatnonzero(core):
+        if label[i] >= 0:
+            continue
+        todo, label[i] = [i], cluster
+        while todo:
+            j = todo.pop()
+            fresh = np.flatnonzero(near[j] & core & (label < 0))
+            label[fresh] = cluster
+            todo += fresh.tolist()
+        cluster += 1
+    for i in np.flatnonzero(~core):
+        touched = label[near[i] & core]
+        label[i] = touched.min() if len(touched) else -1
+    return label
+
+
+def density_cloud(seed, dims):
+    rng = np.random.default_rng(seed)
+    return np.round(np.vstack([rng.normal(size=(150, dims)), rng.normal(3, 0.3, size=(80, dims)), np.zeros((40, dims))]), 3)
 
 
-@pytest.mark.parametrize("dims,eps,seed", [(1, 0.0505, 0), (2, 0.2503, 1), (3, 0.5, 2), (6, 1.6, 3)])
-def test_dbscan_equals_brute_force(spark, monkeypatch, dims, eps, seed):
-    monkeypatch.setattr(K, "CHUNK_POINTS", 40)
-    monkeypatch.setattr(K, "TILE_POINTS", 25)
-    rng = np.random.default_rng(seed)
-    x = np.round(np.vstack([rng.normal(size=(150, dims)), rng.normal(3, 0.3, size=(80, dims)), np.zeros((40, dims))]), 3)
-    got = {r["id"]: r["label"] for r in K.dbscan(cloud(spark, x), "id", eps, 5).collect()}
+@pytest.mark.parametrize("dims,eps,seed,cell", [(1, 0.0505, 0, 30), (2, 0.2503, 1, 2000), (3, 0.5, 2, 40), (6, 1.6, 3, 50), (64, 9.0, 4, 60)])
+def test_dbscan_equals_brute_force(spark, monkeypatch, dims, eps, seed, cell):
+    monkeypatch.setattr(K, "CHUNK_POINTS", 25)
+    x = density_cloud(seed, dims)
+    got = {r["id"]: r["label"] for r in K.dbscan(cloud(spark, x), "id", eps, 5, cell).collect()}
     want = brute_density(x, eps, 5)
-    assert [got[i] for i in range(len(x))] == want.tolist()
+    assert want.max() >= 0 and [got[i] for i in range(len(x))] == want.tolist()
+
+
+def test_one_tree_is_cut_at_any_distance(spark, monkeypatch):
+    monkeypatch.setattr(K, "CHUNK_POINTS", 40)
+    x = density_cloud(5, 2)
+    rows = cloud(spark, x)
+    graph = K.density_graph(rows, "id", 0.6, [3, 7], 60)
+    tree = K.density_tree(graph, 1).withColumn("s", F.lit(1))
+    n = graph.points.count()
+    assert tree.count() <= n - 1 < graph.edges.filter("s = 1").count()
+    eps = (0.15, 0.3, 0.6)
+    labels = K._label_rows(rows, "id", K.cut(graph, [(i, e, 7) for i, e in enumerate(eps)], tree)).collect()
+    for i, e in enumerate(eps):
+        got = {r["id"]: r["label"] for r in labels if r["trial"] == i}
+        assert [got[j] for j in range(len(x))] == brute_density(x, e, 7).tolist()
+
+
+def test_spanning_forest_is_least(spark):
+    rng = np.random.default_rng(2)
+    edges = {(int(a), int(b)): float(w) for (a, b), w in zip(rng.integers(0, 60, (300, 2)), rng.integers(1, 9, 300)) if a < b}
+    found = K.spanning_forest(spark.createDataFrame([(a, b, w) for (a, b), w in edges.items()], "a long, b long, w double")).collect()
+    parent = list(range(60))
+
+    def root(v):
+        while parent[v] != v:
+            v = parent[v]
+        return v
+
+    total = count = 0
+    for (a, b), w in sorted(edges.items(), key=lambda e: e[1]):
+        if root(a) != root(b):
+            parent[root(a)] = root(b)
+            total, count = total + w, count + 1
+    assert len(found) == count and sum(r["w"] for r in found) == total
+
+
+def test_a_crowded_spot_is_spread_over_tasks(spark, monkeypatch):
+    """Most points in one spot: chunks bound what a task holds."""
+    monkeypatch.setattr(K, "CHUNK_POINTS", 50)
+    rng = np.random.default_rng(6)
+    x = np.vstack([rng.normal(0, 0.01, size=(700, 3)), rng.normal(5, 1, size=(60, 3))])
+    graph = K.density_graph(cloud(spark, x), "id", 0.05, [4], 200)
+    largest = graph.points.groupBy("cell", "chunk").count().agg(F.max("count")).first()[0]
+    assert largest < 150
+    got = {r["id"]: r["label"] for r in K._label_rows(cloud(spark, x), "id", K.cut(graph, [(0, 0.05, 4)])).collect()}
+    assert [got[j] for j in range(len(x))] == brute_density(x, 0.05, 4).tolist()
+
+
+def test_density_trials_on_all_rows(spark):
+    rng = np.random.default_rng(3)
+    x = np.vstack([rng.normal(c, 0.2, size=(40, 2)) for c in (0, 4, 8)])
+    rows = cloud(spark, x)
+    labels, table = K.dbscan_search(rows, "id", trials=6)
+    trials = table.orderBy(F.desc("silhouette"), "trial").collect()
+    best = trials[0]
+    got = {r["id"]: r["label"] for r in labels.collect()}
+    assert [got[i] for i in range(len(x))] == brute_density(x, best["eps"], best["min_samples"]).tolist()
+    for r in trials:
+        want = brute_density(x, r["eps"], r["min_samples"])
+        assert r["n_clusters"] == want.max() + 1
+    kept = labels.filter("label >= 0").join(rows, "id")
+    assert best["silhouette"] == pytest.approx(M.silhouette(kept).first()["silhouette"])
+    assert best["calinski_harabasz"] == pytest.approx(M.calinski_harabasz(kept).first()["calinski_harabasz"])
+    assert best["davies_bouldin"] == pytest.approx(M.davies_bouldin(kept).first()["davies_bouldin"])
+
+
+def test_spectral_finds_rings_and_blobs(spark):
+    t = np.linspace(0, 2 * np.pi, 60, endpoint=False)
+    rings = np.vstack([np.c_[np.cos(t), np.sin(t)], 4 * np.c_[np.cos(t), np.sin(t)]])
+    rng = np.random.default_rng(1)
+    blobs = np.vstack([rng.normal(c, 0.3, size=(40, 2)) for c in (0, 6, 12)])
+    for x, k in ((rings, 2), (blobs, 3)):
+        labels, _ = K.spectral(cloud(spark, x), "id", [k], neighbours=6)
+        groups = np.array([r["label"] for r in labels.orderBy("id").collect()]).reshape(k, -1)
+        assert all(len(set(g)) == 1 for g in groups) and len({g[0] for g in groups}) == k
 
 
 def test_components_of_a_long_chain_and_a_hub(spark):
@@ -51,6 +147,34 @@ def test_nearest_equals_brute_force(spark, monkeypatch):
     assert all(got[(i, r + 1)] == want[i, r] for i in range(90) for r in range(3))
 
 
+@pytest.mark.parametrize("dims,k", [(2, 3), (64, 5), (3, 1)])
+def test_nearest_through_cells_equals_brute_force(spark, monkeypatch, dims, k):
+    for module in (blocks, I):
+        monkeypatch.setattr(module, "BLOCK_POINTS", 40)
+    rng = np.random.default_rng(dims)
+    x = np.vstack([rng.normal(size=(150, dims)), np.zeros((30, dims)), rng.normal(9, 0.1, size=(60, dims))])
+    y = np.vstack([rng.normal(size=(40, dims)), np.full((5, dims), 30.0), np.zeros((2, dims))])
+    got = {(r["id"], r["rank"]): r["neighbour"] for r in I.nearest(cloud(spark, y), cloud(spark, x), k, cell_points=25).collect()}
+    want = np.argsort(((y[:, None] - x[None]) ** 2).sum(2), axis=1, kind="stable")[:, :k]
+    assert len(got) == len(y) * k
+    assert all(got[(i, r + 1)] == want[i, r] for i in range(len(y)) for r in range(k))
+    few = I.nearest(cloud(spark, y), cloud(spark, x[:4]), 9, cell_points=2)
+    assert few.count() == 4 * len(y)
+
+
+def test_separated_cells_are_hardly_ever_compared(spark):
+    rng = np.random.default_rng(12)
+    x = np.vstack([rng.normal(20 * c, 0.5, size=(40, 8)) for c in range(25)])
+    base = cloud(spark, x).select("id", F.col("features").alias("x"))
+    pivots = P.choose_pivots(base, len(x), 40)
+    cells = P.cells_of(P.placed(base, pivots), pivots)
+    first = I.first_cells(base, cells, 3)
+    bound = F.lit(1.0).alias("bound")
+    second = I.second_cells(first.select("*", bound), cells)
+    visits = [r["n"] for df in (first, second) for r in df.select(F.size("cells").alias("n")).collect()]
+    assert sum(visits) < 0.2 * len(x) * len(pivots)
+
+
 def test_three_blobs_found(spark):
     rng = np.random.default_rng(7)
     x = np.vstack([rng.normal(c, 0.3, size=(40, 2)) for c in (0, 5, 10)])
