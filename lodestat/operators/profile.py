@@ -17,6 +17,7 @@ from lodestat.functions.columns import (
     BOOLEAN,
     DATETIME,
     NUMERIC,
+    OTHER,
     TEXT,
     columns_of_kind,
     is_missing,
@@ -26,8 +27,9 @@ from lodestat.functions.columns import (
     sample_kurtosis,
     sample_skewness,
 )
-from lodestat.plans.quantiles import exact_quantiles
+from lodestat.plans.quantiles import exact_quantiles, marks
 from lodestat.plans.skew import with_previous
+from lodestat.session import materialize
 
 
 class _Const:
@@ -94,7 +96,33 @@ def value_counts_long(df: DataFrame, columns: Sequence[str] | None = None) -> Da
     return values.unpivot([], [q(c) for c in columns], "column_name", "value").groupBy("column_name", "value").count()
 
 
-def distinct_profile(df: DataFrame, approx: bool = False, counts: DataFrame | None = None) -> DataFrame:
+def hashed_values(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
+    """Counts per (column_name, distinct value) over 128-bit hashes of the values: h1, h2, count, v and t.
+
+    ``v`` is the number of a numeric column, ``t`` the microseconds of a datetime column; NULL and NaN have null hashes. Long
+    texts cost no more than short ones in the shuffle.
+    """
+    columns = list(columns if columns is not None else df.columns)
+
+    def cell(i: int, c: str) -> Column:
+        kind = kind_of(df.schema[c].dataType)
+        value = F.when(present_number(df, c).isNotNull(), q(c)) if kind == NUMERIC else q(c).cast("string") if kind == OTHER else q(c)
+        some = value.isNotNull()
+        return F.struct(
+            F.lit(i).alias("i"),
+            F.when(some, F.xxhash64(value)).alias("h1"),
+            F.when(some, F.xxhash64(F.lit(1), value)).alias("h2"),
+            (present_number(df, c) if kind == NUMERIC else F.lit(None).cast("double")).alias("v"),
+            (F.unix_micros(q(c).cast("timestamp")) if kind == DATETIME else F.lit(None).cast("long")).alias("t"),
+        )
+
+    cells = df.select(F.inline(F.array(*[cell(i, c) for i, c in enumerate(columns)])))
+    counts = cells.groupBy("i", "h1", "h2").agg(F.count(F.lit(1)).alias("count"), F.min("v").alias("v"), F.min("t").alias("t"))
+    names = F.array(*[F.lit(c) for c in columns])
+    return counts.select(F.element_at(names, F.col("i") + 1).alias("column_name"), "h1", "h2", "count", "v", "t")
+
+
+def distinct_profile(df: DataFrame, approx: bool = False) -> DataFrame:
     """n_unique, n_unique_including_null, is_unique_id; sketches instead when ``approx``."""
     if approx:
         wide = _rows_from_wide(
@@ -112,10 +140,9 @@ def distinct_profile(df: DataFrame, approx: bool = False, counts: DataFrame | No
             "n_unique_including_null", F.col("n_unique") + (F.col("__raw_null") > 0).cast("int")
         ).drop("__raw_null")
     else:
-        counts = counts if counts is not None else value_counts_long(df)
-        out = counts.groupBy("column_name").agg(
+        out = hashed_values(df).groupBy("column_name").agg(
             F.sum("count").alias("n_rows"),
-            F.count("value").alias("n_unique"),
+            F.count("h1").alias("n_unique"),
             F.count(F.lit(1)).alias("n_unique_including_null"),
         )
     nulls = null_profile(df).select("column_name", "n_null")
@@ -152,14 +179,8 @@ def column_quantiles(df: DataFrame, probs: dict[str, float], columns: Sequence[s
 
 def numeric_moments(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
     """n, min, max, mean, std (0 for one value), bias-corrected skew and kurtosis."""
-    v = F.col("v")
-    present = (
-        numeric_long(df, columns)
-        .groupBy("column_name")
-        .agg(F.count(v).alias("n"), *[e.alias(name) for name, e in _moment_stats(v).items()])
-    )
     columns = list(columns if columns is not None else columns_of_kind(df, NUMERIC))
-    return _per_column(_column_names(df, columns), present).fillna(0, ["n"])
+    return _rows_from_wide(df, {c: {"n": F.count(present_number(df, c)), **_moment_stats(present_number(df, c))} for c in columns})
 
 
 def _column_names(df: DataFrame, columns: Sequence[str]) -> DataFrame:
@@ -206,8 +227,12 @@ def _numeric_values(df: DataFrame) -> DataFrame:
 
 def unique_values_head(df: DataFrame, k: int = 20) -> DataFrame:
     """Sorted first ``k`` distinct values of each numeric column as an array."""
+    return _head(_numeric_values(df), k)
+
+
+def _head(values: DataFrame, k: int = 20) -> DataFrame:
     order = Window.partitionBy("column_name").orderBy("v")
-    head = _numeric_values(df).withColumn("__r", F.row_number().over(order)).filter(F.col("__r") <= k)
+    head = values.withColumn("__r", F.row_number().over(order)).filter(F.col("__r") <= k)
     return head.groupBy("column_name").agg(F.array_sort(F.collect_list("v")).alias("unique_values"))
 
 
@@ -240,10 +265,18 @@ def iqr_outliers(df: DataFrame) -> DataFrame:
     return _quartiles_and_outliers(df).filter(F.col("n") > 4).drop("median")
 
 
+# Fixed values.
+QUARTILES = {"q1": 0.25, "median": 0.5, "q3": 0.75}
+
+
 def _quartiles_and_outliers(df: DataFrame) -> DataFrame:
     values = numeric_long(df)
-    probs = {"q1": 0.25, "median": 0.5, "q3": 0.75}
-    bounds = iqr_bounds(exact_quantiles(values, ["column_name"], "v", probs, bounded_keys=True))
+    bounds = iqr_bounds(exact_quantiles(values, ["column_name"], "v", QUARTILES, bounded_keys=True))
+    return _outliers(values.withColumn("count", F.lit(1)), bounds)
+
+
+def _outliers(values: DataFrame, bounds: DataFrame) -> DataFrame:
+    """Fences and how many values (column_name, v, count) lie outside them."""
     bounds = bounds.select(
         "column_name",
         "n",
@@ -254,7 +287,7 @@ def _quartiles_and_outliers(df: DataFrame) -> DataFrame:
     counts = (
         values.join(F.broadcast(bounds), "column_name")
         .groupBy("column_name")
-        .agg(F.when(F.max("n") > 4, F.count_if(outside)).alias("outlier_count"))
+        .agg(F.when(F.max("n") > 4, F.sum(F.when(outside, F.col("count")).otherwise(0))).alias("outlier_count"))
     )
     return _per_column(bounds, counts).withColumn("outlier_fraction", F.col("outlier_count") / F.col("n"))
 
@@ -337,6 +370,11 @@ def date_frequency(df: DataFrame, columns: Sequence[str] | None = None) -> DataF
         .groupBy("column_name", "ts")
         .agg(F.count(F.lit(1)).alias("__c"))
     )
+    return _frequency(points, columns)
+
+
+def _frequency(points: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """Frequency labels from distinct (column_name, ts) and their counts ``__c``."""
     gaps = with_previous(points, ["column_name"], "ts").select(
         "column_name",
         F.inline(
@@ -359,7 +397,7 @@ def date_frequency(df: DataFrame, columns: Sequence[str] | None = None) -> DataF
         .when(d.between(360, 370), "yearly")
         .otherwise(F.concat(F.lit("custom_"), d.cast("string"), F.lit("_days")))
     )
-    return _per_column(_column_names(df, columns), modal.select("column_name", label.alias("date_frequency"))).fillna(
+    return _per_column(_column_names(points, columns), modal.select("column_name", label.alias("date_frequency"))).fillna(
         "unknown", ["date_frequency"]
     )
 
@@ -390,7 +428,9 @@ def profile_table(
 ) -> DataFrame:
     """The whole profile, one row per column; fields of other kinds, or of parts left out, are NULL.
 
-    ``approx`` takes distinct counts from sketches: exact ones shuffle every distinct value of every column.
+    Three passes: one wide aggregate, the counts of distinct values by hash, which also give quartiles, outliers, first values and
+    date gaps, and the most frequent texts. ``approx`` takes distinct counts from sketches and quartiles from brackets in more
+    passes, so that only ``unique_values`` and ``date_frequency`` shuffle distinct values.
     """
     moment = F.lit(as_of).cast("timestamp") if as_of else F.current_timestamp()
     none = F.lit(None)
@@ -424,25 +464,42 @@ def profile_table(
                 false_count=F.when(n > 0, F.count_if(~q(c))),
                 true_fraction=F.avg(q(c).cast("double")),
             )
-    base = _rows_from_wide(df, fields)
-    scalar = [f.name for f in df.schema.fields if kind_of(f.dataType) != "other"]
+    numbers = columns_of_kind(df, NUMERIC)
+    for c in numbers:
+        v = present_number(df, c)
+        fields[c]["__n"] = F.count(v)
+        if "moments" in parts:
+            fields[c].update(_moment_stats(v))
+        if "quartiles" in parts:
+            fields[c]["__marks"] = marks(v, QUARTILES)
+    for c in set(df.columns) - set(numbers):
+        missing = {"__n": "long", **({m: "double" for m in _MOMENTS} if "moments" in parts and numbers else {})}
+        missing |= {"__marks": "array<double>"} if "quartiles" in parts and numbers else {}
+        fields[c].update({name: _Const(None, dtype) for name, dtype in missing.items()})
+    # Everything that one pass can give: a single row, which is cheap to keep.
+    base = materialize(_rows_from_wide(df, fields), "profile-base")
+    scalar = [f.name for f in df.schema.fields if kind_of(f.dataType) != OTHER]
+    wanted = numbers and {"quartiles", "unique_values"} & set(parts) or columns_of_kind(df, DATETIME) and "date_frequency" in parts
+    values = None if approx else hashed_values(df, scalar)
+    values = materialize(values, "profile-values") if wanted and not approx else values
     if approx:
         sketches = {c: {"n_unique": F.approx_count_distinct(q(c)), "__gap": F.max(q(c).isNull().cast("int"))} for c in scalar}
         uniques = _rows_from_wide(df, sketches).select(
             "column_name", "n_unique", (F.col("n_unique") + F.coalesce("__gap", F.lit(0))).alias("n_unique_including_null")
         )
     else:
-        uniques = value_counts_long(df, scalar).groupBy("column_name").agg(
-            F.count("value").alias("n_unique"), F.count(F.lit(1)).alias("n_unique_including_null")
-        )
+        uniques = values.groupBy("column_name").agg(F.count("h1").alias("n_unique"), F.count(F.lit(1)).alias("n_unique_including_null"))
     extra = [uniques]
-    if columns_of_kind(df, NUMERIC):
-        if "moments" in parts:
-            extra.append(numeric_moments(df).drop("n"))
-        if "quartiles" in parts:
+    if numbers:
+        numeric_values = None if approx else values.filter(F.col("v").isNotNull())
+        if "quartiles" in parts and approx:
             extra.append(_quartiles_and_outliers(df).drop("n"))
+        elif "quartiles" in parts:
+            sketch = base.filter("__n > 0").select("column_name", F.col("__n").alias("n"), "__marks")
+            found = exact_quantiles(numeric_values, ["column_name"], "v", QUARTILES, bounded_keys=True, weight="count", sketch=sketch)
+            extra.append(_outliers(numeric_values, iqr_bounds(found)).drop("n"))
         if "unique_values" in parts:
-            extra.append(unique_values_head(df))
+            extra.append(unique_values_head(df) if approx else _head(numeric_values))
     if columns_of_kind(df, TEXT) and "top_values" in parts:
         top = top_values(df).groupBy("column_name").agg(
             F.map_from_entries(
@@ -454,7 +511,12 @@ def profile_table(
         )
         extra.append(top)
     if columns_of_kind(df, DATETIME) and "date_frequency" in parts:
-        extra.append(date_frequency(df))
+        dates = columns_of_kind(df, DATETIME)
+        if approx:
+            extra.append(date_frequency(df, dates))
+        else:
+            points = values.filter(F.col("t").isNotNull()).select("column_name", F.timestamp_micros("t").alias("ts"), F.col("count").alias("__c"))
+            extra.append(_frequency(points, dates))
     out = _per_column(base, *extra)
     for name, dtype in (
         *[(name, "double") for name in ("min", "max", "mean", "std", "skew", "kurtosis")], ("median", "double"), ("q1", "double"), ("q3", "double"), ("lower_bound", "double"),
@@ -494,6 +556,8 @@ def profile_table(
     return out.select(*PROFILE_FIELDS)
 
 
+_MOMENTS = ("min", "max", "mean", "std", "skew", "kurtosis")
+
 # Profile fields that exist for one kind only, with their types.
 _KIND_FIELDS = {
     "zero_count": "long", "negative_count": "long", "all_integral": "boolean", "__code_range": "boolean", "avg_string_length": "double",

@@ -379,32 +379,65 @@ def b14(spark, sf):
 
 
 def profile_sql(table: str, numeric, text, dates) -> str:
-    """Profile rows with the fields that do not nest."""
+    """Profile rows with all fields; lists and maps as text."""
+    fields = {
+        "min": ("DOUBLE", "min(x)"), "max": ("DOUBLE", "max(x)"), "mean": ("DOUBLE", "round(avg(x), 3)"),
+        "median": ("DOUBLE", "round(quantile_cont(x, 0.5), 3)"), "std": ("DOUBLE", "round(stddev_samp(x), 3)"),
+        "skew": ("DOUBLE", "round(skewness(x), 4)"), "kurtosis": ("DOUBLE", "round(kurtosis(x), 4)"),
+        "q1": ("DOUBLE", "round(quantile_cont(x, 0.25), 3)"), "q3": ("DOUBLE", "round(quantile_cont(x, 0.75), 3)"),
+        "lower_bound": ("DOUBLE", "round(2.5 * quantile_cont(x, 0.25) - 1.5 * quantile_cont(x, 0.75), 3)"),
+        "upper_bound": ("DOUBLE", "round(2.5 * quantile_cont(x, 0.75) - 1.5 * quantile_cont(x, 0.25), 3)"),
+        "outlier_count": ("BIGINT", "(SELECT COUNT(*) FILTER (WHERE x < a - 1.5 * (b - a) OR x > b + 1.5 * (b - a)) FROM {src}, (SELECT quantile_cont(x, 0.25) AS a, quantile_cont(x, 0.75) AS b FROM {src}))"),
+        "zero_count": ("BIGINT", "COUNT(*) FILTER (WHERE x = 0)"), "negative_count": ("BIGINT", "COUNT(*) FILTER (WHERE x < 0)"),
+        "has_zero_values": ("BOOLEAN", "COUNT(*) FILTER (WHERE x = 0) > 0"), "all_integral": ("BOOLEAN", "bool_and(x = floor(x))"),
+        "likely_categorical_numeric": ("BOOLEAN", "COUNT(DISTINCT x) <= 20 AND bool_and(x = floor(x)) AND min(x) >= 0 AND max(x) < 100"),
+        "unique_values": ("VARCHAR", "(SELECT string_agg(CAST(CAST(round(x * 100) AS BIGINT) AS VARCHAR), ',' ORDER BY x) FROM (SELECT DISTINCT x FROM {src} WHERE x IS NOT NULL ORDER BY x LIMIT 20))"),
+    }
+    texts = {
+        "avg_string_length": ("DOUBLE", "round(avg(length(s)), 4)"), "max_string_length": ("BIGINT", "max(length(s))"), "min_string_length": ("BIGINT", "min(length(s))"),
+        "likely_categorical": ("BOOLEAN", "COUNT(DISTINCT s) < COUNT(*) * 0.1 AND avg(length(s)) < 50"), "likely_free_text": ("BOOLEAN", "avg(length(s)) > 50 OR max(length(s)) > 200"),
+        "has_mixed_case": ("BOOLEAN", "bool_or(regexp_matches(s, '[a-z]')) AND bool_or(regexp_matches(s, '[A-Z]'))"), "has_numbers": ("BOOLEAN", "bool_or(regexp_matches(s, '[0-9]'))"),
+        "has_special_chars": ("BOOLEAN", "bool_or(regexp_matches(s, '[^a-zA-Z0-9\\s]'))"), "likely_id_column": ("BOOLEAN", "COUNT(DISTINCT s) = COUNT(*) AND COUNT(*) > 1 AND COUNT(*) FILTER (WHERE bad) = 0"),
+        "top_values": ("VARCHAR", "(SELECT string_agg(s || '=' || n, ',' ORDER BY n DESC, s) FROM (SELECT s, COUNT(*) AS n FROM {src} WHERE s IS NOT NULL GROUP BY s ORDER BY n DESC, s LIMIT 20))"),
+    }
+    times = {
+        "min_date": ("VARCHAR", "CAST(min(d) AS VARCHAR)"), "max_date": ("VARCHAR", "CAST(max(d) AS VARCHAR)"), "date_range_days": ("BIGINT", "(epoch_us(max(d)) - epoch_us(min(d))) // 86400000000"),
+        "has_future_dates": ("BOOLEAN", "max(d) > TIMESTAMP '2000-01-01'"), "date_frequency": ("VARCHAR", "{label}"),
+    }
+    booleans = {"true_count": "BIGINT", "false_count": "BIGINT", "true_fraction": "DOUBLE"}
     parts = []
-    for c in [*numeric, *text, *dates]:
+    for position, c in enumerate([*numeric, *text, *dates]):
         kind = "numeric" if c in numeric else "text" if c in text else "datetime"
-        num = kind == "numeric"
-        x = f"CAST({c} AS DOUBLE)" if num else "CAST(NULL AS DOUBLE)"
+        short = {"numeric": "x", "text": "s", "datetime": "d"}[kind]
+        src = f"(SELECT {'CAST(' + c + ' AS DOUBLE)' if kind == 'numeric' else c} AS {short}, {NULL_TEST.format(c=c)} AS bad FROM {table})"
+        own = {"numeric": fields, "text": texts, "datetime": times}[kind]
+        cells = [
+            f"{e.format(src=src, label=date_label(table, c)) if name in own else f'CAST(NULL AS {t})'} AS {name}"
+            for group in (fields, texts, times) for name, (t, e) in group.items()
+        ]
+        cells += [f"CAST(NULL AS {t}) AS {name}" for name, t in booleans.items()]
+        u, n = f"COUNT(DISTINCT {short})", "COUNT(*)"
         parts.append(
-            f"SELECT '{c}' AS column_name, '{kind}' AS kind, COUNT(*) AS n_rows, "
-            f"COUNT(*) FILTER (WHERE {NULL_TEST.format(c=c)}) AS n_null, COUNT(DISTINCT {c}) AS n_unique, "
-            f"min({x}) AS min, max({x}) AS max, round(avg({x}), 3) AS mean, round(quantile_cont({x}, 0.5), 3) AS median, "
-            f"round(stddev_samp({x}), 3) AS std, round(skewness({x}), 4) AS skew, "
-            + (
-                f"round(avg(length({c})), 4) AS avg_string_length, bool_or(regexp_matches({c}, '[0-9]')) AS has_numbers"
-                if kind == "text"
-                else "CAST(NULL AS DOUBLE) AS avg_string_length, CAST(NULL AS BOOLEAN) AS has_numbers"
-            )
-            + (f", CAST(min({c}) AS VARCHAR) AS min_date" if kind == "datetime" else ", CAST(NULL AS VARCHAR) AS min_date")
-            + f" FROM {table}"
+            f"SELECT '{c}' AS column_name, '{kind}' AS kind, {n} AS n_rows, COUNT(*) FILTER (WHERE bad) AS n_null, {n} - COUNT({short}) AS n_raw_null, "
+            f"COUNT(*) FILTER (WHERE bad) / {n} AS fraction_null, COUNT(*) FILTER (WHERE bad) > 0 AS has_nulls, COUNT(*) FILTER (WHERE bad) > 0.5 * {n} AS high_null_rate, "
+            f"{u} AS n_unique, {u} + CAST({n} > COUNT({short}) AS BIGINT) AS n_unique_including_null, {u} = {n} AND {n} > 1 AND COUNT(*) FILTER (WHERE bad) = 0 AS is_unique_id, "
+            f"{u} <= 1 AS is_constant, {u} = 2 AS is_binary, {u} < least(50, {n} * 0.1) AS is_categorical, {', '.join(cells)} FROM {src}"
         )
-    return "\nUNION ALL\n".join(parts)
-
-
-B15_FIELDS = [
-    "column_name", "kind", "n_rows", "n_null", "n_unique", "min", "max", "mean", "median", "std", "skew",
-    "avg_string_length", "has_numbers",
-]
+    return "SELECT *, CASE WHEN kind = 'numeric' THEN round(outlier_count / n_rows, 6) END AS outlier_fraction FROM (" + "\nUNION ALL\n".join(parts) + ")"
+
+
+def profile_rows(df):
+    """The profile without positions, as the SQL has it."""
+    hundredths = F.transform("unique_values", lambda v: F.round(v * 100).cast("long").cast("string"))
+    tops = F.transform(F.map_entries("top_values"), lambda e: F.concat(e["key"], F.lit("="), e["value"].cast("string")))
+    out = P.profile_table(df, "2000-01-01 00:00:00").drop("position").withColumns(
+        {
+            "unique_values": F.array_join(hundredths, ","), "top_values": F.array_join(tops, ","),
+            "min_date": F.col("min_date").cast("string"), "max_date": F.col("max_date").cast("string"),
+        }
+    )
+    digits = {"skew": 4, "kurtosis": 4, "avg_string_length": 4, "outlier_fraction": 6, "fraction_null": 6}
+    return rounded(out, 3, **digits)
 
 
 @query(
@@ -412,9 +445,7 @@ B15_FIELDS = [
     profile_sql("lineitem", NUMERIC_COLUMNS["lineitem"], ["l_returnflag", "l_linestatus"], ["l_shipdate"]),
 )
 def b15(spark, sf):
-    out = P.profile_table(S.load(spark, sf, "lineitem"), "2000-01-01 00:00:00")
-    out = out.select(*B15_FIELDS, F.col("min_date").cast("string").alias("min_date"))
-    return rounded(out, 3, skew=4, avg_string_length=4)
+    return profile_rows(S.load(spark, sf, "lineitem"))
 
 
 @query("b15_profile_table_approx")
@@ -427,6 +458,4 @@ def b15_approx(spark, sf):
     profile_sql("orders", NUMERIC_COLUMNS["orders"], TEXT_COLUMNS["orders"], ["o_orderdate"]),
 )
 def b15_orders(spark, sf):
-    out = P.profile_table(S.load(spark, sf, "orders"), "2000-01-01 00:00:00")
-    out = out.select(*B15_FIELDS, F.col("min_date").cast("string").alias("min_date"))
-    return rounded(out, 3, skew=4, avg_string_length=4)
+    return profile_rows(S.load(spark, sf, "orders"))

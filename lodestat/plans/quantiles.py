@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestat.plans.skew import join_on, salted_join
@@ -21,27 +21,31 @@ SLACK = 5.0 / ACCURACY
 SLICES = 4096
 
 
+def marks(v: Column, probs: dict[str, float]) -> Column:
+    """Sketched values a little below and above each wanted rank."""
+    fractions = [f for p in probs.values() for f in (max(0.0, p - SLACK), min(1.0, p + SLACK))]
+    return F.percentile_approx(v, [float(f) for f in fractions], ACCURACY)
+
+
 def exact_quantiles(
     rows: DataFrame,
     keys: Sequence[str],
     value: str,
     probs: dict[str, float],
     bounded_keys: bool = False,
+    weight: str | None = None,
+    sketch: DataFrame | None = None,
 ) -> DataFrame:
     """One row per key: ``n`` and a column per entry of ``probs`` (linear interpolation).
 
-    ``bounded_keys`` says the number of keys is fixed (table columns), so brackets may be broadcast.
+    ``bounded_keys`` says the number of keys is fixed (table columns), so brackets may be broadcast. Rows may be distinct values with
+    a ``weight``; then ``sketch`` (keys, n, __marks) holds what :func:`marks` found for the values behind them.
     """
     keys = list(keys)
     v = F.col(value)
-    rows = rows.select(*keys, value).filter(v.isNotNull())
-    fractions: list[float] = []
-    for p in probs.values():
-        fractions += [max(0.0, p - SLACK), min(1.0, p + SLACK)]
-    sketch = rows.groupBy(*keys).agg(
-        F.count(v).alias("n"),
-        F.percentile_approx(v, [float(f) for f in fractions], ACCURACY).alias("__marks"),
-    )
+    rows = rows.select(*keys, value, (F.col(weight) if weight else F.lit(1)).alias("__w")).filter(v.isNotNull())
+    if sketch is None:
+        sketch = rows.groupBy(*keys).agg(F.count(v).alias("n"), marks(v, probs).alias("__marks"))
     targets = sketch.select(
         *keys,
         "n",
@@ -61,7 +65,7 @@ def exact_quantiles(
         joined = rows.join(F.broadcast(targets), keys) if keys else rows.crossJoin(F.broadcast(targets))
     else:
         joined = salted_join(rows, targets, keys, "inner")
-    hits = joined.select(*keys, value, "n", F.inline("__t"))
+    hits = joined.select(*keys, value, "__w", "n", F.inline("__t"))
     part = F.try_divide(v - F.col("lo"), F.col("hi") - F.col("lo"))
     slice_of = F.when(F.col("__side") == 0, F.coalesce(F.floor(part * SLICES).cast("int"), F.lit(0))).otherwise(0)
     side = F.when(v < F.col("lo"), -1).when(v > F.col("hi"), 1).otherwise(0)
@@ -69,7 +73,7 @@ def exact_quantiles(
         hits.withColumn("__side", side)
         .withColumn("__slice", slice_of)
         .groupBy(*keys, "name", "p", "n", "__side", "__slice", F.when(F.col("__side") == 0, v).alias("__v"))
-        .agg(F.count(F.lit(1)).alias("__c"), F.min(v).alias("__min"), F.max(v).alias("__max"))
+        .agg(F.sum("__w").alias("__c"), F.min(v).alias("__min"), F.max(v).alias("__max"))
         .withColumn("__v", F.coalesce("__v", F.when(F.col("__side") < 0, F.col("__max")).otherwise(F.col("__min"))))
     )
     h = F.col("p") * (F.col("n") - 1)

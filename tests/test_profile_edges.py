@@ -109,3 +109,20 @@ def test_csv_source(spark, tmp_path):
 def test_mase_falls_back_to_mae_for_short_series(spark):
     df = spark.createDataFrame([("s", dt.datetime(2024, 1, d), float(d), d + 1.0) for d in (1, 2)], "k string, ts timestamp, a double, f double")
     assert M.mase(df, ["k"], 7).first()["mase"] == 1.0
+
+
+def test_profile_reads_its_input_three_times(spark):
+    rows = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for b in batches:
+            rows.add(b.num_rows)
+            yield b
+
+    df = spark.range(1000).selectExpr("id", "id % 7 / 2.0D AS x", "concat('t', id % 5) AS s", "timestamp_seconds(id * 86400) AS d", "id % 2 = 0 AS b")
+    got = P.profile_table(df.mapInArrow(counted, df.schema), "2000-01-01").collect()
+    assert len(got) == 5 and rows.value <= 3 * 1000
+    few = spark.sparkContext.accumulator(0)
+    rows = few
+    P.profile_table(df.mapInArrow(counted, df.schema), parts=()).collect()
+    assert few.value <= 2 * 1000
