@@ -29,13 +29,17 @@ MAX_WIDTH = 50
 RESULT_SCHEMA = "algorithm string, n_clusters int, silhouette double, calinski_harabasz double, davies_bouldin double, parameters string"
 
 
-def cluster_features(df: DataFrame, id_col: str, exclude: Sequence[str] = ()) -> DataFrame:
-    """(id, features array): imputed, scaled and one-hot encoded; principal components above 50 columns."""
+def cluster_vectors(df: DataFrame, id_col: str, exclude: Sequence[str] = ()) -> DataFrame:
+    """(id, features): sparse vectors of all columns, imputed, scaled and one-hot encoded."""
     pipeline = build_features(df, None, [id_col, *exclude])
-    rows = Pipeline(stages=pipeline.getStages()).fit(df).transform(df).select(id_col, "features")
-    rows = materialize(rows, "cluster-features")
-    if rows.first()["features"].size > MAX_WIDTH:
-        rows = pca_reduce(rows, "features", MAX_WIDTH, "pca").select(id_col, F.col("pca").alias("features"))
+    return Pipeline(stages=pipeline.getStages()).fit(df).transform(df).select(id_col, "features")
+
+
+def cluster_features(df: DataFrame, id_col: str, exclude: Sequence[str] = (), max_width: int = MAX_WIDTH) -> DataFrame:
+    """(id, features array): imputed, scaled and one-hot encoded; principal components above ``max_width`` columns."""
+    rows = materialize(cluster_vectors(df, id_col, exclude), "cluster-features")
+    if rows.first()["features"].size > max_width:
+        rows = pca_reduce(rows, "features", max_width, "pca").select(id_col, F.col("pca").alias("features"))
     return rows.select(id_col, vector_to_array("features").alias("features"))
 
 

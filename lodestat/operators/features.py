@@ -10,11 +10,15 @@ from __future__ import annotations
 import re
 from collections.abc import Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.ml.feature import OneHotEncoder
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from lodestat.functions.columns import NUMERIC, TEXT, columns_of_kind, present_number, q
+from lodestat.operators.encoding import sparse_rows
 from lodestat.operators.profile import column_quantiles, iqr_bounds, numeric_long, top_values
 from lodestat.plans.quantiles import exact_quantiles
 from lodestat.plans.skew import fitted_join, salted_join, with_position
@@ -250,16 +254,98 @@ def select_k_best(df: DataFrame, target: str, k: int, task: str, columns: Sequen
     )
 
 
+SPARE = 10
+POWER_STEPS = 4
+TILE = 256
+
+
+def _summed(parts: DataFrame) -> np.ndarray:
+    """Partial tiles (t, s) of the tasks, added by Spark and put together."""
+
+    def added(key, tile):
+        total = np.sum([np.frombuffer(s) for s in tile["s"].to_pylist()], axis=0)
+        return pa.table({"t": pa.array([key[0].as_py()], pa.int64()), "s": pa.array([total.tobytes()], pa.binary())})
+
+    rows = parts.groupBy("t").applyInArrow(added, "t long, s binary").collect()
+    return np.concatenate([np.frombuffer(r["s"]) for r in sorted(rows, key=lambda r: r["t"])])
+
+
+def _tiled(matrix: np.ndarray) -> pa.RecordBatch:
+    starts = list(range(0, len(matrix), TILE))
+    return pa.RecordBatch.from_arrays([pa.array(starts, pa.int64()), pa.array([matrix[t : t + TILE].tobytes() for t in starts], pa.binary())], ["t", "s"])
+
+
+def principal_components(data: DataFrame, vector: str, n: int, width: int, k: int, seed: int = 42) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(mean, components, variances) of a vector column of ``n`` rows by a randomised range finder.
+
+    The rows stay where they are. Each power step multiplies them by a width x (k + spare) matrix and adds the products up
+    in tiles of the width; only such tall matrices reach the driver, never one of width x width.
+    """
+    vectors = data.select(F.col(vector).alias("v"))
+
+    def sums(batches):
+        total = np.zeros(width)
+        for b in batches:
+            _, places, numbers = sparse_rows(b["v"])
+            total += np.bincount(places.astype(np.int64), numbers, width)
+        yield _tiled(total)
+
+    mean = _summed(vectors.mapInArrow(sums, "t long, s binary")) / n
+
+    def step(basis: np.ndarray) -> np.ndarray:
+        """Centred rows, transposed, times centred rows, times ``basis``."""
+        held = data.sparkSession.sparkContext.broadcast((basis, mean @ basis, mean))
+
+        def products(batches):
+            basis, shift, centre = held.value
+            out, total = np.zeros(basis.shape), np.zeros(basis.shape[1])
+            for b in batches:
+                rows, places, numbers = sparse_rows(b["v"])
+                rows, places = rows.astype(np.int64), places.astype(np.int64)
+                for c in range(basis.shape[1]):
+                    y = np.bincount(rows, numbers * basis[places, c], b.num_rows) - shift[c]
+                    out[:, c] += np.bincount(places, numbers * y[rows], width)
+                    total[c] += y.sum()
+            yield _tiled(out - np.outer(centre, total))
+
+        return _summed(vectors.mapInArrow(products, "t long, s binary")).reshape(width, -1)
+
+    basis = np.linalg.qr(np.random.default_rng(seed).normal(size=(width, min(width, k + SPARE))))[0]
+    for _ in range(POWER_STEPS):
+        basis = np.linalg.qr(step(basis))[0]
+    values, axes = np.linalg.eigh(basis.T @ step(basis))
+    order = np.argsort(values)[::-1][:k]
+    components = basis @ axes[:, order]
+    components = components * np.sign(components[np.abs(components).argmax(axis=0), np.arange(components.shape[1])])
+    return mean, components, np.maximum(values[order], 0.0) / max(1, n - 1)
+
+
 def pca_reduce(df: DataFrame, features: str = "features", components: int = 50, output: str = "pca") -> DataFrame:
-    """Principal components of a vector or array column: min(components, width, n - 1)."""
-    from pyspark.ml.feature import PCA
+    """Principal components of a vector or array column, centred: min(components, width, n - 1)."""
     from pyspark.ml.functions import array_to_vector
 
     is_array = df.schema[features].dataType.typeName() == "array"
     data = df.withColumn("__v", array_to_vector(F.transform(features, lambda x: x.cast("double"))) if is_array else F.col(features))
     width = data.select("__v").first()[0].size
-    k = min(components, width, max(1, data.count() - 1))
-    return PCA(k=k, inputCol="__v", outputCol=output).fit(data).transform(data).drop("__v")
+    n = data.count()
+    k = min(components, width, max(1, n - 1))
+    mean, axes, _ = principal_components(data, "__v", n, width, k)
+    held = df.sparkSession.sparkContext.broadcast((axes, mean @ axes))
+    names = data.columns
+
+    def project(batches):
+        axes, shift = held.value
+        for b in batches:
+            if not b.num_rows:
+                continue
+            rows, places, numbers = sparse_rows(b["__v"])
+            rows, places = rows.astype(np.int64), places.astype(np.int64)
+            y = np.stack([np.bincount(rows, numbers * axes[places, c], b.num_rows) for c in range(axes.shape[1])], axis=1) - shift
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(b.num_rows + 1) * axes.shape[1], pa.int32()), pa.array(y.ravel()))
+            yield pa.RecordBatch.from_arrays([*b.columns, lists], [*names, "__pca"])
+
+    schema = T.StructType([*data.schema.fields, T.StructField("__pca", T.ArrayType(T.DoubleType()))])
+    return data.mapInArrow(project, schema).withColumn(output, array_to_vector("__pca")).drop("__v", "__pca")
 
 
 def log_transform_target(df: DataFrame, target: str, output: str | None = None) -> DataFrame:

@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 from lodestat.functions.columns import NUMERIC, TEXT, columns_of_kind, q
 from lodestat.operators import metrics as M
+from lodestat.operators.encoding import TextCodes
 from lodestat.operators.features import split_random
 from lodestat.operators.profile import column_quantiles, top_values
 from lodestat.plans.blocks import BLOCK_POINTS, block_pairs, paired
@@ -73,7 +74,7 @@ def build_features(
     """Unfitted feature pipeline with statistics from ``train`` only.
 
     Numbers: median for missing values, then standard scaling. Text: most frequent value for missing
-    values, then one column per category; a category unseen in training becomes all zeros. Optionally
+    values, then one slot per category from a distributed dictionary; a category unseen in training becomes all zeros. Optionally
     the ``k`` best features by univariate F.
     """
     skip = {target, *exclude}
@@ -97,13 +98,7 @@ def build_features(
         ]
         parts.append("__scaled")
     if texts:
-        stages += [
-            MF.StringIndexer(
-                inputCols=[f"__t_{c}" for c in texts], outputCols=[f"__i_{c}" for c in texts], handleInvalid="keep", stringOrderType="alphabetAsc"
-            ),
-            # The extra slot of unseen values is the last one, which is dropped: they become zeros.
-            MF.OneHotEncoder(inputCols=[f"__i_{c}" for c in texts], outputCols=[f"__o_{c}" for c in texts], dropLast=True),
-        ]
+        stages.append(TextCodes([f"__t_{c}" for c in texts], [f"__o_{c}" for c in texts]))
         parts += [f"__o_{c}" for c in texts]
     if k is None:
         stages.append(MF.VectorAssembler(inputCols=parts, outputCol=output))

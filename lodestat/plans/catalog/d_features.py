@@ -140,8 +140,35 @@ def d12_regression(spark, sf):
     return rounded(X.select_k_best(load(spark, sf, "lineitem"), "l_extendedprice", 3, "regression", K_OTHERS), 5)
 
 
-@query("d13_pca_reduce")
+@query(
+    "d13_pca_reduce",
+    """WITH e AS (SELECT vec_id, unnest(embedding) AS x, unnest(range(len(embedding))) AS i FROM embeddings),
+    v AS (SELECT var_samp(x::DOUBLE) AS v FROM e GROUP BY i)
+    SELECT round(sum(v), 4) AS total_variance, CAST(count(*) AS INT) AS components, 0.0 AS largest_correlation, 0.0 AS largest_mean, true AS descending FROM v""",
+)
 def d13(spark, sf):
+    """All components of the vectors: their variances add up to that of the columns, and they do not correlate."""
+    from pyspark.ml.functions import vector_to_array
+
+    out = X.pca_reduce(load(spark, sf, "embeddings"), "embedding", 64)
+    return component_checks(out.select(vector_to_array("pca").alias("c")), 64)
+
+
+def component_checks(rows, k):
+    """Of all components: the sum of variances, the largest mean and correlation with the next one, and whether variances descend."""
+    cells = rows.select(F.posexplode(F.zip_with("c", F.slice("c", 2, k), lambda x, y: F.struct(x.alias("x"), y.alias("y"))))).select("pos", "col.*")
+    each = cells.groupBy("pos").agg(F.var_samp("x").alias("v"), F.abs(F.avg("x")).alias("m"), F.corr("x", "y").alias("r"))
+    listed = F.array_sort(F.collect_list(F.struct("pos", "v")))
+    found = each.agg(F.sum("v").alias("v"), F.max("m").alias("m"), F.max(F.abs("r")).alias("r"), listed.alias("l"))
+    ordered = F.transform("l", lambda e: e["v"])
+    return found.select(
+        F.round("v", 4).alias("total_variance"), F.lit(k).alias("components"), F.round("r", 4).alias("largest_correlation"), F.round("m", 4).alias("largest_mean"),
+        (F.reverse(F.array_sort(ordered)) == ordered).alias("descending"),
+    )
+
+
+@query("d13_pca_reduce_rows")
+def d13_rows(spark, sf):
     from pyspark.ml.functions import vector_to_array
 
     out = X.pca_reduce(load(spark, sf, "embeddings"), "embedding", 50)

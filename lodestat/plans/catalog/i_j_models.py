@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from lodestat.functions.columns import rounded
 from lodestat.operators import ensemble as J
 from lodestat.operators import models as I
+from lodestat.operators.encoding import vector_cells
 from lodestat.plans.registry import query
 from lodestat.sources.tables import load
 
@@ -60,11 +61,21 @@ def i1_flat(spark, sf):
     return rounded(cells.filter((F.col("i") == 0) | (F.col("x") != 0)).withColumn("i", F.col("i").cast("long")), 5)
 
 
-@query("i1_build_features")
+SEGMENT_ROWS = r"""SELECT doc_id, lang, source, n_chars, len(string_split_regex(text, '[ \t\n\x0B\f\r]+')) AS n_words FROM documents JOIN labels USING (doc_id)"""
+
+
+@query(
+    "i1_build_features",
+    f"""WITH d AS ({SEGMENT_ROWS}), l AS (SELECT lang AS v, row_number() OVER (ORDER BY lang) - 1 AS i, COUNT(*) OVER () AS k FROM (SELECT DISTINCT lang FROM d)),
+    s AS (SELECT source AS v, row_number() OVER (ORDER BY source) - 1 AS i FROM (SELECT DISTINCT source FROM d))
+    SELECT doc_id, CAST(0 AS BIGINT) AS i, round((n_chars - a) / b, 5) AS x FROM d, (SELECT avg(n_chars) AS a, stddev_samp(n_chars) AS b FROM d)
+    UNION ALL SELECT doc_id, 1, round((n_words - a) / b, 5) FROM d, (SELECT avg(n_words) AS a, stddev_samp(n_words) AS b FROM d)
+    UNION ALL SELECT doc_id, 2 + l.i, 1.0 FROM d JOIN l ON v = lang UNION ALL SELECT doc_id, 2 + k + s.i, 1.0 FROM d JOIN s ON v = source, (SELECT DISTINCT k FROM l)""",
+)
 def i1(spark, sf):
     df = segment_rows(spark, sf)
     fitted = I.build_features(df, "quality", ["doc_id"]).fit(df)
-    return fitted.transform(df).select("doc_id", vector_to_array("features").alias("features"))
+    return rounded(vector_cells(fitted.transform(df), "doc_id", "features"), 5)
 
 
 @query("i2_fit_logistic")

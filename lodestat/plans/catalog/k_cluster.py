@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from lodestat.functions.columns import rounded
 from lodestat.operators import cluster as K
+from lodestat.operators.encoding import vector_cells
 from lodestat.plans.registry import query
 from lodestat.sources.tables import load
 
@@ -32,12 +33,12 @@ def by_first_member(assigned):
 
 @query("k2_kmeans_clusters", BLOB_CLUSTERS)
 def k2_clusters(spark, sf):
-    return by_first_member(K.kmeans_sweep(blobs(spark, sf), "id", [2, 3, 4])[0])
+    return by_first_member(K.kmeans_sweep(blobs(spark, sf), "id")[0])
 
 
 @query("k3_gmm_clusters", BLOB_CLUSTERS)
 def k3_clusters(spark, sf):
-    return by_first_member(K.gmm_sweep(blobs(spark, sf), "id", [2, 3])[0])
+    return by_first_member(K.gmm_sweep(blobs(spark, sf), "id")[0])
 
 
 @query("k4_dbscan_clusters", BLOB_CLUSTERS)
@@ -50,9 +51,26 @@ def k6_clusters(spark, sf):
     return by_first_member(K.hierarchical(blobs(spark, sf), "id")[0])
 
 
-@query("k1_cluster_features")
+NAMES = "(SELECT c_name AS v, row_number() OVER (ORDER BY c_name) - 1 AS i, COUNT(*) OVER () AS k FROM (SELECT DISTINCT c_name FROM customer))"
+SEGMENTS = "(SELECT c_mktsegment AS v, row_number() OVER (ORDER BY c_mktsegment) - 1 AS i FROM (SELECT DISTINCT c_mktsegment FROM customer))"
+
+
+@query(
+    "k1_cluster_features",
+    f"""WITH n AS {NAMES}, s AS {SEGMENTS}
+    SELECT c_custkey, CAST(0 AS BIGINT) AS i, round((c_nationkey - a) / b, 5) AS x FROM customer, (SELECT avg(c_nationkey) AS a, stddev_samp(c_nationkey) AS b FROM customer)
+    UNION ALL SELECT c_custkey, 1, round((c_acctbal - a) / b, 5) FROM customer, (SELECT avg(c_acctbal) AS a, stddev_samp(c_acctbal) AS b FROM customer)
+    UNION ALL SELECT c_custkey, 2 + n.i, 1.0 FROM customer JOIN n ON v = c_name
+    UNION ALL SELECT c_custkey, 2 + k + s.i, 1.0 FROM customer JOIN s ON v = c_mktsegment, (SELECT DISTINCT k FROM n)""",
+)
 def k1(spark, sf):
-    return K.cluster_features(load(spark, sf, "customer").drop("c_name"), "c_custkey")
+    return rounded(vector_cells(K.cluster_vectors(load(spark, sf, "customer"), "c_custkey"), "c_custkey", "features"), 5)
+
+
+@query("k1_cluster_features_reduced")
+def k1_reduced(spark, sf):
+    """A slot for every customer name, brought down to 50 components."""
+    return K.cluster_features(load(spark, sf, "customer"), "c_custkey")
 
 
 @query("k2_kmeans_sweep")
@@ -105,7 +123,7 @@ def k4_vectors(spark, sf):
 
 @query("k5_dbscan_search")
 def k5(spark, sf):
-    return K.dbscan_search(blobs(spark, sf), "id", trials=8)[0]
+    return by_first_member(K.dbscan_search(blobs(spark, sf), "id")[0])
 
 
 @query("k6_hierarchical")
@@ -113,9 +131,24 @@ def k6(spark, sf):
     return K.hierarchical(blobs(spark, sf), "id")[0].select("id", "label")
 
 
-@query("k7_spectral")
+SQUARES = "SELECT p_partkey AS id, p_partkey % 3 AS cluster FROM part"
+
+
+def squares(spark, sf):
+    """Three separated squares, filled without repeats."""
+    k = F.col("p_partkey")
+    a, b = (k % 3) * 10.0 + (k * 7919 % 1009) / 1009.0, (k % 3) * 10.0 + (k * 104729 % 997) / 997.0
+    return load(spark, sf, "part").select(k.alias("id"), F.array(a, b).alias("features"))
+
+
+@query("k7_spectral", SQUARES)
 def k7(spark, sf):
-    return K.spectral(vectors(spark, sf), "id", [2, 3], neighbours=10)[1]
+    return by_first_member(K.spectral(squares(spark, sf), "id")[0])
+
+
+@query("k8_cluster_all", BLOB_CLUSTERS)
+def k8_all(spark, sf):
+    return by_first_member(K.cluster_all(blobs(spark, sf), "id")[0])
 
 
 @query(

@@ -2,12 +2,15 @@
 
 import numpy as np
 import pytest
+from pyspark.ml import PipelineModel
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import functions as F
 
 from lodestat.operators import cluster as K
+from lodestat.operators import encoding as E
 from lodestat.operators import ensemble as J
 from lodestat.operators import explain as L
+from lodestat.operators import features as X
 from lodestat.operators import metrics as M
 from lodestat.operators import models as I
 from lodestat.plans import blocks
@@ -262,3 +265,36 @@ def test_additive_attribution_is_exact(spark):
 
 def test_vector_helper(spark):
     assert cloud(spark, [[1, 2]]).select(array_to_vector("features")).count() == 1
+
+
+def test_components_of_very_wide_sparse_rows(spark):
+    """5,000 columns: components as a direct decomposition finds them, without a square matrix of the width."""
+    from pyspark.ml.linalg import Vectors
+
+    rng = np.random.default_rng(3)
+    width, n, k = 5000, 120, 4
+    x = np.zeros((n, width))
+    for j in range(k):
+        x[:, rng.choice(width, 40, replace=False)] += rng.normal(size=(n, 1)) * (3 * (k - j))
+    x += (rng.random((n, width)) < 0.002) * rng.normal(size=(n, width))
+    rows = [(i, Vectors.sparse(width, np.flatnonzero(r).tolist(), r[r != 0].tolist())) for i, r in enumerate(x)]
+    df = spark.createDataFrame(rows, ["id", "features"]).withColumn("note", F.lit("n"))
+    got = X.pca_reduce(df, "features", k).orderBy("id").collect()
+    centred = x - x.mean(0)
+    u, s, _ = np.linalg.svd(centred, full_matrices=False)
+    want = u[:, :k] * s[:k]
+    found = np.array([r["pca"].toArray() for r in got])
+    assert np.allclose(np.abs(found), np.abs(want), atol=1e-6 * s[0]) and got[0]["note"] == "n"
+
+
+def test_dictionary_codes(spark, tmp_path):
+    rows = spark.createDataFrame([(i, "abc"[i % 3] if i % 5 else None, f"v{i:03d}") for i in range(60)], "id long, a string, b string")
+    fitted = I.build_features(rows, None, ["id"]).fit(rows)
+    other = spark.createDataFrame([(1, "b", "v007"), (2, "z", None), (3, None, "new")], rows.schema)
+    cells = {}
+    for r in E.vector_cells(fitted.transform(other), "id", "features").collect():
+        cells.setdefault(r["id"], {})[r["i"]] = r["x"]
+    assert cells == {1: {1: 1.0, 3 + 7: 1.0}, 2: {3: 1.0}, 3: {0: 1.0}}
+    fitted.write().overwrite().save(str(tmp_path / "m"))
+    again = PipelineModel.load(str(tmp_path / "m")).transform(other)
+    assert {(r["id"], r["i"]) for r in E.vector_cells(again, "id", "features").collect()} == {(k, i) for k, v in cells.items() for i in v}
