@@ -29,6 +29,7 @@ import re
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -38,7 +39,9 @@ WINDOW = 32
 CHUNK = 512
 LEAST = 128
 SLICE = 1 << 20
-KNOWN_WORDS = 400_000
+MIX = 0xD6E8FEB86659FD93  # odd; moves the entropy to the high bits, which decide on a cut
+KNOWN_WORDS = 150_000  # in each of two generations
+MARK = "~"
 TOLD_APART = 200_000
 
 # The characters that the tokenizer's white space class holds.
@@ -53,6 +56,24 @@ def tokenizer_path() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+# Printable ASCII and the letters of Latin-1, which no normalisation changes but for lower case; no name of a special token.
+PLAIN = re.compile("(?!.*<\\|)[!-~\xc0-\xd6\xd8-\xf6\xf8-\xff]+").fullmatch
+# How the vocabulary splits such characters once they are lower case.
+PIECES = "'s|'t|'re|'ve|'m|'ll|'d|[a-z\xdf-\xf6\xf8-\xff]+|[0-9]|[^0-9a-z\xdf-\xf6\xf8-\xff]+"
+
+
+def plain_split(model):
+    """The splitting of plain words, if the model normalises and splits as that assumes; else None."""
+    import json
+
+    parts = json.loads(model.to_str())
+    steps = [n.get("type") for n in (parts.get("normalizer") or {}).get("normalizers", [])]
+    splits = (parts.get("pre_tokenizer") or {}).get("pretokenizers") or [{}]
+    wanted = "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"
+    fits = steps == ["NFC", "Replace", "Lowercase"] and splits[0].get("pattern") == {"Regex": wanted} and splits[0].get("invert")
+    return re.compile(PIECES).findall if fits else None
+
+
 class Words:
     """Ids of texts, word by word between white space, as packed integers."""
 
@@ -65,19 +86,62 @@ class Words:
         self.model.no_padding()
         self.kind = np.dtype("<u2" if self.model.get_vocab_size(with_added_tokens=True) <= 1 << 16 else "<u4")
         self.space = re.compile(f"[{SPACES}]+")
+        self.plain = re.compile("[\x1c-\x1f]").search
         self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
+        self.pieces: dict[str, bytes] = {}
+        mark = self.model.encode(MARK, add_special_tokens=False).ids
+        self.mark = mark[0] if len(mark) == 1 else None
+        self.split = plain_split(self.model)
+
+    def fresh(self, words: list[str]) -> dict[str, bytes]:
+        """Ids of words not met before: those of plain characters by their pieces, which recur more than words do."""
+        if self.split is None:
+            return self.encoded(words)
+        cut = {w: self.split(w.lower()) for w in words if PLAIN(w)}
+        new = {p for parts in cut.values() for p in parts if p not in self.pieces}
+        if len(self.pieces) > KNOWN_WORDS:
+            self.pieces.clear()
+            new = {p for parts in cut.values() for p in parts}
+        self.pieces.update(self.encoded(list(new)))
+        of = self.pieces
+        out = {w: b"".join([of[p] for p in parts]) for w, parts in cut.items()}
+        if len(cut) < len(words):
+            out |= self.encoded([w for w in words if w not in cut])
+        return out
+
+    def encoded(self, words: list[str]) -> dict[str, bytes]:
+        """Ids of words by the model, many in one call: a word of its own with one id stands between them."""
+        out, odd = {}, words
+        if self.mark is not None:
+            joined = [w for w in words if MARK not in w]
+            odd = [w for w in words if MARK in w]
+            for k in range(0, len(joined), 500):
+                part = joined[k : k + 500]
+                ids = np.array(self.model.encode_batch_fast([f" {MARK} ".join(part)], add_special_tokens=False)[0].ids, self.kind)
+                cuts = np.flatnonzero(ids == self.mark)
+                if len(cuts) != len(part) - 1:
+                    odd += part
+                    continue
+                raw, size = ids.tobytes(), self.kind.itemsize
+                starts, ends = [0, *(size * (cuts + 1)).tolist()], [*(size * cuts).tolist(), len(raw)]
+                out.update((w, raw[a:b]) for w, a, b in zip(part, starts, ends))
+        for w in odd:
+            out[w] = np.array(self.model.encode(w, add_special_tokens=False).ids, self.kind).tobytes()
+        return out
 
     def packed(self, text: str) -> bytes:
-        known, parts = self.known, self.space.split(text)
-        out = [known.get(w) for w in parts]
+        # Python's own split takes four separators more.
+        parts = text.split() if self.plain(text) is None else self.space.split(text)
+        out = list(map(self.known.get, parts))
         if None in out:
-            missing = list({w for w, ids in zip(parts, out) if ids is None})
-            made = self.model.encode_batch(missing, add_special_tokens=False)
-            made = {w: np.array(e.ids, self.kind).tobytes() for w, e in zip(missing, made)}
+            missing = {w for w, ids in zip(parts, out) if ids is None}
+            made = {w: ids for w in missing if (ids := self.older.get(w)) is not None}
+            made |= self.fresh([w for w in missing if w not in made])
             out = [made[w] if ids is None else ids for w, ids in zip(parts, out)]
-            if len(known) > KNOWN_WORDS:
-                known.clear()
-            known.update((w, ids) for w, ids in made.items() if len(w) < 64)
+            if len(self.known) > KNOWN_WORDS:
+                self.older, self.known = self.known, {}
+            self.known.update((w, ids) for w, ids in made.items() if len(w) < 64)
         return b"".join(out)
 
     def segment(self, text: str) -> tuple[str, bytes | None, str]:
@@ -100,21 +164,36 @@ class Words:
         return b"".join(out)
 
 
-def cut_places(data: np.ndarray, hashes: RollingHash) -> np.ndarray:
-    """Ends of the windows of a byte array whose hash calls for a cut, never within a character."""
+def cut_places(data: np.ndarray, powers: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    """Ends of the windows of a byte array whose rolling hash calls for a cut, never within a character."""
+    up, down = powers
     found = []
     for start in range(0, max(len(data) - WINDOW, 0), SLICE):
         part = data[start : start + SLICE + WINDOW]
-        at = np.arange(len(part) - WINDOW)
-        called = hashes.ranges(hashes.prefix(part), at, at + WINDOW) % np.uint64(CHUNK) == 0
-        ends = np.flatnonzero(called) + WINDOW
+        n = len(part) - WINDOW
+        sums = np.zeros(len(part) + 1, np.uint64)
+        np.cumsum((part.astype(np.uint64) + np.uint64(1)) * up[: len(part)], out=sums[1:])
+        h = sums[WINDOW : WINDOW + n] - sums[:n]
+        h *= down[:n]
+        h *= np.uint64(MIX)
+        ends = np.flatnonzero(h < np.uint64((1 << 64) // CHUNK)) + WINDOW
         found.append(start + ends[(part[ends] & 0xC0) != 0x80])
     return np.concatenate(found) if found else np.zeros(0, np.int64)
 
 
-def chunked(data: np.ndarray, offsets: np.ndarray, hashes: RollingHash):
+def powers() -> tuple[np.ndarray, np.ndarray]:
+    """Powers of the hash's base modulo 2^64 and of its inverse, for one slice."""
+    out = []
+    for base in (RollingHash.BASE, pow(RollingHash.BASE, -1, 1 << 64)):
+        steps = np.full(SLICE + WINDOW, base, np.uint64)
+        steps[0] = 1
+        out.append(np.cumprod(steps, dtype=np.uint64))
+    return tuple(out)
+
+
+def chunked(data: np.ndarray, offsets: np.ndarray, table: tuple[np.ndarray, np.ndarray]):
     """For every text of a block the bounds of its chunks; an empty text has none."""
-    places = cut_places(data, hashes).tolist()
+    places = cut_places(data, table).tolist()
     for start, end in zip(offsets[:-1].tolist(), offsets[1:].tolist()):
         bounds, at = [start], bisect.bisect_left(places, start + max(LEAST, WINDOW))
         while at < len(places) and places[at] <= end - LEAST:
@@ -133,10 +212,10 @@ def spots(keys: list[bytes], bits: int) -> np.ndarray:
 
 def blocks(batches):
     """Per text: batch, row in it, its bytes' chunks and their keys."""
-    hashes = RollingHash()
+    table = powers()
     for part, data, offsets in text_blocks(batches, "__text"):
         raw = data.tobytes()
-        for k, bounds in enumerate(chunked(data, offsets, hashes)):
+        for k, bounds in enumerate(chunked(data, offsets, table)):
             chunks = [raw[a:b] for a, b in zip(bounds, bounds[1:])]
             yield part, k, chunks, [key_of(c) for c in chunks]
 
@@ -308,13 +387,15 @@ def decode(encoded: DataFrame, path: str | None = None, into: str = "decoded") -
         from tokenizers import Tokenizer
 
         model = Tokenizer.from_file(path)
-        names = [model.id_to_token(i) for i in range(model.get_vocab_size(with_added_tokens=True))]
+        names = pa.array([model.id_to_token(i) for i in range(model.get_vocab_size(with_added_tokens=True))], pa.string())
         for b in batches:
-            ids = b["ids"]
             for k in range(0, b.num_rows, 256):
                 part = b.slice(k, 256)
-                texts = [" ".join(map(names.__getitem__, x.values.to_numpy())) if x.is_valid else None for x in ids.slice(k, 256)]
-                yield pa.RecordBatch.from_arrays([*(part[c] for c in keep), pa.array(texts, pa.string())], [*keep, into])
+                ids = part["ids"]
+                sizes = np.concatenate([[0], np.cumsum(pc.fill_null(pc.list_value_length(ids), 0).to_numpy())])
+                tokens = pa.ListArray.from_arrays(pa.array(sizes, pa.int32()), names.take(ids.flatten()))
+                texts = pc.if_else(ids.is_valid(), pc.binary_join(tokens, " "), pa.scalar(None, pa.string()))
+                yield pa.RecordBatch.from_arrays([*(part[c] for c in keep), texts], [*keep, into])
 
     return encoded.select(*[q(c) for c in keep]).mapInArrow(rows, _schema(encoded, keep) + f"`{into}` string")
 
