@@ -35,7 +35,7 @@ LEAST = 10
 TERM_RANKS = 10
 TILE = 16
 BLOCK_IDS = 13
-HELD = 200_000
+HELD = 500_000
 
 # Capital letters become small ones, other ASCII characters that are no letters become spaces.
 FOLD = bytes(b + 32 if 65 <= b <= 90 else b if 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
@@ -87,19 +87,28 @@ def term_counts(docs: DataFrame, kept: np.ndarray, bits: int) -> DataFrame:
 
     def rows(batches):
         found, held = defaultdict(Counter), 0
+        names: dict[str, dict[bytes, str | None]] = defaultdict(dict)
+
+        def name(lang, own):
+            """The terms of a language that the filter lets through, by their bytes; None for others."""
+            new = [t for t in own if t not in names[lang]]
+            texts = [t.decode("utf-8", "replace") for t in new]
+            passed = in_filter(known.value, np.fromiter((spot(lang, t, bits) for t in texts), np.int64, len(texts)))
+            names[lang].update((t, text if p else None) for t, text, p in zip(new, texts, passed.tolist()))
+            return names[lang]
 
         def flush():
-            for (lang, source), terms in found.items():
-                names = [t.decode("utf-8", "replace") for t in terms]
-                spots = np.fromiter((spot(lang, t, bits) for t in names), np.int64, len(names))
-                take = np.flatnonzero(in_filter(known.value, spots))
-                counts = np.fromiter(terms.values(), np.int64, len(names))[take]
+            if sum(map(len, names.values())) > HELD:
+                names.clear()
+            for (lang, source), own in found.items():
+                of = name(lang, own)
+                terms = [(of[t], n) for t, n in own.items() if of[t] is not None]
                 yield pa.RecordBatch.from_arrays(
                     [
-                        pa.array([lang] * len(take), pa.string()),
-                        pa.array([source] * len(take), pa.string()),
-                        pa.array([names[i] for i in take], pa.string()),
-                        pa.array(counts),
+                        pa.array([lang] * len(terms), pa.string()),
+                        pa.array([source] * len(terms), pa.string()),
+                        pa.array([t for t, _ in terms], pa.string()),
+                        pa.array([n for _, n in terms], pa.int64()),
                     ],
                     ["lang", "source", "term", "n"],
                 )
