@@ -187,5 +187,8 @@ def keep_first(docs: DataFrame, id_col: str = "doc_id", size: int = 3, text_col:
     texts = own.select(q(row).alias("row"), q(id_col).alias("id"), q(text_col).alias("text"))
     found = near_duplicates(texts, "id", size, bucket=bucket, with_root=True)
     least = F.min(F.struct(F.col("id").isNull().alias("last"), "id", "row"))["row"]
-    first = stored(found.groupBy("root").agg(least.alias(row)).select(row), "near-first")
-    return own.join(first, row, "left_semi").select(*[q(c) for c in docs.columns])
+    found = stored(found.select("row", "id", "root"), "near-roots")
+    first = found.groupBy("root").agg(least.alias("row")).select("row")
+    # Those that go are fewer than those that stay, so the texts rarely have to move.
+    gone = stored(found.join(first, "row", "left_anti").select(F.col("row").alias(row)), "near-gone")
+    return own.join(gone, row, "left_anti").select(*[q(c) for c in docs.columns])
