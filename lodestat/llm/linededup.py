@@ -68,12 +68,29 @@ def removals(lines: DataFrame, min_lines: int = MIN_LINES, long_line: int = LONG
     found = gone[0]
     for more in gone[1:]:
         found = found.unionByName(more)
-    return found.groupBy("row").agg(F.collect_set("pos").alias("gone"))
+    return found.groupBy("row").agg(F.array_sort(F.collect_set("pos")).alias("gone"))
+
+
+def _let(value: Column, fn) -> Column:
+    """``fn`` of a value that is computed once, also where ``fn`` uses it inside other functions."""
+    return F.transform(F.array(value), fn)[0]
 
 
 def _kept(items: Column, gone: Column) -> Column:
-    flags = F.transform(items, lambda x, i: F.struct(x.alias("x"), F.array_contains(gone, i.cast("int")).alias("out")))
-    return F.transform(F.filter(flags, lambda s: ~s["out"]), lambda s: s["x"])
+    """``items`` without those at the ascending places ``gone``: the slices between these places, so linear in the items."""
+
+    def cut(held: Column) -> Column:
+        ends = F.concat(held["gone"], F.array(F.size(held["items"])))
+        starts = F.concat(F.array(F.lit(0)), F.transform(held["gone"], lambda p: p + 1))
+        bounds = F.zip_with(starts, ends, lambda start, end: F.struct(start.alias("start"), end.alias("end")))
+        return F.flatten(F.transform(bounds, lambda b: F.slice(held["items"], b["start"] + 1, F.greatest(b["end"] - b["start"], F.lit(0)))))
+
+    return _let(F.struct(items.alias("items"), gone.alias("gone")), cut)
+
+
+def _runs(gone: Column) -> Column:
+    """Number of runs of consecutive places."""
+    return _let(gone, lambda g: F.size(F.filter(F.zip_with(g, F.concat(F.array(F.lit(-2)), g), lambda p, before: p != before + 1), lambda x: x)))
 
 
 def report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_lines: int = MIN_LINES, long_line: int = LONG_LINE) -> DataFrame:
@@ -81,13 +98,14 @@ def report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_
     lines = stored(sequences(identified(docs.select(q(id_col), q(text_col)), "__row"), id_col, text_col), "line-sequences")
     gone = removals(lines, min_lines, long_line)
     joined = lines.join(gone.withColumnRenamed("row", "__row"), "__row", "left")
-    cut = F.coalesce("gone", F.array().cast("array<int>"))
-    starts = F.filter(cut, lambda p: ~F.array_contains(cut, p - 1))
+    none = F.array().cast("array<int>")
+    joined = joined.select("id", "lines", F.coalesce("gone", none).alias("gone"))
+    cut = F.col("gone")
     return joined.select(
         F.col("id").alias(id_col),
         F.size("lines").cast("long").alias("n_lines"),
         F.size(cut).cast("long").alias("n_removed"),
-        F.size(starts).cast("long").alias("n_runs"),
+        _runs(cut).cast("long").alias("n_runs"),
         F.md5(F.array_join(_kept(F.transform("lines", lambda x: x["h"]), cut), "")).alias("kept_md5"),
     )
 
@@ -105,19 +123,16 @@ def deduplicate(
     lines = stored(sequences(own.select(q(row).alias("__row"), q(id_col), q(text_col)), id_col, text_col), "line-sequences")
     gone = removals(lines, min_lines, long_line).select(F.col("row").alias(row), F.col("gone").alias(fresh(docs, "__gone")))
     cut = q(fresh(docs, "__gone"))
-    # Number the non-blank lines, drop those in the list, and join the rest with the blank ones.
-    parts = F.split(q(text_col), "\n")
-    numbered = F.aggregate(
-        parts,
-        F.struct(F.lit(0).alias("n"), F.array().cast("array<string>").alias("kept")),
-        lambda a, x: F.struct(
-            (a["n"] + F.when(F.trim(x) != "", 1).otherwise(0)).alias("n"),
-            F.when((F.trim(x) != "") & F.array_contains(cut, a["n"]), a["kept"]).otherwise(F.concat(a["kept"], F.array(x))).alias("kept"),
-        ),
-    )["kept"]
-    rest = F.array_join(numbered, "\n")
-    text = F.when(cut.isNull(), q(text_col)).otherwise(F.when(F.trim(F.translate(rest, "\n", " ")) == "", F.lit("")).otherwise(rest))
+    # Places of the non-blank lines in the text, and from them those of the lines that go.
     joined = own.join(gone, row, "left")
+
+    def cleaned(parts: Column) -> Column:
+        places = F.filter(F.transform(parts, lambda x, i: F.when(F.trim(x) != "", i)), lambda i: i.isNotNull())
+        return _kept(parts, _let(places, lambda held: F.transform(cut, lambda p: F.get(held, p))))
+
+    rest = F.array_join(_let(F.split(q(text_col), "\n"), cleaned), "\n")
+    rest = _let(rest, lambda r: F.when(F.trim(F.translate(r, "\n", " ")) == "", F.lit("")).otherwise(r))
+    text = F.when(cut.isNull(), q(text_col)).otherwise(rest)
     return joined.select(*[text.alias(c) if c == text_col else q(c) for c in docs.columns])
 
 

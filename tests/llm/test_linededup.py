@@ -58,3 +58,19 @@ def test_edges(spark):
 def test_hot_line_and_copies(spark):
     rows = [(i, "hot\nhot") for i in range(400)] + [(1000 + i, f"u{i}\nhot\nv{i}") for i in range(300)]
     check(spark, rows)
+
+
+def test_very_many_lines(spark):
+    """Two equal texts of very many lines and one that shares every other line: linear in the lines."""
+    import time
+
+    lines = [f"line {k}" for k in range(200_000)]
+    rows = [(1, "\n".join(lines)), (2, "\n\n".join(lines)), (3, "\n".join(x for k, x in enumerate(lines) if k % 4 < 2)), (4, "other\ntext")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    start = time.time()
+    got = {r.doc_id: r for r in L.report(docs).collect()}
+    assert (got[2].n_lines, got[2].n_removed, got[2].n_runs) == (200_000, 200_000, 1)
+    assert (got[3].n_removed, got[4].n_removed) == (100_000, 0) and got[1].n_removed == 0
+    cut = {r.doc_id: r.text for r in L.deduplicate(docs).collect()}
+    assert cut[2] == "" and cut[3] == "" and cut[1] == rows[0][1]
+    assert time.time() - start < 120
