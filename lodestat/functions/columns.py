@@ -95,13 +95,46 @@ def rounded(df: DataFrame, digits: int = 4, **per_column: int) -> DataFrame:
     return df.select(*out)
 
 
-# Text date formats beyond ISO, in order of trial (month first before day first).
+ISO = "iso"
+# Text date formats, in order of trial (month first before day first).
 DATE_FORMATS = (
-    "M/d/yyyy[ H:mm[:ss]]", "d/M/yyyy[ H:mm[:ss]]", "yyyy/M/d[ H:mm[:ss]]", "d.M.yyyy[ H:mm[:ss]]", "M-d-yyyy", "d-M-yyyy",
+    ISO, "M/d/yyyy[ H:mm[:ss]]", "d/M/yyyy[ H:mm[:ss]]", "yyyy/M/d[ H:mm[:ss]]", "d.M.yyyy[ H:mm[:ss]]", "M-d-yyyy", "d-M-yyyy",
     "MMM d, yyyy", "MMMM d, yyyy", "d MMM yyyy", "d MMMM yyyy", "d-MMM-yyyy",
 )
-
-
-def parsed_time(c: Column) -> Column:
-    """Timestamp of a text in ISO form or one of ``DATE_FORMATS``; NULL where none fits."""
-    return F.coalesce(F.try_to_timestamp(c), *[F.try_to_timestamp(F.trim(c), F.lit(f)) for f in DATE_FORMATS])
+# Pairs of formats that read the same texts as different days.
+RIVALS = (("M/d/yyyy[ H:mm[:ss]]", "d/M/yyyy[ H:mm[:ss]]"), ("M-d-yyyy", "d-M-yyyy"))
+
+
+def parsed_time(c: Column, form: str) -> Column:
+    """Timestamp of a text in one of ``DATE_FORMATS``; NULL where it does not fit."""
+    return F.try_to_timestamp(c) if form == ISO else F.try_to_timestamp(F.trim(c), F.lit(form))
+
+
+def date_formats(df: DataFrame, columns: list[str]) -> DataFrame:
+    """(column_name, format, parse_share, is_ambiguous) of text columns: the one format that reads most of a column's values.
+
+    Texts shorter than eight characters or without a separator are no dates. Of formats that read equally many values the first
+    is taken; ``is_ambiguous`` says that month first and day first both fit that well. All formats are counted in one pass.
+    """
+    fits, cells = [], []
+    for i, name in enumerate(columns):
+        shaped = (F.length(q(name)) >= 8) & q(name).rlike("[-/. ]")
+        fits.append(F.count(q(name)).alias(f"__{i}_n"))
+        fits += [F.count_if(shaped & parsed_time(q(name), f).isNotNull()).alias(f"__{i}_{j}") for j, f in enumerate(DATE_FORMATS)]
+        counts = [F.col(f"__{i}_{j}") for j in range(len(DATE_FORMATS))]
+        best = F.array_max(F.array(*[F.struct(c.alias("n"), F.lit(-j).alias("j"), F.lit(f).alias("f")) for j, (c, f) in enumerate(zip(counts, DATE_FORMATS))]))
+        tied = F.lit(False)
+        for pair in RIVALS:
+            a, b = (counts[DATE_FORMATS.index(f)] for f in pair)
+            tied = tied | (best["f"].isin(*pair) & (a == b))
+        some = best["n"] > 0
+        cells.append(
+            F.struct(
+                F.lit(name).alias("column_name"), F.when(some, best["f"]).alias("format"),
+                F.try_divide(best["n"], F.col(f"__{i}_n")).alias("parse_share"), (some & tied).alias("is_ambiguous"),
+            )
+        )
+    schema = "column_name string, format string, parse_share double, is_ambiguous boolean"
+    if not cells:
+        return df.sparkSession.createDataFrame([], schema)
+    return df.agg(*fits).select(F.inline(F.array(*cells)))

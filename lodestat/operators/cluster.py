@@ -453,7 +453,7 @@ def _orthonormal(vectors: DataFrame, width: int) -> tuple[DataFrame, np.ndarray]
     return vectors.select("id", F.array(*turned).alias("v")), np.sqrt(values)
 
 
-def laplacian_vectors(graph: DataFrame, nodes: DataFrame, k: int, rounds: int = 30, steps: int = 4, tol: float = 1e-4, seed: int = 42) -> DataFrame:
+def laplacian_vectors(graph: DataFrame, nodes: DataFrame, k: int, rounds: int = 12, steps: int = 4, tol: float = 1e-3, seed: int = 42) -> DataFrame:
     """(id, v): the ``k`` leading eigenvectors of the normalised graph, by block subspace iteration.
 
     ``graph`` has src, dst and weight, each edge once; ``nodes`` has id. A round multiplies ``steps`` times by the lazy normalised

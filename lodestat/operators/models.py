@@ -179,8 +179,17 @@ def prepare(
     df: DataFrame, target: str, task: str, key: Sequence[str], exclude: Sequence[str] = (), k: int | None = None, seed: int = 42,
     test_size: float | None = None,
 ) -> Prepared:
-    """Split, fit the feature pipeline on the training part, transform both parts once."""
-    parts = split_random(df.filter(q(target).isNotNull()), key, test_size, seed, target if task == "classification" else None)
+    """Split, fit the feature pipeline on the training part, transform both parts once.
+
+    A class of one row is an error; with a class below five rows the split is not stratified.
+    """
+    rows, stratify = df.filter(q(target).isNotNull()), None
+    if task == "classification":
+        least = rows.groupBy(q(target)).count().agg(F.min("count")).first()[0]
+        if least is not None and least < 2:
+            raise ValueError(f"a class of {target!r} has only one row; each class needs two at least")
+        stratify = target if least and least >= 5 else None
+    parts = split_random(rows, key, test_size, seed, stratify)
     parts = materialize(parts, "parts")
     train, val = parts.filter(~F.col("is_test")), parts.filter("is_test")
     features = build_features(train, target, [*key, *exclude, "is_test"], k, task)

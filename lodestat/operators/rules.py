@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestat.functions.columns import (
+    date_formats,
     BOOLEAN,
     NUMERIC,
     TEXT,
@@ -19,7 +20,6 @@ from lodestat.functions.columns import (
     present_number,
     q,
     sample_skewness,
-    parsed_time,
 )
 from lodestat.operators.profile import null_profile, profile_table
 from lodestat.plans.skew import join_on, with_cumulative, with_position
@@ -342,27 +342,22 @@ def rank_targets(df: DataFrame) -> DataFrame:
 
 
 def detect_date_columns(df: DataFrame) -> DataFrame:
-    """Columns named like dates, typed as dates, or text of which at least 70% parses as a date."""
-    text = columns_of_kind(df, TEXT)
-    parsed = {}
-    for c in text:
-        shaped = (F.length(q(c)) >= 8) & q(c).rlike("[-/. ]")
-        parsed[c] = F.avg(F.when(q(c).isNotNull(), (shaped & parsed_time(q(c)).isNotNull()).cast("double")))
-    wide = df.agg(F.count(F.lit(1)).alias("n_rows"), *[e.alias(f"__{i}") for i, e in enumerate(parsed.values())])
-    index = {c: i for i, c in enumerate(parsed)}
-    cells = []
-    for f in df.schema.fields:
-        share = F.col(f"__{index[f.name]}") if f.name in index else F.lit(None).cast("double")
-        named = any(h in f.name.lower() for h in DATE_HINTS)
-        cells.append(
-            F.struct(
-                F.lit(f.name).alias("column_name"),
-                F.lit(named or kind_of(f.dataType) == "datetime").alias("by_name_or_type"),
-                share.alias("parse_share"),
-            )
+    """Columns named like dates, typed as dates, or text of which one format reads at least 70%; with that format.
+
+    ``is_ambiguous`` says that month first and day first read the column equally well (month first is taken then).
+    """
+    known = [
+        F.struct(
+            F.lit(f.name).alias("column_name"),
+            F.lit(any(h in f.name.lower() for h in DATE_HINTS) or kind_of(f.dataType) == "datetime").alias("by_name_or_type"),
         )
-    out = wide.select(F.inline(F.array(*cells)))
-    return out.filter(F.col("by_name_or_type") | (F.col("parse_share") >= 0.7))
+        for f in df.schema.fields
+    ]
+    columns = df.sparkSession.range(1).select(F.inline(F.array(*known)))
+    found = date_formats(df, columns_of_kind(df, TEXT))
+    out = columns.join(F.broadcast(found), "column_name", "left")  # one row a column
+    out = out.filter(F.col("by_name_or_type") | (F.col("parse_share") >= 0.7))
+    return out.select("column_name", "by_name_or_type", "parse_share", "format", F.coalesce("is_ambiguous", F.lit(False)).alias("is_ambiguous"))
 
 
 def chronological_order(df: DataFrame, keys: Sequence[str], ts: str, order_by: str) -> DataFrame:

@@ -8,7 +8,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lodestat.functions.columns import parsed_time
+from lodestat.functions.columns import ISO, date_formats, parsed_time
 from lodestat.operators.series import acf_seasonality, detect_frequency_days
 from lodestat.plans.skew import join_on, with_carried, with_frames, with_position
 
@@ -27,10 +27,14 @@ GRAINS = {"hour": "H", "day": "D", "week": "W", "month": "M", "quarter": "Q", "y
 
 
 def prepare_series(df: DataFrame, keys: Sequence[str], ts: str, y: str, tiebreak: str | None = None) -> DataFrame:
-    """Parsed times without repeats: one row per (keys, ts), the first by ``tiebreak`` (else the least value)."""
+    """Parsed times without repeats: one row per (keys, ts), the first by ``tiebreak`` (else the least value).
+
+    A text column is read in the one format that fits most of it; other values go.
+    """
     stamp = F.col(ts)
     if df.schema[ts].dataType.typeName() == "string":
-        stamp = parsed_time(stamp).cast("timestamp_ntz")
+        found = date_formats(df, [ts]).first()["format"]
+        stamp = parsed_time(stamp, found or ISO).cast("timestamp_ntz")
     rows = df.withColumn("__ts", stamp).filter(F.col("__ts").isNotNull())
     value = F.min(y) if tiebreak is None else F.min_by(y, tiebreak)
     return rows.groupBy(*keys, F.col("__ts").alias(ts)).agg(value.alias(y))

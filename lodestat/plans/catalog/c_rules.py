@@ -297,18 +297,24 @@ DATED = "SELECT o_orderkey, o_orderdate, CASE WHEN o_orderkey % 5 <> 0 THEN CAST
 
 @query(
     "c16_detect_date_columns",
-    f"""WITH t AS ({DATED}) SELECT 'o_orderdate' AS column_name, true AS by_name_or_type, CAST(NULL AS DOUBLE) AS parse_share
+    f"""WITH t AS ({DATED}), d AS (SELECT o_orderdate AS day FROM orders)
+    SELECT 'o_orderdate' AS column_name, true AS by_name_or_type, CAST(NULL AS DOUBLE) AS parse_share, CAST(NULL AS VARCHAR) AS format, false AS is_ambiguous
     UNION ALL """
     + " UNION ALL ".join(
-        f"SELECT '{c}', false, round(avg(CAST(length({c}) >= 8 AND regexp_matches({c}, '[-/ ]') AND TRY_CAST({c} AS TIMESTAMP) IS NOT NULL AS INT)), 6) AS s FROM t HAVING s >= 0.7"
+        f"SELECT '{c}', false, round(avg(CAST(length({c}) >= 8 AND regexp_matches({c}, '[-/ ]') AND TRY_CAST({c} AS TIMESTAMP) IS NOT NULL AS INT)), 6) AS s, 'iso', false FROM t HAVING s >= 0.7"
         for c in ("shipped", "o_orderpriority")
-    ),
+    )
+    + """ UNION ALL SELECT 'european', false, 1.0, 'd/M/yyyy[ H:mm[:ss]]', max(day(day)) <= 12 FROM d
+    UNION ALL SELECT 'unclear', false, 1.0, 'M/d/yyyy[ H:mm[:ss]]', true""",
 )
 def c16(spark, sf):
+    early = F.least(F.dayofmonth("o_orderdate"), F.lit(12))
     df = load(spark, sf, "orders").select(
         "o_orderkey", "o_orderdate",
         F.when(F.col("o_orderkey") % 5 != 0, F.col("o_orderdate").cast("string")).otherwise("unknown").alias("shipped"),
         "o_orderpriority",
+        F.date_format("o_orderdate", "dd/MM/yyyy").alias("european"),
+        F.concat_ws("/", F.lit("03"), F.lpad(early.cast("string"), 2, "0"), F.lit("2021")).alias("unclear"),
     )
     return rounded(R.detect_date_columns(df), 6)
 

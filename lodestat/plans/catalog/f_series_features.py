@@ -34,6 +34,18 @@ def f1(spark, sf):
     return out.withColumn("o_orderdate", F.col("o_orderdate").cast("string"))
 
 
+@query(
+    "f1_prepare_series_day_first",
+    """SELECT o_orderpriority, CAST(o_orderdate AS VARCHAR) AS o_orderdate, arg_min(o_totalprice, o_orderkey) AS o_totalprice
+    FROM orders GROUP BY o_orderpriority, orders.o_orderdate""",
+)
+def f1_day_first(spark, sf):
+    """Days before months: most values alone could be read either way."""
+    orders = load(spark, sf, "orders").withColumn("o_orderdate", F.date_format("o_orderdate", "d/M/yyyy"))
+    out = S.prepare_series(orders, ["o_orderpriority"], "o_orderdate", "o_totalprice", "o_orderkey")
+    return out.withColumn("o_orderdate", F.col("o_orderdate").cast("string"))
+
+
 @query(
     "f2_resample",
     "SELECT event_type, CAST(date_trunc('hour', ts)::TIMESTAMP AS VARCHAR) AS ts, round(avg(value), 6) AS value FROM events GROUP BY 1, date_trunc('hour', events.ts)",

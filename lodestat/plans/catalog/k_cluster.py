@@ -137,13 +137,13 @@ SQUARES = "SELECT p_partkey AS id, p_partkey % 3 AS cluster FROM part"
 def squares(spark, sf):
     """Three separated squares, filled without repeats."""
     k = F.col("p_partkey")
-    a, b = (k % 3) * 10.0 + (k * 7919 % 1009) / 1009.0, (k % 3) * 10.0 + (k * 104729 % 997) / 997.0
-    return load(spark, sf, "part").select(k.alias("id"), F.array(a, b).alias("features"))
+    place = lambda seed: (k % 3) * 10.0 + F.pmod(F.xxhash64(k, F.lit(seed)), F.lit(1 << 30)) / float(1 << 30)
+    return load(spark, sf, "part").select(k.alias("id"), F.array(place(1), place(2)).alias("features"))
 
 
 @query("k7_spectral", SQUARES)
 def k7(spark, sf):
-    return by_first_member(K.spectral(squares(spark, sf), "id")[0])
+    return by_first_member(K.spectral(squares(spark, sf), "id", [2, 3, 4])[0])
 
 
 @query("k8_cluster_all", BLOB_CLUSTERS)

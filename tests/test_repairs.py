@@ -3,6 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
+from lodestat.functions.columns import date_formats
 from lodestat.operators import cluster as K
 from lodestat.operators import features as D
 from lodestat.operators import models as I
@@ -85,3 +86,24 @@ def test_layer_widths_and_spaces():
     assert [I.mlp_layers(n) for n in (5, 40, 400)] == [[32], [80], [128]]
     assert I.mlp_layers(100, "balanced") == [256, 128] and I.mlp_layers(10, "complex") == [128, 64, 32]
     assert near({"rounds": 100, "rate": 0.1, "kind": "x"}) == {"rounds": ("int", 50, 300), "rate": ("float", 0.05, 0.2), "kind": ["x"]}
+
+
+def test_one_date_format_for_a_column(spark):
+    rows = [("13/02/2020", "13-02-2020", "02-03-2020", "May 5, 2020"), ("05/02/2020", "05-02-2020", "04-03-2020", "June 6, 2020"), (None, "x", None, None)]
+    df = spark.createDataFrame(rows, "a string, b string, c string, d string")
+    got = {r.column_name: r for r in date_formats(df, df.columns).collect()}
+    assert got["a"].format.startswith("d/M") and got["a"].parse_share == 1.0 and not got["a"].is_ambiguous
+    assert got["b"].format == "d-M-yyyy" and round(got["b"].parse_share, 3) == 0.667
+    assert got["c"].format == "M-d-yyyy" and got["c"].is_ambiguous
+    assert got["d"].format.startswith("MMM") and not got["d"].is_ambiguous
+    assert date_formats(df.limit(0), ["a"]).first().format is None
+    series = prepare_series(df.selectExpr("a AS ts", "1.0D AS y"), [], "ts", "y")
+    assert sorted(str(r.ts)[:10] for r in series.collect()) == ["2020-02-05", "2020-02-13"]
+
+
+def test_split_guard(spark):
+    df = spark.createDataFrame([(i, float(i), "ab"[i == 7]) for i in range(40)], "id long, x double, y string")
+    with pytest.raises(ValueError, match="only one row"):
+        I.prepare(df, "y", "classification", ["id"])
+    few = df.withColumn("y", F.when(F.col("id") < 3, "b").otherwise("a"))
+    assert I.prepare(few, "y", "classification", ["id"], test_size=0.3).n_rows > 0
