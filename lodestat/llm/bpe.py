@@ -24,8 +24,10 @@ from __future__ import annotations
 
 import bisect
 import hashlib
+import json
 import os
 import re
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -40,7 +42,7 @@ CHUNK = 512
 LEAST = 128
 SLICE = 1 << 20
 MIX = 0xD6E8FEB86659FD93  # odd; moves the entropy to the high bits, which decide on a cut
-KNOWN_WORDS = 150_000  # in each of two generations
+KNOWN_WORDS = 80_000  # in each of two generations
 MARK = "~"
 TOLD_APART = 200_000
 
@@ -64,11 +66,10 @@ PIECES = "'s|'t|'re|'ve|'m|'ll|'d|[a-z\xdf-\xf6\xf8-\xff]+|[0-9]|[^0-9a-z\xdf-\x
 
 def plain_split(model):
     """The splitting of plain words, if the model normalises and splits as that assumes; else None."""
-    import json
-
-    parts = json.loads(model.to_str())
-    steps = [n.get("type") for n in (parts.get("normalizer") or {}).get("normalizers", [])]
-    splits = (parts.get("pre_tokenizer") or {}).get("pretokenizers") or [{}]
+    if model.normalizer is None or model.pre_tokenizer is None:
+        return None
+    steps = [n.get("type") for n in json.loads(model.normalizer.__getstate__()).get("normalizers", [])]
+    splits = json.loads(model.pre_tokenizer.__getstate__()).get("pretokenizers") or [{}]
     wanted = "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"
     fits = steps == ["NFC", "Replace", "Lowercase"] and splits[0].get("pattern") == {"Regex": wanted} and splits[0].get("invert")
     return re.compile(PIECES).findall if fits else None
@@ -164,6 +165,21 @@ class Words:
         return b"".join(out)
 
 
+@lru_cache(maxsize=1)
+def words_of(path: str) -> Words:
+    """One per worker process, which runs many tasks: the vocabulary is read once."""
+    return Words(path)
+
+
+@lru_cache(maxsize=1)
+def names_of(path: str) -> pa.Array:
+    """The tokens by id."""
+    from tokenizers import Tokenizer
+
+    model = Tokenizer.from_file(path)
+    return pa.array([model.id_to_token(i) for i in range(model.get_vocab_size(with_added_tokens=True))], pa.string())
+
+
 def cut_places(data: np.ndarray, powers: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
     """Ends of the windows of a byte array whose rolling hash calls for a cut, never within a character."""
     up, down = powers
@@ -255,7 +271,7 @@ def shared_chunks(texts: DataFrame, known, bits: int, path: str) -> DataFrame:
         yield pa.RecordBatch.from_arrays([pa.array([h[i] for h in held], pa.binary()) for i in (0, 1)], ["key", "chunk"])
 
     def encoded(batches):
-        words = Words(path)
+        words = words_of(path)
         for b in batches:
             made = [words.segment(c.decode("utf-8", "replace")) for c in b["chunk"].to_pylist()]
             yield pa.RecordBatch.from_arrays([b["key"], *segment_arrays(made)], ["key", "head", "ids", "tail"])
@@ -321,7 +337,7 @@ def encode(docs: DataFrame, path: str | None = None, text_col: str = "text", sca
                 yield part, k, texts_chunks, hits
 
     def alone(batches):
-        words = Words(path)
+        words = words_of(path)
         take, ids, last, size = [], [], None, 0
         for part, k, chunks_, _ in places(batches, False):
             if last is not None and (part is not last or size > SLICE):
@@ -336,7 +352,7 @@ def encode(docs: DataFrame, path: str | None = None, text_col: str = "text", sca
             yield id_batch(last.column(2).take(pa.array(take, pa.int64())), ids, words.kind)
 
     def between(batches):
-        words = Words(path)
+        words = words_of(path)
         for part, k, chunks_, hits in places(batches, True):
             made, at = [], 0
             while at < len(chunks_):
@@ -354,7 +370,7 @@ def encode(docs: DataFrame, path: str | None = None, text_col: str = "text", sca
             yield pa.RecordBatch.from_arrays([*columns, kept], ["row", "place", "head", "ids", "tail", "others"])
 
     def together(batches):
-        words = Words(path)
+        words = words_of(path)
         for b in batches:
             ids = []
             for parts in b["parts"]:
@@ -384,10 +400,7 @@ def decode(encoded: DataFrame, path: str | None = None, into: str = "decoded") -
     keep = [c for c in encoded.columns if c.lower() != into.lower()]
 
     def rows(batches):
-        from tokenizers import Tokenizer
-
-        model = Tokenizer.from_file(path)
-        names = pa.array([model.id_to_token(i) for i in range(model.get_vocab_size(with_added_tokens=True))], pa.string())
+        names = names_of(path)
         for b in batches:
             for k in range(0, b.num_rows, 256):
                 part = b.slice(k, 256)
