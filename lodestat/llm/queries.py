@@ -26,7 +26,7 @@ def query(name: str, sql: str | None = None):
 
 @query("op1_line_dedup", linededup.SQL)
 def op1(spark, sf_dir):
-    """Runs of two lines or more, and lines of 250 characters or more, that came before."""
+    """Runs of two lines or more, and lines of 20 words or 250 characters or more, that came before."""
     return linededup.report(table(spark, sf_dir, "documents"))
 
 
