@@ -18,6 +18,7 @@ from pyspark.sql import types as T
 from lodestat.functions.columns import micros
 from lodestat.operators.profile import iqr_bounds
 from lodestat.plans.quantiles import exact_quantiles
+from lodestat.plans.spectrum import magnitudes
 from lodestat.session import materialize
 from lodestat.plans.skew import (
     block_sums,
@@ -181,14 +182,11 @@ def trend(df: DataFrame, keys: Sequence[str], ts: str = "ts", y: str = "y") -> D
     )
 
 
-FFT_POINTS = 1 << 20
-
-
 def spectral_seasonality(df: DataFrame, keys: Sequence[str], ts: str = "ts", y: str = "y", top: int = 3) -> DataFrame:
     """Strongest spectral peaks of the detrended series: rows (keys, rank, period, strength, frequency).
 
-    The trend is a centred mean of width min(n/4, 12). Series up to ``FFT_POINTS`` detrended points are
-    transformed in one task each; longer ones by distributed sums over (bin, point).
+    The trend is a centred mean of width min(n/4, 12). Any length is transformed in n log n steps, see
+    :mod:`lodestat.plans.spectrum`.
     """
     keys = list(keys)
     rows = points(df, keys, ts, y).filter(F.col("n") >= 20)
@@ -208,31 +206,7 @@ def spectral_seasonality(df: DataFrame, keys: Sequence[str], ts: str = "ts", y:
         .select(*keys, (F.col("pos") - F.floor(width / 2)).alias("__t"), F.col("__d"), (F.col("n") - width + 1).alias("__m"))
         .filter(F.col("__m") >= 10)
     )
-    fields = {f.name: f for f in d.schema.fields}
-    schema = T.StructType(
-        [fields[k] for k in keys]
-        + [T.StructField("__m", T.LongType()), T.StructField("__k", T.LongType()), T.StructField("__mag", T.DoubleType())]
-    )
-
-    def transform(frame: pd.DataFrame) -> pd.DataFrame:
-        x = frame.sort_values("__t")["__d"].to_numpy()
-        mags = np.abs(np.fft.rfft(x))
-        k = np.arange(1, len(x) // 2)
-        out = pd.DataFrame({"__m": len(x), "__k": k, "__mag": mags[k]})
-        for key in keys:
-            out[key] = frame[key].iloc[0]
-        return out[[f.name for f in schema.fields]]
-
-    short = d.filter(F.col("__m") <= FFT_POINTS).groupBy(*keys).applyInPandas(transform, schema)
-    angle = 2 * math.pi * F.pmod(F.col("__t") * F.col("__k"), F.col("__m")) / F.col("__m")
-    half = F.floor(F.col("__m") / 2).cast("long")
-    long = (
-        d.filter(F.col("__m") > FFT_POINTS)
-        .withColumn("__k", F.explode(F.sequence(F.lit(1).cast("long"), half - 1)))
-        .groupBy(*keys, "__m", "__k")
-        .agg(F.hypot(F.sum(F.col("__d") * F.cos(angle)), F.sum(F.col("__d") * F.sin(angle))).alias("__mag"))
-    )
-    bins = short.unionByName(long)
+    bins = magnitudes(d, keys)
     # A peak is compared with its neighbours through their shifted bins: one shuffle, no ordered window.
     near = bins.select(
         *keys, "__m", F.inline(F.array(*[F.struct((F.col("__k") + o).alias("__k"), F.lit(-o).alias("__o"), F.col("__mag").alias("__mag")) for o in (-1, 0, 1)]))

@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 from lodestat.operators import forecast as G
 from lodestat.operators import series as S
 from lodestat.operators import series_features as SF
-from lodestat.plans import skew
+from lodestat.plans import skew, spectrum
+from lodestat.plans.spectrum import magnitudes
 
 START = dt.datetime(2022, 1, 1)
 
@@ -136,14 +137,40 @@ def test_interpolation_edges(spark, small_blocks):
     assert got[-100:] == [5.0] * 100
 
 
-def test_long_series_spectrum_equals_fft(spark, monkeypatch):
-    y = [math.sin(2 * math.pi * t / 9) + 0.3 * math.sin(2 * math.pi * t / 5) + 0.01 * t for t in range(120)]
+@pytest.mark.parametrize("task", [16, 64, 1 << 18])
+def test_magnitudes_equal_the_direct_transform(spark, task):
+    """Primes, powers of two, their neighbours and short series, below and above the points of a task, in one call."""
+    rng = np.random.default_rng(4)
+    draws = {m: rng.normal(size=m) for m in (2, 10, 16, 17, 127, 128, 129, 997, 1024, 1030)}
+    rows = [(f"s{m}", t, m, float(v)) for m, x in draws.items() for t, v in enumerate(x)]
+    rows += [(None, t, m, v) for _, t, m, v in rows if m == 127]
+    df = spark.createDataFrame(rows, "k string, __t long, __m long, __d double")
+    got = magnitudes(df, ["k"], task=task).orderBy("k", "__k").collect()
+    for name, m in [(f"s{m}", m) for m in draws] + [(None, 127)]:
+        mine = [(r["__k"], r["__mag"]) for r in got if r["k"] == name]
+        direct = np.abs(np.fft.fft(draws[m]))
+        assert [k for k, _ in mine] == list(range(1, m // 2))
+        assert [v for _, v in mine] == pytest.approx(list(direct[1 : m // 2]), rel=1e-9, abs=1e-9)
+
+
+def test_blocks_of_the_transform_stay_bounded():
+    for m in (5, 997, 1 << 20, (1 << 20) + 1, 123_456_789, 5_000_000_011):
+        n1, n2, wide, high = spectrum._sides(m, 1 << 18)
+        assert 2 * m - 1 <= n1 * n2 < 4 * m
+        assert wide * n1 <= 1 << 18 and high * n2 <= 1 << 18
+    for j in (3, (1 << 32) + 7, (1 << 39) + 12345):
+        assert int(spectrum._squares(np.array([j]), (1 << 40) - 87)[0]) == j * j % ((1 << 40) - 87)
+
+
+def test_spectrum_of_one_long_series_in_blocks(spark, monkeypatch):
+    y = [math.sin(2 * math.pi * t / 9) + 0.3 * math.sin(2 * math.pi * t / 5) + 0.01 * t for t in range(400)]
     df = series(spark, y)
-    fft = S.spectral_seasonality(df, ["k"]).orderBy("rank").collect()
-    monkeypatch.setattr(S, "FFT_POINTS", 1)
-    sums = S.spectral_seasonality(df, ["k"]).orderBy("rank").collect()
-    assert [r["period"] for r in fft] == pytest.approx([r["period"] for r in sums])
-    assert [r["strength"] for r in fft] == pytest.approx([r["strength"] for r in sums])
+    whole = S.spectral_seasonality(df, ["k"]).orderBy("rank").collect()
+    monkeypatch.setattr(S, "magnitudes", lambda d, keys: magnitudes(d, keys, task=32))
+    cut = S.spectral_seasonality(df, ["k"]).orderBy("rank").collect()
+    assert [r["period"] for r in whole] == [r["period"] for r in cut]
+    assert [r["strength"] for r in whole] == pytest.approx([r["strength"] for r in cut])
+    assert whole[0]["period"] == pytest.approx(9, rel=0.05)
 
 
 def test_monthly_dates_and_frequency(spark):
