@@ -297,9 +297,13 @@ def forecast_arima(
 
 # --- Exponential smoothing -------------------------------------------------------------------------
 
-# Candidate (trend, seasonal) configurations and the smoothing grid.
+# Candidate (trend, seasonal) configurations.
 ETS_CONFIGS = (("add", "add"), ("add", "none"), ("none", "none"))
+# First weights tried, the steps of the rounds that refine them, their bounds, and how many block maps a task joins.
 ETS_GRID = (0.02, 0.1, 0.3, 0.6, 0.9)
+ETS_STEPS = (0.1, 0.04, 0.015, 0.005, 0.002)
+ETS_BOUNDS = (1e-4, 1 - 1e-4)
+CHAIN = 64
 
 
 def _grid(trend: str, seasonal: str) -> np.ndarray:
@@ -351,22 +355,44 @@ def _smooth(y: np.ndarray, starts: np.ndarray, weights: np.ndarray, grid: np.nda
     return products, np.concatenate([level[:, :, None], slope[:, :, None], season], axis=2)
 
 
-def ets_fits(df: DataFrame, keys: Sequence[str], configs: Sequence[tuple[str, str]] = ETS_CONFIGS, period: int | None = None, ts: str = "ts", y: str = "y") -> DataFrame:
-    """Least-AIC additive smoothing per series over configurations and a parameter grid.
+def _free(trend: str, seasonal: str) -> list[int]:
+    """Which of the three weights a configuration has."""
+    return [0] + [1] * (trend == "add") + [2] * (seasonal == "add")
+
+
+def _stencil(centre: np.ndarray, h: float, free: Sequence[int]) -> np.ndarray:
+    """Weights around ``centre``: itself, one step either way in each free weight, one step in each pair of them."""
+    unit = np.eye(3) * h
+    centre = centre.copy()
+    centre[list(free)] = np.clip(centre[list(free)], ETS_BOUNDS[0] + h, ETS_BOUNDS[1] - h)
+    steps = [np.zeros(3)] + [s * unit[i] for i in free for s in (1, -1)] + [unit[i] + unit[j] for i in free for j in free if i < j]
+    return centre + np.array(steps)
+
+
+def _next_centre(grid: np.ndarray, sse: np.ndarray, h: float, free: Sequence[int]) -> np.ndarray:
+    """Least point of the quadratic through a stencil, at most three steps away; without one its best point."""
+    d, pairs = len(free), [(a, b) for a in range(len(free)) for b in range(len(free)) if a < b]
+    up, down = sse[1 : 1 + 2 * d : 2], sse[2 : 2 + 2 * d : 2]
+    hessian = np.diag(up - 2 * sse[0] + down)
+    for (a, b), corner in zip(pairs, sse[1 + 2 * d :]):
+        hessian[a, b] = hessian[b, a] = corner - up[a] - up[b] + sse[0]
+    if not np.isfinite(hessian).all() or np.linalg.eigvalsh(hessian).min() <= 0:
+        return grid[int(np.argmin(sse))]
+    out = grid[0].copy()
+    out[list(free)] += h * np.clip(np.linalg.solve(hessian, (down - up) / 2), -3, 3)
+    out[list(free)] = np.clip(out[list(free)], *ETS_BOUNDS)
+    return out
+
 
-    The recursions are linear in the state, so a block returns its squared errors and end state as
-    functions of the state it starts from; blocks of a series are then chained. The season length is
-    ``period``, else min(12, n/4) for more than 24 points; a season needs two full periods.
+def _ets_pass(rows: DataFrame, keys: Sequence[str], weights: Callable[[pd.Series], np.ndarray]) -> DataFrame:
+    """Squared errors and end states of a series and configuration at each of the ``weights`` its rows name.
+
+    The recursions are linear in the state, so a block returns error products and end state as functions of the
+    state it starts from. Such maps compose, and composing is associative: neighbouring maps are joined in a tree.
     """
-    keys = list(keys)
-    rows = points(df, keys, ts, y)
-    m_auto = F.when(F.col("n") > 24, F.least(F.lit(12), F.floor(F.col("n") / 4))).otherwise(0)
-    rows = rows.withColumn("m", (F.lit(period) if period else m_auto).cast("int")).withColumn("__b", F.floor(F.col("pos") / BLOCK_ROWS))
-    cells = F.explode(F.array(*[F.struct(F.lit(t).alias("trend"), F.lit(s).alias("seasonal")) for t, s in configs]))
-    rows = rows.withColumn("__c", cells).select(*keys, "pos", "n", "m", "__b", F.col(y).alias("y"), "__c.trend", "__c.seasonal")
-    rows = rows.filter((F.col("seasonal") == "none") | ((F.col("m") > 1) & (F.col("n") >= 2 * F.col("m"))))
+    group = [*keys, "trend", "seasonal"]
     fields = {f.name: f for f in rows.schema.fields}
-    names = [*keys, "trend", "seasonal", "__b", "n", "m"]
+    names = [*group, "__b", "n", "m"]
     schema = T.StructType([fields[c] for c in names] + [T.StructField(c, T.ArrayType(T.DoubleType())) for c in ("products", "ends")])
 
     def block(frame: pd.DataFrame) -> pd.DataFrame:
@@ -375,56 +401,105 @@ def ets_fits(df: DataFrame, keys: Sequence[str], configs: Sequence[tuple[str, st
         m = int(head["m"]) if head["seasonal"] == "add" else 0
         dims = 2 + m
         if int(head["__b"]) == 0:
-            starts, weights = _initial_state(values, head["trend"], head["seasonal"], m)[None, :], np.ones(1)
+            starts, seen = _initial_state(values, head["trend"], head["seasonal"], m)[None, :], np.ones(1)
         else:
-            starts, weights = np.vstack([np.zeros(dims), np.eye(dims)]), np.concatenate([[1.0], np.zeros(dims)])
-        products, ends = _smooth(
-            values, starts, weights, _grid(head["trend"], head["seasonal"]), head["trend"], head["seasonal"], max(m, 1), int(head["pos"]) % max(m, 1)
-        )
+            starts, seen = np.vstack([np.zeros(dims), np.eye(dims)]), np.concatenate([[1.0], np.zeros(dims)])
+        phase = int(head["pos"]) % max(m, 1)
+        products, ends = _smooth(values, starts, seen, weights(head), head["trend"], head["seasonal"], max(m, 1), phase)
         out = frame[names].head(1).copy()
         out["products"], out["ends"] = [products.ravel()], [ends.ravel()]
         return out
 
-    parts = rows.groupBy(*keys, "trend", "seasonal", "__b").applyInPandas(block, schema)
-
-    result = T.StructType(
-        [fields[k] for k in keys]
-        + T.StructType.fromDDL(
-            "trend string, seasonal string, seasonal_periods int, alpha double, beta double, gamma double, sse double, aic double, n long, state array<double>"
-        ).fields
-    )
-
-    def chain(frame: pd.DataFrame) -> pd.DataFrame:
+    def compose(frame: pd.DataFrame) -> pd.DataFrame:
         frame = frame.sort_values("__b")
         head = frame.iloc[0]
-        m = int(head["m"]) if head["seasonal"] == "add" else 0
-        dims, grid = 2 + m, _grid(head["trend"], head["seasonal"])
-        g, sse, state = len(grid), None, None
-        for _, r in frame.iterrows():
-            runs = 1 if int(r["__b"]) == 0 else 1 + dims
-            products = np.asarray(r["products"]).reshape(g, runs, runs)
-            ends = np.asarray(r["ends"]).reshape(g, runs, dims)
-            if runs == 1:
-                sse, state = products[:, 0, 0].copy(), ends[:, 0, :].copy()
-            else:
-                v = np.concatenate([np.ones((g, 1)), state], axis=1)
-                sse += np.einsum("gi,gij,gj->g", v, products, v)
-                state = np.einsum("gi,gid->gd", v, ends)
-        best = int(np.argmin(sse))
-        n = int(head["n"])
-        k = 1 + (head["trend"] == "add") + (head["seasonal"] == "add") + 1 + (head["trend"] == "add") + m
-        total = max(float(sse[best]), 1e-12)
-        out = frame[keys].head(1).copy()
-        out["trend"], out["seasonal"], out["seasonal_periods"] = head["trend"], head["seasonal"], m
-        out["alpha"], out["beta"], out["gamma"] = grid[best]
-        out["sse"], out["aic"], out["n"] = total, n * math.log(total / n) + 2 * k, n
-        out["state"] = [state[best].tolist()]
+        dims = 2 + (int(head["m"]) if head["seasonal"] == "add" else 0)
+        products = ends = None
+        for first, p, e in zip(frame["__b"] == 0, frame["products"], frame["ends"]):
+            runs = 1 if first else 1 + dims
+            e = np.asarray(e, dtype=float).reshape(-1, runs, dims)
+            p = np.asarray(p, dtype=float).reshape(-1, runs, runs)
+            if products is None:
+                products, ends = p, e
+                continue
+            ones = np.zeros((len(ends), ends.shape[1], 1))
+            ones[:, 0] = 1
+            start = np.concatenate([ones, ends], axis=2)  # (weights, runs, 1 + state) that this block starts from
+            products = products + start @ p @ start.transpose(0, 2, 1)
+            ends = start @ e
+        out = frame[names].head(1).copy()
+        out["__b"] = out["__b"] // CHAIN
+        out["products"], out["ends"] = [products.ravel()], [ends.ravel()]
         return out
 
-    scored = parts.groupBy(*keys, "trend", "seasonal").applyInPandas(chain, result)
-    rest = [f.name for f in result.fields if f.name not in keys]
-    best = scored.groupBy(*keys).agg(F.min_by(F.struct(*rest), F.struct("aic", "trend", "seasonal")).alias("b"))
-    return best.select(*keys, "b.*")
+    parts = rows.groupBy(*group, "__b").applyInPandas(block, schema)
+    blocks = int(rows.agg(F.max("__b")).first()[0] or 0) + 1
+    while blocks > 1:
+        parts = parts.groupBy(*group, F.floor(F.col("__b") / CHAIN)).applyInPandas(compose, schema)
+        blocks = -(-blocks // CHAIN)
+    return parts.drop("__b")
+
+
+def ets_fits(
+    df: DataFrame, keys: Sequence[str], configs: Sequence[tuple[str, str]] = ETS_CONFIGS, period: int | None = None,
+    ts: str = "ts", y: str = "y", weights: Sequence[float] | None = None,
+) -> DataFrame:
+    """Least-AIC additive smoothing per series over configurations, weights fitted to the squared errors.
+
+    Weights start at the best point of a grid and move to the least point of a quadratic through a stencil around
+    them, whose spacing shrinks from round to round; each round reads the series once. ``weights`` (level, slope as a share
+    of it, season) are taken as given instead. The season length is ``period``, else min(12, n/4) for more than 24 points; a
+    season needs two full periods.
+    """
+    keys = list(keys)
+    group = [*keys, "trend", "seasonal"]
+    rows = points(df, keys, ts, y)
+    m_auto = F.when(F.col("n") > 24, F.least(F.lit(12), F.floor(F.col("n") / 4))).otherwise(0)
+    rows = rows.withColumn("m", (F.lit(period) if period else m_auto).cast("int")).withColumn("__b", F.floor(F.col("pos") / BLOCK_ROWS))
+    # Every round reads the points again.
+    rows = materialize(rows.select(*keys, "pos", "n", "m", "__b", F.col(y).alias("y")), "ets-points")
+    cells = F.explode(F.array(*[F.struct(F.lit(t).alias("trend"), F.lit(s).alias("seasonal")) for t, s in configs]))
+    rows = rows.withColumn("__c", cells).select(*rows.columns, "__c.trend", "__c.seasonal")
+    rows = rows.filter((F.col("seasonal") == "none") | ((F.col("m") > 1) & (F.col("n") >= 2 * F.col("m"))))
+
+    estimate = [("a", "double"), ("b", "double"), ("c", "double"), ("alpha", "double"), ("beta", "double"), ("gamma", "double"), ("sse", "double"), ("state", "array<double>")]
+    kept = [*group, "n", "m"]
+
+    def best(r: pd.Series, grid: np.ndarray, h: float | None) -> dict:
+        sse = np.asarray(r["products"], dtype=float)
+        i = int(np.argmin(sse))
+        out = {"alpha": grid[i, 0], "beta": grid[i, 1], "gamma": grid[i, 2], "sse": sse[i]}
+        out["state"] = np.asarray(r["ends"], dtype=float).reshape(len(grid), -1)[i].tolist()
+        if h is not None and not sse[i] < r["sse"]:
+            out = {c: r[c] for c in out}
+            out["state"] = list(out["state"])
+        centre = grid[i] if h is None else _next_centre(grid, sse, h, _free(r["trend"], r["seasonal"]))
+        return {**out, "a": centre[0], "b": centre[1], "c": centre[2]}
+
+    def first(r: pd.Series) -> np.ndarray:
+        return _grid(r["trend"], r["seasonal"]) if weights is None else np.array([weights], dtype=float)
+
+    fits = _solve_rows(_ets_pass(rows, keys, first), kept, estimate, lambda r: best(r, first(r), None))
+    for h in ETS_STEPS if weights is None else ():
+
+        def around(r: pd.Series, h: float = h) -> np.ndarray:
+            return _stencil(np.array([r["a"], r["b"], r["c"]], dtype=float), h, _free(r["trend"], r["seasonal"]))
+
+        fits = materialize(fits, "ets-fits")
+        centred = salted_join(rows, fits.select(*group, "a", "b", "c"), group, "inner")
+        tried = join_on(_ets_pass(centred, keys, around), fits.drop("n", "m"), group)
+        fits = _solve_rows(tried, kept, estimate, lambda r, h=h, around=around: best(r, around(r), h))
+
+    trend, m = (F.col("trend") == "add").cast("int"), F.when(F.col("seasonal") == "add", F.col("m")).otherwise(0)
+    total = F.greatest("sse", F.lit(1e-12))
+    scored = fits.select(
+        *group, m.cast("int").alias("seasonal_periods"), "alpha", "beta", "gamma", total.alias("sse"),
+        (F.col("n") * F.log(total / F.col("n")) + 2 * (2 + 2 * trend + (F.col("seasonal") == "add").cast("int") + m)).alias("aic"),
+        "n", "state",
+    )
+    rest = [c for c in scored.columns if c not in keys]
+    chosen = scored.groupBy(*keys).agg(F.min_by(F.struct(*rest), F.struct("aic", "trend", "seasonal")).alias("b"))
+    return chosen.select(*keys, "b.*")
 
 
 def forecast_ets(

@@ -6,7 +6,7 @@ from lodestat.functions.columns import rounded
 from lodestat.operators import forecast as G
 from lodestat.operators.series_features import lag_features
 from lodestat.plans.catalog.e_series import POS
-from lodestat.plans.fixtures import EVENTS_HOURLY, ORDERS_DAILY, events_hourly, orders_daily, orders_monthly
+from lodestat.plans.fixtures import EVENTS_HOURLY, ORDERS_DAILY, ORDERS_MONTHLY, events_hourly, orders_daily, orders_monthly
 from lodestat.plans.registry import query
 
 KEYS = ["series"]
@@ -65,6 +65,22 @@ def g5(spark, sf):
     return text_ts(G.forecast_ets(orders_monthly(spark, sf), KEYS, 12))
 
 
+@query(
+    "g5_ets_given_weights",
+    f"""WITH RECURSIVE p AS (SELECT series, y, {POS} FROM ({ORDERS_MONTHLY})),
+    i AS (SELECT series, min(n) AS n, max(y) FILTER (WHERE pos = 0) AS y0, (max(y) FILTER (WHERE pos = least(9, n - 1)) - max(y) FILTER (WHERE pos = 0)) / least(9, min(n) - 1) AS s FROM p GROUP BY 1),
+    r AS (SELECT series, n, CAST(-1 AS BIGINT) AS pos, y0 - s AS l, s, 0::DOUBLE AS sse FROM i
+      UNION ALL SELECT r.series, r.n, r.pos + 1, r.l + r.s + 0.4 * (y - r.l - r.s), r.s + 0.4 * 0.25 * (y - r.l - r.s), sse + (y - r.l - r.s) ** 2
+        FROM r JOIN p ON p.series = r.series AND p.pos = r.pos + 1)
+    SELECT series, n, round(l, 2) AS level, round(s, 3) AS slope, round(sqrt(sse / n), 2) AS rmse FROM r WHERE pos = n - 1""",
+)
+def g5_given(spark, sf):
+    fits = G.ets_fits(orders_monthly(spark, sf), KEYS, [("add", "none")], weights=(0.4, 0.25, 0.0))
+    state = F.col("state")
+    out = fits.select("series", "n", state[0].alias("level"), state[1].alias("slope"), F.sqrt(F.col("sse") / F.col("n")).alias("rmse"))
+    return rounded(out, 2, slope=3)
+
+
 @query(
     "g5_smoothed_level",
     f"""WITH p AS (SELECT series, y, {POS} FROM ({ORDERS_DAILY}))

@@ -62,7 +62,8 @@ def test_ets_blocks_agree_with_one_block(spark, monkeypatch):
     whole = G.ets_fits(df, ["k"]).first()
     monkeypatch.setattr(G, "BLOCK_ROWS", 50)
     cut = G.ets_fits(df, ["k"]).first()
-    assert (whole["trend"], whole["seasonal"], whole["alpha"]) == (cut["trend"], cut["seasonal"], cut["alpha"])
+    assert (whole["trend"], whole["seasonal"]) == (cut["trend"], cut["seasonal"])
+    assert cut["alpha"] == pytest.approx(whole["alpha"], abs=1e-6)
     assert cut["sse"] == pytest.approx(whole["sse"], rel=1e-6, abs=1e-6)
     assert cut["state"] == pytest.approx(whole["state"])
     assert whole["seasonal"] == "add"
@@ -71,6 +72,46 @@ def test_ets_blocks_agree_with_one_block(spark, monkeypatch):
     assert np.abs(np.array(ahead) - truth).max() < 0.5
 
 
+def direct_sse(y, alpha, beta, start):
+    """Squared errors of the level and slope recursions, written out."""
+    (level, slope), total = start, 0.0
+    for value in y:
+        error = value - level - slope
+        level, slope, total = level + slope + alpha * error, slope + alpha * beta * error, total + error * error
+    return total
+
+
+def test_ets_weights_are_the_least_squares_ones(spark, monkeypatch):
+    """Fitted weights against a fine search, through several levels of joined block maps."""
+    rng = np.random.default_rng(11)
+    level, slope, y = 20.0, 0.2, []
+    for e in rng.normal(0, 1, 1200):
+        y.append(level + slope + e)
+        level, slope = level + slope + 0.43 * e, slope + 0.43 * 0.12 * e
+    monkeypatch.setattr(G, "BLOCK_ROWS", 100)
+    monkeypatch.setattr(G, "CHAIN", 3)
+    fit = G.ets_fits(series(spark, y), ["k"], [("add", "none")]).first()
+    start = G._initial_state(np.array(y), "add", "none", 0)[:2]
+    near = [(direct_sse(y, a, b, start), a, b) for a in np.arange(0.33, 0.53, 0.01) for b in np.arange(0.04, 0.22, 0.01)]
+    _, a0, b0 = min(near)
+    best = min((direct_sse(y, a, b, start), a, b) for a in a0 + np.arange(-0.01, 0.0101, 0.001) for b in b0 + np.arange(-0.01, 0.0101, 0.001))
+    assert (fit["alpha"], fit["beta"]) == pytest.approx(best[1:], abs=1e-3)
+    assert fit["sse"] <= best[0] * (1 + 1e-9)
+    assert fit["sse"] == pytest.approx(direct_sse(y, fit["alpha"], fit["beta"], start), rel=1e-9)
+
+
+def test_ets_given_weights_through_joined_blocks(spark, monkeypatch):
+    y = [10 + 0.1 * t + 3 * math.sin(2 * math.pi * t / 12) for t in range(300)]
+    df = series(spark, y)
+    whole = G.ets_fits(df, ["k"], [("add", "add")], weights=(0.3, 0.1, 0.2)).first()
+    monkeypatch.setattr(G, "BLOCK_ROWS", 25)
+    monkeypatch.setattr(G, "CHAIN", 2)
+    cut = G.ets_fits(df, ["k"], [("add", "add")], weights=(0.3, 0.1, 0.2)).first()
+    assert (whole["alpha"], whole["beta"], whole["gamma"]) == (0.3, 0.1, 0.2)
+    assert cut["sse"] == pytest.approx(whole["sse"], rel=1e-9, abs=1e-9)
+    assert cut["state"] == pytest.approx(whole["state"])
+
+
 def test_additive_finds_weekly_shape(spark, small_blocks):
     y = [50 + 0.05 * t + (10 if (t % 7) in (0, 1) else 0) for t in range(700)]
     out = G.forecast_additive(series(spark, y), ["k"], 14, ["weekly"]).orderBy("step").collect()
