@@ -2,7 +2,8 @@
 
 Model fits reduce each series to small sufficient numbers (cross products, recursion summaries) over
 position blocks, so one huge series is worked on by many tasks; only the small systems per series are
-solved in one place. All forecasters return rows (keys, step, ts, yhat, yhat_lower, yhat_upper).
+solved in one place. All forecasters return rows (keys, step, ts, yhat, yhat_lower, yhat_upper)
+for ``horizon`` steps: a number for all series, or rows (keys, horizon).
 """
 
 from __future__ import annotations
@@ -20,7 +21,7 @@ from lodestat.functions.columns import micros
 from lodestat.operators.features import split_temporal
 from lodestat.operators.metrics import evaluate_forecast
 from lodestat.operators.series import frame_of, points
-from lodestat.operators.series_features import future_dates
+from lodestat.operators.series_features import future_dates, with_horizon
 from lodestat.plans.skew import BLOCK_ROWS, block_sums, join_on, salted_join, with_position
 from lodestat.session import materialize
 
@@ -55,7 +56,7 @@ def _stepped(fits: DataFrame, dates: DataFrame, keys: Sequence[str], lists: Sequ
 
 
 def forecast_sma(
-    df: DataFrame, keys: Sequence[str], horizon: int, window: int | None = None, freq: str | None = None, ts: str = "ts", y: str = "y"
+    df: DataFrame, keys: Sequence[str], horizon: int | DataFrame, window: int | None = None, freq: str | None = None, ts: str = "ts", y: str = "y"
 ) -> DataFrame:
     """Mean of the last ``window`` values repeated; the default window is min(7, n/4), 3 for tiny series."""
     keys = list(keys)
@@ -69,7 +70,7 @@ def forecast_sma(
 
 
 def forecast_last_value(
-    df: DataFrame, keys: Sequence[str], horizon: int, freq: str | None = None, ts: str = "ts", y: str = "y"
+    df: DataFrame, keys: Sequence[str], horizon: int | DataFrame, freq: str | None = None, ts: str = "ts", y: str = "y"
 ) -> DataFrame:
     """Last value repeated, bounds 10% either side."""
     keys = list(keys)
@@ -279,7 +280,7 @@ def _arima_path(r: pd.Series, horizon: int, z: float) -> dict:
 
 
 def forecast_arima(
-    df: DataFrame, keys: Sequence[str], horizon: int, orders: Sequence[tuple[int, int, int]] = ARIMA_ORDERS,
+    df: DataFrame, keys: Sequence[str], horizon: int | DataFrame, orders: Sequence[tuple[int, int, int]] = ARIMA_ORDERS,
     freq: str | None = None, ts: str = "ts", y: str = "y", fits: DataFrame | None = None,
 ) -> DataFrame:
     """ARIMA forecast with 95% intervals; series without a usable order fall back to the last value."""
@@ -287,7 +288,8 @@ def forecast_arima(
     fits = fits if fits is not None else arima_fits(df, keys, orders, ts, y)
     fits = materialize(fits, "arima-fits")
     arrays = [(c, "array<double>") for c in ("yhat", "yhat_lower", "yhat_upper")]
-    paths = _solve_rows(fits.filter("reason IS NULL"), keys, arrays, lambda r: _arima_path(r, horizon, Z95))
+    usable = with_horizon(fits.filter("reason IS NULL"), keys, horizon)
+    paths = _solve_rows(usable, keys, arrays, lambda r: _arima_path(r, int(r["__steps"]), Z95))
     dates = future_dates(df, keys, horizon, freq, ts).withColumnRenamed(ts, "ts")
     fitted = _stepped(paths, dates, keys, [c for c, _ in arrays])
     failed = fits.filter("reason IS NOT NULL").select(*keys)
@@ -503,7 +505,7 @@ def ets_fits(
 
 
 def forecast_ets(
-    df: DataFrame, keys: Sequence[str], horizon: int, configs: Sequence[tuple[str, str]] = ETS_CONFIGS, period: int | None = None,
+    df: DataFrame, keys: Sequence[str], horizon: int | DataFrame, configs: Sequence[tuple[str, str]] = ETS_CONFIGS, period: int | None = None,
     freq: str | None = None, ts: str = "ts", y: str = "y", fits: DataFrame | None = None,
 ) -> DataFrame:
     """Smoothing forecast with bounds 10% either side."""
@@ -637,7 +639,7 @@ def additive_components(rows: DataFrame, fits: DataFrame, keys: Sequence[str], s
 
 
 def forecast_additive(
-    df: DataFrame, keys: Sequence[str], horizon: int, seasonalities: Sequence[str] = ("yearly", "weekly"),
+    df: DataFrame, keys: Sequence[str], horizon: int | DataFrame, seasonalities: Sequence[str] = ("yearly", "weekly"),
     freq: str | None = None, ts: str = "ts", y: str = "y", fits: DataFrame | None = None,
 ) -> DataFrame:
     """Trend plus seasonal forecast with 80% bounds from the residual spread."""
@@ -664,7 +666,7 @@ def evaluate_forecasters(
     df: DataFrame, keys: Sequence[str], models: Sequence[str] = ("sma", "last_value"), test_size: float = 0.2, period: int = 1,
     freq: str | None = None, ts: str = "ts", y: str = "y",
 ) -> DataFrame:
-    """Fit each model on the first part of every series and score it on the rest.
+    """Fit each model on the first part of every series and score it on the rest, as many steps as that series has there.
 
     A model without a forecast for a series keeps its row with NULL scores and a reason.
     """
@@ -673,7 +675,7 @@ def evaluate_forecasters(
     parts = materialize(split_temporal(rows, keys, "ts", test_size), "split")
     train, test = parts.filter(~F.col("is_test")).drop("is_test"), parts.filter("is_test").drop("is_test")
     actual = with_position(test, keys, "ts").select(*keys, "ts", F.col("y").alias("a"), (F.col("pos") + 1).cast("int").alias("step"))
-    horizon = int(actual.agg(F.max("step")).first()[0] or 1)
+    horizon = parts.groupBy(*keys).agg(F.count_if("is_test").alias("horizon"))
     scored = None
     for name in models:
         fc = FORECASTERS[name](train, keys, horizon, freq=freq).select(*keys, "step", F.col("yhat").alias("f"))
@@ -705,7 +707,7 @@ def forecast_frame(
     parts = materialize(split_temporal(rows, keys, "ts", test_size), "split")
     train, test = parts.filter(~F.col("is_test")).drop("is_test"), parts.filter("is_test").drop("is_test")
     actual = with_position(test, keys, "ts").withColumn("step", (F.col("pos") + 1).cast("int")).drop("pos", "n")
-    steps = max(horizon, int(actual.agg(F.max("step")).first()[0] or 1))
+    steps = parts.groupBy(*keys).agg(F.greatest(F.count_if("is_test"), F.lit(horizon)).alias("horizon"))
     fc = materialize(FORECASTERS[model](train, keys, steps, freq=freq), "forecast")
     none = F.lit(None).cast("double")
     recent = with_position(train, keys, "ts").filter(F.col("pos") >= F.col("n") - history)

@@ -145,8 +145,19 @@ def difference(df: DataFrame, keys: Sequence[str], d: int = 1, ts: str = "ts", y
     return with_frames(with_position(df, keys, ts), keys, {f"{y}_diff": diff}, before=d).drop("pos", "n")
 
 
-def future_dates(df: DataFrame, keys: Sequence[str], horizon: int, freq: str | None = None, ts: str = "ts") -> DataFrame:
-    """The ``horizon`` dates after the last one of each series: rows (keys, step, ts).
+def with_horizon(df: DataFrame, keys: Sequence[str], horizon: int | DataFrame) -> DataFrame:
+    """``__steps``, how many steps to forecast per series: a number for all, or rows (keys, horizon); series without steps go."""
+    if isinstance(horizon, DataFrame):
+        df = join_on(df, horizon.select(*keys, F.col("horizon").cast("int").alias("__steps")), keys)
+    else:
+        df = df.withColumn("__steps", F.lit(horizon))
+    return df.filter(F.col("__steps") >= 1)
+
+
+def future_dates(
+    df: DataFrame, keys: Sequence[str], horizon: int | DataFrame, freq: str | None = None, ts: str = "ts"
+) -> DataFrame:
+    """The ``horizon`` dates after the last one of each series (see :func:`with_horizon`): rows (keys, step, ts).
 
     Without ``freq`` each series uses its detected frequency; "<n>D" steps n days, unknown steps a day.
     """
@@ -158,7 +169,7 @@ def future_dates(df: DataFrame, keys: Sequence[str], horizon: int, freq: str | N
     else:
         last = last.withColumn("__freq", F.lit(freq))
     days = F.coalesce(F.regexp_extract("__freq", r"^(\d+)D$", 1).try_cast("int"), F.lit(1))
-    steps = last.withColumn("step", F.explode(F.sequence(F.lit(1), F.lit(horizon))))
+    steps = with_horizon(last, keys, horizon).withColumn("step", F.explode(F.sequence(F.lit(1), F.col("__steps"))))
     step = F.col("step")
     months = {"M": 1, "Q": 3, "Y": 12}
     hours = F.when(F.col("__freq") == "H", F.make_dt_interval(hours=step))

@@ -50,6 +50,23 @@ def test_arima_prefers_difference_for_random_walk(spark):
     assert all(b >= a for a, b in zip(widths, widths[1:]))
 
 
+def test_horizon_per_series(spark):
+    long, short = series(spark, ar1(100), "long"), series(spark, ar1(40, seed=3), "short")
+    both = long.unionByName(short)
+    steps = spark.createDataFrame([("long", 7), ("short", 2)], "k string, horizon int")
+    for name in ("sma", "last_value", "arima"):
+        counts = {r["k"]: r["count"] for r in G.FORECASTERS[name](both, ["k"], steps).groupBy("k").count().collect()}
+        assert counts == {"long": 7, "short": 2}
+    none = spark.createDataFrame([("long", 3), ("short", 0)], "k string, horizon int")
+    assert {r["k"] for r in G.forecast_last_value(both, ["k"], none).collect()} == {"long"}
+
+
+def test_series_of_unlike_lengths_score_as_alone(spark):
+    long, short = series(spark, ar1(100), "long"), series(spark, ar1(40, seed=3), "short")
+    scores = lambda df: {(r["k"], r["model"]): r["rmse"] for r in G.evaluate_forecasters(df, ["k"], ("sma", "arima")).collect()}
+    assert scores(long.unionByName(short)) == pytest.approx(scores(long) | scores(short), rel=1e-9)
+
+
 def test_short_series_falls_back_to_last_value(spark):
     out = G.forecast_arima(series(spark, [1, 2, 3, 4]), ["k"], 3).collect()
     assert [r["yhat"] for r in out] == [4.0] * 3
