@@ -6,8 +6,8 @@ its runs of symbols, and coarse shares (capitals, symbols, repeated words, lengt
 weights. Every whole text is read.
 
 The model is fitted on at most ``max_rows`` rated documents (a documented bound, taken in hash order of the id)
-by L-BFGS on the mean negative log likelihood plus an L2 penalty; Spark sums loss and gradient over the partitions
-of the written feature table in each step. All documents are then scored in one pass with the broadcast weights
+by L-BFGS on the mean negative log likelihood plus an L2 penalty; Spark sums loss and gradient over the ``PARTS``
+partitions of the written feature table in each step, so what reaches the driver does not grow with the documents. All documents are then scored in one pass with the broadcast weights
 (bounded by ``2 ** BITS``): expected grade and P(grade >= tail).
 
 Defined cases: a null or empty text has only its length feature; ratings that are null or have no document take no
@@ -30,6 +30,7 @@ from lodestat.llm.common import LOWER, RollingHash, mixed, q, stored, text_block
 BITS = 17
 MAX_ROWS = 40_000
 LEAST = 0.7
+PARTS = 16
 WORD = np.zeros(256, bool)
 WORD[48:58] = WORD[65:91] = WORD[97:123] = WORD[128:] = True
 SPACE = np.zeros(256, bool)
@@ -111,7 +112,7 @@ def rated(docs: DataFrame, ratings: DataFrame, grade: Column, id_col: str, text_
             packed = [index[a:b].astype("<i4").tobytes() for a, b in zip(cuts[:-1], cuts[1:])]
             yield pa.RecordBatch.from_arrays([part.column(0), pa.array(packed, pa.binary())], ["grade", "packed"])
 
-    return stored(texts.mapInArrow(rows, "grade int, packed binary"), "quality-features")
+    return stored(texts.mapInArrow(rows, "grade int, packed binary").repartition(PARTS), "quality-features")
 
 
 def _thresholds(free: np.ndarray) -> np.ndarray:
