@@ -85,24 +85,55 @@ def shapley_sampling(
 def permutation_importance(model: Model, rows: DataFrame, id_col: str, task: str, metric: str, seed: int = 42) -> DataFrame:
     """Loss of the metric when one feature's values are exchanged between rows.
 
-    Rows are paired by two hash orders, which permutes the values without moving them through one place.
+    Rows are paired by two hash orders, which permutes the values without moving them through one place. A row is
+    scored again only for the slots in which its partner differs, so sparse rows cost their filled slots, not the
+    width: the metric of a feature is that of all rows, less what the changed rows gave before, plus what they give now.
     """
     sign = metric_sign(metric)
-    base = materialize(rows.select(F.col(id_col).alias("id"), "label", vector_to_array("features").alias("x")), "importance-rows")
+    base = materialize(rows.select(F.col(id_col).alias("id"), "label", "features"), "importance-rows")
     here = with_position(base.withColumn("__h", F.xxhash64("id", F.lit(seed))), [], "__h").drop("n", "__h")
-    there = with_position(base.select(F.xxhash64("id", F.lit(seed + 1)).alias("__h"), F.col("x").alias("z")), [], "__h").drop("n", "__h")
-    width = len(base.first()["x"])
-    cases = here.join(there, "pos").withColumn("feature", F.explode(F.sequence(F.lit(-1), F.lit(width - 1))))
-    swapped = F.transform("x", lambda v, j: F.when(j == F.col("feature"), F.element_at("z", j + 1)).otherwise(v))
-    scored = model.transform(cases.select("id", "label", "feature", array_to_vector(swapped).alias("features")))
-    score = M.classification_metrics if task == "classification" else M.regression_metrics
-    per = score(scored, "label", "prediction", ["feature"]).select("feature", F.col(metric).alias("score"))
+    there = with_position(base.select(F.xxhash64("id", F.lit(seed + 1)).alias("__h"), F.col("features").alias("z")), [], "__h").drop("n", "__h")
+    width = base.first()["features"].size
+    paired = model.transform(here.join(there, "pos")).select("label", F.col("prediction").alias("before"), "features", "z")
+    paired = materialize(paired, "importance-pairs")
+    arrays = paired.select("label", "before", vector_to_array("features").alias("x"), vector_to_array("z").alias("z"))
+    other = lambda j: F.get("z", j)
+    slots = F.transform("x", lambda v, j: F.struct(j.alias("feature"), other(j).alias("v"), v.eqNullSafe(other(j)).alias("same")))
+    cases = arrays.select("label", "before", "x", F.inline(F.filter(slots, lambda c: ~c["same"])))
+    swapped = F.transform("x", lambda v, j: F.when(j == F.col("feature"), F.col("v")).otherwise(v))
+    scored = model.transform(cases.select("label", "before", "feature", array_to_vector(swapped).alias("features")))
+    scored = scored.select("feature", "label", "before", "prediction")
+    features = F.explode(F.sequence(F.lit(-1), F.lit(width - 1))).alias("feature")
+    combine = _class_importance if task == "classification" else _error_importance
+    per = combine(paired, scored, features, metric)
     reference = per.filter(F.col("feature") == -1).select(F.col("score").alias("base_score"))
     return per.filter(F.col("feature") >= 0).crossJoin(F.broadcast(reference)).withColumn(  # one-row side
         "importance", (F.col("base_score") - F.col("score")) * sign
     )
 
 
+def _class_importance(paired: DataFrame, scored: DataFrame, features: Column, metric: str) -> DataFrame:
+    """(feature, score) from confusion counts; feature -1 is the unchanged table."""
+    cells = M.confusion(paired, "label", "before").select("y", "p", "n", features)
+    one = lambda p, n: F.struct(F.col("label").alias("y"), F.col(p).alias("p"), F.lit(n).cast("long").alias("n"))
+    moved = scored.select("feature", F.inline(F.array(one("before", -1), one("prediction", 1)))).groupBy("feature", "y", "p").agg(F.sum("n").alias("n"))
+    cells = cells.unionByName(moved).groupBy("feature", "y", "p").agg(F.sum("n").alias("n")).filter("n > 0")
+    return M.classification_metrics_of(cells, ["feature"]).select("feature", F.col(metric).alias("score"))
+
+
+def _error_importance(paired: DataFrame, scored: DataFrame, features: Column, metric: str) -> DataFrame:
+    """(feature, score) from sums of row errors; feature -1 is the unchanged table."""
+    label = F.col("label")
+    before, after = (M.row_errors(label, F.col(p))[metric] for p in ("before", "prediction"))
+    zero = F.lit(0.0)
+    total = paired.agg(F.coalesce(F.sum(before), zero).alias("s"), F.count(before).alias("n")).select("s", "n", features)
+    moved = scored.groupBy("feature").agg(
+        (F.coalesce(F.sum(after), zero) - F.coalesce(F.sum(before), zero)).alias("s"), (F.count(after) - F.count(before)).alias("n")
+    )
+    sums = total.unionByName(moved.select("s", "n", "feature")).groupBy("feature").agg(F.sum("s").alias("s"), F.sum("n").alias("n"))
+    return sums.select("feature", M.of_mean_error(metric, F.try_divide(F.greatest("s", zero), "n")).alias("score"))
+
+
 def coefficient_effects(df: DataFrame, weights: DataFrame) -> DataFrame:
     """Coefficient, sign, magnitude against the spread of |coefficients|, and effect per data std."""
     columns = [r["feature"] for r in weights.select("feature").collect()]

@@ -27,7 +27,11 @@ def accuracy(df: DataFrame, y: str = "y", p: str = "p", keys: Sequence[str] = ()
 
 def class_scores(df: DataFrame, y: str = "y", p: str = "p", keys: Sequence[str] = ()) -> DataFrame:
     """Precision, recall, f1 and support per class; 0 when undefined."""
-    cells = confusion(df, y, p, keys)
+    return class_scores_of(confusion(df, y, p, keys), keys)
+
+
+def class_scores_of(cells: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
+    """As :func:`class_scores`, from the counts of :func:`confusion`."""
     sides = cells.select(
         *keys,
         F.inline(
@@ -56,21 +60,36 @@ def class_scores(df: DataFrame, y: str = "y", p: str = "p", keys: Sequence[str]
 
 def classification_metrics(df: DataFrame, y: str = "y", p: str = "p", keys: Sequence[str] = ()) -> DataFrame:
     """Accuracy and support-weighted precision, recall and f1."""
+    return classification_metrics_of(confusion(df, y, p, keys), keys)
+
+
+def classification_metrics_of(cells: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
+    """As :func:`classification_metrics`, from the counts of :func:`confusion`."""
     n = F.sum("support")
     weighted = [(F.sum(F.col(m) * F.col("support")) / n).alias(m) for m in ("precision", "recall", "f1")]
-    return class_scores(df, y, p, keys).groupBy(*keys).agg((F.sum("hit") / n).alias("accuracy"), *weighted)
+    return class_scores_of(cells, keys).groupBy(*keys).agg((F.sum("hit") / n).alias("accuracy"), *weighted)
 
 
-def _error_terms(y: Column, p: Column) -> dict[str, Column]:
+def row_errors(y: Column, p: Column) -> dict[str, Column]:
+    """What each regression metric averages; null where a row does not count."""
     size = (F.abs(y) + F.abs(p)) / 2
     return {
-        "mae": F.avg(F.abs(y - p)),
-        "rmse": F.sqrt(F.avg((y - p) * (y - p))),
-        "mape": F.avg(F.when(y != 0, F.abs((y - p) / y))) * 100,
-        "smape": F.avg(F.when(size != 0, F.abs(p - y) / size)) * 100,
+        "mae": F.abs(y - p),
+        "rmse": (y - p) * (y - p),
+        "mape": F.when(y != 0, F.abs((y - p) / y)),
+        "smape": F.when(size != 0, F.abs(p - y) / size),
     }
 
 
+def of_mean_error(name: str, mean: Column) -> Column:
+    """The regression metric of the mean of its row errors."""
+    return {"mae": mean, "rmse": F.sqrt(mean), "mape": mean * 100, "smape": mean * 100}[name]
+
+
+def _error_terms(y: Column, p: Column) -> dict[str, Column]:
+    return {name: of_mean_error(name, F.avg(e)) for name, e in row_errors(y, p).items()}
+
+
 def regression_metrics(df: DataFrame, y: str = "y", p: str = "p", keys: Sequence[str] = ()) -> DataFrame:
     """rmse, mae, mape (a != 0) and smape (denominator != 0)."""
     terms = _error_terms(F.col(y), F.col(p))

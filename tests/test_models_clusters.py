@@ -3,7 +3,10 @@
 import numpy as np
 import pytest
 from pyspark.ml import PipelineModel
+from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.functions import array_to_vector
+from pyspark.ml.linalg import Vectors
+from pyspark.ml.regression import LinearRegression
 from pyspark.sql import functions as F
 
 from lodestat.operators import cluster as K
@@ -246,6 +249,49 @@ def test_permutation_importance_ranks_used_features(binary):
     assert {r["feature"] for r in got.limit(2).collect()} == {0, 1}
 
 
+def wide_rows(spark, n=60, width=1000, filled=6):
+    """Sparse rows whose label follows a few slots."""
+    r = np.random.default_rng(4)
+    x = np.zeros((n, width))
+    for row in x:
+        row[r.choice(width, filled, replace=False)] = r.normal(size=filled)
+    x[:, :4] = r.normal(size=(n, 4))
+    y = 3 * x[:, 0] - 2 * x[:, 1] + x[:, 2] + 0.1 * r.normal(size=n)
+    rows = [(i, float(y[i]), Vectors.sparse(width, {int(j): float(x[i, j]) for j in np.flatnonzero(x[i])})) for i in range(n)]
+    return x, y, spark.createDataFrame(rows, ["id", "label", "features"])
+
+
+def swapped_in_slot(df, x, j):
+    """The rows in the first hash order, with slot j of the rows in the second one."""
+    order = lambda seed: [r["id"] for r in df.orderBy(F.xxhash64("id", F.lit(seed))).select("id").collect()]
+    first, second = order(42), order(43)
+    out = []
+    for slot in j:
+        z = x[first].copy()
+        z[:, slot] = x[second][:, slot]
+        out.append(z)
+    return first, out
+
+
+def test_permutation_importance_of_wide_sparse_rows_is_brute_force(spark):
+    x, y, df = wide_rows(spark)
+    linear = LinearRegression(maxIter=20, regParam=0.1, solver="l-bfgs").fit(df)
+    f = lambda z: z @ linear.coefficients.toArray() + linear.intercept
+    first, tables = swapped_in_slot(df, x, range(x.shape[1]))
+    for metric, error in (("rmse", lambda a, p: np.sqrt(np.mean((a - p) ** 2))), ("smape", lambda a, p: 100 * np.mean(abs(a - p) / ((abs(a) + abs(p)) / 2)))):
+        got = {r["feature"]: r["importance"] for r in L.permutation_importance(linear, df, "id", "regression", metric).collect()}
+        before = error(y, f(x))
+        assert sorted(got) == list(range(x.shape[1]))
+        for j, z in enumerate(tables):
+            assert abs(got[j] - (error(y[first], f(z)) - before)) < 1e-9
+    grades = df.withColumn("label", (F.col("label") > 0).cast("double"))
+    logistic = LogisticRegression(maxIter=20, regParam=0.01).fit(grades)
+    g = lambda z: z @ logistic.coefficients.toArray() + logistic.intercept > 0
+    got = {r["feature"]: r["importance"] for r in L.permutation_importance(logistic, grades, "id", "classification", "accuracy").collect()}
+    for j, z in enumerate(tables):
+        assert abs(got[j] - (np.mean(g(x) == (y > 0)) - np.mean(g(z) == (y[first] > 0)))) < 1e-9
+
+
 def test_stack_and_tune(binary):
     out, _ = J.stack(binary, {"a": ("logistic", {}), "b": ("forest", {"trees": 5, "depth": 4})}, ("logistic", {}), "id", 3)
     assert out.count() == binary.val.count()
