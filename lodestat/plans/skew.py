@@ -41,14 +41,16 @@ def salted_join(rows: DataFrame, stats: DataFrame, keys: Sequence[str], how: str
     """Join per-key statistics onto rows; a hot key is spread over ``SALTS`` partitions.
 
     ``stats`` has one row per key, so replicating it is cheap; rows get a salt from their content.
-    With adaptive execution the small side still turns into a broadcast once its measured size is
-    below the session threshold.
+    The copies come from a cross join, not from ``explode``: Spark's estimate of a cross join counts them, so only a table that is
+    small with all its copies is broadcast. With adaptive execution the small side still turns into a broadcast once its measured
+    size is below the session threshold.
     """
     keys = list(keys)
     if not keys:
         return rows.crossJoin(F.broadcast(stats))
     salted = rows.withColumn("__salt", F.pmod(F.xxhash64(*rows.columns), F.lit(SALTS)).cast("int"))
-    copies = stats.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    salts = rows.sparkSession.range(SALTS).select(F.col("id").cast("int").alias("__salt"))
+    copies = stats.crossJoin(F.broadcast(salts))
     return join_on(salted, copies, [*keys, "__salt"], how).drop("__salt")
 
 

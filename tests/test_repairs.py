@@ -107,3 +107,20 @@ def test_split_guard(spark):
         I.prepare(df, "y", "classification", ["id"])
     few = df.withColumn("y", F.when(F.col("id") < 3, "b").otherwise("a"))
     assert I.prepare(few, "y", "classification", ["id"], test_size=0.3).n_rows > 0
+
+
+def test_copies_of_many_categories_are_not_broadcast(spark):
+    """Each category travels once per salt; a table that is small only before that must not be broadcast."""
+    kept = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "1MB")
+    try:
+        df = spark.range(20_000).select("id", F.format_string("Customer#%09d", "id").alias("name"))
+        out = D.label_encode(df, "name")
+        assert out.filter(F.col("id") == F.col("name_code")).count() == 20_000
+        out.collect()
+        assert "BroadcastHashJoin" not in out._jdf.queryExecution().executedPlan().toString()
+        few = D.label_encode(df.select("id", (F.col("id") % 5).cast("string").alias("name")), "name")
+        few.collect()
+        assert "BroadcastHashJoin" in few._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", kept)
