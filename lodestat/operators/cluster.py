@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from lodestat.functions.columns import NUMERIC, columns_of_kind, present_number
 from lodestat.operators import metrics as M
+from lodestat.operators.encoding import WIDE_SLOTS, TextCodesModel
 from lodestat.operators.ensemble import draws
 from lodestat.operators.features import pca_reduce
 from lodestat.operators.models import build_features, nearest
@@ -31,8 +32,14 @@ RESULT_SCHEMA = "algorithm string, n_clusters int, silhouette double, calinski_h
 
 def cluster_vectors(df: DataFrame, id_col: str, exclude: Sequence[str] = ()) -> DataFrame:
     """(id, features): sparse vectors of all columns, imputed, scaled and one-hot encoded."""
-    pipeline = build_features(df, None, [id_col, *exclude])
-    return Pipeline(stages=pipeline.getStages()).fit(df).transform(df).select(id_col, "features")
+    *stages, assembler = build_features(df, None, [id_col, *exclude]).getStages()
+    rows = df
+    for stage in Pipeline(stages=stages).fit(df).stages:
+        if isinstance(stage, TextCodesModel) and sum(stage.sizes) > WIDE_SLOTS:
+            dense = [c for c in assembler.getInputCols() if c not in stage.outputs]
+            return stage.appended(rows, id_col, dense[0] if dense else None, "features")
+        rows = stage.transform(rows)
+    return assembler.transform(rows).select(id_col, "features")
 
 
 def cluster_features(df: DataFrame, id_col: str, exclude: Sequence[str] = (), max_width: int = MAX_WIDTH) -> DataFrame:

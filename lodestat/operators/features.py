@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lodestat.functions.columns import NUMERIC, TEXT, columns_of_kind, present_number, q
-from lodestat.operators.encoding import sparse_rows
+from lodestat.operators.encoding import sparse_rows, vector_cells
 from lodestat.operators.profile import column_quantiles, iqr_bounds, numeric_long, top_values
 from lodestat.plans.quantiles import exact_quantiles
 from lodestat.plans.skew import fitted_join, salted_join, with_position
@@ -320,8 +320,173 @@ def principal_components(data: DataFrame, vector: str, n: int, width: int, k: in
     return mean, components, np.maximum(values[order], 0.0) / max(1, n - 1)
 
 
-def pca_reduce(df: DataFrame, features: str = "features", components: int = 50, output: str = "pca") -> DataFrame:
-    """Principal components of a vector or array column, centred: min(components, width, n - 1)."""
+def _packed(matrix: np.ndarray) -> pa.Array:
+    """Rows of numbers as binary cells."""
+    flat = np.ascontiguousarray(matrix, dtype=float)
+    offsets = np.arange(len(flat) + 1, dtype=np.int32) * flat.shape[1] * 8
+    return pa.Array.from_buffers(pa.binary(), len(flat), [None, pa.py_buffer(offsets.astype(np.int32)), pa.py_buffer(flat.tobytes())])
+
+
+def _unpacked(column: pa.Array, width: int) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist())).reshape(-1, width)
+
+
+def _spots(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Row, place and number of the frequent slots of a batch."""
+    lengths = batch["__f"].value_lengths().to_numpy(zero_copy_only=False)
+    return np.repeat(np.arange(batch.num_rows), lengths), batch["__f"].flatten().to_numpy(zero_copy_only=False), batch["__x"].flatten().to_numpy(zero_copy_only=False)
+
+
+def _spread(rows: np.ndarray, places: np.ndarray, numbers: np.ndarray, table: np.ndarray, n: int) -> np.ndarray:
+    """A sparse matrix of ``n`` rows times a dense table."""
+    return np.stack([np.bincount(rows, numbers * table[places, c], n) for c in range(table.shape[1])], axis=1)
+
+
+HELD_CELLS = 1 << 22
+FREQUENT_SLOTS = 1024
+
+
+def wide_scores(data: DataFrame, vector: str, n: int, k: int, output: str, frequent: int = FREQUENT_SLOTS, seed: int = 42) -> DataFrame:
+    """``data`` with its ``k`` principal component scores as an array, for vectors so wide that no matrix as tall as they are fits a driver.
+
+    The same subspace iteration from the side of the rows: each row keeps its entries of the basis, and a step multiplies them by
+    the centred rows and their transpose. Slots that only one row fills come down to one number of that row. The ``frequent``
+    most common of the others meet in a table of bounded size; the rest meet by joins on the slot. The largest entry of a component
+    among the frequent slots is positive.
+    """
+    spark, names, width = data.sparkSession, data.columns, min(n, k + SPARE)
+    rows = materialize(data.withColumn("__row", F.monotonically_increasing_id()), "wide-rows")
+    cells = vector_cells(rows.select("__row", vector), "__row", vector).filter("x <> 0")
+    common = materialize(cells.groupBy("i").agg(F.count(F.lit(1)).alias("c")).filter("c > 1"), "wide-slots")
+    top = common.orderBy(F.desc("c"), "i").limit(frequent)
+    slots = np.array(sorted(r["i"] for r in top.collect()), dtype=np.int64)  # at most `frequent`
+    others = None
+    if common.count() > len(slots):
+        rest = common.join(F.broadcast(spark.createDataFrame([(int(i),) for i in slots], "i long")), "i", "left_anti")
+        others = materialize(salted_join(cells, rest.select("i"), ["i"], "inner").select(F.col("__row"), "i", "x"), "wide-cells")
+
+    def begun(batches):
+        for b in batches:
+            if not b.num_rows:
+                continue
+            r, place, x = sparse_rows(b[vector])
+            r, place = r.astype(np.int64), place.astype(np.int64)
+            at = np.minimum(np.searchsorted(slots, place), max(len(slots) - 1, 0))
+            hit = (slots[at] == place) if len(slots) else np.zeros(len(place), bool)
+            order = np.flatnonzero(hit & (x != 0))
+            counts = np.bincount(r[order], minlength=b.num_rows)
+            offsets = pa.array(np.concatenate([[0], np.cumsum(counts)]), pa.int32())
+            own = np.bincount(r[~hit], x[~hit] ** 2, b.num_rows)
+            first = np.random.default_rng([seed, b["__row"][0].as_py()]).normal(size=(b.num_rows, width))
+            yield pa.RecordBatch.from_arrays(
+                [b["__row"], pa.ListArray.from_arrays(offsets, pa.array(at[order], pa.int64())), pa.ListArray.from_arrays(offsets, pa.array(x[order])), pa.array(own), pa.nulls(b.num_rows, pa.binary()), _packed(first)],
+                ["__row", "__f", "__x", "__d", "__u", "__w"],
+            )
+
+    schema = "__row long, __f array<long>, __x array<double>, __d double, __u binary, __w binary"
+    state = materialize(rows.select("__row", vector).mapInArrow(begun, schema), "wide-basis")
+
+    def totals(state: DataFrame, last: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Sums over rows: products w w and (at the last) u w, w itself, and the frequent slots with w and alone."""
+        sizes = [width * width, width * width, width, len(slots) * width, len(slots)]
+
+        def summed(batches):
+            out = [np.zeros(s) for s in sizes]
+            for b in batches:
+                if not b.num_rows:
+                    continue
+                w = _unpacked(b["__w"], width)
+                r, place, x = _spots(b)
+                out[0] += (w.T @ w).ravel()
+                if last:
+                    out[1] += (_unpacked(b["__u"], width).T @ w).ravel()
+                out[2] += w.sum(axis=0)
+                if len(slots):
+                    out[3] += np.stack([np.bincount(place, x * w[r, c], len(slots)) for c in range(width)], axis=1).ravel()
+                    out[4] += np.bincount(place, x, len(slots))
+            yield _tiled(np.concatenate(out))
+
+        flat = np.split(_summed(state.drop("__row", "__d").mapInArrow(summed, "t long, s binary")), np.cumsum(sizes)[:-1])
+        return flat[0].reshape(width, width), flat[1].reshape(width, width), flat[2], flat[3].reshape(-1, width), flat[4]
+
+    def step(state: DataFrame, last: bool) -> tuple[DataFrame, np.ndarray]:
+        """The basis w made orthonormal as u (written at the last), its product as the new w, and the frequent slots of the components."""
+        gram, _, total, spots, alone = totals(state)
+        shift = total / n
+        values, axes = np.linalg.eigh(gram - n * np.outer(shift, shift))
+        turn = axes * np.where(values > 1e-14 * max(values.max(), 1e-300), 1 / np.sqrt(np.maximum(values, 1e-300)), 0.0)
+        spots = (spots - np.outer(alone, shift)) @ turn
+        held = spark.sparkContext.broadcast((shift, turn, spots))
+        joined = state
+        if others is not None:
+            turned = state.select("__row", "__w").mapInArrow(_turned(held, width), ", ".join(["__row long", *[f"__b{j} double" for j in range(width)]]))
+            met = materialize(others.join(turned, "__row"), "wide-met")
+            sums = met.groupBy("i").agg(*[F.sum(F.col("x") * F.col(f"__b{j}")).alias(f"__s{j}") for j in range(width)])
+            back = salted_join(met, sums, ["i"], "inner")  # what the other rows of a slot give
+            gained = [F.sum(F.col("x") * (F.col(f"__s{j}") - F.col("x") * F.col(f"__b{j}"))).alias(f"__g{j}") for j in range(width)]
+            gained = back.groupBy("__row").agg(*gained).select("__row", F.array(*[f"__g{j}" for j in range(width)]).alias("__gain"))
+            joined = state.join(gained, "__row", "left")
+
+        def multiplied(batches):
+            shift, turn, spots = held.value
+            for b in batches:
+                if not b.num_rows:
+                    continue
+                u = (_unpacked(b["__w"], width) - shift) @ turn
+                w = b["__d"].to_numpy()[:, None] * u
+                if len(slots):
+                    w += _spread(*_spots(b), spots, b.num_rows)
+                if "__gain" in b.schema.names:
+                    some = b["__gain"].is_valid().to_numpy(zero_copy_only=False)
+                    w[some] += b["__gain"].drop_null().flatten().to_numpy(zero_copy_only=False).reshape(-1, width)
+                yield pa.RecordBatch.from_arrays([b["__row"], b["__f"], b["__x"], b["__d"], _packed(u) if last else pa.nulls(b.num_rows, pa.binary()), _packed(w)], ["__row", "__f", "__x", "__d", "__u", "__w"])
+
+        return materialize(joined.mapInArrow(multiplied, schema), "wide-basis"), spots
+
+    spots = np.zeros((0, width))
+    for i in range(POWER_STEPS + 1):
+        state, spots = step(state, i == POWER_STEPS)
+    _, cross, total, _, _ = totals(state, last=True)
+    shift = total / n
+    values, axes = np.linalg.eigh((cross + cross.T) / 2)
+    order = np.argsort(values)[::-1][:k]
+    values, axes = values[order], axes[:, order]
+    signs = np.ones(len(order))
+    if len(slots):
+        largest = spots @ axes
+        signs = np.sign(largest[np.abs(largest).argmax(axis=0), np.arange(len(order))])
+        signs[signs == 0] = 1.0
+    turn = axes * signs * np.where(values > 1e-14 * max(values.max(), 1e-300), 1 / np.sqrt(np.maximum(values, 1e-300)), 0.0)
+    held = spark.sparkContext.broadcast((shift, turn))
+
+    def scored(batches):
+        shift, turn = held.value
+        for b in batches:
+            if b.num_rows:
+                y = (_unpacked(b["__w"], width) - shift) @ turn
+                lists = pa.ListArray.from_arrays(pa.array(np.arange(b.num_rows + 1) * turn.shape[1], pa.int32()), pa.array(y.ravel()))
+                yield pa.RecordBatch.from_arrays([b["__row"], lists], ["__row", "__scores"])
+
+    scores = state.select("__row", "__w").mapInArrow(scored, "__row long, __scores array<double>")
+    return rows.join(scores, "__row").select(*[q(c) for c in names], F.col("__scores").alias(output))
+
+
+def _turned(held, width: int):
+    def rows(batches):
+        shift, turn, _ = held.value
+        for b in batches:
+            if b.num_rows:
+                u = (_unpacked(b["__w"], width) - shift) @ turn
+                yield pa.RecordBatch.from_arrays([b["__row"], *[pa.array(u[:, j]) for j in range(width)]], ["__row", *[f"__b{j}" for j in range(width)]])
+
+    return rows
+
+
+def pca_reduce(df: DataFrame, features: str = "features", components: int = 50, output: str = "pca", held_cells: int = HELD_CELLS) -> DataFrame:
+    """Principal components of a vector or array column, centred: min(components, width, n - 1).
+
+    A basis of more than ``held_cells`` numbers stays with the rows (:func:`wide_scores`).
+    """
     from pyspark.ml.functions import array_to_vector
 
     is_array = df.schema[features].dataType.typeName() == "array"
@@ -329,6 +494,8 @@ def pca_reduce(df: DataFrame, features: str = "features", components: int = 50,
     width = data.select("__v").first()[0].size
     n = data.count()
     k = min(components, width, max(1, n - 1))
+    if width * (k + SPARE) > held_cells:
+        return wide_scores(data, "__v", n, k, "__pca").withColumn(output, array_to_vector("__pca")).drop("__v", "__pca")
     mean, axes, _ = principal_components(data, "__v", n, width, k)
     held = df.sparkSession.sparkContext.broadcast((axes, mean @ axes))
     names = data.columns

@@ -1,6 +1,8 @@
 """Cases that once gave wrong answers or refused their input."""
 
+import numpy as np
 import pytest
+from pyspark.ml.linalg import Vectors
 from pyspark.sql import functions as F
 
 from lodestat.functions.columns import date_formats
@@ -124,3 +126,42 @@ def test_copies_of_many_categories_are_not_broadcast(spark):
         assert "BroadcastHashJoin" in few._jdf.queryExecution().executedPlan().toString()
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", kept)
+
+
+def test_scores_of_very_wide_vectors_stay_with_the_rows(spark):
+    """A basis kept by the rows gives the scores of the whole matrix, with slots in one row, in many and in a few."""
+    rng = np.random.default_rng(3)
+    n, width = 120, 400
+    x = np.zeros((n, width))
+    x[:, :6] = rng.normal(size=(n, 6)) * np.array([20, 15, 11, 8, 6, 4.0]) + 3
+    x[np.arange(n), 6 + np.arange(n)] = 1.0
+    x[np.arange(n), 200 + np.arange(n) % 30] = rng.normal(size=n)
+    rows = [(i % 100, Vectors.sparse(width, {int(j): float(x[i, j]) for j in np.flatnonzero(x[i])})) for i in range(n)]
+    df = spark.createDataFrame(rows, ["id", "v"]).withColumn("place", F.monotonically_increasing_id()).repartition(3)
+    c = x - x.mean(axis=0)
+    u, s, _ = np.linalg.svd(c, full_matrices=False)
+    for frequent in (8, 1024):
+        got = D.wide_scores(df, "v", n, 4, "scores", frequent=frequent).orderBy("place").collect()
+        y = np.array([r["scores"] for r in got])
+        assert [r["id"] for r in got] == [i % 100 for i in range(n)]
+        assert np.allclose(np.abs(y), np.abs(u[:, :4] * s[:4]), atol=1e-6)
+    reduced = D.pca_reduce(df, "v", 4, "pca", held_cells=100).orderBy("place").collect()
+    assert np.allclose(np.abs([r["pca"].toArray() for r in reduced]), np.abs(u[:, :4] * s[:4]), atol=1e-6)
+
+
+def test_wide_cluster_vectors_name_no_slots(spark):
+    """Slots by the ten thousand carry no names in the schema, and hold what the narrow path holds."""
+    df = spark.range(12_000).select("id", (F.col("id") % 7).cast("double").alias("a"), F.format_string("n%05d", "id").alias("name"), (F.col("id") % 3).cast("string").alias("kind"))
+    out = K.cluster_vectors(df, "id")
+    assert not out.schema["features"].metadata
+    values = np.arange(12_000) % 7
+    mean, std = values.mean(), values.std(ddof=1)
+    for r in out.filter("id IN (0, 5, 11999)").collect():
+        want = (r["id"] % 7 - mean) / std
+        v = r["features"]
+        assert v.size == 1 + 12_000 + 3
+        got = dict(zip(v.indices.tolist(), v.values.tolist()))
+        parts = sorted(i for i in got if i)
+        assert got[0] == pytest.approx(want) and len(parts) == 2 and all(got[i] == 1.0 for i in parts)
+        kinds, names = [i for i in parts if i <= 3], [i for i in parts if i > 3]
+        assert (kinds, names) == ([1 + r["id"] % 3], [4 + r["id"]]) or parts == [1 + r["id"], 12_001 + r["id"] % 3]
