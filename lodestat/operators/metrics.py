@@ -296,6 +296,9 @@ def _silhouette_mean(rows: DataFrame) -> DataFrame:
     return rows.agg(F.count(F.lit(1)).alias("n"), F.avg(s).alias("silhouette"))
 
 
+TILE_ROWS = 256
+
+
 def silhouette_euclidean(
     df: DataFrame, id_col: str, features: str = "features", label: str = "label", noise: object = None
 ) -> DataFrame:
@@ -309,15 +312,13 @@ def silhouette_euclidean(
 
     def sums(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
         xa, xb = np.stack(a["x"].to_numpy()).astype(float), np.stack(b["x"].to_numpy()).astype(float)
-        d = np.sqrt(np.maximum((xa**2).sum(1)[:, None] + (xb**2).sum(1)[None, :] - 2 * xa @ xb.T, 0))
-        d[a["id"].to_numpy()[:, None] == b["id"].to_numpy()[None, :]] = 0.0
-        names = b["label"].unique()
-        parts = [
-            pd.DataFrame(
-                {"id": a["id"], "label": a["label"], "other": name, "d": d[:, (b["label"] == name).to_numpy()].sum(1)}
-            )
-            for name in names
-        ]
+        ids, squares, parts = b["id"].to_numpy()[None, :], (xb**2).sum(1)[None, :], []
+        masks = {name: (b["label"] == name).to_numpy() for name in b["label"].unique()}
+        for i in range(0, len(xa), TILE_ROWS):
+            part, x = a.iloc[i : i + TILE_ROWS], xa[i : i + TILE_ROWS]
+            d = np.sqrt(np.maximum((x**2).sum(1)[:, None] + squares - 2 * x @ xb.T, 0))
+            d[part["id"].to_numpy()[:, None] == ids] = 0.0
+            parts += [pd.DataFrame({"id": part["id"], "label": part["label"], "other": name, "d": d[:, mask].sum(1)}) for name, mask in masks.items()]
         return pd.concat(parts)
 
     id_type = rows.schema["id"].dataType.simpleString()

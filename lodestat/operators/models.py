@@ -260,17 +260,31 @@ def train_architectures(prepared: Prepared, presets: dict[str, tuple[str, dict]]
 # --- Nearest neighbours ----------------------------------------------------------------------------
 
 
+TILE_ROWS = 256
+
+
+def _tiles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Batches in slices, so that a table of distances has at most ``TILE_ROWS`` rows."""
+    for b in batches:
+        for i in range(0, b.num_rows, TILE_ROWS):
+            yield b.slice(i, TILE_ROWS)
+
+
 def _closest(k: int):
     """The ``k`` nearest right rows of each left row of a block, ties by id."""
 
     def closest(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         x, y = np.stack(left["x"].to_numpy()).astype(float), np.stack(right["x"].to_numpy()).astype(float)
-        d = np.maximum((x**2).sum(1)[:, None] + (y**2).sum(1)[None, :] - 2 * x @ y.T, 0.0)
-        ids = right["id"].to_numpy()
+        ids, found = right["id"].to_numpy(), []
         take = min(k, len(ids))
-        # Everything up to the k-th distance is kept, so ties are settled by id below.
-        kth = np.partition(d, take - 1, axis=1)[:, take - 1 : take]
-        rows, cols = np.nonzero(d <= kth * (1 + 1e-9) + 1e-12)
+        for i in range(0, len(x), TILE_ROWS):
+            part = x[i : i + TILE_ROWS]
+            d = np.maximum((part**2).sum(1)[:, None] + (y**2).sum(1)[None, :] - 2 * part @ y.T, 0.0)
+            # Everything up to the k-th distance is kept, so ties are settled by id below.
+            kth = np.partition(d, take - 1, axis=1)[:, take - 1 : take]
+            at, cols = np.nonzero(d <= kth * (1 + 1e-9) + 1e-12)
+            found.append((at + i, cols))
+        rows, cols = (np.concatenate(v) for v in zip(*found))
         exact = np.sqrt(((x[rows] - y[cols]) ** 2).sum(1))
         out = pd.DataFrame({"id": left["id"].to_numpy()[rows], "neighbour": ids[cols], "distance": exact})
         return out.sort_values(["id", "distance", "neighbour"]).groupby("id").head(k)
@@ -282,9 +296,7 @@ def first_cells(queries: DataFrame, cells: Cells, k: int) -> DataFrame:
     """(id, x, cells): for each query the nearest cells that hold ``k`` rows together."""
 
     def rows(batches):
-        for b in batches:
-            if not b.num_rows:
-                continue
+        for b in _tiles(batches):
             order = np.argsort(norms(matrix(b["x"]), cells.pivots), axis=1, kind="stable")
             held = np.cumsum(cells.sizes[order], axis=1)
             needed = np.minimum((held < k).sum(axis=1) + 1, order.shape[1])
@@ -299,9 +311,7 @@ def second_cells(asked: DataFrame, cells: Cells) -> DataFrame:
     """(id, x, cells): the other cells that may hold a row within ``bound`` of the query; a null bound excludes none."""
 
     def rows(batches):
-        for b in batches:
-            if not b.num_rows:
-                continue
+        for b in _tiles(batches):
             x = matrix(b["x"])
             bound = b["bound"].fill_null(np.inf).to_numpy(zero_copy_only=False)
             wanted = (cells.bounds(x) <= bound[:, None]) & (cells.sizes > 0)[None, :]

@@ -1,6 +1,7 @@
 """Cases that once gave wrong answers or refused their input."""
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.ml.linalg import Vectors
 from pyspark.sql import functions as F
@@ -8,6 +9,7 @@ from pyspark.sql import functions as F
 from lodestat.functions.columns import date_formats
 from lodestat.operators import cluster as K
 from lodestat.operators import features as D
+from lodestat.operators import metrics as M
 from lodestat.operators import models as I
 from lodestat.operators import rules as R
 from lodestat.operators.ensemble import near
@@ -165,3 +167,36 @@ def test_wide_cluster_vectors_name_no_slots(spark):
         assert got[0] == pytest.approx(want) and len(parts) == 2 and all(got[i] == 1.0 for i in parts)
         kinds, names = [i for i in parts if i <= 3], [i for i in parts if i > 3]
         assert (kinds, names) == ([1 + r["id"] % 3], [4 + r["id"]]) or parts == [1 + r["id"], 12_001 + r["id"] % 3]
+
+
+def _peak(work, *frames) -> float:
+    import tracemalloc
+
+    tracemalloc.start()
+    work(*frames)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    return peak / 1e6
+
+
+def _block(seed, n=4096):
+    rng = np.random.default_rng(seed)
+    return pd.DataFrame({"id": np.arange(n) + seed * n, "x": list(rng.normal(size=(n, 8))), "label": [str(i % 5) for i in range(n)]})
+
+
+def test_silhouette_blocks_hold_few_distances(spark, monkeypatch):
+    """A pair of full blocks needs tables of some rows, not of all pairs at once."""
+    held = []
+
+    def caught(left, right, left_id, right_id, work, schema):
+        held.append(work)
+        raise StopIteration
+
+    monkeypatch.setattr(M, "block_pairs", caught)
+    with pytest.raises(StopIteration):
+        M.silhouette_euclidean(spark.createDataFrame([(1, [1.0], 0)], "id long, features array<double>, label int"), "id")
+    assert _peak(held[0], _block(0), _block(1)) < 80
+
+
+def test_nearest_blocks_hold_few_distances():
+    assert _peak(I._closest(5), _block(0), _block(1)) < 80
