@@ -64,25 +64,40 @@ def evaluate_clusters(assigned: DataFrame, algorithm: str, parameters: dict, noi
 SCORES = ("silhouette", "calinski_harabasz", "davies_bouldin")
 
 
-def _sweep(labelled: DataFrame, id_col: str, algorithm: str) -> tuple[DataFrame, DataFrame]:
+FEW_POINTS = 4096
+
+
+def merged_points(rows: DataFrame) -> DataFrame:
+    """Equal rows as one point: (features, w), ``w`` rows each. A few points are kept in order, whatever the cluster."""
+    pts = rows.groupBy(F.transform("features", lambda v: v.cast("double")).alias("features")).agg(F.count(F.lit(1)).alias("w"))
+    pts = materialize(pts, "points")
+    return pts if pts.count() > FEW_POINTS else pts.orderBy("features").coalesce(1)
+
+
+def _sweep(labelled: DataFrame, id_col: str, algorithm: str, rows: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """Score the clusterings of ``labelled`` (id, features, k, label) in one pass and keep the best silhouette.
 
-    Gives its assignment, and a row per k that found two clusters, with all three scores and ``is_best``.
+    Gives its assignment, and a row per k that found two clusters, with all three scores and ``is_best``. With ``rows``, ``labelled``
+    has their merged points (features, w, k, label), and the rows get the labels of their points at the end.
     """
-    found = M.sweep_scores(labelled.withColumnRenamed("k", "asked"), "asked", id_col).filter("k >= 2").collect()  # one row a k
+    of = (id_col, None) if rows is None else ("features", "w")
+    found = M.sweep_scores(labelled.withColumnRenamed("k", "asked"), "asked", of[0], weight=of[1]).filter("k >= 2").collect()  # one row a k
     if not found:
         raise ValueError(f"{algorithm} found no clustering with two clusters")
     best = min(found, key=lambda r: (-r["silhouette"], r["asked"]))["asked"]
-    rows = [(algorithm, int(r["asked"]), *(r[c] for c in SCORES), r["asked"] == best) for r in sorted(found, key=lambda r: r["asked"])]
+    scored = [(algorithm, int(r["asked"]), *(r[c] for c in SCORES), r["asked"] == best) for r in sorted(found, key=lambda r: r["asked"])]
     schema = "algorithm string, k int, " + ", ".join(f"{c} double" for c in SCORES) + ", is_best boolean"
-    kept = labelled.filter(F.col("k") == best).select(id_col, "features", F.col("label").cast("int").alias("label"))
-    return materialize(kept, f"{algorithm}-best"), labelled.sparkSession.createDataFrame(rows, schema)
+    kept = labelled.filter(F.col("k") == best)
+    if rows is not None:
+        kept = _label_rows(rows, id_col, kept.select(F.col("k").alias("trial"), F.col("features").alias("x"), "label"))
+    kept = kept.select(id_col, "features", F.col("label").cast("int").alias("label"))
+    return materialize(kept, f"{algorithm}-best"), labelled.sparkSession.createDataFrame(scored, schema)
 
 
-def _by_k(rows: DataFrame, id_col: str, labels: dict[int, str]) -> DataFrame:
-    """(id, features, k, label) from one label column per k."""
+def _by_k(rows: DataFrame, kept: Sequence[str], labels: dict[int, str]) -> DataFrame:
+    """The columns ``kept``, k and label from one label column per k."""
     each = F.explode(F.array(*[F.struct(F.lit(k).alias("k"), F.col(c).cast("int").alias("label")) for k, c in labels.items()]))
-    return rows.select(id_col, "features", each.alias("e")).select(id_col, "features", "e.k", "e.label")
+    return rows.select(*kept, each.alias("e")).select(*kept, "e.k", "e.label")
 
 
 def max_clusters(n: int, limit: int) -> int:
@@ -95,13 +110,26 @@ def _vectors(rows: DataFrame) -> DataFrame:
 
 
 def _model_sweep(rows: DataFrame, id_col: str, ks: Sequence[int] | None, algorithm: str, make) -> tuple[DataFrame, DataFrame]:
-    """Fit ``make(k, label column)`` for each k; the fitted models are small and label all rows in one pass."""
+    """Fit ``make(k, label column)`` to all rows for each k; the fitted models are small and label everything in one pass.
+
+    k-means gives equal rows equal labels, so they are labelled and scored as one point that counts for all of them.
+    """
+    data, out, labels = _vectors(rows), _vectors(merged_points(rows)), {}
+    for k in ks or range(2, max_clusters(rows.count(), 10) + 1):
+        labels[k] = f"__label_{k}"
+        out = make(k, labels[k]).fit(data).transform(out)
+    labelled = materialize(_by_k(out, ["features", "w"], labels), f"{algorithm}-labels")
+    return _sweep(labelled, id_col, algorithm, rows)
+
+
+def _row_sweep(rows: DataFrame, id_col: str, ks: Sequence[int] | None, algorithm: str, make) -> tuple[DataFrame, DataFrame]:
+    """As :func:`_model_sweep`, each row scored by itself."""
     data, labels = _vectors(rows), {}
     out = data
     for k in ks or range(2, max_clusters(rows.count(), 10) + 1):
         labels[k] = f"__label_{k}"
         out = make(k, labels[k]).fit(data).transform(out)
-    return _sweep(_by_k(out, id_col, labels), id_col, algorithm)
+    return _sweep(_by_k(out, [id_col, "features"], labels), id_col, algorithm)
 
 
 def kmeans_sweep(rows: DataFrame, id_col: str, ks: Sequence[int] | None = None, seed: int = 42) -> tuple[DataFrame, DataFrame]:
@@ -116,7 +144,7 @@ def gmm_sweep(rows: DataFrame, id_col: str, ks: Sequence[int] | None = None, see
     def make(k: int, label: str) -> MC.GaussianMixture:
         return MC.GaussianMixture(k=k, seed=seed, featuresCol="__v", predictionCol=label, probabilityCol=f"{label}_p")
 
-    return _model_sweep(rows, id_col, ks, "gaussian_mixture", make)
+    return _row_sweep(rows, id_col, ks, "gaussian_mixture", make)
 
 
 def assign_nearest(rows: DataFrame, centres: dict[int, Sequence[float]]) -> DataFrame:
@@ -282,7 +310,7 @@ def density_tree(graph: Density, s: int = 0) -> DataFrame:
 
 
 def cut(graph: Density, trials: Sequence[tuple[int, float, int]], edges: DataFrame | None = None) -> DataFrame:
-    """Labels of the distinct points for each (trial, eps, min_samples): (trial, x, label), -1 for noise.
+    """Labels of the distinct points for each (trial, eps, min_samples): (trial, x, w, label), -1 for noise.
 
     Clusters of a trial are the components of the edges up to its eps, numbered by their smallest point; a point that is not core
     goes to the first of the clusters it touches. All trials run together.
@@ -313,8 +341,8 @@ def cut(graph: Density, trials: Sequence[tuple[int, float, int]], edges: DataFra
     clusters = materialize(core.select("trial", "pid", "component").unionByName(reached), "density-labels")
     numbers = with_position(clusters.select("trial", "component").distinct(), ["trial"], "component", name="label").drop("n")
     labels = salted_join(clusters, numbers, ["trial", "component"], "inner").select("trial", "pid", F.col("label").cast("int").alias("label"))
-    out = graph.points.select("pid", "x").join(F.broadcast(table.select("trial"))).join(labels, ["trial", "pid"], "left")
-    return out.select("trial", "x", F.coalesce("label", F.lit(-1)).alias("label"))
+    out = graph.points.select("pid", "x", "w").join(F.broadcast(table.select("trial"))).join(labels, ["trial", "pid"], "left")
+    return out.select("trial", "x", "w", F.coalesce("label", F.lit(-1)).alias("label"))
 
 
 def _label_rows(rows: DataFrame, id_col: str, labels: DataFrame) -> DataFrame:
@@ -340,8 +368,8 @@ def dbscan_search(rows: DataFrame, id_col: str, trials: int = 20, seed: int = 42
     space = {"eps": ("float", 0.1, 2.0), "min_samples": ("int", 2, max(2, min(20, n // 10)))}  # fixed values
     drawn = [(i, float(d["eps"]), int(d["min_samples"])) for i, d in enumerate(draws(space, trials, seed))]
     graph = density_graph(rows, id_col, max(e for _, e, _ in drawn), [m for *_, m in drawn])
-    labelled = materialize(_label_rows(rows, id_col, cut(graph, drawn)), "density-trials")
-    found = M.sweep_scores(labelled.filter("label >= 0"), "trial", id_col).select("trial", F.col("k").cast("int").alias("n_clusters"), *SCORES)
+    labelled = materialize(cut(graph, drawn), "density-trials")
+    found = M.sweep_scores(labelled.filter("label >= 0"), "trial", "x", "x", weight="w").select("trial", F.col("k").cast("int").alias("n_clusters"), *SCORES)
     table = rows.sparkSession.createDataFrame(drawn, "trial int, eps double, min_samples int").join(found, "trial", "left")
     silhouette = F.when(F.col("n_clusters") >= 2, F.col("silhouette")).otherwise(-1.0).alias("silhouette")
     table = table.select("trial", "eps", "min_samples", F.coalesce("n_clusters", F.lit(0)).alias("n_clusters"), silhouette, *SCORES[1:])
@@ -349,7 +377,7 @@ def dbscan_search(rows: DataFrame, id_col: str, trials: int = 20, seed: int = 42
     best = table.orderBy(F.desc("silhouette"), "trial").first()
     if best["silhouette"] <= 0:
         raise ValueError("no density clustering with a positive silhouette")
-    return labelled.filter(F.col("trial") == best["trial"]).select(id_col, "label"), table
+    return _label_rows(rows, id_col, labelled.filter(F.col("trial") == best["trial"])).select(id_col, "label"), table
 
 
 # --- Hierarchical and spectral ---------------------------------------------------------------------
@@ -398,19 +426,18 @@ def hierarchical(
     of them, which gives the exact tree, else k-means centres of all rows.
     """
     n = rows.count()
-    distinct = rows.select("features").distinct().limit(micro + 1).collect()  # at most micro + 1 points
+    merged = merged_points(rows)
+    distinct = merged.select("features").limit(micro + 1).collect()  # at most micro + 1 points
     if len(distinct) <= micro:
         points = sorted([float(v) for v in r["features"]] for r in distinct)
         named = rows.sparkSession.createDataFrame([(p, i) for i, p in enumerate(points)], "x array<double>, `__m` int")
-        keyed = rows.withColumn("x", F.transform("features", lambda v: v.cast("double")))
-        placed = materialize(keyed.join(F.broadcast(named), "x").select(id_col, "features", "__m"), "micro-clusters")
+        placed = materialize(merged.withColumnRenamed("features", "x").join(F.broadcast(named), "x").select(F.col("x").alias("features"), "w", "__m"), "micro-clusters")
         at = points
     else:
-        data = _vectors(rows)
-        model = MC.KMeans(k=micro, seed=seed, featuresCol="__v", predictionCol="__m").fit(data)
-        placed = materialize(model.transform(data).select(id_col, "features", "__m"), "micro-clusters")
+        model = MC.KMeans(k=micro, seed=seed, featuresCol="__v", predictionCol="__m").fit(_vectors(rows))
+        placed = materialize(model.transform(_vectors(merged)).select("features", "w", "__m"), "micro-clusters")
         at = model.clusterCenters()
-    sizes = {r["__m"]: r["count"] for r in placed.groupBy("__m").count().collect()}
+    sizes = {r["__m"]: r["n"] for r in placed.groupBy("__m").agg(F.sum("w").alias("n")).collect()}
     ids = sorted(sizes)
     centres = np.array([at[i] for i in ids])
     merges = _merge_tree(centres, np.array([sizes[i] for i in ids]), linkage)
@@ -432,8 +459,8 @@ def hierarchical(
     cuts = [names(k) for k in ks]
     pairs = [(m, [(k, labels[at]) for k, labels in zip(ks, cuts)]) for at, m in enumerate(ids)]
     lookup = rows.sparkSession.createDataFrame(pairs, "`__m` int, tried array<struct<k: int, label: int>>")
-    labelled = placed.join(F.broadcast(lookup), "__m").select(id_col, "features", F.inline("tried"))  # at most `micro` rows
-    return _sweep(labelled, id_col, "hierarchical")
+    labelled = placed.join(F.broadcast(lookup), "__m").select("features", "w", F.inline("tried"))  # at most `micro` rows
+    return _sweep(labelled, id_col, "hierarchical", rows)
 
 
 def _times(edges: DataFrame, vectors: DataFrame, width: int) -> DataFrame:
@@ -510,7 +537,7 @@ def spectral(rows: DataFrame, id_col: str, ks: Sequence[int] | None = None, neig
     for k in ks:
         labels[k] = f"__label_{k}"
         out = MC.KMeans(k=k, seed=seed, featuresCol=f"__v{k}", predictionCol=labels[k]).fit(data).transform(out)
-    return _sweep(_by_k(out, id_col, labels), id_col, "spectral")
+    return _sweep(_by_k(out, [id_col, "features"], labels), id_col, "spectral")
 
 
 def cluster_all(rows: DataFrame, id_col: str, algorithms: Sequence[str] = ("kmeans", "density", "hierarchical")) -> tuple[DataFrame, DataFrame]:
@@ -530,7 +557,9 @@ def cluster_all(rows: DataFrame, id_col: str, algorithms: Sequence[str] = ("kmea
         raise ValueError("no clustering succeeded")
     tagged = [df.withColumn("algorithm", F.lit(name)) for name, df in found.items()]
     every = reduce(DataFrame.unionByName, tagged).join(rows.select(id_col, "features"), id_col)
-    scores = M.sweep_scores(every, "algorithm", id_col).select("algorithm", F.col("k").cast("int").alias("n_clusters"), *SCORES)
+    alike = F.transform("features", lambda v: v.cast("double")).alias("features")
+    every = every.groupBy("algorithm", "label", alike).agg(F.count(F.lit(1)).alias("w"))  # equal rows of a cluster score as one
+    scores = M.sweep_scores(every, "algorithm", "features", weight="w").select("algorithm", F.col("k").cast("int").alias("n_clusters"), *SCORES)
     failed = rows.sparkSession.createDataFrame([(a, e) for a, e in errors.items()], "algorithm string, error string")
     results = materialize(scores.join(failed, "algorithm", "full"), "clusterings")
     return found[best_clustering(results).first()["algorithm"]], results

@@ -337,17 +337,21 @@ def silhouette_euclidean(
     )
 
 
-def sweep_scores(labelled: DataFrame, by: str, id_col: str, features: str = "features", label: str = "label") -> DataFrame:
+def sweep_scores(
+    labelled: DataFrame, by: str, id_col: str, features: str = "features", label: str = "label", weight: str | None = None
+) -> DataFrame:
     """All three scores of several clusterings of the same rows in one pass: (by, k, silhouette, calinski_harabasz, davies_bouldin).
 
-    ``labelled`` has a row for each clustering (column ``by``) and point. The silhouette is the squared-Euclidean one. Cluster tables
+    ``labelled`` has a row for each clustering (column ``by``) and point; a row counts ``weight`` times. The silhouette is the squared-Euclidean one. Cluster tables
     travel in packs of at most ``CLUSTERS_AT_ONCE`` clusters; a point's packs are put together again by ``id_col``.
     """
     rows = labelled.select(
-        q(by).alias("by"), q(id_col).alias("id"), q(label).alias("label"), F.transform(q(features), lambda v: v.cast("double")).alias("x")
+        q(by).alias("by"), q(id_col).alias("id"), q(label).alias("label"), F.transform(q(features), lambda v: v.cast("double")).alias("x"),
+        (F.lit(1) if weight is None else q(weight)).cast("long").alias("w"),
     )
-    cells = rows.select("by", "label", F.posexplode("x").alias("i", "v")).groupBy("by", "label", "i")
-    cells = materialize(cells.agg(F.count(F.lit(1)).alias("n"), F.sum("v").alias("s"), F.sum(F.col("v") * F.col("v")).alias("ss")), "sweep-moments")
+    cells = rows.select("by", "label", "w", F.posexplode("x").alias("i", "v")).groupBy("by", "label", "i")
+    w, v = F.col("w"), F.col("v")
+    cells = materialize(cells.agg(F.sum("w").alias("n"), F.sum(w * v).alias("s"), F.sum(w * v * v).alias("ss")), "sweep-moments")
     whole = cells.groupBy("by", "i").agg(
         F.sum("n").alias("N"), F.sum("s").alias("S"), F.sum("ss").alias("SS"), F.sum(F.col("s") * F.col("s") / F.col("n")).alias("C"),
         F.count(F.lit(1)).alias("k"),
@@ -386,12 +390,13 @@ def sweep_scores(labelled: DataFrame, by: str, id_col: str, features: str = "fea
     )
     own = F.try_element_at(F.filter("d", lambda e: e["label"] == F.col("label")), F.lit(1))
     other = F.array_min(F.transform(F.filter("d", lambda e: e["label"] != F.col("label")), lambda e: e["d"]))
-    per = joined.select("by", "id", "label", own["n"].alias("n"), own["d"].alias("own"), own["to_centre"].alias("to_centre"), other.alias("b"))
+    per = joined.select("by", "id", "label", "w", own["n"].alias("n"), own["d"].alias("own"), own["to_centre"].alias("to_centre"), other.alias("b"))
     if packs > 1:
-        per = per.groupBy("by", "id", "label").agg(*[F.max(c).alias(c) for c in ("n", "own", "to_centre")], F.min("b").alias("b"))
+        per = per.groupBy("by", "id", "label").agg(*[F.max(c).alias(c) for c in ("w", "n", "own", "to_centre")], F.min("b").alias("b"))
     a = F.col("own") * F.col("n") / (F.col("n") - 1)
     s = F.when(F.col("n") <= 1, F.lit(0.0)).otherwise(F.coalesce(F.try_divide(F.col("b") - a, F.greatest(a, F.col("b"))), F.lit(0.0)))
-    scored = materialize(per.groupBy("by", "label").agg(F.sum(s).alias("sil"), F.count(F.lit(1)).alias("n"), F.avg("to_centre").alias("scatter")), "sweep-scores")
+    scatter = F.sum(w * F.col("to_centre")) / F.sum(F.when(F.col("to_centre").isNotNull(), w))
+    scored = materialize(per.groupBy("by", "label").agg(F.sum(w * s).alias("sil"), F.sum("w").alias("n"), scatter.alias("scatter")), "sweep-scores")
     centres = stats.join(scored.select("by", "label", "scatter"), ["by", "label"])
     centres = centres.select("by", "label", "scatter", F.transform("s", lambda v: v / F.col("n")).alias("centre"))
     right = centres.withColumn("pack", F.pmod(F.xxhash64("label"), F.lit(packs)).cast("int"))

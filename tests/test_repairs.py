@@ -200,3 +200,14 @@ def test_silhouette_blocks_hold_few_distances(spark, monkeypatch):
 
 def test_nearest_blocks_hold_few_distances():
     assert _peak(I._closest(5), _block(0), _block(1)) < 80
+
+
+def test_weighted_points_score_as_repeated_rows(spark):
+    """A point that counts w times scores as w equal rows, in every clustering."""
+    points = [(t, [float(i % 4) * (3 + t), float(i % 3)], (i + t) % 3, 1 + i % 5) for t in (0, 1) for i in range(12)]
+    merged = spark.createDataFrame(points, "trial int, features array<double>, label int, w long")
+    rows = merged.withColumn("each", F.explode(F.sequence(F.lit(1).cast("long"), "w"))).withColumn("id", F.monotonically_increasing_id())
+    want, got = (df.orderBy("trial").collect() for df in (M.sweep_scores(rows, "trial", "id"), M.sweep_scores(merged, "trial", "features", weight="w")))
+    assert len(want) == 2
+    for a, b in zip(want, got):
+        assert tuple(a) == pytest.approx(tuple(b))
