@@ -41,10 +41,11 @@ WINDOW = 32
 CHUNK = 512
 LEAST = 128
 SLICE = 1 << 20
+HASHED = 1 << 17  # bytes hashed at a time: the arrays of eight times that size stay small and near
 MIX = 0xD6E8FEB86659FD93  # odd; moves the entropy to the high bits, which decide on a cut
 KNOWN_WORDS = 80_000  # in each of two generations
 MARK = "~"
-TOLD_APART = 200_000
+TOLD_APART = 50_000
 
 # The characters that the tokenizer's white space class holds.
 SPACES = (
@@ -184,8 +185,8 @@ def cut_places(data: np.ndarray, powers: tuple[np.ndarray, np.ndarray]) -> np.nd
     """Ends of the windows of a byte array whose rolling hash calls for a cut, never within a character."""
     up, down = powers
     found = []
-    for start in range(0, max(len(data) - WINDOW, 0), SLICE):
-        part = data[start : start + SLICE + WINDOW]
+    for start in range(0, max(len(data) - WINDOW, 0), HASHED):
+        part = data[start : start + HASHED + WINDOW]
         n = len(part) - WINDOW
         sums = np.zeros(len(part) + 1, np.uint64)
         np.cumsum((part.astype(np.uint64) + np.uint64(1)) * up[: len(part)], out=sums[1:])
@@ -201,7 +202,7 @@ def powers() -> tuple[np.ndarray, np.ndarray]:
     """Powers of the hash's base modulo 2^64 and of its inverse, for one slice."""
     out = []
     for base in (RollingHash.BASE, pow(RollingHash.BASE, -1, 1 << 64)):
-        steps = np.full(SLICE + WINDOW, base, np.uint64)
+        steps = np.full(HASHED + WINDOW, base, np.uint64)
         steps[0] = 1
         out.append(np.cumprod(steps, dtype=np.uint64))
     return tuple(out)
@@ -353,7 +354,19 @@ def encode(docs: DataFrame, path: str | None = None, text_col: str = "text", sca
 
     def between(batches):
         words = words_of(path)
+        names = ["row", "place", "head", "ids", "tail", "others"]
+        held, take, last, size = [], [], None, 0
+
+        def batch():
+            kept = last.column(2).take(pa.array(take, pa.int64()))  # a null where no text begins
+            columns = [pa.array([h[i] for h in held], pa.int64()) for i in (0, 1)]
+            return pa.RecordBatch.from_arrays([*columns, *segment_arrays([h[2] for h in held]), kept], names)
+
         for part, k, chunks_, hits in places(batches, True):
+            if last is not None and (part is not last or size > SLICE):
+                yield batch()
+                held, take, size = [], [], 0
+            last = part
             made, at = [], 0
             while at < len(chunks_):
                 to = at
@@ -362,21 +375,25 @@ def encode(docs: DataFrame, path: str | None = None, text_col: str = "text", sca
                 if to > at:
                     made.append((at, words.segment(b"".join(chunks_[at:to]).decode("utf-8", "replace"))))
                 at = max(to, at + 1)
-            n = len(made) + 1
             row = part.column(1)[k].as_py()
-            one = part.column(2).slice(k, 1)
-            kept = pa.concat_arrays([one, pa.nulls(n - 1, one.type)])
-            columns = [pa.array([row] * n, pa.int64()), pa.array([-1, *(m[0] for m in made)], pa.int64()), *segment_arrays([(None, None, None), *(m[1] for m in made)])]
-            yield pa.RecordBatch.from_arrays([*columns, kept], ["row", "place", "head", "ids", "tail", "others"])
+            held.append((row, -1, (None, None, None)))
+            held += [(row, place, segment) for place, segment in made]
+            take += [k, *[None] * len(made)]
+            size += sum(map(len, chunks_))
+        if last is not None:
+            yield batch()
 
     def together(batches):
         words = words_of(path)
         for b in batches:
-            ids = []
-            for parts in b["parts"]:
+            ids, first, size = [], 0, 0
+            for k, parts in enumerate(b["parts"]):
                 parts = sorted(parts.as_py(), key=lambda p: p["place"])
                 ids.append(words.joined((p["head"], p["ids"], p["tail"]) for p in parts if p["place"] >= 0))
-            yield id_batch(b["others"], ids, words.kind)
+                size += len(ids[-1])
+                if size > SLICE or k + 1 == b.num_rows:
+                    yield id_batch(b["others"].slice(first, len(ids)), ids, words.kind)
+                    ids, first, size = [], k + 1, 0
 
     single = whole.mapInArrow(alone, f"others {kind}, ids array<int>")
     found = references(texts, known, bits).join(chunks, "key").select("row", "place", "head", "ids", "tail", F.lit(None).cast(kind).alias("others"))

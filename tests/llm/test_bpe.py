@@ -76,3 +76,27 @@ def test_repair_is_exact(model, seed):
         cuts = [0, *sorted(r.sample(range(len(s) + 1), min(len(s), r.randint(0, 6)))), len(s)]
         got = np.frombuffer(words.joined(words.segment(s[a:b]) for a, b in zip(cuts, cuts[1:])), words.kind)
         assert got.tolist() == model.encode(s, add_special_tokens=False).ids
+
+
+def test_hashing_holds_little_and_cuts_as_one_slice(monkeypatch):
+    """A block of 1 MB is hashed in arrays of a few MB; where the slices end makes no difference to the cuts."""
+    import tracemalloc
+
+    data = np.random.default_rng(3).integers(32, 127, 1 << 20).astype(np.uint8)
+    tracemalloc.start()
+    found = B.cut_places(data, B.powers())
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 16 << 20
+    monkeypatch.setattr(B, "HASHED", 1 << 20)
+    assert len(found) > 1000 and (B.cut_places(data, B.powers()) == found).all()
+
+
+def test_joined_texts_leave_in_small_batches(spark, model, monkeypatch):
+    """Many long texts with shared passages: every text once, whatever the size of the batches."""
+    monkeypatch.setattr(B, "SLICE", 3000)
+    texts = list(enumerate(texts_with_shared_passages() * 3))
+    docs = spark.createDataFrame(texts, "doc_id long, text string").coalesce(1)
+    rows = B.encode(docs).collect()
+    assert sorted(r.doc_id for r in rows) == [i for i, _ in texts]
+    assert all(r.ids == model.encode(texts[r.doc_id][1] or "", add_special_tokens=False).ids for r in rows)
