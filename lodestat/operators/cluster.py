@@ -8,6 +8,7 @@ from functools import reduce
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.ml import Pipeline
 from pyspark.ml import clustering as MC
 from pyspark.ml.functions import array_to_vector, vector_to_array
@@ -22,7 +23,7 @@ from lodestat.operators.features import pca_reduce
 from lodestat.operators.models import build_features, nearest
 from lodestat.operators.profile import numeric_moments
 from lodestat.plans.components import connected_components
-from lodestat.plans.pivots import CELL_POINTS, Cells, cells_of, choose_pivots, met, placed
+from lodestat.plans.pivots import CELL_POINTS, Cells, cells_of, choose_pivots, matrix, met, placed
 from lodestat.plans.skew import salted_join, with_position
 from lodestat.session import materialize
 
@@ -74,17 +75,18 @@ def merged_points(rows: DataFrame) -> DataFrame:
     return pts if pts.count() > FEW_POINTS else pts.orderBy("features").coalesce(1)
 
 
-def _sweep(labelled: DataFrame, id_col: str, algorithm: str, rows: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+def _sweep(labelled: DataFrame, id_col: str, algorithm: str, rows: DataFrame | None = None, digits: int = 17) -> tuple[DataFrame, DataFrame]:
     """Score the clusterings of ``labelled`` (id, features, k, label) in one pass and keep the best silhouette.
 
     Gives its assignment, and a row per k that found two clusters, with all three scores and ``is_best``. With ``rows``, ``labelled``
     has their merged points (features, w, k, label), and the rows get the labels of their points at the end.
+    Silhouettes equal to ``digits`` decimals are ties, which go to the smallest k.
     """
     of = (id_col, None) if rows is None else ("features", "w")
     found = M.sweep_scores(labelled.withColumnRenamed("k", "asked"), "asked", of[0], weight=of[1]).filter("k >= 2").collect()  # one row a k
     if not found:
         raise ValueError(f"{algorithm} found no clustering with two clusters")
-    best = min(found, key=lambda r: (-r["silhouette"], r["asked"]))["asked"]
+    best = min(found, key=lambda r: (-round(r["silhouette"], digits), r["asked"]))["asked"]
     scored = [(algorithm, int(r["asked"]), *(r[c] for c in SCORES), r["asked"] == best) for r in sorted(found, key=lambda r: r["asked"])]
     schema = "algorithm string, k int, " + ", ".join(f"{c} double" for c in SCORES) + ", is_best boolean"
     kept = labelled.filter(F.col("k") == best)
@@ -122,29 +124,107 @@ def _model_sweep(rows: DataFrame, id_col: str, ks: Sequence[int] | None, algorit
     return _sweep(labelled, id_col, algorithm, rows)
 
 
-def _row_sweep(rows: DataFrame, id_col: str, ks: Sequence[int] | None, algorithm: str, make) -> tuple[DataFrame, DataFrame]:
-    """As :func:`_model_sweep`, each row scored by itself."""
-    data, labels = _vectors(rows), {}
-    out = data
-    for k in ks or range(2, max_clusters(rows.count(), 10) + 1):
-        labels[k] = f"__label_{k}"
-        out = make(k, labels[k]).fit(data).transform(out)
-    return _sweep(_by_k(out, [id_col, "features"], labels), id_col, algorithm)
-
-
 def kmeans_sweep(rows: DataFrame, id_col: str, ks: Sequence[int] | None = None, seed: int = 42) -> tuple[DataFrame, DataFrame]:
     """k-means for k = 2 .. 10, best silhouette."""
     make = lambda k, label: MC.KMeans(k=k, seed=seed, featuresCol="__v", predictionCol=label)
     return _model_sweep(rows, id_col, ks, "kmeans", make)
 
 
-def gmm_sweep(rows: DataFrame, id_col: str, ks: Sequence[int] | None = None, seed: int = 42) -> tuple[DataFrame, DataFrame]:
-    """Full-covariance Gaussian mixtures for k = 2 .. 10, best silhouette."""
+MIXTURE_ROUNDS, MIXTURE_TOLERANCE = 100, 0.01  # MLlib's defaults
+EPSILON = float(np.finfo(float).eps)
+
+
+@dataclass
+class Mixture:
+    weights: np.ndarray
+    means: np.ndarray
+    spreads: np.ndarray
+
+    def chances(self, x: np.ndarray) -> np.ndarray:
+        """Weighted densities of the components at the rows of ``x``, with a pseudo-inverse where a spread has no full rank."""
+        out = np.empty((len(x), len(self.weights)))
+        for j, (weight, mean, spread) in enumerate(zip(self.weights, self.means, self.spreads)):
+            values, axes = np.linalg.eigh(spread)
+            wide = values > EPSILON * values.max() * len(values)
+            if not wide.any():
+                raise ValueError("Covariance matrix has no non-zero singular values")
+            z = (x - mean) @ (axes[:, wide] / np.sqrt(values[wide]))
+            out[:, j] = weight * np.exp(-0.5 * (len(mean) * np.log(2 * np.pi) + np.log(values[wide]).sum() + (z * z).sum(axis=1)))
+        return EPSILON + out
+
+    def sums(self, x: np.ndarray, w: np.ndarray) -> np.ndarray:
+        """Log likelihood, then the components' shares, sums and sums of squares, of points that count ``w`` times."""
+        p = self.chances(x)
+        total = p.sum(axis=1)
+        share = p * (w / total)[:, None]
+        squares = [(x * share[:, j, None]).T @ x for j in range(share.shape[1])]
+        return np.concatenate([[w @ np.log(total)], share.sum(axis=0), (share.T @ x).ravel(), np.ravel(squares)])
+
+    @classmethod
+    def of_sums(cls, sums: np.ndarray, k: int, d: int) -> Mixture:
+        held, first, second = sums[1 : 1 + k], sums[1 + k : 1 + k + k * d].reshape(k, d), sums[1 + k + k * d :].reshape(k, d, d)
+        means = first / held[:, None]
+        spreads = (second - held[:, None, None] * means[:, :, None] * means[:, None, :]) / held[:, None, None]
+        return cls(held / held.sum(), means, spreads)
+
+
+def fit_mixtures(points: DataFrame, mixtures: dict[int, Mixture]) -> dict[int, Mixture]:
+    """Expectation maximisation from the given mixtures, all in one pass over ``points`` (features, w) a round.
+
+    A mixture is done when its log likelihood settles. Spark adds up the sums; a round brings one number to the driver for each
+    parameter.
+    """
+    found, open_, before = dict(mixtures), sorted(mixtures), dict.fromkeys(mixtures, 0.0)
+    for _ in range(MIXTURE_ROUNDS):
+        now = {k: found[k] for k in open_}
+
+        def rows(batches, now=now):
+            held = {}
+            for b in batches:
+                if b.num_rows:
+                    x, w = matrix(b["features"]), b["w"].to_numpy(zero_copy_only=False).astype(float)
+                    for at in range(0, len(x), 4096):
+                        for k, m in now.items():
+                            held[k] = held.get(k, 0.0) + m.sums(x[at : at + 4096], w[at : at + 4096])
+            for k, v in held.items():
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(v), k, np.int32)), pa.array(np.arange(len(v), dtype=np.int32)), pa.array(v)], ["k", "i", "v"])
+
+        parts = points.select("features", "w").mapInArrow(rows, "k int, i int, v double")
+        summed = parts.groupBy("k", "i").agg(F.sum("v").alias("v")).toPandas().sort_values(["k", "i"])
+        for k, values in summed.groupby("k")["v"]:
+            sums, k = values.to_numpy(), int(k)
+            found[k] = Mixture.of_sums(sums, k, found[k].means.shape[1])
+            if abs(sums[0] - before[k]) <= MIXTURE_TOLERANCE:
+                open_.remove(k)
+            before[k] = sums[0]
+        if not open_:
+            break
+    return found
 
-    def make(k: int, label: str) -> MC.GaussianMixture:
-        return MC.GaussianMixture(k=k, seed=seed, featuresCol="__v", predictionCol=label, probabilityCol=f"{label}_p")
 
-    return _row_sweep(rows, id_col, ks, "gaussian_mixture", make)
+def gmm_sweep(rows: DataFrame, id_col: str, ks: Sequence[int] | None = None, seed: int = 42) -> tuple[DataFrame, DataFrame]:
+    """Full-covariance Gaussian mixtures for k = 2 .. 10, best silhouette.
+
+    MLlib draws the first mixture of each k from all rows. Equal rows are then one point that counts for all of them, and the rounds
+    of all k are run together over the points.
+    """
+    data, points, first = _vectors(rows), merged_points(rows), {}
+    for k in ks or range(2, max_clusters(rows.count(), 10) + 1):
+        drawn = MC.GaussianMixture(k=k, seed=seed, maxIter=0, featuresCol="__v").fit(data)
+        parts = drawn.gaussiansDF.collect()  # k rows
+        first[k] = Mixture(np.array(drawn.weights), np.array([r["mean"].toArray() for r in parts]), np.array([r["cov"].toArray() for r in parts]))
+    fitted = fit_mixtures(points, first)
+
+    def labels(batches):
+        for b in batches:
+            if b.num_rows:
+                x = matrix(b["features"])
+                for k, m in fitted.items():
+                    label = np.concatenate([m.chances(x[i : i + 4096]).argmax(axis=1) for i in range(0, len(x), 4096)])
+                    yield pa.RecordBatch.from_arrays([*b.columns, pa.array(np.full(len(x), k, np.int32)), pa.array(label.astype(np.int32))], ["features", "w", "k", "label"])
+
+    labelled = points.select("features", "w").mapInArrow(labels, "features array<double>, w long, k int, label int")
+    return _sweep(materialize(labelled, "gaussian_mixture-labels"), id_col, "gaussian_mixture", rows, digits=9)
 
 
 def assign_nearest(rows: DataFrame, centres: dict[int, Sequence[float]]) -> DataFrame:

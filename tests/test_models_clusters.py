@@ -344,3 +344,19 @@ def test_dictionary_codes(spark, tmp_path):
     fitted.write().overwrite().save(str(tmp_path / "m"))
     again = PipelineModel.load(str(tmp_path / "m")).transform(other)
     assert {(r["id"], r["i"]) for r in E.vector_cells(again, "id", "features").collect()} == {(k, i) for k, v in cells.items() for i in v}
+
+
+def test_mixtures_of_repeated_rows_are_fitted_to_points(spark, monkeypatch):
+    """Rows that repeat: MLlib only draws the first mixture, and what is found is what its own rounds find."""
+    rng = np.random.default_rng(5)
+    x = np.vstack([rng.normal(c, 0.6, size=(30, 2)) for c in (0, 5, 10)])
+    rows = K.materialize(cloud(spark, np.vstack([x, x[::2], x[::3], x[::3]])), "mixture-rows")
+    want, every = {}, K._vectors(rows)
+    for k in (3,):
+        out = K.MC.GaussianMixture(k=k, seed=42, featuresCol="__v").fit(every).transform(every)
+        want[k] = M.silhouette(out.select("id", "features", F.col("prediction").alias("label"))).first()["silhouette"]
+    rounds, fit = [], K.MC.GaussianMixture.fit
+    monkeypatch.setattr(K.MC.GaussianMixture, "fit", lambda self, df, *a: (rounds.append(self.getMaxIter()), fit(self, df, *a))[1])
+    labels, table = K.gmm_sweep(rows, "id", [3])
+    assert rounds == [0] and labels.count() == rows.count()
+    assert {r["k"]: r["silhouette"] for r in table.collect()} == pytest.approx(want)
