@@ -243,13 +243,29 @@ def assign_nearest(rows: DataFrame, centres: dict[int, Sequence[float]]) -> Data
 CHUNK_POINTS = 1024
 
 
-def _squares(a: pd.DataFrame, b: pd.DataFrame) -> np.ndarray:
-    """Squared distances, without the rounding of the product form."""
+def _squares(a: pd.DataFrame, b: pd.DataFrame, limit: float) -> np.ndarray:
+    """Squared distances up to ``limit``, without the rounding of the product form; infinite beyond it.
+
+    The product form only tells which pairs are surely beyond the limit. Where few are left, they alone are taken up one by one.
+    """
     x, y = np.stack(a["x"].to_numpy()).astype(float), np.stack(b["x"].to_numpy()).astype(float)
-    out = np.empty((len(x), len(y)))
+    xx, yy = (x * x).sum(axis=1), (y * y).sum(axis=1)
+    out = np.full((len(x), len(y)), np.inf)
     step = max(1, (1 << 22) // max(y.size, 1))
-    for i in range(0, len(x), step):
-        out[i : i + step] = ((x[i : i + step, None, :] - y[None, :, :]) ** 2).sum(axis=2)
+    with np.errstate(invalid="ignore", over="ignore"):
+        rough = xx[:, None] + yy[None, :] - 2 * x @ y.T
+        # A bound of the rounding, which grows with the width; what is no number stays in.
+        near = ~(rough > limit + 1e-15 * (x.shape[1] + 8) * (xx[:, None] + yy[None, :] + limit))
+    if 4 * np.count_nonzero(near) > near.size:
+        for i in range(0, len(x), step):
+            out[i : i + step] = ((x[i : i + step, None, :] - y[None, :, :]) ** 2).sum(axis=2)
+    else:
+        row, col = np.nonzero(near)
+        some = max(1, (1 << 22) // max(x.shape[1], 1))
+        for i in range(0, len(row), some):
+            r, c = row[i : i + some], col[i : i + some]
+            out[r, c] = ((x[r] - y[c]) ** 2).sum(axis=1)
+    out[out > limit] = np.inf
     return out
 
 
@@ -313,7 +329,7 @@ def density_graph(rows: DataFrame, id_col: str, reach: float, samples: Sequence[
     near, most, limit = cells.near(reach), samples[-1], reach * reach
 
     def neighbours(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        d, weight = _squares(a, b), b["w"].to_numpy()
+        d, weight = _squares(a, b, limit), b["w"].to_numpy()
         take = min(most, d.shape[1])
         cols = np.argpartition(d, take - 1, axis=1)[:, :take]
         d = np.take_along_axis(d, cols, axis=1)
@@ -336,7 +352,7 @@ def density_graph(rows: DataFrame, id_col: str, reach: float, samples: Sequence[
     points = materialize(pts.join(cored, "pid"), "density-cores")
 
     def reachable(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        d = _squares(a, b)
+        d = _squares(a, b, limit)
         left, right = (np.stack(f["core"].to_numpy()).astype(float) for f in (a, b))
         ids = a["pid"].to_numpy(), b["pid"].to_numpy()
         same, out = ids[0][0] == ids[1][0] and len(ids[0]) == len(ids[1]) and (ids[0] == ids[1]).all(), []
@@ -410,7 +426,8 @@ def cut(graph: Density, trials: Sequence[tuple[int, float, int]], edges: DataFra
     core = materialize(core.join(groups, ["trial", "pid"]).select("trial", "pid", "x", "cell", "chunk", "component"), "density-clusters")
 
     def border(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        hit = _squares(a, b) <= a["square"].iloc[0]
+        square = float(a["square"].iloc[0])
+        hit = _squares(a, b, square) <= square
         value = np.where(hit, b["component"].to_numpy()[None, :], np.iinfo("int64").max).min(axis=1)
         keep = hit.any(axis=1)
         return pd.DataFrame({"trial": a["trial"].to_numpy()[keep], "pid": a["pid"].to_numpy()[keep], "component": value[keep]})
