@@ -1,6 +1,6 @@
 """Byte-pair encoding of whole texts by content-defined chunks, each shared chunk encoded once, and decoding.
 
-1. A rolling hash over 32 bytes cuts texts into chunks of about 600 bytes, so copies of a passage fall into the same chunks
+1. A hash of each 16 bytes cuts texts into chunks of about 600 bytes, so copies of a passage fall into the same chunks
    wherever they stand. Chunk digests are counted; those met twice are shared. Their bits go to all tasks in a filter of
    fixed size. A chunk that passes it wrongly is only treated as a shared one.
 2. Shared chunks are grouped by digest and each is encoded once.
@@ -37,12 +37,11 @@ from pyspark.sql import functions as F
 
 from lodestat.llm.common import FILTER_BITS, RollingHash, bit_filter, fresh, identified, in_filter, q, scanned, stored, text_blocks
 
-WINDOW = 32
+WINDOW = 16
 CHUNK = 512
 LEAST = 128
 SLICE = 1 << 20
 HASHED = 1 << 17  # bytes hashed at a time: the arrays of eight times that size stay small and near
-MIX = 0xD6E8FEB86659FD93  # odd; moves the entropy to the high bits, which decide on a cut
 KNOWN_WORDS = 80_000  # in each of two generations
 MARK = "~"
 TOLD_APART = 50_000
@@ -95,6 +94,9 @@ class Words:
         mark = self.model.encode(MARK, add_special_tokens=False).ids
         self.mark = mark[0] if len(mark) == 1 else None
         self.split = plain_split(self.model)
+        suffix = getattr(self.model.model, "end_of_word_suffix", None)
+        size = self.model.get_vocab_size(with_added_tokens=True)
+        self.last = np.array([self.model.id_to_token(i).endswith(suffix) for i in range(size)]) if self.split and suffix else None
 
     def fresh(self, words: list[str]) -> dict[str, bytes]:
         """Ids of words not met before: those of plain characters by their pieces, which recur more than words do."""
@@ -105,13 +107,29 @@ class Words:
         if len(self.pieces) > KNOWN_WORDS:
             self.pieces.clear()
             new = {p for parts in cut.values() for p in parts}
-        self.pieces.update(self.encoded(list(new)))
+        self.pieces.update(self.ended(list(new)))
         of = self.pieces
         out = {w: b"".join([of[p] for p in parts]) for w, parts in cut.items()}
         if len(cut) < len(words):
             out |= self.encoded([w for w in words if w not in cut])
         return out
 
+    def ended(self, pieces: list[str]) -> dict[str, bytes]:
+        """Ids of pieces that the model splits no further, many in one call: the last token of each is one that ends a piece."""
+        if self.last is None:
+            return self.encoded(pieces)
+        out, size = {}, self.kind.itemsize
+        for k in range(0, len(pieces), 500):
+            part = pieces[k : k + 500]
+            ids = np.array(self.model.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0].ids, self.kind)
+            ends = size * (np.flatnonzero(self.last[ids]) + 1)
+            if len(ends) != len(part) or ends[-1] != ids.nbytes:
+                out |= self.encoded(part)
+                continue
+            raw, ends = ids.tobytes(), ends.tolist()
+            out.update((p, raw[a:b]) for p, a, b in zip(part, [0, *ends], ends))
+        return out
+
     def encoded(self, words: list[str]) -> dict[str, bytes]:
         """Ids of words by the model, many in one call: a word of its own with one id stands between them."""
         out, odd = {}, words
@@ -181,34 +199,30 @@ def names_of(path: str) -> pa.Array:
     return pa.array([model.id_to_token(i) for i in range(model.get_vocab_size(with_added_tokens=True))], pa.string())
 
 
-def cut_places(data: np.ndarray, powers: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
-    """Ends of the windows of a byte array whose rolling hash calls for a cut, never within a character."""
-    up, down = powers
-    found = []
+def cut_places(data: np.ndarray, powers: tuple[np.uint64, ...]) -> np.ndarray:
+    """Ends of the windows of a byte array whose hash calls for a cut, never within a character."""
+    found, count = [], WINDOW // 8
     for start in range(0, max(len(data) - WINDOW, 0), HASHED):
         part = data[start : start + HASHED + WINDOW]
-        n = len(part) - WINDOW
-        sums = np.zeros(len(part) + 1, np.uint64)
-        np.cumsum((part.astype(np.uint64) + np.uint64(1)) * up[: len(part)], out=sums[1:])
-        h = sums[WINDOW : WINDOW + n] - sums[:n]
-        h *= down[:n]
-        h *= np.uint64(MIX)
-        ends = np.flatnonzero(h < np.uint64((1 << 64) // CHUNK)) + WINDOW
+        raw, ends = part[:-1].tobytes(), []
+        for shift in range(min(8, len(part) - WINDOW)):  # aligned words of eight bytes, from every place on
+            words = np.frombuffer(raw[shift : shift + (len(raw) - shift) // 8 * 8], "<u8")
+            n = len(words) - count + 1
+            h = words[:n] * powers[0]
+            for k in range(1, count):
+                h += words[k : k + n] * powers[k]
+            ends.append(np.flatnonzero(h < np.uint64((1 << 64) // CHUNK)) * 8 + (shift + WINDOW))
+        ends = np.sort(np.concatenate(ends))
         found.append(start + ends[(part[ends] & 0xC0) != 0x80])
     return np.concatenate(found) if found else np.zeros(0, np.int64)
 
 
-def powers() -> tuple[np.ndarray, np.ndarray]:
-    """Powers of the hash's base modulo 2^64 and of its inverse, for one slice."""
-    out = []
-    for base in (RollingHash.BASE, pow(RollingHash.BASE, -1, 1 << 64)):
-        steps = np.full(HASHED + WINDOW, base, np.uint64)
-        steps[0] = 1
-        out.append(np.cumprod(steps, dtype=np.uint64))
-    return tuple(out)
+def powers() -> tuple[np.uint64, ...]:
+    """Odd factors of the words of a window, which move their entropy to the high bits: those decide on a cut."""
+    return tuple(np.uint64(pow(RollingHash.BASE, k + 1, 1 << 64)) for k in range(WINDOW // 8))
 
 
-def chunked(data: np.ndarray, offsets: np.ndarray, table: tuple[np.ndarray, np.ndarray]):
+def chunked(data: np.ndarray, offsets: np.ndarray, table: tuple[np.uint64, ...]):
     """For every text of a block the bounds of its chunks; an empty text has none."""
     places = cut_places(data, table).tolist()
     for start, end in zip(offsets[:-1].tolist(), offsets[1:].tolist()):

@@ -100,3 +100,23 @@ def test_joined_texts_leave_in_small_batches(spark, model, monkeypatch):
     rows = B.encode(docs).collect()
     assert sorted(r.doc_id for r in rows) == [i for i, _ in texts]
     assert all(r.ids == model.encode(texts[r.doc_id][1] or "", add_special_tokens=False).ids for r in rows)
+
+
+def test_plain_words_go_to_the_model_by_their_pieces_alone(model, monkeypatch):
+    """No mark stands between pieces: the tokens that end a piece tell where the next begins."""
+    words = B.Words(B.tokenizer_path())
+    monkeypatch.setattr(words, "encoded", lambda _: pytest.fail("encoded with marks"))
+    r = random.Random(4)
+    text = " ".join("".join(r.choices("abcdefgéßÜ'.,-!</w>~19S", k=r.randint(1, 12))) for _ in range(3000)).replace("<|", "")
+    assert np.frombuffer(words.packed(text), words.kind).tolist() == model.encode(text, add_special_tokens=False).ids
+
+
+@pytest.mark.parametrize("n", [0, 15, 16, 17, 23, 24, 31, 4000])
+def test_cuts_are_where_a_window_calls_for_one(n):
+    data, factors = np.random.default_rng(n).integers(0, 256, n).astype(np.uint8), [int(p) for p in B.powers()]
+    raw, want = data.tobytes(), []
+    for i in range(max(n - B.WINDOW, 0)):
+        h = sum(int.from_bytes(raw[i + 8 * k : i + 8 * k + 8], "little") * p for k, p in enumerate(factors)) % (1 << 64)
+        if h < (1 << 64) // B.CHUNK and raw[i + B.WINDOW] & 0xC0 != 0x80:
+            want.append(i + B.WINDOW)
+    assert B.cut_places(data, B.powers()).tolist() == want
