@@ -560,46 +560,164 @@ def hierarchical(
     return _sweep(labelled, id_col, "hierarchical", rows)
 
 
-def _times(edges: DataFrame, vectors: DataFrame, width: int) -> DataFrame:
-    """One product of the lazy normalised graph with the vectors of its nodes: (id, v)."""
-    sent = edges.join(vectors.withColumnRenamed("id", "dst"), "dst").select(
-        F.col("src").alias("id"), *[(F.col("weight") * F.col("v")[i]).alias(f"v{i}") for i in range(width)]
+BLOCK_NODES = 2048  # nodes whose vectors move as one row
+FEW_NODES = 1024  # a graph of no more nodes is solved as a matrix
+PARTS = 64  # rows at most for the edges out of a block
+_END = 1 << 32
+
+
+def _numbers(column: pa.Array) -> np.ndarray:
+    return column.values.to_numpy(zero_copy_only=False)
+
+
+def _numbered(nodes: DataFrame) -> DataFrame:
+    """``nodes`` with ``at``, their place in their block."""
+    return nodes.withColumn("at", F.row_number().over(Window.partitionBy("block").orderBy("id")) - 1)
+
+
+def _packed_edges(both: DataFrame, nodes: DataFrame) -> DataFrame:
+    """The normalised graph by the block its edges leave from: (block, part, target, at, weight), arrays in order of ``target``.
+
+    Each block also has one row without edges, part -1.
+    """
+    end = lambda name, as_: nodes.select(F.col("id").alias(name), F.col("block").alias(f"{as_}block"), F.col("at").alias(f"{as_}at"), F.col("d").alias(f"{as_}d"))
+    edges = both.join(end("src", "t"), "src").join(end("dst", "f"), "dst").select(
+        F.col("fblock").alias("block"), F.pmod("tblock", F.lit(PARTS)).cast("int").alias("part"),
+        F.struct(
+            (F.col("tblock") * F.lit(_END) + F.col("tat")).alias("target"), F.col("fat").alias("at"), F.coalesce(F.try_divide("weight", F.sqrt(F.col("td") * F.col("fd"))), F.lit(0.0)).alias("weight")
+        ).alias("e"),
     )
-    summed = sent.groupBy("id").agg(*[F.sum(f"v{i}").alias(f"v{i}") for i in range(width)])
-    mixed = [((F.coalesce(F.col(f"v{i}"), F.lit(0.0)) + F.col("v")[i]) / 2) for i in range(width)]
-    return vectors.join(summed, "id", "left").select("id", F.array(*mixed).alias("v"))
+    packed = edges.groupBy("block", "part").agg(F.array_sort(F.collect_list("e")).alias("e")).select("block", "part", "e.target", "e.at", "e.weight")
+    none = [F.array().cast(f"array<{kind}>").alias(name) for name, kind in (("target", "bigint"), ("at", "int"), ("weight", "double"))]
+    own = nodes.select("block").distinct().select("block", F.lit(-1).alias("part"), *none)
+    return materialize(packed.unionByName(own), "graph-packed")
+
+
+def _times(edges: DataFrame, vectors: DataFrame, width: int) -> DataFrame:
+    """One product of the lazy normalised graph with the vectors of its nodes: (block, v), the numbers of a block's nodes in one array.
+
+    A block's products are summed by target before they move, so mostly the vectors themselves do.
+    """
+
+    def sent(batches):
+        for b in batches:
+            for k in range(b.num_rows):
+                r = b.slice(k, 1)
+                block, part, v = r["block"][0].as_py(), r["part"][0].as_py(), _numbers(r["v"].take(pa.array([0])))
+                if part < 0:
+                    blocks, places, sums = [block], [None], [v]
+                else:
+                    target, at, weight = (_numbers(r[c].take(pa.array([0]))) for c in ("target", "at", "weight"))
+                    first = np.flatnonzero(np.diff(target, prepend=-1))
+                    total = np.add.reduceat(v.reshape(-1, width)[at] * weight[:, None], first, axis=0)
+                    goal, place = np.divmod(target[first], _END)
+                    cuts = np.flatnonzero(np.diff(goal, prepend=-1))
+                    blocks, ends = goal[cuts].tolist(), [*cuts[1:].tolist(), len(goal)]
+                    places = [place[i:j].astype(np.int32) for i, j in zip(cuts.tolist(), ends)]
+                    sums = [total[i:j].ravel() for i, j in zip(cuts.tolist(), ends)]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(blocks, pa.int64()), pa.array([block * (PARTS + 1) + part + 1] * len(blocks), pa.int64()), pa.array(places, pa.list_(pa.int32())), pa.array(sums, pa.list_(pa.float64()))],
+                    ["block", "sender", "at", "v"],
+                )
+
+    def mixed(batches):
+        for b in batches:
+            for k in range(b.num_rows):
+                own, out = None, None
+                got = b["got"].take(pa.array([k])).values
+                places, sums = got.field("at"), got.field("v")
+                for i in range(len(got)):
+                    v = sums[i].values.to_numpy(zero_copy_only=False).reshape(-1, width)
+                    if places[i].is_valid:
+                        out[places[i].values.to_numpy(zero_copy_only=False)] += v
+                    else:
+                        own, out = v, np.zeros(v.shape)
+                yield pa.RecordBatch.from_arrays([b["block"].slice(k, 1), pa.array([((own + out) / 2).ravel()], pa.list_(pa.float64()))], ["block", "v"])
+
+    products = edges.join(vectors.hint("merge"), "block").mapInArrow(sent, "block long, sender long, at array<int>, v array<double>")
+    # A block's own vectors come first.
+    got = F.array_sort(F.collect_list(F.struct(F.col("at").isNotNull().alias("other"), "sender", "at", "v"))).alias("got")
+    return products.groupBy("block").agg(got).mapInArrow(mixed, "block long, v array<double>")
+
+
+def _mapped(vectors: DataFrame, work) -> DataFrame:
+    """``work`` on the matrix of each block; the result flat."""
+
+    def rows(batches):
+        for b in batches:
+            for k in range(b.num_rows):
+                out = work(_numbers(b["v"].take(pa.array([k])))).ravel()
+                yield pa.RecordBatch.from_arrays([b["block"].slice(k, 1), pa.array([out], pa.list_(pa.float64()))], ["block", "v"])
+
+    return vectors.mapInArrow(rows, "block long, v array<double>")
 
 
 def _orthonormal(vectors: DataFrame, width: int) -> tuple[DataFrame, np.ndarray]:
     """The vectors with orthonormal columns, and the lengths they had along their principal axes; only a width x width matrix is gathered."""
-    cells = [(i, j) for i in range(width) for j in range(i + 1)]
-    row = vectors.agg(*[F.sum(F.col("v")[i] * F.col("v")[j]).alias(f"g{i}_{j}") for i, j in cells]).first()
-    gram = np.zeros((width, width))
-    for i, j in cells:
-        gram[i, j] = gram[j, i] = row[f"g{i}_{j}"]
-    values, axes = np.linalg.eigh(gram)
+
+    def squared(v):
+        x = v.reshape(-1, width)
+        return x.T @ x
+
+    cells = _mapped(vectors, squared).select(F.posexplode("v").alias("i", "x")).groupBy("i").agg(F.sum("x").alias("x"))
+    gram = np.zeros(width * width)
+    for r in cells.collect():
+        gram[r["i"]] = r["x"]
+    values, axes = np.linalg.eigh(gram.reshape(width, width))
     values, axes = np.maximum(values[::-1], 1e-300), axes[:, ::-1]
     turn = axes / np.sqrt(values)
-    turned = [sum((F.col("v")[i] * F.lit(float(turn[i, j])) for i in range(width)), F.lit(0.0)) for j in range(width)]
-    return vectors.select("id", F.array(*turned).alias("v")), np.sqrt(values)
+    return _mapped(vectors, lambda v: v.reshape(-1, width) @ turn), np.sqrt(values)
 
 
-def laplacian_vectors(graph: DataFrame, nodes: DataFrame, k: int, rounds: int = 12, steps: int = 4, tol: float = 1e-3, seed: int = 42) -> DataFrame:
-    """(id, v): the ``k`` leading eigenvectors of the normalised graph, by block subspace iteration.
+def _matrix_vectors(both: DataFrame, nodes: DataFrame, width: int) -> DataFrame:
+    """(id, d, v) of a graph of at most ``FEW_NODES`` nodes."""
+    held = nodes.select("id", "d").orderBy("id").collect()
+    place = {r["id"]: i for i, r in enumerate(held)}
+    d = np.array([r["d"] for r in held], dtype=float)
+    a = np.zeros((len(held), len(held)))
+    for r in both.collect():  # at most FEW_NODES x FEW_NODES
+        i, j = place[r["src"]], place[r["dst"]]
+        a[i, j] = r["weight"] / (np.sqrt(d[i] * d[j]) or 1.0)
+    axes = np.linalg.eigh((a + a.T) / 2)[1][:, ::-1][:, :width]
+    axes = np.hstack([axes, np.zeros((len(held), width - axes.shape[1]))])
+    kind = nodes.schema["id"].dataType.simpleString()
+    return nodes.sparkSession.createDataFrame([(r["id"], float(r["d"]), axes[i].tolist()) for i, r in enumerate(held)], f"id {kind}, d double, v array<double>")
 
-    ``graph`` has src, dst and weight, each edge once; ``nodes`` has id. A round multiplies ``steps`` times by the lazy normalised
-    graph (I + D^-1/2 W D^-1/2) / 2 and makes the columns orthonormal again; it ends when the lengths settle. A few spare columns
-    speed this up. Products are joins and sums, so a node of many edges is combined before the shuffle.
+
+def _contracted(both: DataFrame, nodes: DataFrame, seed: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """A smaller graph: a quarter of the nodes, drawn by hash, take in the rest of the nodes next to them.
+
+    Gives its edges (inner ones as loops), its nodes, and the node that each node goes to.
     """
-    both = graph.select("src", "dst", "weight").unionByName(graph.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "weight"))
-    degree = materialize(both.groupBy("src").agg(F.sum("weight").alias("d")), "graph-degrees")
-    scaled = both.join(degree, "src").join(degree.select(F.col("src").alias("dst"), F.col("d").alias("e")), "dst")
-    edges = materialize(scaled.select("src", "dst", (F.col("weight") / F.sqrt(F.col("d") * F.col("e"))).alias("weight")), "graph-scaled")
-    width = k + 3
-    start = [F.xxhash64("id", F.lit(seed + i)).cast("double") / float(1 << 63) for i in range(width)]
-    vectors = materialize(nodes.select("id", F.array(*start).alias("v")), "graph-vectors")
-    before = None
-    for _ in range(rounds):
+    drawn = lambda c: F.pmod(F.xxhash64(c, F.lit(seed)), F.lit(4)) == 0
+    to = both.filter(~drawn("src") & drawn("dst")).groupBy(F.col("src").alias("id")).agg(F.max_by("dst", F.struct("weight", "dst")).alias("to"))
+    parents = materialize(nodes.select("id", "d", "block").join(to, "id", "left").withColumn("to", F.coalesce("to", "id")), "graph-parents")
+    end = lambda name, as_: parents.select(F.col("id").alias(name), F.col("to").alias(as_))
+    edges = both.join(end("src", "a"), "src").join(end("dst", "b"), "dst").groupBy(F.col("a").alias("src"), F.col("b").alias("dst")).agg(F.sum("weight").alias("weight"))
+    fewer = parents.groupBy(F.col("to").alias("id")).agg(F.sum("d").alias("d"), F.floor(F.min("block") / 4).alias("block"))
+    return materialize(edges, "graph-edges"), materialize(_numbered(fewer), "graph-nodes"), parents
+
+
+def _graph_vectors(both: DataFrame, nodes: DataFrame, width: int, k: int, rounds: int, steps: int, tol: float, seed: int, depth: int = 0) -> DataFrame:
+    """(id, d, v): leading eigenvectors of a graph with all edges both ways and nodes (id, d, block, at)."""
+    n = nodes.count()
+    if n <= FEW_NODES:
+        return _matrix_vectors(both, nodes, width)
+    small, fewer, parents = _contracted(both, nodes, seed + 101 * depth)
+    if fewer.count() <= 0.9 * n:
+        coarse = _graph_vectors(small, fewer, width, k, rounds, steps, tol, seed, depth + 1)
+        coarse = coarse.select(F.col("id").alias("to"), F.col("d").alias("e"), "v")
+        share = F.coalesce(F.sqrt(F.try_divide("d", "e")), F.lit(0.0))
+        start = parents.join(coarse, "to").select("id", F.transform("v", lambda v: v * share).alias("v"))
+        most = rounds if depth == 0 else 1
+    else:  # hardly any edges between different nodes
+        start = nodes.select("id", F.array(*[F.xxhash64("id", F.lit(seed + i)).cast("double") / float(1 << 63) for i in range(width)]).alias("v"))
+        most = rounds
+    held = nodes.select("id", "block", "at", "d").join(start, "id")
+    by_place = F.array_sort(F.collect_list(F.struct("at", "v"))).alias("e")
+    vectors = materialize(held.groupBy("block").agg(by_place).select("block", F.flatten("e.v").alias("v")), "graph-vectors")
+    edges, before = _packed_edges(both, nodes), None
+    for _ in range(most):
         for _ in range(steps):
             vectors = _times(edges, vectors, width)
         vectors = materialize(vectors, "graph-vectors")
@@ -607,7 +725,54 @@ def laplacian_vectors(graph: DataFrame, nodes: DataFrame, k: int, rounds: int =
         if before is not None and np.abs(lengths[:k] - before[:k]).max() < tol:
             break
         before = lengths
-    return vectors.select("id", F.slice("v", 1, k).alias("v"))
+    names = nodes.groupBy("block").agg(F.array_sort(F.collect_list(F.struct("at", "id", "d"))).alias("e")).select("block", "e.id", "e.d")
+    kind = nodes.schema["id"].dataType.simpleString()
+
+    def apart(batches):
+        for b in batches:
+            for i in range(b.num_rows):
+                ids, d, v = (b[c].take(pa.array([i])).values for c in ("id", "d", "v"))
+                yield pa.RecordBatch.from_arrays([ids, d, pa.ListArray.from_arrays(pa.array(np.arange(len(ids) + 1) * width, pa.int32()), v)], ["id", "d", "v"])
+
+    return materialize(names.join(vectors, "block").select("id", "d", "v").mapInArrow(apart, f"id {kind}, d double, v array<double>"), "graph-vectors")
+
+
+def laplacian_vectors(graph: DataFrame, nodes: DataFrame, k: int, rounds: int = 12, steps: int = 4, tol: float = 1e-3, seed: int = 42) -> DataFrame:
+    """(id, v): the ``k`` leading eigenvectors of the normalised graph, by block subspace iteration from those of a smaller graph.
+
+    ``graph`` has src, dst and weight, each edge once; ``nodes`` has id and may have ``block``, a number that nodes with
+    common edges share (by hash otherwise). The graph is contracted along its edges until few nodes are left, which are solved
+    as a matrix; a contracted node never holds nodes that no path joins, so vectors of whole components are exact from there on.
+    On the way back a round multiplies ``steps`` times by the lazy normalised graph (I + D^-1/2 W D^-1/2) / 2 and makes the
+    columns orthonormal again, once for a contracted graph, until the lengths settle for the graph itself. A few spare columns
+    speed this up. Products move one row for each block of nodes.
+    """
+    both = graph.select("src", "dst", "weight").unionByName(graph.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "weight"))
+    both = materialize(both, "graph-edges")
+    named = nodes.filter(F.col("id").isNotNull())
+    if "block" in nodes.columns:
+        named = named.groupBy("id").agg(F.min("block").cast("long").alias("block"))
+    else:
+        named = named.select("id").distinct()
+        named = named.withColumn("block", F.pmod(F.xxhash64("id"), F.lit(-(-named.count() // BLOCK_NODES) or 1)))
+    degree = both.groupBy(F.col("src").alias("id")).agg(F.sum("weight").alias("d"))
+    named = named.join(degree, "id", "left").withColumn("d", F.coalesce("d", F.lit(0.0)))
+    vectors = _graph_vectors(both, materialize(_numbered(named), "graph-nodes"), k + 3, k, rounds, steps, tol, seed)
+    return nodes.select("id").join(vectors, "id").select("id", F.slice("v", 1, k).alias("v"))
+
+
+def _near_blocks(rows: DataFrame, id_col: str, n: int) -> DataFrame:
+    """(id, block): blocks of about ``BLOCK_NODES`` rows that lie around the same pivot."""
+    if n <= BLOCK_NODES:
+        return rows.select(F.col(id_col).alias("id"), F.lit(0).cast("long").alias("block"))
+    points = rows.select(F.col(id_col).alias("id"), F.transform("features", lambda v: v.cast("double")).alias("x"))
+    pivots = choose_pivots(points, n, BLOCK_NODES)
+    held = materialize(placed(points, pivots).select("id", "cell", "reach"), "graph-cells")
+    chunks = np.maximum(1, -(-cells_of(held, pivots).sizes // BLOCK_NODES))
+    firsts = np.concatenate([[0], np.cumsum(chunks)])
+    table = [(i, int(firsts[i]), int(c)) for i, c in enumerate(chunks)]  # a row for each pivot
+    named = held.join(F.broadcast(rows.sparkSession.createDataFrame(table, "cell int, first long, chunks long")), "cell")
+    return named.select("id", (F.col("first") + F.pmod(F.xxhash64("id"), F.col("chunks"))).alias("block"))
 
 
 def spectral(rows: DataFrame, id_col: str, ks: Sequence[int] | None = None, neighbours: int = 10, gamma: float = 1.0, seed: int = 42) -> tuple[DataFrame, DataFrame]:
@@ -622,8 +787,9 @@ def spectral(rows: DataFrame, id_col: str, ks: Sequence[int] | None = None, neig
         F.exp(-gamma * F.col("distance") * F.col("distance")).alias("weight"),
     ).dropDuplicates(["src", "dst"])
     graph = materialize(graph, "neighbour-graph")
-    ks = list(ks or range(2, max_clusters(rows.count(), 8) + 1))
-    nodes = rows.select(F.col(id_col).alias("id"))
+    n = rows.count()
+    ks = list(ks or range(2, max_clusters(n, 8) + 1))
+    nodes = _near_blocks(rows, id_col, n)
     vectors = materialize(laplacian_vectors(graph, nodes, max(ks), seed=seed), "spectral-vectors")
     data, labels = rows.join(vectors.withColumnRenamed("id", id_col), id_col), {}
     length = lambda k: F.sqrt(F.aggregate(F.slice("v", 1, k), F.lit(0.0), lambda acc, v: acc + v * v))

@@ -136,6 +136,34 @@ def test_spectral_finds_rings_and_blobs(spark):
         assert all(len(set(g)) == 1 for g in groups) and len({g[0] for g in groups}) == k
 
 
+def test_vectors_of_long_rings_are_those_of_the_components(spark):
+    """Rings of 700 nodes: products of the graph alone would need some hundred thousand steps."""
+    size, rings = 700, 3
+    edges = [(r * size + i, r * size + (i + 1) % size, 1.0) for r in range(rings) for i in range(size)]
+    graph = spark.createDataFrame([(min(a, b), max(a, b), w) for a, b, w in edges], "src long, dst long, weight double")
+    found = K.laplacian_vectors(graph, spark.range(size * rings), rings).orderBy("id").collect()
+    v = np.array([r["v"] for r in found]).reshape(rings, size, rings)
+    assert np.abs(v - v[:, :1]).max() < 1e-6
+    assert np.allclose(np.einsum("ria,rib->ab", v, v), np.eye(rings), atol=1e-6)
+
+
+def test_a_graph_product_moves_a_row_for_each_pair_of_blocks_that_meet(spark):
+    """Equal to the product of the matrices, with a node of many edges and one of none; edges do not move as rows."""
+    rng, n, width = np.random.default_rng(2), 400, 3
+    a = np.triu(rng.random((n, n)) * (rng.random((n, n)) < 0.02), 1)
+    a[0, 1:-1], a[:, -1] = 0.5, 0.0
+    a += a.T
+    d, x = a.sum(1), rng.normal(size=(n, width))
+    both = spark.createDataFrame([(int(i), int(j), float(a[i, j])) for i, j in np.argwhere(a)], "src long, dst long, weight double")
+    nodes = spark.createDataFrame([(i, i // 100, i % 100, float(d[i])) for i in range(n)], "id long, block long, at int, d double")
+    vectors = spark.createDataFrame([(b, x[100 * b : 100 * b + 100].ravel().tolist()) for b in range(4)], "block long, v array<double>")
+    edges = K._packed_edges(both, nodes)
+    assert edges.count() == 4 * 4 + 4
+    got = {r["block"]: r["v"] for r in K._times(edges, vectors, width).collect()}
+    scale = np.sqrt(np.where(d > 0, d, 1.0))
+    assert np.allclose(np.array([got[b] for b in range(4)]).reshape(n, width), (a / np.outer(scale, scale) @ x + x) / 2)
+
+
 def test_components_of_a_long_chain_and_a_hub(spark):
     nodes = spark.range(300).withColumnRenamed("id", "node")
     edges = [(i, i + 1) for i in range(99)] + [(200, i) for i in range(201, 260)]
