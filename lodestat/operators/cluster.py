@@ -23,8 +23,8 @@ from lodestat.operators.features import pca_reduce
 from lodestat.operators.models import build_features, nearest
 from lodestat.operators.profile import numeric_moments
 from lodestat.plans.components import connected_components
-from lodestat.plans.pivots import CELL_POINTS, Cells, cells_of, choose_pivots, matrix, met, placed
-from lodestat.plans.skew import salted_join, with_position
+from lodestat.plans.pivots import CELL_POINTS, Cells, cells_of, choose_pivots, close_pairs, least_of_rows, matrix, met, placed
+from lodestat.plans.skew import join_on, salted_join, with_position
 from lodestat.session import materialize
 
 MAX_WIDTH = 50
@@ -91,7 +91,7 @@ def _sweep(labelled: DataFrame, id_col: str, algorithm: str, rows: DataFrame | N
     schema = "algorithm string, k int, " + ", ".join(f"{c} double" for c in SCORES) + ", is_best boolean"
     kept = labelled.filter(F.col("k") == best)
     if rows is not None:
-        kept = _label_rows(rows, id_col, kept.select(F.col("k").alias("trial"), F.col("features").alias("x"), "label"))
+        kept = _label_rows(rows, id_col, kept.select(F.col("k").alias("trial"), F.col("features").alias("x"), "w", "label"))
     kept = kept.select(id_col, "features", F.col("label").cast("int").alias("label"))
     return materialize(kept, f"{algorithm}-best"), labelled.sparkSession.createDataFrame(scored, schema)
 
@@ -241,60 +241,56 @@ def assign_nearest(rows: DataFrame, centres: dict[int, Sequence[float]]) -> Data
 # --- Density clustering ----------------------------------------------------------------------------
 
 CHUNK_POINTS = 1024
+FILE_NUMBERS = 1 << 21  # numbers of the points in a file
 
 
 def _squares(a: pd.DataFrame, b: pd.DataFrame, limit: float) -> np.ndarray:
-    """Squared distances up to ``limit``, without the rounding of the product form; infinite beyond it.
-
-    The product form only tells which pairs are surely beyond the limit. Where few are left, they alone are taken up one by one.
-    """
+    """Squared distances up to ``limit``, without the rounding of the product form; infinite beyond it."""
     x, y = np.stack(a["x"].to_numpy()).astype(float), np.stack(b["x"].to_numpy()).astype(float)
-    xx, yy = (x * x).sum(axis=1), (y * y).sum(axis=1)
     out = np.full((len(x), len(y)), np.inf)
-    step = max(1, (1 << 22) // max(y.size, 1))
-    with np.errstate(invalid="ignore", over="ignore"):
-        rough = xx[:, None] + yy[None, :] - 2 * x @ y.T
-        # A bound of the rounding, which grows with the width; what is no number stays in.
-        near = ~(rough > limit + 1e-15 * (x.shape[1] + 8) * (xx[:, None] + yy[None, :] + limit))
-    if 4 * np.count_nonzero(near) > near.size:
-        for i in range(0, len(x), step):
-            out[i : i + step] = ((x[i : i + step, None, :] - y[None, :, :]) ** 2).sum(axis=2)
-    else:
-        row, col = np.nonzero(near)
-        some = max(1, (1 << 22) // max(x.shape[1], 1))
-        for i in range(0, len(row), some):
-            r, c = row[i : i + some], col[i : i + some]
-            out[r, c] = ((x[r] - y[c]) ** 2).sum(axis=1)
-    out[out > limit] = np.inf
+    row, col, d = close_pairs(x, y, limit)
+    out[row, col] = d
     return out
 
 
-def _forest(weights: np.ndarray) -> list[tuple[int, int, float]]:
-    """Least spanning forest of a dense symmetric graph; infinite weights are no edges."""
-    n = len(weights)
-    best, origin, done, kept = np.full(n, np.inf), np.zeros(n, np.int64), np.zeros(n, bool), []
-    for start in np.flatnonzero(np.isfinite(weights).any(axis=1)):
-        if done[start]:
-            continue
-        at = start
-        while True:
-            done[at] = True
-            better = (weights[at] < best) & ~done
-            best[better], origin[better] = weights[at][better], at
-            open_ = np.where(done, np.inf, best)
-            at = int(open_.argmin())
-            if not np.isfinite(open_[at]):
-                break
-            kept.append((int(origin[at]), at, float(best[at])))
-    return kept
+FOREST_EDGES = 1 << 20
+
+
+def _forest(a: np.ndarray, b: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Least spanning forest of a list of edges, in Boruvka rounds; equal weights count in the order of the list."""
+    order = np.argsort(w, kind="stable")
+    a, b, w = a[order], b[order], w[order]
+    names, ends = np.unique(np.concatenate([a, b]), return_inverse=True)
+    one, two = ends[: len(a)], ends[len(a) :]
+    component, kept, open_ = np.arange(len(names)), np.zeros(len(w), bool), np.arange(len(w))
+    while True:
+        ca, cb = component[one[open_]], component[two[open_]]
+        open_ = open_[ca != cb]
+        if not len(open_):
+            return a[kept], b[kept], w[kept]
+        ca, cb = component[one[open_]], component[two[open_]]
+        least = np.full(len(names), len(w))
+        np.minimum.at(least, ca, open_)
+        np.minimum.at(least, cb, open_)
+        own = np.flatnonzero(least < len(w))
+        edge = least[own]
+        kept[edge] = True
+        parent = np.arange(len(names))
+        parent[own] = component[one[edge]] + component[two[edge]] - own  # the other end
+        both = (parent[parent] == np.arange(len(names))) & (parent > np.arange(len(names)))
+        parent[both] = np.flatnonzero(both)
+        while (parent[parent] != parent).any():
+            parent = parent[parent]
+        component = parent[component]
 
 
 @dataclass
 class Density:
     """Distinct points with their core distances, and the graph of mutual reachability up to ``reach``.
 
-    ``points``: pid, x, w (rows at that point), cell, chunk, core (squared core distance for each of ``samples``, null beyond ``reach``).
-    ``edges``: s (index in ``samples``), a, b, w (squared mutual reachability). Each pair of chunks adds the least spanning
+    ``points``: pid, x, w (rows at that point), cell, chunk, core (squared core distance for each of ``samples``, null beyond ``reach``),
+    near (squared distance d and pid n of the nearest points up to ``reach``, as many as the largest of ``samples``).
+    ``edges``: s (index in ``samples``), a, b, w (squared mutual reachability). Each task adds the least spanning
     forest of its part of the graph; together they connect, at every distance up to ``reach``, what the whole graph connects.
     """
 
@@ -305,15 +301,13 @@ class Density:
     samples: list[int]
     reach: float
 
-    def pairs(self) -> np.ndarray:
-        return self.cells.near(self.reach)
-
 
 def density_graph(rows: DataFrame, id_col: str, reach: float, samples: Sequence[int], cell_points: int = CELL_POINTS) -> Density:
     """Core distances for every neighbour count in ``samples`` and the reachability graph, for all distances up to ``reach``.
 
     Equal points are merged. Points are dealt to cells around pivots and cells are cut into chunks; only cells that can hold
-    points within ``reach`` of each other meet, in any number of dimensions. A task holds one pair of chunks.
+    points within ``reach`` of each other meet, in any number of dimensions. Points meet tile by tile (:func:`met`), and a task
+    gives the nearest few of a point and a forest, never the pairs.
     """
     samples = sorted(set(samples))
     pts = rows.groupBy(F.transform("features", lambda v: v.cast("double")).alias("x")).agg(
@@ -324,20 +318,30 @@ def density_graph(rows: DataFrame, id_col: str, reach: float, samples: Sequence[
     pts = materialize(placed(pts, pivots), "density-placed")
     cells = cells_of(pts, pivots)
     chunks = np.maximum(1, -(-cells.sizes // CHUNK_POINTS))
-    spread = F.element_at(F.lit(chunks.tolist()), F.col("cell") + 1)
-    pts = pts.select("pid", "x", "w", "cell", F.pmod(F.xxhash64("pid"), spread).cast("int").alias("chunk"))
+    firsts = np.concatenate([[0], np.cumsum(chunks)])
+    at_cell = lambda numbers: F.element_at(F.lit(numbers.tolist()), F.col("cell") + 1)
+    pts = pts.select("pid", "x", "w", "cell", F.pmod(F.xxhash64("pid"), at_cell(chunks)).cast("int").alias("chunk"))
+    pts = pts.withColumn("grp", (at_cell(firsts[:-1]) + F.col("chunk")).cast("long"))
+    cell_of = np.repeat(np.arange(len(chunks)), chunks)
+    sizes, width = -(-cells.sizes // chunks)[cell_of], pivots.shape[1]
+    parts = int(min(firsts[-1], max(2 * rows.sparkSession.sparkContext.defaultParallelism, cells.sizes.sum() * width // FILE_NUMBERS)))
+    grouped = lambda df: df.repartition(parts, "grp").sortWithinPartitions("grp")
+    pts = materialize(grouped(pts), "density-chunks")
     near, most, limit = cells.near(reach), samples[-1], reach * reach
 
-    def neighbours(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        d, weight = _squares(a, b, limit), b["w"].to_numpy()
-        take = min(most, d.shape[1])
-        cols = np.argpartition(d, take - 1, axis=1)[:, :take]
-        d = np.take_along_axis(d, cols, axis=1)
-        row, col = np.nonzero(d <= limit)
-        return pd.DataFrame({"pid": a["pid"].to_numpy()[row], "d": d[row, col], "w": weight[cols[row, col]]})
-
-    found = met(pts.drop("w"), pts, near, chunks, [], neighbours, "pid long, d double, w long")
-    around = found.groupBy("pid").agg(F.array_sort(F.collect_list(F.struct("d", "w"))).alias("n"))
+    def neighbours(meetings):
+        parts = []
+        for m in meetings:
+            row, col, d = close_pairs(m.left["x"], m.right["x"], limit)
+            kept = least_of_rows(row, d, most)
+            parts.append((row[kept], d[kept], m.right["w"][col[kept]], m.right["pid"][col[kept]]))
+            if m.last:
+                row, d, w, n = (np.concatenate(v) for v in zip(*parts))
+                kept, parts = least_of_rows(row, d, most), []
+                yield pa.RecordBatch.from_arrays([pa.array(v) for v in (m.left["pid"][row[kept]], d[kept], w[kept], n[kept])], ["pid", "d", "w", "n"])
+
+    found = met(pts, sizes, cell_of, near, width, ["pid", "w"], neighbours, "pid long, d double, w long, n long", "density-near")
+    around = found.groupBy("pid").agg(F.slice(F.array_sort(F.collect_list(F.struct("d", "w", "n"))), 1, most).alias("n"))
     start = F.struct(F.lit(0).cast("long").alias("held"), F.lit(None).cast("double").alias("d"))
 
     def core(s: int):
@@ -348,30 +352,36 @@ def density_graph(rows: DataFrame, id_col: str, reach: float, samples: Sequence[
         last = F.aggregate("n", start, step)
         return F.when(last["held"] >= s, last["d"])
 
-    cored = around.select("pid", F.array(*[core(s) for s in samples]).alias("core"))
-    points = materialize(pts.join(cored, "pid"), "density-cores")
-
-    def reachable(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        d = _squares(a, b, limit)
-        left, right = (np.stack(f["core"].to_numpy()).astype(float) for f in (a, b))
-        ids = a["pid"].to_numpy(), b["pid"].to_numpy()
-        same, out = ids[0][0] == ids[1][0] and len(ids[0]) == len(ids[1]) and (ids[0] == ids[1]).all(), []
+    close = F.transform("n", lambda e: F.struct(e["d"].alias("d"), e["n"].alias("n"))).alias("near")
+    cored = around.select("pid", F.array(*[core(s) for s in samples]).alias("core"), close)
+    points = materialize(grouped(pts.join(cored, "pid")), "density-cores")
+
+    def reachable(meetings):
+        held = [[] for _ in samples]
+
+        def least(s: int) -> None:
+            held[s] = [_forest(*(np.concatenate(v) for v in zip(*held[s])))]
+
+        bound = [FOREST_EDGES] * len(samples)
+        for m in meetings:
+            row, col, d = close_pairs(m.left["x"], m.right["x"], limit)
+            a, b = m.left["pid"][row], m.right["pid"][col]
+            for s in range(len(samples)):
+                w = np.maximum(np.maximum(d, m.left["core"][row, s]), m.right["core"][col, s])
+                kept = (w <= limit) & (a != b)
+                held[s].append((a[kept], b[kept], w[kept]))
+                if sum(len(v[0]) for v in held[s]) > bound[s]:
+                    least(s)
+                    bound[s] = FOREST_EDGES + 2 * len(held[s][0][0])
         for s in range(len(samples)):
-            weights = np.maximum(np.maximum(d, left[:, s][:, None]), right[:, s][None, :])
-            weights = np.where(weights <= limit, weights, np.inf)
-            if not same:
-                whole = np.full((sum(weights.shape),) * 2, np.inf)
-                whole[: len(weights), len(weights) :], whole[len(weights) :, : len(weights)] = weights, weights.T
-                weights = whole
-            else:
-                np.fill_diagonal(weights, np.inf)
-            names = ids[0] if same else np.concatenate(ids)
-            out += [(s, int(names[i]), int(names[j]), w) for i, j, w in _forest(weights)]
-        return pd.DataFrame(out, columns=["s", "a", "b", "w"]).astype({"s": "int32", "a": "int64", "b": "int64", "w": "float64"})
-
-    body = points.filter(F.exists("core", lambda c: c.isNotNull())).select("pid", "x", "core", "cell", "chunk")
-    edges = met(body, body, near, chunks, [], reachable, "s int, a long, b long, w double", half=True)
-    return Density(points, materialize(edges, "density-edges"), cells, chunks, samples, reach)
+            if held[s]:
+                least(s)
+                a, b, w = held[s][0]
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(a), s, np.int32)), pa.array(a), pa.array(b), pa.array(w)], ["s", "a", "b", "w"])
+
+    body = points.filter(F.exists("core", lambda c: c.isNotNull()))
+    edges = met(body, sizes, cell_of, near, width + len(samples), ["pid", "core"], reachable, "s int, a long, b long, w double", "density-edges", half=True)
+    return Density(points, edges, cells, chunks, samples, reach)
 
 
 def spanning_forest(edges: DataFrame) -> DataFrame:
@@ -417,25 +427,15 @@ def cut(graph: Density, trials: Sequence[tuple[int, float, int]], edges: DataFra
     )
     edges = graph.edges if edges is None else edges
     tried = graph.points.join(F.broadcast(table)).withColumn("is_core", F.coalesce(F.element_at("core", F.col("s") + 1) <= F.col("square"), F.lit(False)))
-    tried = tried.select("trial", "square", "pid", "x", "cell", "chunk", "is_core")
-    core = tried.filter("is_core")
     node = lambda pid: F.struct("trial", F.col(pid).alias("pid"))
     links = edges.join(F.broadcast(table), "s").filter(F.col("w") <= F.col("square")).select(node("a").alias("a"), node("b").alias("b"))
-    groups = connected_components(core.select(node("pid").alias("node")), links)
-    groups = groups.select(F.col("node.trial").alias("trial"), F.col("node.pid").alias("pid"), F.col("component.pid").alias("component"))
-    core = materialize(core.join(groups, ["trial", "pid"]).select("trial", "pid", "x", "cell", "chunk", "component"), "density-clusters")
-
-    def border(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        square = float(a["square"].iloc[0])
-        hit = _squares(a, b, square) <= square
-        value = np.where(hit, b["component"].to_numpy()[None, :], np.iinfo("int64").max).min(axis=1)
-        keep = hit.any(axis=1)
-        return pd.DataFrame({"trial": a["trial"].to_numpy()[keep], "pid": a["pid"].to_numpy()[keep], "component": value[keep]})
-
-    loose = tried.filter("NOT is_core").select("trial", "square", "pid", "x", "cell", "chunk")
-    reached = met(loose, core, graph.pairs(), graph.chunks, ["trial"], border, "trial int, pid long, component long")
-    reached = reached.groupBy("trial", "pid").agg(F.min("component").alias("component"))
-    clusters = materialize(core.select("trial", "pid", "component").unionByName(reached), "density-labels")
+    groups = connected_components(tried.filter("is_core").select(node("pid").alias("node")), links)
+    core = groups.select(F.col("node.trial").alias("trial"), F.col("node.pid").alias("pid"), F.col("component.pid").alias("component"))
+    # A point that is not core has fewer points around it than its list can hold.
+    touched = tried.filter("NOT is_core").select("trial", "square", "pid", F.inline("near")).filter(F.col("d") <= F.col("square"))
+    reached = touched.select("trial", F.col("pid").alias("of"), F.col("n").alias("pid")).join(core, ["trial", "pid"])
+    reached = reached.groupBy("trial", F.col("of").alias("pid")).agg(F.min("component").alias("component"))
+    clusters = materialize(core.unionByName(reached), "density-labels")
     numbers = with_position(clusters.select("trial", "component").distinct(), ["trial"], "component", name="label").drop("n")
     labels = salted_join(clusters, numbers, ["trial", "component"], "inner").select("trial", "pid", F.col("label").cast("int").alias("label"))
     out = graph.points.select("pid", "x", "w").join(F.broadcast(table.select("trial"))).join(labels, ["trial", "pid"], "left")
@@ -443,10 +443,17 @@ def cut(graph: Density, trials: Sequence[tuple[int, float, int]], edges: DataFra
 
 
 def _label_rows(rows: DataFrame, id_col: str, labels: DataFrame) -> DataFrame:
-    """(id, features, trial, label) of all rows, through their points."""
+    """(id, features, trial, label) of all rows, through their points (trial, x, w, label).
+
+    The rows of the points that hold more than a thousandth of them stay where they are: these points go to all tasks.
+    """
     keyed = rows.select(id_col, "features", F.transform("features", lambda v: v.cast("double")).alias("x"))
-    each = labels.groupBy("x").agg(F.collect_list(F.struct("trial", "label")).alias("tried"))
-    return salted_join(keyed, each, ["x"], "inner").select(id_col, "features", F.inline("tried"))
+    each = labels.groupBy("x").agg(F.max("w").alias("__w"), F.collect_list(F.struct("trial", "label")).alias("tried"))
+    each = materialize(each, "point-labels")
+    many = F.col("__w") > max(16, rows.count() // 1000)
+    hot, rest = F.broadcast(each.filter(many).drop("__w")), each.filter(~many).drop("__w")  # a thousand points at most
+    found = join_on(keyed, hot, ["x"], "inner").unionByName(join_on(join_on(keyed, hot.select("x"), ["x"], "left_anti"), rest, ["x"], "inner"))
+    return found.select(id_col, "features", F.inline("tried"))
 
 
 def dbscan(rows: DataFrame, id_col: str, eps: float, min_samples: int, cell_points: int = CELL_POINTS) -> DataFrame:

@@ -402,3 +402,37 @@ def test_far_pairs_are_not_measured():
     got = K._squares(a, b, limit)
     assert (got == np.where(every <= limit, every, np.inf)).all() and got[3, 3] == limit
     assert (K._squares(a, b, 1e9) == every).all()
+
+
+@pytest.mark.parametrize("shift", [0.0, 1e6])
+def test_points_meet_tile_by_tile(spark, monkeypatch, shift):
+    """No pairs of chunks are dealt to tasks: tiles of a bounded size pass by the points, which finds the same clusters."""
+
+    def dealt(*_):
+        raise AssertionError("points move once for each chunk that they meet")
+
+    monkeypatch.setattr(P, "paired", dealt, raising=False)
+    for module, name, value in ((K, "CHUNK_POINTS", 25), (P, "TILE_NUMBERS", 150), (P, "NEAR_POINTS", 64), (K, "FOREST_EDGES", 40)):
+        monkeypatch.setattr(module, name, value)
+    x = np.random.default_rng(9).uniform(0, 8, size=(260, 2)).round(3)
+    x = np.vstack([x, x[:30], np.full((20, 2), 4.0)]) + shift
+    want = brute_density(x, 0.55, 5)
+    near = ((x[:, None] - x[None]) ** 2).sum(2) <= 0.55**2
+    assert want.max() >= 3 and (want < 0).any() and (want[near.sum(1) < 5] >= 0).any()  # several clusters, noise and border points
+    got = {r["id"]: r["label"] for r in K.dbscan(cloud(spark, x), "id", 0.55, 5, 60).collect()}
+    assert [got[i] for i in range(len(x))] == want.tolist()
+
+
+def test_tiles_are_bounded_whatever_the_number_of_groups():
+    ends = P.tile_ends(np.array([40, 70, 10, 500, 30, 30]), 2, 200)
+    assert ends == [(0, 1), (1, 3), (3, 4), (4, 6)]
+
+
+def test_labels_of_rows_are_sent_once(spark):
+    """A point's vector is neither copied for each salt nor, if many rows hold it, dealt to one task."""
+    rows = cloud(spark, [[float(i % 40 if i % 2 else 7)] for i in range(400)])
+    points = rows.groupBy(F.col("features").alias("x")).agg(F.count("*").alias("w")).withColumn("trial", F.lit(0)).withColumn("label", F.element_at("x", 1).cast("int"))
+    found = K._label_rows(rows, "id", points)
+    assert "CartesianProduct" not in (plan := found._jdf.queryExecution().optimizedPlan().toString()) and "__salt" not in plan
+    got = {r["id"]: (r["features"], r["label"]) for r in found.collect()}
+    assert got == {i: ([float(i % 40 if i % 2 else 7)], i % 40 if i % 2 else 7) for i in range(400)}
