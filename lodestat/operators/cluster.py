@@ -582,12 +582,20 @@ def _numbered(nodes: DataFrame) -> DataFrame:
     return nodes.withColumn("at", F.row_number().over(Window.partitionBy("block").orderBy("id")) - 1)
 
 
+def _by_rows(table: DataFrame) -> DataFrame:
+    """``table`` for a join that moves rows by key.
+
+    Spark would send a table of nodes to all tasks, through the driver, if its file is small; repeated numbers make that of millions of rows so.
+    """
+    return table.hint("merge")
+
+
 def _packed_edges(both: DataFrame, nodes: DataFrame) -> DataFrame:
     """The normalised graph by the block its edges leave from: (block, part, target, at, weight), arrays in order of ``target``.
 
     Each block also has one row without edges, part -1.
     """
-    end = lambda name, as_: nodes.select(F.col("id").alias(name), F.col("block").alias(f"{as_}block"), F.col("at").alias(f"{as_}at"), F.col("d").alias(f"{as_}d"))
+    end = lambda name, as_: _by_rows(nodes.select(F.col("id").alias(name), F.col("block").alias(f"{as_}block"), F.col("at").alias(f"{as_}at"), F.col("d").alias(f"{as_}d")))
     edges = both.join(end("src", "t"), "src").join(end("dst", "f"), "dst").select(
         F.col("fblock").alias("block"), F.pmod("tblock", F.lit(PARTS)).cast("int").alias("part"),
         F.struct(
@@ -641,7 +649,7 @@ def _times(edges: DataFrame, vectors: DataFrame, width: int) -> DataFrame:
                         own, out = v, np.zeros(v.shape)
                 yield pa.RecordBatch.from_arrays([b["block"].slice(k, 1), pa.array([((own + out) / 2).ravel()], pa.list_(pa.float64()))], ["block", "v"])
 
-    products = edges.join(vectors.hint("merge"), "block").mapInArrow(sent, "block long, sender long, at array<int>, v array<double>")
+    products = edges.join(_by_rows(vectors), "block").mapInArrow(sent, "block long, sender long, at array<int>, v array<double>")
     # A block's own vectors come first.
     got = F.array_sort(F.collect_list(F.struct(F.col("at").isNotNull().alias("other"), "sender", "at", "v"))).alias("got")
     return products.groupBy("block").agg(got).mapInArrow(mixed, "block long, v array<double>")
@@ -698,8 +706,8 @@ def _contracted(both: DataFrame, nodes: DataFrame, seed: int) -> tuple[DataFrame
     """
     drawn = lambda c: F.pmod(F.xxhash64(c, F.lit(seed)), F.lit(4)) == 0
     to = both.filter(~drawn("src") & drawn("dst")).groupBy(F.col("src").alias("id")).agg(F.max_by("dst", F.struct("weight", "dst")).alias("to"))
-    parents = materialize(nodes.select("id", "d", "block").join(to, "id", "left").withColumn("to", F.coalesce("to", "id")), "graph-parents")
-    end = lambda name, as_: parents.select(F.col("id").alias(name), F.col("to").alias(as_))
+    parents = materialize(nodes.select("id", "d", "block").join(_by_rows(to), "id", "left").withColumn("to", F.coalesce("to", "id")), "graph-parents")
+    end = lambda name, as_: _by_rows(parents.select(F.col("id").alias(name), F.col("to").alias(as_)))
     edges = both.join(end("src", "a"), "src").join(end("dst", "b"), "dst").groupBy(F.col("a").alias("src"), F.col("b").alias("dst")).agg(F.sum("weight").alias("weight"))
     fewer = parents.groupBy(F.col("to").alias("id")).agg(F.sum("d").alias("d"), F.floor(F.min("block") / 4).alias("block"))
     return materialize(edges, "graph-edges"), materialize(_numbered(fewer), "graph-nodes"), parents
@@ -715,12 +723,12 @@ def _graph_vectors(both: DataFrame, nodes: DataFrame, width: int, k: int, rounds
         coarse = _graph_vectors(small, fewer, width, k, rounds, steps, tol, seed, depth + 1)
         coarse = coarse.select(F.col("id").alias("to"), F.col("d").alias("e"), "v")
         share = F.coalesce(F.sqrt(F.try_divide("d", "e")), F.lit(0.0))
-        start = parents.join(coarse, "to").select("id", F.transform("v", lambda v: v * share).alias("v"))
+        start = parents.join(_by_rows(coarse), "to").select("id", F.transform("v", lambda v: v * share).alias("v"))
         most = rounds if depth == 0 else 1
     else:  # hardly any edges between different nodes
         start = nodes.select("id", F.array(*[F.xxhash64("id", F.lit(seed + i)).cast("double") / float(1 << 63) for i in range(width)]).alias("v"))
         most = rounds
-    held = nodes.select("id", "block", "at", "d").join(start, "id")
+    held = nodes.select("id", "block", "at", "d").join(_by_rows(start), "id")
     by_place = F.array_sort(F.collect_list(F.struct("at", "v"))).alias("e")
     vectors = materialize(held.groupBy("block").agg(by_place).select("block", F.flatten("e.v").alias("v")), "graph-vectors")
     edges, before = _packed_edges(both, nodes), None
@@ -741,7 +749,7 @@ def _graph_vectors(both: DataFrame, nodes: DataFrame, width: int, k: int, rounds
                 ids, d, v = (b[c].take(pa.array([i])).values for c in ("id", "d", "v"))
                 yield pa.RecordBatch.from_arrays([ids, d, pa.ListArray.from_arrays(pa.array(np.arange(len(ids) + 1) * width, pa.int32()), v)], ["id", "d", "v"])
 
-    return materialize(names.join(vectors, "block").select("id", "d", "v").mapInArrow(apart, f"id {kind}, d double, v array<double>"), "graph-vectors")
+    return materialize(names.join(_by_rows(vectors), "block").select("id", "d", "v").mapInArrow(apart, f"id {kind}, d double, v array<double>"), "graph-vectors")
 
 
 def laplacian_vectors(graph: DataFrame, nodes: DataFrame, k: int, rounds: int = 12, steps: int = 4, tol: float = 1e-3, seed: int = 42) -> DataFrame:
@@ -763,9 +771,9 @@ def laplacian_vectors(graph: DataFrame, nodes: DataFrame, k: int, rounds: int =
         named = named.select("id").distinct()
         named = named.withColumn("block", F.pmod(F.xxhash64("id"), F.lit(-(-named.count() // BLOCK_NODES) or 1)))
     degree = both.groupBy(F.col("src").alias("id")).agg(F.sum("weight").alias("d"))
-    named = named.join(degree, "id", "left").withColumn("d", F.coalesce("d", F.lit(0.0)))
+    named = named.join(_by_rows(degree), "id", "left").withColumn("d", F.coalesce("d", F.lit(0.0)))
     vectors = _graph_vectors(both, materialize(_numbered(named), "graph-nodes"), k + 3, k, rounds, steps, tol, seed)
-    return nodes.select("id").join(vectors, "id").select("id", F.slice("v", 1, k).alias("v"))
+    return nodes.select("id").join(_by_rows(vectors), "id").select("id", F.slice("v", 1, k).alias("v"))
 
 
 def _near_blocks(rows: DataFrame, id_col: str, n: int) -> DataFrame:
@@ -798,7 +806,7 @@ def spectral(rows: DataFrame, id_col: str, ks: Sequence[int] | None = None, neig
     ks = list(ks or range(2, max_clusters(n, 8) + 1))
     nodes = _near_blocks(rows, id_col, n)
     vectors = materialize(laplacian_vectors(graph, nodes, max(ks), seed=seed), "spectral-vectors")
-    data, labels = rows.join(vectors.withColumnRenamed("id", id_col), id_col), {}
+    data, labels = rows.join(_by_rows(vectors.withColumnRenamed("id", id_col)), id_col), {}
     length = lambda k: F.sqrt(F.aggregate(F.slice("v", 1, k), F.lit(0.0), lambda acc, v: acc + v * v))
     for k in ks:
         unit = F.transform(F.slice("v", 1, k), lambda v: F.coalesce(F.try_divide(v, length(k)), F.lit(0.0)))  # noqa: B023

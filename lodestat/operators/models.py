@@ -364,7 +364,8 @@ def nearest(
     asked = materialize(first_cells(a, cells, k), "knn-queries")
     found = materialize(top(_visit(asked, held, cells, k)).drop("rank"), "knn-first")
     kth = found.groupBy("id").agg(F.when(F.count(F.lit(1)) >= k, F.max("distance")).alias("bound"))
-    more = _visit(second_cells(asked.join(kth, "id", "left"), cells), held, cells, k)
+    bounded = asked.join(kth.hint("merge"), "id", "left")  # a row for each query, however small its file
+    more = _visit(second_cells(bounded, cells), held, cells, k)
     return top(found.unionByName(more))
 
 

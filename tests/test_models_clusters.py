@@ -436,3 +436,34 @@ def test_labels_of_rows_are_sent_once(spark):
     assert "CartesianProduct" not in (plan := found._jdf.queryExecution().optimizedPlan().toString()) and "__salt" not in plan
     got = {r["id"]: (r["features"], r["label"]) for r in found.collect()}
     assert got == {i: ([float(i % 40 if i % 2 else 7)], i % 40 if i % 2 else 7) for i in range(400)}
+
+
+def test_tables_of_nodes_never_pass_through_the_driver(spark, monkeypatch):
+    """A row for each node is moved by key, however small the files are; only tables of a fixed size are broadcast."""
+    plans, write, by_k = [], K.materialize, K._by_k
+
+    def seen(df):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return df
+
+    monkeypatch.setattr(K, "materialize", lambda df, label: write(seen(df) if label.startswith(("graph-", "spectral-vectors")) else df, label))
+    monkeypatch.setattr(K, "_by_k", lambda out, *rest: by_k(seen(out), *rest))
+    rng = np.random.default_rng(5)
+    x = np.vstack([rng.normal(c, 0.5, size=(500, 2)) for c in (0, 8, 16)])
+    labels, _ = K.spectral(cloud(spark, x), "id", [3], neighbours=6)
+    groups = np.array([r["label"] for r in labels.orderBy("id").collect()]).reshape(3, -1)
+    assert all(len(set(g)) == 1 for g in groups) and len({g[0] for g in groups}) == 3
+    assert sum("SortMergeJoin" in p for p in plans) > 5 and not any("Broadcast" in p for p in plans)
+
+
+def test_bounds_of_queries_are_moved_by_key(spark, monkeypatch):
+    plans, write = [], I.materialize
+
+    def seen(df, label):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return write(df, label)
+
+    monkeypatch.setattr(I, "materialize", seen)
+    rows = cloud(spark, np.random.default_rng(7).normal(size=(90, 3)))
+    assert I.nearest(rows, rows, 3, cell_points=25).count() == 270
+    assert any("LeftOuter" in p for p in plans) and not any("LeftOuter, BuildRight" in p for p in plans)
