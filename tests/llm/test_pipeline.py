@@ -39,7 +39,7 @@ def test_quality(spark, steps):
 
 def test_line_dedup(steps):
     before, after = sorted(rows(steps[1]).items()), rows(steps[2])
-    want = cut_lines([(d, r.text) for d, r in before], 2, 250)
+    want = cut_lines([(d, r.text) for d, r in before], 2, 250, 20)
     for (d, r), text in zip(before, want):
         if text == "" and r.text != "":
             assert d not in after
